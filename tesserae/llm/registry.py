@@ -23,3 +23,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_token_counts"] = op3_token_counts
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(documents(spark, sf_dir))
+
+
+QUERIES["op10_secret_scan"] = op10_secret_scan

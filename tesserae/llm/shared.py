@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_chars: int = 4_000
         if batch.nbytes <= most_chars or n < 2:
             yield batch
             continue
-        size = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         held = 0
         for i in range(n):
             if held and held + size[i] > most_chars:
