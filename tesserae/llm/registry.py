@@ -41,3 +41,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_simhash"] = op4_simhash
+
+
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose texts hold control strings."""
+    from .chat_windows import read_back, windows
+
+    convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(windows(convs.unionByName(extra)))
+
+
+QUERIES["op5_chat_windows"] = op5_chat_windows
