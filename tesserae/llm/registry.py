@@ -54,3 +54,12 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_chat_windows"] = op5_chat_windows
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    return judge(documents(spark, sf_dir))
+
+
+QUERIES["op7_quality_rules"] = op7_quality_rules
