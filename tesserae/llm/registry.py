@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import source_mix
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -63,3 +65,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_quality_rules"] = op7_quality_rules
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .source_mix import mix
+
+    return mix(documents(spark, sf_dir))
+
+
+QUERIES["op2_source_mix"] = op2_source_mix
+ORACLE["op2_source_mix"] = source_mix.ORACLE_SQL.format(documents="documents")
