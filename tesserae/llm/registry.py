@@ -75,3 +75,13 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_source_mix"] = op2_source_mix
 ORACLE["op2_source_mix"] = source_mix.ORACLE_SQL.format(documents="documents")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = documents(spark, sf_dir)
+    return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES["op8_toxicity"] = op8_toxicity
