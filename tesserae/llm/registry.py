@@ -85,3 +85,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_toxicity"] = op8_toxicity
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, predict
+
+    docs = documents(spark, sf_dir)
+    return predict(docs, fit(docs))
+
+
+QUERIES["op6_language_id"] = op6_language_id
