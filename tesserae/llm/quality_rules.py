@@ -66,11 +66,11 @@ def counted(docs: DataFrame) -> DataFrame:
     )
     # Only texts with a repeated window are sorted: neighbours with one hash are its occurrences.
     repeats = F.size("five") > F.size(F.array_distinct("five"))
-    pairs = F.when(repeats, F.array_sort(F.transform("five", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    pairs = F.when(repeats, F.sort_array(F.transform("five", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     ranked = seen.withColumn("by_hash", pairs).drop("five")
     here = lambda i: F.get("by_hash", i)["h"]
     often = F.filter("by_hash", lambda x, i: F.coalesce(((i > 0) & (here(i - 1) == x["h"])) | (here(i + 1) == x["h"]), F.lit(False)))
-    starts = ranked.withColumn("starts", F.when(F.col("by_hash").isNotNull(), F.array_sort(F.transform(often, lambda x: x["i"])))).drop("by_hash")
+    starts = ranked.withColumn("starts", F.when(F.col("by_hash").isNotNull(), F.sort_array(F.transform(often, lambda x: x["i"])))).drop("by_hash")
     zero = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("starts", zero, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")), lambda a: a["n"])
     return starts.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
