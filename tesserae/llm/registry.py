@@ -95,3 +95,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_language_id"] = op6_language_id
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each overlapping pair of a document and a benchmark item; clean documents have no row."""
+    from .decontaminate import overlaps
+
+    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES["op9_decontaminate"] = op9_decontaminate
