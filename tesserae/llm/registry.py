@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import source_mix
+from . import source_mix, warc
+from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -105,3 +106,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_decontaminate"] = op9_decontaminate
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return warc.convert(pages, fresh_path(spark, "warc")).withColumnRenamed("key", "page_id")
+
+
+QUERIES["op1_warc"] = op1_warc
+ORACLE["op1_warc"] = warc.ORACLE_SQL.format(pages="pages")
