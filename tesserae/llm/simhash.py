@@ -286,3 +286,124 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cap: int =
     named = rooted.join(least, "root").select("fp", "component_id")
     out = prints.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- one document of each group -----------------------------------------------------------------
+
+#: Bits that candidates may differ in, words of a shingle and similarity of what counts as a copy.
+RADIUS, WIDTH, SIMILAR, MEMBERS = 8, 5, 0.8, 4096
+
+
+def similar_links(node: np.ndarray, fps: np.ndarray, block: np.ndarray, grams: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+    """Links that span the components of one candidate group, where copies are close in both senses.
+
+    Pairs that are one component already are not compared. In a pair of blocks only pairs across the
+    two count, unless the pair is a block with itself.
+    """
+    label, out = np.arange(len(node)), []
+    size = np.array([len(g) for g in grams])
+    both = len(np.unique(block)) > 1
+    for i in range(len(node) - 1):
+        j = np.flatnonzero((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) & (label[i + 1 :] != label[i])) + i + 1
+        if both:
+            j = j[block[j] != block[i]]
+        j = j[(np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]))]
+        if not len(j):
+            continue
+        at = np.append(0, size[j].cumsum())[:-1]
+        shared_ = np.isin(np.concatenate([grams[k] for k in j]), grams[i])
+        same = np.where(size[j] > 0, np.add.reduceat(np.append(shared_, False), at), 0)
+        for k in j[same >= least * (size[j] + size[i] - same)]:
+            if label[k] != label[i]:
+                out.append((int(node[i]), int(node[k])))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def _verify_sorted(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, pair, block, node, fp, grams) sorted by (root, pair) to links (u, v)."""
+    held: list[tuple] = []
+
+    def give() -> list[tuple[int, int]]:
+        node, fps, block = (np.array([r[k] for r in held]) for k in (3, 4, 2))
+        return similar_links(node, fps.astype(np.int64).view(np.uint64), block, [r[5] for r in held], radius, least) if len(held) > 1 else []
+
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        cols = [c.to_pylist() for c in batch.columns[:5]]
+        lists = batch.column(5)
+        for i, row in enumerate(zip(*cols, strict=True)):
+            if held and held[-1][:2] != row[:2]:
+                out += give()
+                held = []
+            held.append((*row, lists[i].values.to_numpy(zero_copy_only=False)))
+        yield _edges(out)
+    yield _edges(give() if held else [])
+
+
+def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def gram_sets(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` (node, fp, root, text) with the sorted set of 64-bit shingle hashes in place of the text."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        import xxhash
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)], np.uint64)).view(np.int64) for t in batch.column(3).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "fp", "root", "grams"])
+
+        return work
+
+    return shared.arrow_map(docs.select("node", "fp", "root", "text"), "node long, fp long, root long, grams array<long>", make, text=3)
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least: float = SIMILAR, members: int = MEMBERS) -> DataFrame:
+    """The rows of ``docs``, as they are, without all but one of each group of copies.
+
+    Equal texts are one group at once. Distinct texts are candidates where their SimHash fingerprints
+    differ in ``radius`` or fewer bits, and copies where their sets of ``width``-word shingles also
+    have a Jaccard similarity of ``least``. Of the documents that copies connect, the one with the
+    least doc_id stays. Candidate groups of over ``members`` texts are compared block by block.
+
+    Rows without a doc_id stay, as nothing names them. Of rows with equal doc_id and text one stays;
+    texts under one doc_id are one document when groups are formed.
+    """
+    spark = docs.sparkSession
+    body = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.where("doc_id IS NOT NULL").select("doc_id", body.alias("text"), F.md5(body.cast("binary")).alias("hash"))
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "hash", "fp"])
+
+        return work
+
+    prints = shared.stored(shared.arrow_map(marked, "doc_id long, hash string, fp long", make), "prints")
+    texts = shared.stored(prints.groupBy("hash", "fp").agg(F.min("doc_id").alias("node")), "texts")
+    near = components(links(texts.select("fp").distinct(), radius)).toDF("fp", "root")
+    rooted = texts.join(near, "fp", "left").select("node", "hash", "fp", F.coalesce("root", "fp").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    some = shared.stored(rooted.join(sizes, "root"), "candidates")
+    blocks = F.ceil(F.col("n") / (members // 2)).cast("int")
+    sets = gram_sets(marked.join(some, (F.col("doc_id") == F.col("node")) & (marked["hash"] == some["hash"])).drop("hash"), width)
+    whole = sets.dropDuplicates(["node"]).join(some.select("node", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks")).dropDuplicates(["node"]), "node")
+    b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cut = whole.withColumn("block", b)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
+    dealt = cut.withColumn("pair", F.explode(pairs)).select("root", "pair", "block", "node", "fp", "grams")
+    ordered = dealt.repartition("root", "pair").sortWithinPartitions("root", "pair", "node")
+    found = ordered.mapInArrow(lambda batches: _verify_sorted(batches, radius, least), "u long, v long")
+    gone = components(found).select(F.col("node").alias("gone"))
+    stay = texts.join(gone, F.col("node") == F.col("gone"), "left_anti")
+    times = prints.join(stay.select("hash", "node"), "hash").where("doc_id = node").groupBy("node", "hash").agg(F.count("*").alias("times"))
+    kept = shared.stored(times.select(F.col("node").alias("k_id"), F.col("hash").alias("k_hash"), "times"), "kept")
+    met = docs.withColumn("k_text", F.md5(body.cast("binary"))).join(kept, (F.col("doc_id") == F.col("k_id")) & (F.col("k_text") == F.col("k_hash")))
+    once = met.where("times = 1").select(*docs.columns)
+    again = met.where("times > 1").dropDuplicates(["k_id", "k_hash"]).select(*docs.columns)
+    nameless = docs.where("doc_id IS NULL")
+    return once.unionByName(again).unionByName(nameless)
