@@ -14,7 +14,7 @@ from tesserae.schema import apply_mapping
 # Date shapes that are tried in turn.
 FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss.SSSX", "yyyy-MM-dd'T'HH:mm:ssX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssX", "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyyMMdd'T'HHmmss'Z'", "yyyy/MM/dd", "EEE MMM dd HH:mm:ss Z yyyy",
+    "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyyMMdd'T'HHmmss'Z'", "yyyy/MM/dd",
 )
 DAY_FIRST = ("d/M/yyyy HH:mm:ss", "d/M/yyyy HH:mm", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy")
 MONTH_FIRST = ("M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy")
@@ -35,7 +35,8 @@ def parsed_date(c: Column, day_first: bool = False) -> Column:
     epoch = t.try_cast("double")
     seconds = F.when(t.rlike(r"^\d{9,11}(\.\d+)?$"), epoch).when(t.rlike(r"^\d{12,14}$"), epoch / 1000)
     tries = [F.try_to_timestamp(t, F.lit(f)) for f in (*FORMATS, *(DAY_FIRST if day_first else MONTH_FIRST), *(MONTH_FIRST if day_first else DAY_FIRST))]
-    return F.coalesce(F.timestamp_seconds(seconds), *tries)
+    named = F.when(t.rlike(r"^[A-Z][a-z]{2} [A-Z][a-z]{2} \d"), F.try_to_timestamp(F.substring(t, 5, 40), F.lit("MMM dd HH:mm:ss Z yyyy")))
+    return F.coalesce(F.timestamp_seconds(seconds), *tries, named)
 
 
 @dataclass(frozen=True)

@@ -242,7 +242,7 @@ def _ngrams(n: int, least: int = 1, stop: list[str] | None = None):
 for _n, _name in ((1, "unigrams"), (2, "bigrams"), (3, "trigrams")):
     query(_GRAMS.format(words=_TOKEN, n=_n, least=_n), _name)(_ngrams(_n, _n))
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in tx.stopwords())
-query(_GRAMS.format(words=f"list_filter({_TOKEN}, x -> x NOT IN ({_STOP}))", n=2, least=1), "ngrams_stopwords")(_ngrams(2, 1, tx.stopwords()))
+query(_GRAMS.format(words=f"list_filter({_TOKEN}, lambda x: x NOT IN ({_STOP}))", n=2, least=1), "ngrams_stopwords")(_ngrams(2, 1, tx.stopwords()))
 
 
 @query("""WITH f AS (SELECT lang, CAST(count(*) AS DOUBLE) AS rows, avg(n_chars) AS m FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang),
@@ -338,8 +338,8 @@ def sample_systematic(spark, d):
 
 
 @query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) - 1 AS i, count(*) OVER () AS n FROM documents),
- c AS (SELECT *, CAST(round(n * 0.2) AS BIGINT) AS k FROM p), s AS (SELECT *, (n - k) // 3 AS size, (n - k) % 3 AS extra, i - k AS at FROM c)
-SELECT doc_id AS _row_idx, unnest(CASE WHEN at < 0 THEN [0, 1, 2] WHEN at < extra * (size + 1) THEN [at // (size + 1)] ELSE [extra + (at - extra * (size + 1)) // size] END)::BIGINT AS chunk FROM s""")
+ c AS (SELECT *, CAST(round(n * 0.2) AS BIGINT) AS k FROM p), s AS (SELECT *, (n - k) // 3 AS size, (n - k) % 3 AS extra, i - k AS pos FROM c)
+SELECT doc_id AS _row_idx, unnest(CASE WHEN pos < 0 THEN [0, 1, 2] WHEN pos < extra * (size + 1) THEN [pos // (size + 1)] ELSE [extra + (pos - extra * (size + 1)) // size] END)::BIGINT AS chunk FROM s""")
 def chunks_overlap(spark, d):
     return sm.equal_chunks(posts(spark, d), 3, 42, 20).select("_row_idx", "chunk")
 
@@ -562,7 +562,7 @@ def degree(spark, d):
 _TAGGED = "'#' || lang || ' @' || source || ' http://www.Ex.com/' || doc_id || ' #Ü' || lang || ' 😀 ' || substr(text, 1, 40)"
 
 
-@query(f"""WITH p AS (SELECT doc_id, {_TAGGED} AS t FROM documents) SELECT doc_id AS _row_idx, length(t) AS char_count, CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), x -> x <> '')) AS BIGINT) AS word_count,
+@query(f"""WITH p AS (SELECT doc_id, {_TAGGED} AS t FROM documents) SELECT doc_id AS _row_idx, length(t) AS char_count, CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS BIGINT) AS word_count,
  CAST(len(regexp_extract_all(t, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]')) AS BIGINT) AS emoji_count, CAST(len(regexp_extract_all(t, '#([\\p{{L}}\\p{{N}}_]+)')) AS BIGINT) AS hashtag_count,
  CAST(len(regexp_extract_all(t, 'https?://[^\\s/$.?#].[^\\s]*')) AS BIGINT) AS url_count, array_to_string([lower(x) FOR x IN regexp_extract_all(t, '#([\\p{{L}}\\p{{N}}_]+)', 1)], '|') AS hashtags FROM p""")
 def post_features(spark, d):
@@ -588,5 +588,10 @@ def array_join_export(spark, d):
 
 @query()
 def dup_clusters(spark, d):
-    """Clusters of similar benchmark passages; alignment has no SQL, a test holds it against brute force."""
-    return nw.clusters(table(spark, d, "benchmark").select(F.col("item_id").alias("_row_idx"), "text"), 85.0)
+    """Clusters of benchmark passages and copies of them without their last word.
+
+    Alignment of texts has no SQL; a test holds the clusters against brute force.
+    """
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("_row_idx"), "text")
+    copies = items.select((F.col("_row_idx") + 1_000_000).alias("_row_idx"), F.regexp_replace("text", r"\s+\S+\s*$", "").alias("text"))
+    return nw.clusters(items.unionByName(copies), 85.0)
