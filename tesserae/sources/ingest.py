@@ -34,7 +34,7 @@ def head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
 
 
 def encoding_of(data: bytes) -> str:
-    """By byte order mark, then UTF-8 if it decodes (a cut last letter aside), else Windows-1252."""
+    """By byte order mark, then UTF-8 if it decodes (a cut last letter aside), else Latin-1, which Spark can read."""
     if data.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "UTF-16"
     for cut in range(4):
@@ -43,7 +43,7 @@ def encoding_of(data: bytes) -> str:
             return "UTF-8"
         except UnicodeDecodeError:
             continue
-    return "windows-1252"
+    return "ISO-8859-1"
 
 
 def delimiter_of(text: str) -> str:
