@@ -8,10 +8,12 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: White space that separates words in every contract of this package (fixed values).
 SPACE = r"\x20\x09-\x0D"
@@ -86,9 +88,66 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         for batch in slices(batches, text):
             yield work(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Let Arrow batches of long texts hold fewer rows, unless the session sets its own number.
+
+    The buffers of a batch lie outside the executor's heap, on both sides of the pipe.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def words_of(text: Column) -> Column:
     """The words (maximal runs of non-space characters) of a text; null gives none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), "")
+
+
+#: Bits of a sieve at most: 8 MB, which holds some six million keys well and lets more through beyond.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A Bloom filter of a column's values, as a function from a Column of keys to "may be among them".
+
+    It keeps rows that a join would drop out of the join's shuffle; keys that pass must still be
+    joined. Its size follows the count of keys up to ``SIEVE_BITS``, so what is broadcast is bounded,
+    and with more keys it only lets more rows through.
+    """
+    spark = keys.sparkSession
+    want = 12 * max(1, keys.count())
+    bits = min(SIEVE_BITS, max(1 << 12, 1 << (want - 1).bit_length()))
+    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2, 3)]
+    each = keys.where(F.col(column).isNotNull()).select(F.explode(F.array(*places(F.col(column)))).alias("p"))
+    one = F.when(F.col("p").bitwiseAND(F.lit(63)) == 63, F.lit(-(1 << 63))).otherwise(F.expr("shiftleft(1L, cast(p & 63 as int))"))
+    words = each.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf(BooleanType())
+    def among(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        out = np.ones(len(a), bool)
+        for p in (a, b, c):
+            at = p.to_numpy(zero_copy_only=False)
+            out &= (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return pa.array(out)
+
+    return lambda c: among(*places(c))
+
+
+#: Rows of a table of groups (a source, a language and source) that is broadcast at most.
+FEW = 50_000
+
+
+def small(groups: DataFrame, count: int) -> DataFrame:
+    """``groups`` marked for broadcast if its counted rows are few, else as it is.
+
+    Joining one row per group this way leaves the large side where it is, so a hot group's rows are
+    not dealt to one task; with more groups than ``FEW`` Spark joins by key and splits skewed ones.
+    """
+    return F.broadcast(groups) if count <= FEW else groups

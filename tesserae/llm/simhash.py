@@ -390,7 +390,8 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     some = shared.stored(rooted.join(sizes, "root"), "candidates")
     blocks = F.ceil(F.col("n") / (members // 2)).cast("int")
-    sets = gram_sets(marked.join(some, (F.col("doc_id") == F.col("node")) & (marked["hash"] == some["hash"])).drop("hash"), width)
+    wanted = shared.sieve(some, "node")
+    sets = gram_sets(marked.where(wanted(F.col("doc_id"))).join(some, (F.col("doc_id") == F.col("node")) & (marked["hash"] == some["hash"])).drop("hash"), width)
     whole = sets.dropDuplicates(["node"]).join(some.select("node", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks")).dropDuplicates(["node"]), "node")
     b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = whole.withColumn("block", b)
@@ -402,8 +403,14 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
     stay = texts.join(gone, F.col("node") == F.col("gone"), "left_anti")
     times = prints.join(stay.select("hash", "node"), "hash").where("doc_id = node").groupBy("node", "hash").agg(F.count("*").alias("times"))
     kept = shared.stored(times.select(F.col("node").alias("k_id"), F.col("hash").alias("k_hash"), "times"), "kept")
-    met = docs.withColumn("k_text", F.md5(body.cast("binary"))).join(kept, (F.col("doc_id") == F.col("k_id")) & (F.col("k_text") == F.col("k_hash")))
+    # Only texts that may have to go, or that repeat, are dealt out and joined; the others stay where they are.
+    sure = kept.where("times = 1").select(F.col("k_id").alias("doc_id"), F.col("k_hash").alias("hash"))
+    doubtful = prints.join(sure, ["doc_id", "hash"], "left_anti").select("doc_id")
+    unsure = shared.sieve(shared.stored(doubtful, "doubtful"), "doc_id")
+    named = docs.where("doc_id IS NOT NULL").withColumn("k_doubt", unsure(F.col("doc_id")))
+    rest = named.where("k_doubt").withColumn("k_text", F.md5(body.cast("binary")))
+    met = rest.join(kept, (F.col("doc_id") == F.col("k_id")) & (F.col("k_text") == F.col("k_hash")))
     once = met.where("times = 1").select(*docs.columns)
     again = met.where("times > 1").dropDuplicates(["k_id", "k_hash"]).select(*docs.columns)
     nameless = docs.where("doc_id IS NULL")
-    return once.unionByName(again).unionByName(nameless)
+    return named.where("NOT k_doubt").select(*docs.columns).unionByName(once).unionByName(again).unionByName(nameless)
