@@ -1,9 +1,11 @@
 """Toxicity of whole texts: a learned lexicon, misspellings of it, and the context of each hit.
 
 Training. From a bounded sample of labelled rows (``PER_CLASS`` of each class, the first by a hash
-of the key, exact copies once) the words whose presence tells toxic rows from others become the
-lexicon. A logistic regression over the context features of the same sample gives the weights;
-classes are weighed back to their shares of all training rows.
+of the key) the words, and the beginnings of words, whose presence tells toxic rows from others
+become the terms and stems of the lexicon. Copies would make chance words look telling, so of rows
+that share their longest word one counts. A logistic regression over the context features of the
+same sample gives the weights; classes are weighed back to their shares of all training rows. Terms
+that clean rows often hold a neighbour of are not looked for misspelled.
 
 Scoring. The lexicon is a trie, intersected with the Levenshtein automaton of one edit for terms of
 ``FUZZY`` letters and more; the product automaton is made deterministic state by state as words
@@ -29,7 +31,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 5, 6, 300_000
+PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 5, 6, 100_000
+#: Letters of a stem, rows that a feature must be in, and the least log-likelihood ratio of one; the
+#: ratio must also be beyond what chance gives the best of all features, twice the log of their number.
+STEM_LETTERS, ROWS, TELLING = (4, 5, 6, 7, 8), 4, 15.0
 WORD = re.compile(r"\w+")
 #: Second person, and verbs of saying, in the languages at hand (fixed values).
 ADDRESS = frozenset("you your yours u ur du dich dir dein deine ihr euch tu te toi ton vous votre tú ti vosotros usted eres".split())
@@ -40,12 +45,13 @@ QUOTES = "\"'“”„«»‘’‹›"
 class Lexicon:
     """Lexicon trie times Levenshtein automaton, made deterministic lazily."""
 
-    def __init__(self, terms: list[str], fuzzy: int = FUZZY, states: int = 50_000):
+    def __init__(self, terms: list[str], stems: list[str] = (), loud: list[str] = (), fuzzy: int = FUZZY, states: int = 50_000):
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.edits = [0]  # the most edits that any term below allows
+        self.allowed = {t: int(len(t) >= fuzzy and t not in loud) for t in terms}
         for t in terms:
-            allowed, node = int(len(t) >= fuzzy), 0
+            allowed, node = self.allowed[t], 0
             self.edits[0] = max(self.edits[0], allowed)
             for c in t:
                 if c not in self.next[node]:
@@ -56,13 +62,25 @@ class Lexicon:
                 node = self.next[node][c]
                 self.edits[node] = max(self.edits[node], allowed)
             self.term[node] = t
-        self.fuzzy, self.most = fuzzy, states
+        self.stem: dict[int, str] = {}
+        for t in stems:
+            node = 0
+            for c in t:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.term.append(None)
+                    self.edits.append(0)
+                node = self.next[node][c]
+            self.stem[node] = t
+        self.most = states
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[frozenset, int] = {}
         self.moves: list[dict[str, int]] = []
         self.final: list[tuple[str, int] | None] = []
+        self.begun: list[str | None] = []  # the stem that a word in this state begins with
         self.sets: list[frozenset] = []
         self.start = self._state({(0, 0)})
 
@@ -82,8 +100,9 @@ class Lexicon:
             self.number[key] = len(self.moves)
             self.moves.append({})
             self.sets.append(key)
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= int(len(self.term[n]) >= self.fuzzy)]
+            ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= self.allowed[self.term[n]]]
             self.final.append((min(ends)[1], min(ends)[0]) if ends else None)
+            self.begun.append(next((self.stem[n] for n, e in sorted(key) if e == 0 and n in self.stem), None))
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -100,7 +119,7 @@ class Lexicon:
         return self.moves[state][c]
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The term that ``word`` is, or is one edit from, and the edits."""
+        """The term that ``word`` is, or is one edit from, or the stem it begins with, and the edits."""
         if len(self.moves) > self.most:
             self._reset()
         state, moves = self.start, self.moves
@@ -111,15 +130,17 @@ class Lexicon:
             if to < 0:
                 return None
             state = to
+            if self.begun[state]:
+                return self.begun[state], 0
         return self.final[state]
 
 
-FEATURES = ("exact", "misspelled", "quoted", "addressed", "density")
+FEATURES = ("direct", "quoted", "addressed", "density")
 
 
-def scanner(terms: list[str], window: int = WINDOW) -> Callable[[str], list[float]]:
+def scanner(terms: list[str], stems: list[str] = (), loud: list[str] = (), window: int = WINDOW) -> Callable[[str], list[float]]:
     """A function from a text to its features, in the order of FEATURES."""
-    lexicon = Lexicon(terms)
+    lexicon = Lexicon(terms, stems, loud)
 
     class Known(dict):
         def __missing__(self, word: str) -> tuple[str, int] | None:
@@ -136,22 +157,20 @@ def scanner(terms: list[str], window: int = WINDOW) -> Callable[[str], list[floa
         hits = {w: f for w in set(words) if (f := known[w])}
         if not hits:
             return [0.0] * len(FEATURES)
-        exact = misspelled = quoted = addressed = 0
+        direct = quoted = addressed = 0
         places = list(WORD.finditer(low))
         for i, m in enumerate(places):
-            if (hit := hits.get(m[0])) is None:
+            if m[0] not in hits:
                 continue
             around = words[max(0, i - window) : i] + words[i + 1 : i + 1 + window]
             a, b = places[max(0, i - window)].start(), places[min(len(places) - 1, i + window)].end()
             marks = any(c in QUOTES for c in low[a : m.start()]) and any(c in QUOTES for c in low[m.end() : b + 1])
             if marks or not SAYING.isdisjoint(around):
                 quoted += 1
-            elif hit[1]:
-                misspelled += 1
-            else:
-                exact += 1
+            else:  # as it is written or misspelled
+                direct += 1
             addressed += not ADDRESS.isdisjoint(around)
-        return [float(np.log1p(x)) for x in (exact, misspelled, quoted, addressed, 100 * (exact + misspelled) / len(words))]
+        return [float(np.log1p(x)) for x in (direct, quoted, addressed, 100 * direct / len(words))]
 
     return features
 
@@ -160,6 +179,8 @@ def scanner(terms: list[str], window: int = WINDOW) -> Callable[[str], list[floa
 class Model:
     terms: list[str]
     weights: list[float]  # of the features, then the intercept
+    stems: list[str] = ()
+    loud: list[str] = ()  # terms that are not looked for misspelled
 
 
 def fold(key: Column, n: int) -> Column:
@@ -195,23 +216,33 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 5, per_class: int = PER_
         first = rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(per_class)
         some = first if some is None else some.unionByName(first)
     texts = docs.select("doc_id", "text").join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id")
-    sample = shared.stored(texts.where("text IS NOT NULL").dropDuplicates(["text"]), "labelled")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    sample = shared.stored(texts.where("text IS NOT NULL").withColumn("longest", longest).dropDuplicates(["longest"]), "labelled")
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    words = sample.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))).alias("word"))
-    counts = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    likely = counts.where((F.col("t") >= 4) & (F.col("t") * max(neg, 1) > F.col("c") * max(pos, 1) * 8) & (F.length("word") >= 3))
-    best = likely.orderBy(F.desc("t"), "word").limit(20 * terms).collect()
-    model_terms = chosen([(r.word, int(r.t), int(r.c)) for r in best], pos, neg)[:terms]
-    found = features_of(sample, model_terms, extra=["toxic"]).collect()
+    whole = F.array_distinct(words)
+    stems = [F.transform(F.filter(whole, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.lit("^"), F.substring(w, 1, k))) for k in STEM_LETTERS]
+    seen = sample.select("toxic", F.explode(F.array_distinct(F.concat(F.transform(F.filter(whole, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("="), w)), *stems))).alias("f"))
+    counts = shared.stored(seen.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") + F.col("c") >= ROWS), "counts")
+    floor = max(TELLING, 2 * float(np.log(max(1, counts.count()))))
+    likely = counts.where((F.col("t") >= ROWS) & (F.col("c") * max(pos, 1) <= 0.02 * F.col("t") * max(neg, 1)))
+    best = likely.orderBy(F.desc("t"), "f").limit(40 * terms).collect()
+    model_terms, model_stems = chosen([(r.f, int(r.t), int(r.c)) for r in best], pos, neg, terms, floor)
+    loud = loud_terms(sample.where("toxic = 0"), model_terms, neg)
+    found = features_of(sample, Model(model_terms, [], model_stems, loud), extra=["toxic"]).collect()
     x = np.array([[*r.features, 1.0] for r in found] or np.zeros((0, len(FEATURES) + 1)))
     y = np.array([r.toxic for r in found], float)
     weight = np.where(y == 1, shares[1] / max(pos, 1), shares[0] / max(neg, 1))
-    return Model(model_terms, [float(v) for v in logistic(x, y, weight)])
+    return Model(model_terms, [float(v) for v in logistic(x, y, weight)], model_stems, loud)
+
 
+def chosen(counts: list[tuple[str, int, int]], pos: int, neg: int, most: int = TERMS, floor: float = TELLING) -> tuple[list[str], list[str]]:
+    """Terms and stems that are telling by log-likelihood ratio, the strongest ``most`` of each.
 
-def chosen(counts: list[tuple[str, int, int]], pos: int, neg: int) -> list[str]:
-    """Terms by log-likelihood ratio, those within a fifth of the strongest one."""
+    A feature is ``=word`` or ``^stem``. Of stems that begin alike the longest stays that nearly all
+    words of the shorter ones share, else the shorter one.
+    """
 
     def ratio(t: int, c: int) -> float:
         total, out = pos + neg, 0.0
@@ -221,13 +252,40 @@ def chosen(counts: list[tuple[str, int, int]], pos: int, neg: int) -> list[str]:
                     out += k * np.log(k * total / (n * both))
         return 2 * out
 
-    scored = sorted(((ratio(t, c), w) for w, t, c in counts), key=lambda x: (-x[0], x[1]))
-    return [w for s, w in scored if s >= max(15.0, scored[0][0] / 5)]
-
-
-def features_of(docs: DataFrame, terms: list[str], extra: list[str] | None = None) -> DataFrame:
+    scored = sorted(((ratio(t, c), f, t) for f, t, c in counts), key=lambda x: (-x[0], x[1]))
+    telling = [(f, t) for s, f, t in scored if s >= floor]
+    stems: dict[str, int] = {}
+    for f, t in sorted(telling, key=lambda x: (len(x[0]), x[0])):
+        stem = f[1:]
+        if f[0] == "^":
+            short = next((x for x in stems if stem.startswith(x)), None)
+            if short is None:
+                stems[stem] = t
+            elif t >= 0.98 * stems[short]:
+                del stems[short]
+                stems[stem] = t
+    return [f[1:] for f, _ in telling if f[0] == "="][:most], sorted(stems, key=lambda x: (-stems[x], x))[:most]
+
+
+def loud_terms(clean_rows: DataFrame, terms: list[str], rows: int) -> list[str]:
+    """Terms that over one in a thousand clean rows has a word one edit away from, such as ``closer`` by ``loser``."""
+
+    def near(batches):
+        lexicon = Lexicon(terms)
+        for batch in batches:
+            seen: dict[str, int] = {}
+            for text in batch.column(0).to_pylist():
+                for term in {f[0] for w in set(WORD.findall((text or "").lower())) if (f := lexicon.find(w)) and f[1]}:
+                    seen[term] = seen.get(term, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+
+    counts = clean_rows.select("text").mapInArrow(near, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return sorted(r.term for r in counts.where(F.col("n") * 1000 > rows).collect())
+
+
+def features_of(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        scan = scanner(terms)
+        scan = scanner(model.terms, model.stems, model.loud)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = pa.array([scan(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
@@ -243,7 +301,7 @@ def features_of(docs: DataFrame, terms: list[str], extra: list[str] | None = Non
 
 def score(docs: DataFrame, model: Model, held: int = 5) -> DataFrame:
     """Per row: doc_id, held_out, score and predicted. One pass over the texts, no shuffle."""
-    found = features_of(docs.select("doc_id", "text"), model.terms)
+    found = features_of(docs.select("doc_id", "text"), model)
     margin = F.lit(model.weights[-1])
     for i, w in enumerate(model.weights[:-1]):
         margin = margin + F.col("features")[i] * F.lit(w)
@@ -255,7 +313,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, as they are, that the model does not call toxic."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        scan, w = scanner(model.terms), np.array(model.weights)
+        scan, w = scanner(model.terms, model.stems, model.loud), np.array(model.weights)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

@@ -30,13 +30,25 @@ def test_automaton_equals_edit_distance(states):
         assert (got is None) == (not near) and (got is None or (got[1], got[0]) == min(near)), w
 
 
+def test_stems_match_beginnings():
+    lexicon = t.Lexicon(["idiot"], ["lowei", "idio"])
+    assert lexicon.find("loweischaft") == ("lowei", 0) and lexicon.find("lowe") is None and lexicon.find("xlowei") is None
+    assert t.Lexicon(["loser", "idiot"], loud=["loser"]).find("closer") is None
+    assert lexicon.find("idiotic") == ("idio", 0) and lexicon.find("idxot") == ("idiot", 1)
+
+
+def test_choice_of_terms_and_stems():
+    counts = [("=loweia", 30, 0), ("^lowe", 90, 0), ("^lowei", 90, 0), ("^loweia", 30, 0), ("=chance", 4, 0), ("^vequ", 80, 1), ("^vequa", 40, 0)]
+    assert t.chosen(counts, 300, 3000, floor=32.0) == (["loweia"], ["lowei", "vequ"])
+
+
 def test_context_tells_quotation_from_abuse():
     scan = t.scanner(["idiot"])
     kinds = lambda text: dict(zip(t.FEATURES, scan(text), strict=True))
-    assert kinds("you are an idiot now")["addressed"] > 0 and kinds("you are an idiot now")["exact"] > 0
-    assert kinds("what an Idi0t")["misspelled"] > 0
+    assert kinds("you are an idiot now")["addressed"] > 0 and kinds("you are an idiot now")["direct"] > 0
+    assert kinds("what an Idi0t")["direct"] > 0 and scan("what an idxxt") == scan("")
     assert kinds('he read "an idiot abroad" there')["quoted"] > 0 and kinds("she said idiot")["quoted"] > 0
-    assert scan("") == scan("nothing here") == [0.0] * 5
+    assert scan("") == scan("nothing here") == [0.0] * 4
 
 
 def test_held_out_rows(spark, d="/root/testdata/sf0.1"):
@@ -46,7 +58,7 @@ def test_held_out_rows(spark, d="/root/testdata/sf0.1"):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in got.items())
     told = [y for _, p, y in held if p]
     assert sum(told) / len(told) > 0.9
-    assert sum(p == y for _, p, y in held) / len(held) > 0.93
+    assert sum(p == y for _, p, y in held) / len(held) > 0.97
 
 
 def test_odd_rows(spark):
@@ -58,6 +70,6 @@ def test_odd_rows(spark):
         got = t.score(docs, model).collect()
         assert len(got) == 5 and all(r.score is not None for r in got)
         assert t.score(docs.limit(0), model).count() == 0
-    model = t.Model(["moron"], [9.0, 9.0, 0.0, 0.0, 0.0, -3.0])
+    model = t.Model(["moron"], [9.0, 0.0, 0.0, 0.0, -3.0])
     assert {r.doc_id: r.predicted for r in t.score(docs, model).collect()} == {1: 1, None: 0, 3: 0, 4: 0}
     assert sorted(map(str, t.clean(docs, model).collect())) == sorted(map(str, docs.where("doc_id is null or doc_id > 1").collect()))
