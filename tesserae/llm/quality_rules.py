@@ -141,20 +141,20 @@ def moments() -> list[Column]:
     return out + [F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
 
 
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """Per group ``g`` of rows (g, x1, x2, x3): m1.. and c11.., one small row each."""
+def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, groups: int = shared.FEW + 1) -> DataFrame:
+    """Per group ``g`` of rows (g, x1, x2, x3): m1.. and c11.., one small row each of ``groups`` at most."""
     mid = F.percentile_approx
     start = rows.groupBy("g").agg(*[mid(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(x) for x in NAMES])
     first = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(NAMES, 1)]
     first += [(F.pow((F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
     now = shared.stored(start.select("g", *first), "mcd")
     for k in range(steps):
-        near = rows.join(now, "g").select("g", *NAMES, F.floor(F.log(distance() + 1e-9) * BINS).alias("bin"))
+        near = rows.join(shared.small(now, groups), "g").select("g", *NAMES, F.floor(F.log(distance() + 1e-9) * BINS).alias("bin"))
         counts = near.groupBy("g", "bin").count()
         upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         edge = counts.select("g", "bin", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("below"), F.sum("count").over(Window.partitionBy("g")).alias("n"))
         most = edge.where(F.col("below") < F.lit(share) * F.col("n")).groupBy("g").agg(F.max("bin").alias("most"))
-        kept = near.join(most, "g").where(F.col("bin") <= F.col("most"))
+        kept = near.join(shared.small(most, groups), "g").where(F.col("bin") <= F.col("most"))
         old, now = now, shared.stored(kept.groupBy("g").agg(*moments()), "mcd")
         shared.dropped(rows.sparkSession, old)
     scale = consistency(share)
@@ -168,7 +168,9 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, share: fl
     own = F.concat_ws("\x1f", F.coalesce(F.col("lang"), F.lit("\x1e")), F.coalesce(F.col("source"), F.lit("\x1e")))
     pool = F.concat_ws("\x1f", F.coalesce(F.col("lang"), F.lit("\x1e")), F.lit("\x1d"), F.lit("pool"))
     sizes = passed.groupBy(own.alias("own")).agg(F.count("*").alias("n"))
-    sized = slim.withColumn("own", own).join(sizes, "own", "left")
+    sizes = shared.stored(sizes, "groups")
+    groups = 2 * sizes.count() + 1  # each own group, and at most as many pools
+    sized = slim.withColumn("own", own).join(shared.small(sizes, groups), "own", "left")
     grouped = sized.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.when(F.coalesce(F.col("n"), F.lit(0)) >= least, F.col("own")).otherwise(pool).alias("g"),
@@ -176,8 +178,8 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, share: fl
     )
     rows = grouped.where(~F.col("base_failed")).select("g", *statistics())
     fits = rows.groupBy("g").count().where(F.col("count") >= least).select("g")
-    found = estimates(rows.join(fits, "g"), share)
-    placed = grouped.join(found, "g", "left").withColumns({n: c for n, c in zip(NAMES, statistics(), strict=True)})
+    found = estimates(rows.join(shared.small(fits, groups), "g"), share, groups=groups)
+    placed = grouped.join(shared.small(found, groups), "g", "left").withColumns({n: c for n, c in zip(NAMES, statistics(), strict=True)})
     scored = placed.withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
