@@ -142,3 +142,20 @@ def guardrails(output: DataFrame, known: list[str]) -> DataFrame:
         F.count("*").alias("rows"), F.sum((~F.col("cat_id").isin(known)).cast("long")).alias("unknown"),
         F.sum((c.isNull() | (c < 0) | (c > 1)).cast("long")).alias("out_of_range"), F.sum(F.coalesce(c < 0.4, F.lit(False)).cast("long")).alias("low"),
     )
+
+
+def conflict_summary(tags: DataFrame) -> DataFrame:
+    """How many rows are in conflict, and how many categories and coders take part."""
+    rows = conflicts(tags).select("_row_idx")
+    return tags.join(rows, "_row_idx", "left_semi").agg(F.countDistinct("_row_idx").alias("conflicts"), F.countDistinct("cat_id").alias("cats"), F.countDistinct("coder").alias("coders"))
+
+
+def adjudications(log: DataFrame, note: int = 500) -> DataFrame:
+    """The last decision on every row in an adjudication log, its note cut to ``note`` characters."""
+    last = log.groupBy("_row_idx").agg(F.max_by(F.struct("cat_id", "judge", "note"), "seq").alias("d"))
+    return last.select("_row_idx", "d.cat_id", "d.judge", F.substring("d.note", 1, note).alias("note"))
+
+
+def length_quantiles(df: DataFrame, column: str = "text") -> DataFrame:
+    n = F.length(column).cast("double")
+    return df.agg(*[F.percentile(n, F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.1, 0.5, 0.9)])

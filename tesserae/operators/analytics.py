@@ -197,3 +197,22 @@ def corpus_features(df: DataFrame, column: str = "text", k: int = 20) -> dict[st
     lists = {"emojis": emojis(c), "hashtags": F.slice(hashtags(c), 1, 20), "domains": F.slice(domains(c), 1, 10)}
     out = {"lengths": df.agg(F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.9)).alias("p90"))}
     return out | {name: top_counts(df.select(F.explode(items).alias("item")), "item", k) for name, items in lists.items()}
+
+
+#: Columns that make no strata.
+NO_STRATA = ("post_id", "text", "url", "author_id", "in_reply_to", "parent_id", "_row_idx")
+
+
+def stratification_candidates(df: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
+    """(name, distinct) of the columns that samples can be stratified by: not numeric, 2 to 50 values."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp", "date")
+    names = [c for c, t in df.dtypes if c not in NO_STRATA and not t.startswith(numeric)]
+    return column_profile(df.select(*names)).where(F.col("distinct").between(least, most)).select("name", "distinct") if names else column_profile(df).limit(0).select("name", "distinct")
+
+
+def preview(df: DataFrame, n: int = 5) -> DataFrame:
+    return df.limit(n)
+
+
+def language_counts(df: DataFrame, k: int = 20) -> DataFrame:
+    return top_counts(df, "language", k)

@@ -158,3 +158,54 @@ def assign_topics(df: DataFrame, topics: list[dict], text: str = "text") -> Data
         return df.select("_row_idx", F.lit("other").alias("topic_id"))
     best = F.array_max(F.array(*scored))
     return df.select("_row_idx", F.when(best["n"] > 0, best["id"]).otherwise("other").alias("topic_id"))
+
+
+def revert_topics(current: DataFrame, prior: DataFrame) -> DataFrame:
+    """The assignment before the last run, for rows that are still there."""
+    return current.select("_row_idx").join(prior.select("_row_idx", "topic_id"), "_row_idx", "left").withColumn("topic_id", F.coalesce("topic_id", F.lit("other")))
+
+
+def rename_topic(topics: DataFrame, topic_id: str, name: str) -> DataFrame:
+    return topics.withColumn("name", F.when(F.col("topic_id") == topic_id, name).otherwise(F.col("name")))
+
+
+# --- enrichment -----------------------------------------------------------------------------------
+
+
+def enrich(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[dict]]], schema: str, kind: str, target: str = "", cache: DataFrame | None = None) -> DataFrame:
+    """``rows`` with a struct column named ``kind``: sentiment, entities, stance toward a target, and so on.
+
+    Answers are keyed by kind, target and text; each distinct text that the cache lacks is asked for
+    once. ``schema`` is the DDL of one answer.
+    """
+    keyed = rows.withColumn("_key", F.sha1(F.concat_ws("|", F.lit(kind), F.lit(target), F.coalesce("text", F.lit(""))).cast("binary")))
+    wanted = keyed.groupBy("_key").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    if cache is not None:
+        wanted = wanted.join(cache.where(F.col("kind") == kind).select(F.col("key").alias("_key")), "_key", "left_anti")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ask = make()
+        for part in parts:
+            yield pd.DataFrame({"_key": part["_key"], "answer": [json.dumps(a) for a in ask(part["text"].tolist())]})
+
+    told = wanted.mapInPandas(run, "_key string, answer string")
+    if cache is not None:
+        told = told.unionByName(cache.where(F.col("kind") == kind).select(F.col("key").alias("_key"), "answer"))
+    return keyed.join(told, "_key", "left").withColumn(kind, F.from_json("answer", schema)).drop("_key", "answer")
+
+
+def word_sentiment(positive: list[str], negative: list[str]) -> Callable[[], Callable[[list[str]], list[dict]]]:
+    """A deterministic sentiment from two word lists, each text's score between -1 and 1."""
+
+    def make() -> Callable[[list[str]], list[dict]]:
+        def ask(texts: list[str]) -> list[dict]:
+            out = []
+            for t in texts:
+                words = re.findall(r"\w+", t.lower())
+                p, n = sum(w in positive for w in words), sum(w in negative for w in words)
+                out.append({"label": "positive" if p > n else "negative" if n > p else "neutral", "score": (p - n) / max(1, p + n)})
+            return out
+
+        return ask
+
+    return make

@@ -595,3 +595,91 @@ def dup_clusters(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("_row_idx"), "text")
     copies = items.select((F.col("_row_idx") + 1_000_000).alias("_row_idx"), F.regexp_replace("text", r"\s+\S+\s*$", "").alias("text"))
     return nw.clusters(items.unionByName(copies), 85.0)
+
+
+@query("SELECT 'language' AS name, count(DISTINCT lang) AS \"distinct\" FROM documents UNION ALL SELECT 'source_dataset', count(DISTINCT source) FROM documents")
+def stratification_candidates(spark, d):
+    return an.stratification_candidates(posts(spark, d))
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang ORDER BY n DESC, value LIMIT 20")
+def language_counts(spark, d):
+    return an.language_counts(posts(spark, d)).select("value", "n")
+
+
+@query("""WITH t AS (SELECT user_id AS _row_idx, event_type AS cat_id, event_id AS place, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'g' END AS grp FROM events)
+SELECT _row_idx, cat_id, place FROM t QUALIFY row_number() OVER (PARTITION BY _row_idx, coalesce('g:' || grp, 'c:' || cat_id) ORDER BY place) = 1""")
+def exclusion_first_wins(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("_row_idx"), F.col("event_type").alias("cat_id"), F.col("event_id").alias("place"))
+    groups = spark.createDataFrame([("view", "g"), ("click", "g"), ("purchase", "g")], "cat_id string, exclusion_group string")
+    return cd.exclusive(e, groups)
+
+
+@query("""WITH m AS (SELECT user_id, event_type, event_id, CAST(event_id % 50 AS VARCHAR) AS memo_id FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 50 ORDER BY event_id DESC) = 1)
+SELECT count(*) AS memos, count(DISTINCT user_id) AS rows, count(DISTINCT event_type) AS coders FROM m WHERE event_type <> 'purchase'""")
+def memo_counts(spark, d):
+    log = table(spark, d, "events").select(
+        F.col("event_id").alias("seq"), (F.col("event_id") % 50).cast("string").alias("memo_id"), F.when(F.col("event_type") == "purchase", "delete").otherwise("edit").alias("action"),
+        F.col("user_id").alias("_row_idx"), F.col("event_type").alias("coder"), F.lit("t").alias("text"), F.lit("cb").alias("codebook_id"), F.col("ts").cast("string").alias("ts"),
+    )
+    return cd.memo_counts(cd.memos(log))
+
+
+@query("SELECT doc_id AS _row_idx, substr(text, CAST(doc_id % 5 AS BIGINT) + 1, 10) AS quote FROM documents WHERE doc_id % 3 = 0")
+def span_quotes(spark, d):
+    p = posts(spark, d)
+    spans = p.where("_row_idx % 3 = 0").select("_row_idx", (F.col("_row_idx") % 5).cast("int").alias("start"), (F.col("_row_idx") % 5 + 10).cast("int").alias("end"))
+    return cd.span_texts(spans, p).select("_row_idx", "quote")
+
+
+@query("""WITH a AS (SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 3 <> 0)
+SELECT CAST(p_partkey AS VARCHAR) AS cat_id, CASE WHEN a.p_brand IS NULL THEN 'added' WHEN b.p_brand IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN a.p_brand IS NOT NULL AND b.p_brand IS NOT NULL THEN 'description' ELSE '' END AS fields
+FROM a FULL JOIN b USING (p_partkey) WHERE a.p_brand IS NULL OR b.p_brand IS NULL OR a.p_size <> b.p_size""")
+def codebook_diff(spark, d):
+    book = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("cat_id"), F.col("p_brand").alias("title"), F.col("p_size").cast("string").alias("description"), F.lit(None).cast("string").alias("exclusion_group"), F.lit("k").alias("shortcut_key"), F.lit("c").alias("color"), "p_size")
+    new = book.withColumn("description", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("string"))
+    return cd.codebook_diff(book.where("p_partkey % 5 <> 0"), new.where("p_partkey % 3 <> 0"))
+
+
+@query(f"WITH {_TAGS}, s AS (SELECT _row_idx, coder, string_agg(DISTINCT cat_id, '+' ORDER BY cat_id) AS cats FROM tags GROUP BY ALL), c AS (SELECT _row_idx FROM s GROUP BY _row_idx HAVING count(DISTINCT cats) > 1) SELECT count(DISTINCT _row_idx) AS conflicts, count(DISTINCT cat_id) AS cats, count(DISTINCT coder) AS coders FROM tags WHERE _row_idx IN (FROM c)")
+def conflict_summary(spark, d):
+    return ag.conflict_summary(tags(spark, d))
+
+
+@query("SELECT quantile_cont(CAST(length(text) AS DOUBLE), 0.1) AS p10, quantile_cont(CAST(length(text) AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(length(text) AS DOUBLE), 0.9) AS p90 FROM documents")
+def length_quantiles(spark, d):
+    return ag.length_quantiles(posts(spark, d))
+
+
+@query("SELECT doc_id AS _row_idx, sha1('cb|1||a,b|' || coalesce(text, '')) AS key FROM documents")
+def answer_keys(spark, d):
+    from tesserae.storage import answer_key
+
+    return posts(spark, d).select("_row_idx", answer_key(F.col("text"), "cb", "1", "", ["b", "a"]).alias("key"))
+
+
+@query("""SELECT count(*) AS rows, CAST(ceil(count(*) / 20) AS BIGINT) AS batches, CAST(ceil(sum(length(text)) / CAST(3.5 AS DOUBLE)) AS BIGINT) AS row_tokens, count(*) * 40 AS out_tokens FROM documents""")
+def preflight(spark, d):
+    from tesserae.operators.classify import preflight as run
+
+    return run(posts(spark, d), 700, {"input": 1.0, "output": 4.0, "cache_write": 1.25, "cache_read": 0.1}).select("rows", "batches", "row_tokens", "out_tokens")
+
+
+_KEYS = {"t_the": ["the", "and"], "t_der": ["der", "und"], "t_les": ["les", "des"]}
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_distinct({_TOKEN}) AS w FROM documents), n AS (SELECT doc_id, [{', '.join(f"len(list_intersect(w, {k}))" for k in _KEYS.values())}] AS n FROM w)
+SELECT doc_id AS _row_idx, CASE WHEN list_max(n) = 0 OR list_max(n) IS NULL THEN 'other' ELSE {list(_KEYS)}[list_position(n, list_max(n))] END AS topic_id FROM n""")
+def topics_assign(spark, d):
+    from tesserae.operators.classify import assign_topics
+
+    return assign_topics(posts(spark, d), [{"topic_id": k, "keywords": v} for k, v in _KEYS.items()])
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents), s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'to'))) AS p, len(list_filter(w, lambda x: x IN ('of', 'and'))) AS n FROM w)
+SELECT doc_id AS _row_idx, CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS label, round((p - n) / CAST(greatest(1, p + n) AS DOUBLE), 6) AS score FROM s""")
+def enrich_sentiment(spark, d):
+    from tesserae.operators.classify import enrich, word_sentiment
+
+    told = enrich(posts(spark, d).select("_row_idx", "text"), word_sentiment(["the", "to"], ["of", "and"]), "label string, score double", "sentiment")
+    return told.select("_row_idx", "sentiment.label", r6(F.col("sentiment.score")).alias("score"))

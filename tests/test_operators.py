@@ -202,3 +202,33 @@ def test_streams(spark, tmp_path):
     q = live.bucket_counts(stream).writeStream.outputMode("complete").format("memory").queryName("cells").option("checkpointLocation", f"file://{tmp_path}/cc").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {str(r.bucket)[:10]: r.n for r in spark.table("cells").collect()} == {"2024-01-01": 7, "2024-01-02": 7, "2024-01-03": 6}
+
+
+def test_jobs_can_be_cancelled(spark):
+    import time
+
+    from tesserae.operators.jobs import Jobs
+
+    jobs = Jobs(spark)
+    fine = jobs.start("count", lambda tell: (tell(step=1), spark.range(10).count())[1])
+    assert fine.done.wait(60) and (fine.status, fine.result, fine.events) == ("done", 10, [{"step": 1}])
+    bad = jobs.start("bad", lambda tell: 1 / 0)
+    assert bad.done.wait(10) and bad.status == "failed" and "ZeroDivisionError" in bad.error
+    slow = jobs.start("slow", lambda tell: spark.range(0, 10**15, 1, 2).selectExpr("sum(id % 7)").collect())
+    time.sleep(2)
+    jobs.cancel(slow.id)
+    assert slow.done.wait(60) and slow.status == "cancelled"
+
+
+def test_adjudication_topics_and_enrichment_cache(spark):
+    log = spark.createDataFrame([(1, 0, "a", "x", "n" * 600), (2, 0, "b", "y", "why"), (3, 1, "a", "x", "n" * 600)], "seq long, _row_idx long, cat_id string, judge string, note string")
+    got = {r._row_idx: (r.cat_id, len(r.note)) for r in ag.adjudications(log).collect()}
+    assert got == {0: ("b", 3), 1: ("a", 500)}
+    now = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "_row_idx long, topic_id string")
+    assert {r._row_idx: r.topic_id for r in cl.revert_topics(now, now.where("_row_idx < 2")).collect()} == {0: "x", 1: "y", 2: "other"}
+    df = spark.createDataFrame([(0, "good"), (1, "good"), (2, None)], "_row_idx long, text string")
+    made = cl.enrich(df, cl.word_sentiment(["good"], ["bad"]), "label string, score double", "sentiment")
+    assert {r._row_idx: r.sentiment.label for r in made.collect()} == {0: "positive", 1: "positive", 2: "neutral"}
+    cache = spark.createDataFrame([("sentiment", __import__("hashlib").sha1(b"sentiment||good").hexdigest(), '{"label": "cached"}')], "kind string, key string, answer string")
+    made = cl.enrich(df, cl.word_sentiment(["good"], ["bad"]), "label string, score double", "sentiment", cache=cache)
+    assert {r._row_idx: r.sentiment.label for r in made.collect()} == {0: "cached", 1: "cached", 2: "neutral"}
