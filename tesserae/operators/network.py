@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.session import with_checkpoints
+
 
 def interactions(df: DataFrame, source: str = "author_handle", target: str = "in_reply_to") -> DataFrame:
     """(src, tgt, weight) of replies; blanks and replies to oneself are left out."""
@@ -147,6 +149,7 @@ def clusters(df: DataFrame, least: float = 90.0, key: str = "_row_idx", text: st
 
     Labels travel along the links until nothing changes; each round is checkpointed.
     """
+    with_checkpoints(df.sparkSession)
     links = similar_pairs(df, least, key, text)
     both = links.select("u", "v").union(links.select("v", "u")).toDF("u", "v").checkpoint()
     label = both.select("u").distinct().select("u", F.col("u").alias("c"))

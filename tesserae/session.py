@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +31,16 @@ def get_session(app: str = "tesserae", master: str | None = None, **conf: object
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables; columns and filters are pruned at the scan by Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_checkpoints(spark: SparkSession) -> SparkSession:
+    """The session with a checkpoint folder: the cluster's own, or where none is named a temporary one."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            folder = tempfile.mkdtemp(prefix="tesserae-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            named = f"file://{folder}"
+        context.setCheckpointDir(named)
+    return spark

@@ -106,7 +106,6 @@ def test_clusters_equal_brute_force(spark):
         pairs = {(r.u, r.v) for r in nw.similar_pairs(df, 80.0, block=block).collect()}
         distinct = {t: min(i for i, x in enumerate(base) if x == t) for t in base if t is not None}
         assert pairs == {tuple(sorted((distinct[a], distinct[b]))) for a, b in itertools.combinations(distinct, 2) if nw.ratio(a, b) >= 80}
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     got = {}
     for r in nw.clusters(df, 80.0).collect():
         got.setdefault(r.cluster, set()).add(r.row)
