@@ -84,8 +84,12 @@ def fold(key: Column, n: int = 4) -> Column:
 def fit(docs: DataFrame, held: int = 2, folds: int = 4, per_lang: int = PER_LANG) -> Model:
     """Trigram counts of at most ``per_lang`` labelled texts a language, counted on the executors."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id"))
-    picked = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)), "doc_id"))
+    # A first cut by hash leaves some four times the rows wanted of each language, so that no language is ranked whole.
+    many = shared.stored(usable.groupBy("lang").agg(F.count("*").alias("n")), "langs")
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)) / float(1 << 40)
+    near = usable.select("doc_id", "lang").join(shared.small(many, many.count()), "lang").where(chance * F.col("n") <= 4 * per_lang + 20)
+    picked = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
     sample = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")
 
     def count(batches):
