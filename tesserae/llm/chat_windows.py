@@ -131,3 +131,39 @@ def read_back(made: DataFrame) -> DataFrame:
         total("size").alias("formatted_chars"),
         F.size("w").cast("long").alias("n_windows"),
     )
+
+
+#: DuckDB SQL for the query's rows: digests of the source rows, and the windows by a recursive prefix sum.
+ORACLE_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, role, text FROM {conversations}
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+), t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM c
+), u AS (
+  SELECT conv_id, role, text, i, CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS BIGINT) + 4 AS tok,
+    16 + length(role) + length(text) + length(regexp_replace(role || text, '[^<#\\]', '', 'g')) AS size FROM t
+), v AS (
+  SELECT u.*, CASE WHEN h.role = 'system' THEN 1 ELSE 0 END AS s, greatest(1, 832 - CASE WHEN h.role = 'system' THEN h.tok ELSE 0 END) AS cap,
+    CASE WHEN h.role = 'system' THEN h.size ELSE 0 END AS system_size FROM u JOIN (SELECT conv_id, role, tok, size FROM u WHERE i = 0) h ON u.conv_id = h.conv_id
+), r AS (
+  SELECT conv_id, i, tok AS total, CAST(0 AS BIGINT) AS base, 0 AS win FROM v WHERE i = s
+  UNION ALL
+  SELECT v.conv_id, v.i, r.total + v.tok, CASE WHEN r.total + v.tok - r.base > v.cap THEN r.total ELSE r.base END, r.win + CASE WHEN r.total + v.tok - r.base > v.cap THEN 1 ELSE 0 END
+  FROM r JOIN v ON v.conv_id = r.conv_id AND v.i = r.i + 1
+), w AS (
+  SELECT conv_id, win, min(i) AS a FROM r GROUP BY conv_id, win
+), again AS (
+  SELECT w.conv_id, x.system_size + CASE WHEN x.tok <= 192 AND x.i >= x.s THEN x.size + CASE WHEN y.i >= y.s AND x.tok + y.tok <= 192 THEN y.size ELSE 0 END ELSE 0 END AS size
+  FROM w JOIN v x ON x.conv_id = w.conv_id AND x.i = w.a - 1 LEFT JOIN v y ON y.conv_id = w.conv_id AND y.i = w.a - 2 WHERE w.win > 0
+), repeats AS (
+  SELECT conv_id, sum(size) AS size, count(*) AS n FROM again GROUP BY conv_id
+), told AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(size) AS size FROM v GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(told.size + coalesce(repeats.size, 0) AS BIGINT) AS formatted_chars, 1 + coalesce(repeats.n, 0) AS n_windows
+FROM told LEFT JOIN repeats USING (conv_id)
+"""

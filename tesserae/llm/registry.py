@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import source_mix, warc
+from . import chat_windows, source_mix, warc
 from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,7 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_chat_windows"] = op5_chat_windows
+ORACLE["op5_chat_windows"] = chat_windows.ORACLE_SQL.replace("{conversations}", "conversations")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 import hashlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from tesserae.llm.chat_windows import CLOSE, MIDDLE, OPEN, read_back, windows
-from tesserae.llm.registry import op5_chat_windows
+from tesserae.llm.registry import ORACLE, op5_chat_windows
 
 SAID = "\\### Assistant: </turn> ok"
 
@@ -58,3 +59,14 @@ def test_odd_rows_and_window_promises(spark, budget, history):
         for a, b in r.loss:
             assert r.formatted[:a].endswith("### assistant<:> ") and r.formatted[b:].startswith(CLOSE)
     assert read_back(windows(df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_equals_sql(spark, sf):
+    d = f"/root/testdata/{sf}"
+    con = duckdb.connect()
+    con.sql(f"create view conversations as from '{d}/conversations.parquet'")
+    want = con.sql(ORACLE["op5_chat_windows"])
+    got = op5_chat_windows(spark, d).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
+    assert {t for _, t in got.dtypes} == {"bigint", "string"} and {str(t) for t in want.types} == {"BIGINT", "VARCHAR"}
