@@ -170,7 +170,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, as they are, whose text overlaps no item."""
     spark, out = docs.sparkSession, docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     place = docs.columns.index("text")
     for index in blocks(benchmark, **options):
         sent = spark.sparkContext.broadcast(index)
@@ -185,5 +184,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
             return work
 
-        out = shared.arrow_map(out, schema, make, text=place)
+        out = shared.arrow_map(out, shared.ddl(docs), make, text=place)
     return out

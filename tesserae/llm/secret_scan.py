@@ -173,11 +173,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return work
 
-    return shared.arrow_map(docs, _ddl(docs), make, text=docs.columns.index(text))
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return shared.arrow_map(docs, shared.ddl(docs), make, text=docs.columns.index(text))
 
 
 def with_length(docs: DataFrame) -> DataFrame:

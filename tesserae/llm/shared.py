@@ -80,6 +80,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most_chars: int = 4_000
             yield batch.slice(start, n - start)
 
 
+def ddl(df: DataFrame, *without: str) -> str:
+    """The schema of ``df`` as DDL, for functions that hand columns on."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without)
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], text: int = 1) -> DataFrame:
     """``mapInArrow`` with a per-task factory and bounded batches; ``text`` is the long column's place."""
 

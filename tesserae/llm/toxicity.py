@@ -295,8 +295,7 @@ def features_of(docs: DataFrame, model: Model, extra: list[str] | None = None) -
         return work
 
     slim = docs.select("doc_id", "text", *(extra or []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "text")
-    return shared.arrow_map(slim, f"{schema}, features array<double>", make)
+    return shared.arrow_map(slim, f"{shared.ddl(slim, 'text')}, features array<double>", make)
 
 
 def score(docs: DataFrame, model: Model, held: int = 5) -> DataFrame:
@@ -322,5 +321,4 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
 
         return work
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return shared.arrow_map(docs, schema, make, text=docs.columns.index("text"))
+    return shared.arrow_map(docs, shared.ddl(docs), make, text=docs.columns.index("text"))
