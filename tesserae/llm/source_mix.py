@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from . import shared
 
 WEIGHTS = (5, 2, 1)
-SHARE, MOST, BINS, FILLS, SEED = 1.5, 2, 4096, 2, "mix"
+SHARE, MOST, FILLS, SEED = 1.5, 2, 2, "mix"
+#: Rank bins to each unit of the log odds, which are spread alike whatever the inclusion odds are.
+BINS = 256
 
 
 def uniform(key: Column, seed: str = SEED) -> Column:
@@ -64,18 +66,17 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return leveled.select("source", "source_rank", "source_size", target.alias("target"))
 
 
-def _take(rows: DataFrame, room: DataFrame) -> DataFrame:
+def _take(rows: DataFrame, room: DataFrame, sources: int) -> DataFrame:
     """``rows`` (rank, v, size, open, ...) with ``took``: the open rows, by v, that fit each source's room.
 
-    ``room`` has one row per source: source_rank and room.
+    ``room`` has one row per source: source_rank and room; there are ``sources`` of them.
     """
-    bin_ = F.least(F.floor(F.col("v") * BINS), F.lit(BINS - 1))
-    binned = rows.withColumn("bin", bin_)
+    binned = rows.withColumn("bin", F.when(F.col("open"), F.floor(F.log("v") * BINS)))
     sums = binned.where("open").groupBy("source_rank", "bin").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("source_rank").orderBy("bin"))
     reached = sums.withColumn("upto", upto).join(room, "source_rank").where(F.col("upto") > F.col("room"))
     edge = reached.groupBy("source_rank").agg(F.min(F.struct("bin", (F.col("room") - F.col("upto") + F.col("words")).alias("left"))).alias("e"))
-    met = binned.join(edge.select("source_rank", F.col("e.bin").alias("edge"), F.col("e.left").alias("left")), "source_rank", "left")
+    met = binned.join(shared.small(edge.select("source_rank", F.col("e.bin").alias("edge"), F.col("e.left").alias("left")), sources), "source_rank", "left")
     on_edge = F.col("open") & F.coalesce(F.col("bin") == F.col("edge"), F.lit(False))
     clear = met.where(~on_edge).withColumn("took", F.col("open") & (F.col("edge").isNull() | (F.col("bin") < F.col("edge"))))
     along = F.sum("size").over(Window.partitionBy("source_rank").orderBy("v", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
@@ -88,7 +89,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     slim = shared.stored(sized(docs, weight), "sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("own")).alias("own_size"))
     wanted = shared.stored(targets(sums.select("source", "source_size"), weights, share, most).join(sums.select(F.col("source").alias("s"), "own_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
-    placed = slim.join(wanted.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sources = wanted.count()
+    placed = slim.join(shared.small(wanted.withColumnRenamed("source", "s"), sources), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = ratio if weight is None else F.least(F.lit(float(most)), ratio * F.col("own") * F.col("source_size") / F.greatest(F.col("own_size"), F.lit(1e-300)))
     shared_out = placed.withColumn("expected", copies).withColumn("whole", F.floor("expected").cast("long"))
@@ -98,18 +100,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     odds = (u / (1.0 - u)) * ((1.0 - F.col("p")) / F.col("p"))
     rows = ranked.select(
         "doc_id", "source", "size", "source_rank", "source_size", "target", "whole",
-        F.when(F.col("p") > 0, odds / (1.0 + odds)).otherwise(1.0).alias("v"),
+        F.when(F.col("p") > 0, odds).otherwise(float("inf")).alias("v"),
         ((F.col("p") > 0) & (F.col("size") > 0) & (F.col("whole") < most)).alias("able"),
     ).withColumn("open", F.col("able"))
     certain = rows.groupBy("source_rank").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("room"))
-    now = shared.stored(_take(rows, certain).withColumn("copies", F.col("whole") + F.col("took").cast("long")), "mix")
+    now = shared.stored(_take(rows, certain, sources).withColumn("copies", F.col("whole") + F.col("took").cast("long")), "mix")
     for _ in range(FILLS):
         gap = _gaps(now)
-        again = now.drop("took").join(gap, "source_rank").withColumn("open", F.col("able") & (F.col("copies") == F.col("whole")) & (F.col("size") <= F.col("gap"))).drop("gap")
-        filled = _take(again, gap.select("source_rank", F.col("gap").alias("room"))).withColumn("copies", F.col("copies") + F.col("took").cast("long"))
+        again = now.drop("took").join(shared.small(gap, sources), "source_rank").withColumn("open", F.col("able") & (F.col("copies") == F.col("whole")) & (F.col("size") <= F.col("gap"))).drop("gap")
+        filled = _take(again, gap.select("source_rank", F.col("gap").alias("room")), sources).withColumn("copies", F.col("copies") + F.col("took").cast("long"))
         old, now = now, shared.stored(filled, "mix")
         shared.dropped(docs.sparkSession, old)
-    closed = _close(now)
+    closed = _close(now, sources)
     return closed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -117,15 +119,15 @@ def _gaps(now: DataFrame) -> DataFrame:
     return now.groupBy("source_rank").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
 
 
-def _close(now: DataFrame) -> DataFrame:
+def _close(now: DataFrame, sources: int) -> DataFrame:
     """One more document per source if that brings its words nearer to the target, the nearest one."""
     gap = _gaps(now)
     last = F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "v", "doc_id", "size")
     able = F.col("able") & (F.col("copies") == F.col("whole")) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap"))
-    best = now.join(gap, "source_rank").where(able).groupBy("source_rank").agg(F.min(last).alias("best")).select("source_rank", "best.v", "best.doc_id", "best.size")
+    best = now.join(shared.small(gap, sources), "source_rank").where(able).groupBy("source_rank").agg(F.min(last).alias("best")).select("source_rank", "best.v", "best.doc_id", "best.size")
     best = best.toDF("b_rank", "b_v", "b_id", "b_size")
     same = (F.col("source_rank") == F.col("b_rank")) & (F.col("v") == F.col("b_v")) & F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("size") == F.col("b_size"))
-    met = now.join(best, F.col("source_rank") == F.col("b_rank"), "left").withColumn("same", F.coalesce(same & F.col("able") & (F.col("copies") == F.col("whole")), F.lit(False)))
+    met = now.join(shared.small(best, sources), F.col("source_rank") == F.col("b_rank"), "left").withColumn("same", F.coalesce(same & F.col("able") & (F.col("copies") == F.col("whole")), F.lit(False)))
     # Rows that repeat the chosen one are told apart by a number; no other row is ranked.
     nth = F.row_number().over(Window.partitionBy("source_rank").orderBy("doc_id"))
     chosen = met.where("same").withColumn("copies", F.col("copies") + (nth == 1).cast("long"))
@@ -155,7 +157,7 @@ WITH sizes AS (
 ), ranked AS (
   SELECT *, (u / (1 - u)) * ((1 - p) / nullif(p, 0)) AS q, p > 0 AND size > 0 AND whole < 2 AS open FROM odds
 ), v AS (
-  SELECT *, CASE WHEN p > 0 THEN q / (1 + q) ELSE 1 END AS v, target - sum(whole * size) OVER (PARTITION BY source_rank) AS room FROM ranked
+  SELECT *, CASE WHEN p > 0 THEN q ELSE CAST('Infinity' AS DOUBLE) END AS v, target - sum(whole * size) OVER (PARTITION BY source_rank) AS room FROM ranked
 ), one AS (
   SELECT *, whole + CASE WHEN open AND sum(CASE WHEN open THEN size ELSE 0 END) OVER (PARTITION BY source_rank ORDER BY v, doc_id, size ROWS UNBOUNDED PRECEDING) <= room THEN 1 ELSE 0 END AS copies FROM v
 ), gap1 AS (
