@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next reads it."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.stored(stage(spark, docs, sf_dir), name)
+        docs = shared.stored(stage(spark, docs, sf_dir), name, even=False)
     return STAGES[-1][1](spark, docs, sf_dir)

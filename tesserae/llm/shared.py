@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -38,14 +39,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, even: bool = True) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage and survives lost executors: readers need only the written files.
+    This cuts the lineage and survives lost executors: readers need only the written files. Slim rows
+    are dealt out evenly first, in as many parts as their size needs, so a pass of many tasks over
+    texts leaves few files; without ``even`` every task writes its own, which suits whole texts.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -116,8 +119,33 @@ def words_of(text: Column) -> Column:
 SIEVE_BITS = 1 << 26
 
 
-def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
-    """A Bloom filter of a column's values, as a function from a Column of keys to "may be among them".
+class Sieve:
+    """A Bloom filter of keys: three places of a key in a broadcast table of bits."""
+
+    def __init__(self, sent: Broadcast, bits: int):
+        self.sent, self.bits = sent, bits
+
+    def places(self, key: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(self.bits)) for k in (1, 2, 3)]
+
+    def test(self, places: list[pa.Array]) -> np.ndarray:
+        """Which keys may be among those of the sieve, by their places; runs on the executors."""
+        table, out = self.sent.value, np.ones(len(places[0]), bool)
+        for p in places:
+            at = p.to_numpy(zero_copy_only=False)
+            out &= (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return out
+
+    def __call__(self, key: Column) -> Column:
+        @F.arrow_udf(BooleanType())
+        def among(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+            return pa.array(self.test([a, b, c]))
+
+        return among(*self.places(key))
+
+
+def sieve(keys: DataFrame, column: str) -> Sieve:
+    """A Bloom filter of a column's values.
 
     It keeps rows that a join would drop out of the join's shuffle; keys that pass must still be
     joined. Its size follows the count of keys up to ``SIEVE_BITS``, so what is broadcast is bounded,
@@ -125,24 +153,14 @@ def sieve(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     """
     spark = keys.sparkSession
     want = 12 * max(1, keys.count())
-    bits = min(SIEVE_BITS, max(1 << 12, 1 << (want - 1).bit_length()))
-    places = lambda c: [F.pmod(F.xxhash64(c, F.lit(k)), F.lit(bits)) for k in (1, 2, 3)]
-    each = keys.where(F.col(column).isNotNull()).select(F.explode(F.array(*places(F.col(column)))).alias("p"))
+    made = Sieve(None, min(SIEVE_BITS, max(1 << 12, 1 << (want - 1).bit_length())))
+    each = keys.where(F.col(column).isNotNull()).select(F.explode(F.array(*made.places(F.col(column)))).alias("p"))
     one = F.when(F.col("p").bitwiseAND(F.lit(63)) == 63, F.lit(-(1 << 63))).otherwise(F.expr("shiftleft(1L, cast(p & 63 as int))"))
     words = each.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(one).alias("b")).toArrow()
-    table = np.zeros(bits // 64, np.uint64)
+    table = np.zeros(made.bits // 64, np.uint64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    sent = spark.sparkContext.broadcast(table)
-
-    @F.arrow_udf(BooleanType())
-    def among(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        out = np.ones(len(a), bool)
-        for p in (a, b, c):
-            at = p.to_numpy(zero_copy_only=False)
-            out &= (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pa.array(out)
-
-    return lambda c: among(*places(c))
+    made.sent = spark.sparkContext.broadcast(table)
+    return made
 
 
 #: Rows of a table of groups (a source, a language and source) that is broadcast at most.

@@ -191,7 +191,7 @@ def _large(fps: np.ndarray, own: int, radius: int) -> tuple[np.ndarray, np.ndarr
     return at, label[at]
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: np.ndarray, fps: np.ndarray, probe: np.ndarray, radius: int, block: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """Links (node, root) within each run of equal ``keys``; own rows come before probes in a run."""
     n = len(fps)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -346,19 +346,21 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def gram_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` (node, fp, root, text) with the sorted set of 64-bit shingle hashes in place of the text."""
+def gram_sets(docs: DataFrame, width: int, wanted: shared.Sieve) -> DataFrame:
+    """Of the rows of ``docs`` (doc_id, hash, text) that pass the sieve: the sorted set of 64-bit shingle hashes."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         import xxhash
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)], np.uint64)).view(np.int64) for t in batch.column(3).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["node", "fp", "root", "grams"])
+            some = batch.filter(pa.array(wanted.test(batch.columns[3:])))
+            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)], np.uint64)).view(np.int64) for t in some.column(2).to_pylist()]
+            return pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hash", "grams"])
 
         return work
 
-    return shared.arrow_map(docs.select("node", "fp", "root", "text"), "node long, fp long, root long, grams array<long>", make, text=3)
+    placed = docs.select("doc_id", "hash", "text", *[p.alias(f"p{k}") for k, p in enumerate(wanted.places(F.col("doc_id")))])
+    return shared.arrow_map(placed, "doc_id long, hash string, grams array<long>", make, text=2)
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least: float = SIMILAR, members: int = MEMBERS) -> DataFrame:
@@ -390,9 +392,9 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     some = shared.stored(rooted.join(sizes, "root"), "candidates")
     blocks = F.ceil(F.col("n") / (members // 2)).cast("int")
-    wanted = shared.sieve(some, "node")
-    sets = gram_sets(marked.where(wanted(F.col("doc_id"))).join(some, (F.col("doc_id") == F.col("node")) & (marked["hash"] == some["hash"])).drop("hash"), width)
-    whole = sets.dropDuplicates(["node"]).join(some.select("node", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks")).dropDuplicates(["node"]), "node")
+    sets = gram_sets(marked, width, shared.sieve(some, "node")).withColumnRenamed("doc_id", "node")
+    placed = some.select("node", "hash", "fp", "root", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks"))
+    whole = sets.join(placed, ["node", "hash"]).dropDuplicates(["node", "hash"])
     b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = whole.withColumn("block", b)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
