@@ -44,7 +44,10 @@ def search(df: DataFrame, query: str, k: int = 20, key: str = "_row_idx", text:
     tf = df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = df.count()
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    rows = {r.term: r.idf for r in idf.where(F.col("term").isin(list(wanted))).collect()}
+    # The query's own terms are counted by themselves, as no other term need be shuffled for them.
+    own = df.select(F.explode(F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, wanted)))).alias("term")) if wanted else df.select(F.lit("").alias("term")).limit(0)
+    seen = {r.term: r.n for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    rows = {t: log((1 + n) / (1 + c)) + 1 for t, c in seen.items() if min_df <= c <= max_df * n}
     mine = {t: (1 + log(c)) * rows[t] for t, c in wanted.items() if t in rows}
     length = sqrt(sum(w * w for w in mine.values())) or 1.0
     if not mine:
