@@ -290,21 +290,74 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cap: int =
 
 # --- one document of each group -----------------------------------------------------------------
 
-#: Bits that candidates may differ in, words of a shingle and similarity of what counts as a copy.
+#: Bits that SimHash candidates may differ in, words of a shingle and similarity of what counts as a copy.
 RADIUS, WIDTH, SIMILAR, MEMBERS = 8, 5, 0.8, 4096
+#: MinHash bands of a text, and the hashes in each: two texts of Jaccard similarity J meet in none of the
+#: bands with a chance of (1 - J**6)**24, which is 0.0007 at 0.8 and less above.
+BANDS, ROWS = 24, 6
+_TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_TIMES |= np.uint64(1)
 
 
-def similar_links(node: np.ndarray, fps: np.ndarray, block: np.ndarray, grams: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
-    """Links that span the components of one candidate group, where copies are close in both senses.
+def gram_hashes(text: str | None, width: int) -> np.ndarray:
+    """The set of 64-bit shingle hashes of a text, sorted as signed integers."""
+    import xxhash
 
-    Pairs that are one component already are not compared. In a pair of blocks only pairs across the
-    two count, unless the pair is a block with itself.
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, SEED) for s in shingles(text, width)], np.uint64).view(np.int64))
+
+
+def bands(grams: np.ndarray) -> np.ndarray:
+    """The MinHash bands of a set of shingle hashes; none for a text without words."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    wide = grams.view(np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(wide), 2048):
+        np.minimum(least, (wide[i : i + 2048] * _TIMES + _PLUS).min(axis=1), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def band_links(texts: DataFrame) -> DataFrame:
+    """Links (u, v) of the fingerprints of texts (fp, bands) that share a band, each to the band's least."""
+    rows = texts.select("fp", F.explode("bands").alias("band"))
+    least = rows.groupBy("band").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).where("v < most").select("band", "v")
+    return rows.join(least, "band").where("fp > v").select(F.col("fp").alias("u"), "v")
+
+
+def similar_links(node: np.ndarray, block: np.ndarray, grams: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that span the components of one candidate group, by Jaccard similarity alone.
+
+    Of two sets that are ``least`` similar, the rarest shingles of the group in each, all but
+    ``least`` of its size and one, share a shingle; only texts that meet so are compared, and pairs
+    that are one component already are not. In a pair of blocks only pairs across the two count,
+    unless the pair is a block with itself.
     """
     label, out = np.arange(len(node)), []
     size = np.array([len(g) for g in grams])
     both = len(np.unique(block)) > 1
+    owner = np.repeat(np.arange(len(node)), size)
+    _, gram, often = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
+    gram = rarity[gram]
+    gram = gram[np.lexsort((gram, owner))]  # owners are in order, so only their shingles move
+    place = np.arange(len(gram)) - np.repeat(np.append(0, size.cumsum())[:-1], size)
+    first = place < (size - np.ceil(least * size - 1e-9) + 1)[owner]
+    owner, gram = owner[first], gram[first]
+    ends = np.append(0, np.bincount(owner, minlength=len(node)).cumsum())
+    order = np.argsort(gram, kind="stable")
+    met, low = owner[order], np.searchsorted(gram[order], gram, "left")
+    high = np.searchsorted(gram[order], gram, "right")
+    empty = np.flatnonzero(size == 0)
     for i in range(len(node) - 1):
-        j = np.flatnonzero((np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius) & (label[i + 1 :] != label[i])) + i + 1
+        runs = [met[low[k] : high[k]] for k in range(ends[i], ends[i + 1]) if high[k] - low[k] > 1]
+        j = np.unique(np.concatenate(runs)) if runs else empty if not size[i] else np.zeros(0, np.int64)
+        j = j[(j > i) & (label[j] != label[i])]
         if both:
             j = j[block[j] != block[i]]
         j = j[(np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]))]
@@ -320,18 +373,18 @@ def similar_links(node: np.ndarray, fps: np.ndarray, block: np.ndarray, grams: l
     return out
 
 
-def _verify_sorted(batches: Iterator[pa.RecordBatch], radius: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (root, pair, block, node, fp, grams) sorted by (root, pair) to links (u, v)."""
+def _verify_sorted(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (root, pair, block, node, grams) sorted by (root, pair) to links (u, v)."""
     held: list[tuple] = []
 
     def give() -> list[tuple[int, int]]:
-        node, fps, block = (np.array([r[k] for r in held]) for k in (3, 4, 2))
-        return similar_links(node, fps.astype(np.int64).view(np.uint64), block, [r[5] for r in held], radius, least) if len(held) > 1 else []
+        node, block = (np.array([r[k] for r in held]) for k in (3, 2))
+        return similar_links(node, block, [r[4] for r in held], least) if len(held) > 1 else []
 
     for batch in batches:
         out: list[tuple[int, int]] = []
-        cols = [c.to_pylist() for c in batch.columns[:5]]
-        lists = batch.column(5)
+        cols = [c.to_pylist() for c in batch.columns[:4]]
+        lists = batch.column(4)
         for i, row in enumerate(zip(*cols, strict=True)):
             if held and held[-1][:2] != row[:2]:
                 out += give()
@@ -350,11 +403,9 @@ def gram_sets(docs: DataFrame, width: int, wanted: shared.Sieve) -> DataFrame:
     """Of the rows of ``docs`` (doc_id, hash, text) that pass the sieve: the sorted set of 64-bit shingle hashes."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        import xxhash
-
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             some = batch.filter(pa.array(wanted.test(batch.columns[3:])))
-            sets = [np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(t, width)], np.uint64)).view(np.int64) for t in some.column(2).to_pylist()]
+            sets = [gram_hashes(t, width) for t in some.column(2).to_pylist()]
             return pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "hash", "grams"])
 
         return work
@@ -367,8 +418,8 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
     """The rows of ``docs``, as they are, without all but one of each group of copies.
 
     Equal texts are one group at once. Distinct texts are candidates where their SimHash fingerprints
-    differ in ``radius`` or fewer bits, and copies where their sets of ``width``-word shingles also
-    have a Jaccard similarity of ``least``. Of the documents that copies connect, the one with the
+    differ in ``radius`` or fewer bits or their sets of ``width``-word shingles share a MinHash band,
+    directly or by way of others, and copies where those sets have a Jaccard similarity of ``least``. Of the documents that copies connect, the one with the
     least doc_id stays. Candidate groups of over ``members`` texts are compared block by block.
 
     Rows without a doc_id stay, as nothing names them. Of rows with equal doc_id and text one stays;
@@ -380,27 +431,30 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], names=["doc_id", "hash", "fp"])
+            texts = batch.column(1).to_pylist()
+            fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            minima = pa.array([bands(gram_hashes(t, width)) for t in texts], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), minima], names=["doc_id", "hash", "fp", "bands"])
 
         return work
 
-    prints = shared.stored(shared.arrow_map(marked, "doc_id long, hash string, fp long", make), "prints")
-    texts = shared.stored(prints.groupBy("hash", "fp").agg(F.min("doc_id").alias("node")), "texts")
-    near = components(links(texts.select("fp").distinct(), radius)).toDF("fp", "root")
-    rooted = texts.join(near, "fp", "left").select("node", "hash", "fp", F.coalesce("root", "fp").alias("root"))
+    prints = shared.stored(shared.arrow_map(marked, "doc_id long, hash string, fp long, bands array<long>", make), "prints")
+    texts = shared.stored(prints.groupBy("hash", "fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
+    close = links(texts.select("fp").distinct(), radius).unionByName(band_links(texts))
+    near = components(close).toDF("fp", "root")
+    rooted = texts.join(near, "fp", "left").select("node", "hash", F.coalesce("root", "fp").alias("root"))
     sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     some = shared.stored(rooted.join(sizes, "root"), "candidates")
     blocks = F.ceil(F.col("n") / (members // 2)).cast("int")
     sets = gram_sets(marked, width, shared.sieve(some, "node")).withColumnRenamed("doc_id", "node")
-    placed = some.select("node", "hash", "fp", "root", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks"))
+    placed = some.select("node", "hash", "root", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks"))
     whole = sets.join(placed, ["node", "hash"]).dropDuplicates(["node", "hash"])
     b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = whole.withColumn("block", b)
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("block")) * F.col("blocks") + F.greatest(o, F.col("block")))
-    dealt = cut.withColumn("pair", F.explode(pairs)).select("root", "pair", "block", "node", "fp", "grams")
+    dealt = cut.withColumn("pair", F.explode(pairs)).select("root", "pair", "block", "node", "grams")
     ordered = dealt.repartition("root", "pair").sortWithinPartitions("root", "pair", "node")
-    found = ordered.mapInArrow(lambda batches: _verify_sorted(batches, radius, least), "u long, v long")
+    found = ordered.mapInArrow(lambda batches: _verify_sorted(batches, least), "u long, v long")
     gone = components(found).select(F.col("node").alias("gone"))
     stay = texts.join(gone, F.col("node") == F.col("gone"), "left_anti")
     times = prints.join(stay.select("hash", "node"), "hash").where("doc_id = node").groupBy("node", "hash").agg(F.count("*").alias("times"))

@@ -92,3 +92,32 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(n - 1).select((F.col("id") * 7919 % n).alias("u"), ((F.col("id") + 1) * 7919 % n).alias("v"))
     got = components(edges).collect()
     assert len(got) == n - 1 and {r.root for r in got} == {0}
+
+
+def test_deduplicate_loses_no_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    rows, far = [], 0
+    for k in range(300):
+        words = [f"w{rng.integers(5000)}" for _ in range(rng.integers(40, 200))]
+        cut = len(words) - int(0.17 * len(words))
+        copy = words[:cut] if k % 2 else words + [f"v{rng.integers(5000)}" for _ in range(int(0.17 * len(words)))]
+        a, b = " ".join(words), " ".join(copy)
+        mine, theirs = set(simhash.shingles(a, 5)), set(simhash.shingles(b, 5))
+        assert len(mine & theirs) >= 0.8 * len(mine | theirs)
+        far += (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > simhash.RADIUS
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    assert far > 50
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in simhash.deduplicate(df).collect()) == list(range(0, 600, 2))
+
+
+def test_similar_links_equal_brute_force():
+    rng = np.random.default_rng(9)
+    hearts = [rng.integers(-(1 << 62), 1 << 62, n) for n in (5, 9, 40, 41, 200)]
+    grams = [np.unique(np.where(rng.random(len(h)) < rng.choice([0.02, 0.1, 0.2]), rng.integers(0, 300, len(h)), h)) for h in (hearts[i] for i in rng.integers(0, 5, 120))]
+    grams += [np.zeros(0, np.int64)] * 3
+    n = len(grams)
+    edges = simhash.similar_links(np.arange(n), np.zeros(n, int), grams, 0.8)
+    got = simhash.roots(n, *np.array(edges).T)
+    pairs = [(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(grams[i], grams[j])) >= 0.8 * len(np.union1d(grams[i], grams[j]))]
+    assert (got == simhash.roots(n, *np.array(pairs).T)).all() and len(set(got)) > 5

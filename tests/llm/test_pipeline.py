@@ -72,3 +72,11 @@ def test_extra_columns_do_not_clash(spark):
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, wide, SF).columns == COLUMNS
     assert cp.mixture(spark, wide, SF).count() == 30
+
+
+def test_near_duplicates_equal_jaccard_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_unique(texts, radius=64)
+    assert want != brute_unique(texts, radius=8)  # a pair that SimHash at 8 bits alone would miss
+    assert {r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect()} == want
