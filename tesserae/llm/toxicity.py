@@ -4,10 +4,10 @@ Training. From a bounded sample of labelled rows (``PER_CLASS`` of each class, t
 of the key) the words, and the beginnings of words, whose presence tells toxic rows from others
 become the terms and stems of the lexicon. Copies would make chance words look telling, so of rows
 that share their longest word one counts. A logistic regression over the context features of the
-same sample gives the weights; classes are weighed back to their shares of all training rows. Terms
-that clean rows often hold a neighbour of are not looked for misspelled.
+same sample gives the weights; classes are weighed back to their shares of all training rows. Words
+and beginnings one edit away that the sample's clean rows hold (``oron``, ``closer``) are no misspellings.
 
-Scoring. The lexicon is a trie, intersected with the Levenshtein automaton of one edit for terms of
+Scoring. The lexicon is a trie, intersected with the Levenshtein automaton of one edit for terms and stems of
 ``FUZZY`` letters and more; the product automaton is made deterministic state by state as words
 demand it, so a word costs a table look-up per letter until it can no longer match. Around each hit
 a window of words separates quotation (quotation marks or a verb of saying) from address (second
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 5, 6, 100_000
+PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 4, 6, 100_000
 #: Letters of a stem, rows that a feature must be in, and the least log-likelihood ratio of one; the
 #: ratio must also be beyond what chance gives the best of all features, twice the log of their number.
 STEM_LETTERS, ROWS, TELLING = (4, 5, 6, 7, 8), 4, 15.0
@@ -45,7 +45,8 @@ QUOTES = "\"'“”„«»‘’‹›"
 class Lexicon:
     """Lexicon trie times Levenshtein automaton, made deterministic lazily."""
 
-    def __init__(self, terms: list[str], stems: list[str] = (), loud: list[str] = (), fuzzy: int = FUZZY, states: int = 50_000):
+    def __init__(self, terms: list[str], stems: list[str] = (), loud: list[str] = (), fuzzy: int = FUZZY, states: int = 50_000, spared: list[str] = (), stem_edits: bool = False):
+        """``loud`` terms allow no edit; ``spared`` are the words (=) and beginnings (^) that are no misspelling."""
         self.next: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.edits = [0]  # the most edits that any term below allows
@@ -63,8 +64,11 @@ class Lexicon:
                 self.edits[node] = max(self.edits[node], allowed)
             self.term[node] = t
         self.stem: dict[int, str] = {}
+        self.spared = frozenset(spared)
+        self.stem_allowed = {t: int(stem_edits and len(t) >= fuzzy) for t in stems}
         for t in stems:
-            node = 0
+            allowed, node = self.stem_allowed[t], 0
+            self.edits[0] = max(self.edits[0], allowed)
             for c in t:
                 if c not in self.next[node]:
                     self.next[node][c] = len(self.next)
@@ -72,6 +76,7 @@ class Lexicon:
                     self.term.append(None)
                     self.edits.append(0)
                 node = self.next[node][c]
+                self.edits[node] = max(self.edits[node], allowed)
             self.stem[node] = t
         self.most = states
         self._reset()
@@ -81,6 +86,7 @@ class Lexicon:
         self.moves: list[dict[str, int]] = []
         self.final: list[tuple[str, int] | None] = []
         self.begun: list[str | None] = []  # the stem that a word in this state begins with
+        self.near: list[str | None] = []  # the stem that it begins one edit from
         self.sets: list[frozenset] = []
         self.start = self._state({(0, 0)})
 
@@ -103,6 +109,7 @@ class Lexicon:
             ends = [(e, self.term[n]) for n, e in key if self.term[n] and e <= self.allowed[self.term[n]]]
             self.final.append((min(ends)[1], min(ends)[0]) if ends else None)
             self.begun.append(next((self.stem[n] for n, e in sorted(key) if e == 0 and n in self.stem), None))
+            self.near.append(next((self.stem[n] for n, e in sorted(key) if e == 1 and n in self.stem and self.stem_allowed[self.stem[n]]), None))
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -118,29 +125,47 @@ class Lexicon:
         self.moves[state][c] = self._state(out)
         return self.moves[state][c]
 
-    def find(self, word: str) -> tuple[str, int] | None:
-        """The term that ``word`` is, or is one edit from, or the stem it begins with, and the edits."""
+    def look(self, word: str) -> tuple[tuple[str, int] | None, list[tuple[str, str]]]:
+        """What ``word`` is as it stands, and, if nothing, its (term or stem, neighbour) one edit away."""
         if len(self.moves) > self.most:
             self._reset()
-        state, moves = self.start, self.moves
-        for c in word:
+        state, moves, near = self.start, self.moves, []
+        for i, c in enumerate(word):
             to = moves[state].get(c)
             if to is None:
                 to = self._move(state, c)
             if to < 0:
-                return None
+                return None, near
             state = to
             if self.begun[state]:
-                return self.begun[state], 0
-        return self.final[state]
+                return (self.begun[state], 0), []
+            if self.near[state]:
+                near.append((self.near[state], "^" + word[: i + 1]))
+        last = self.final[state]
+        if last and not last[1]:
+            return last, []
+        return None, ([(last[0], "=" + word)] if last else []) + near
+
+    def find(self, word: str) -> tuple[str, int] | None:
+        """The term that ``word`` is, or is one edit from, or the stem it begins with, and the edits.
+
+        A word that begins one edit from a stem is no hit if any such beginning is spared.
+        """
+        exact, near = self.look(word)
+        if exact or not near:
+            return exact
+        if near[0][1][0] == "=" and near[0][1] not in self.spared:
+            return near[0][0], 1
+        starts = [(t, n) for t, n in near if n[0] == "^"]
+        return (starts[0][0], 1) if starts and not any(n in self.spared for _, n in starts) else None
 
 
 FEATURES = ("direct", "quoted", "addressed", "density")
 
 
-def scanner(terms: list[str], stems: list[str] = (), loud: list[str] = (), window: int = WINDOW) -> Callable[[str], list[float]]:
+def scanner(terms: list[str], stems: list[str] = (), spared: list[str] = (), window: int = WINDOW) -> Callable[[str], list[float]]:
     """A function from a text to its features, in the order of FEATURES."""
-    lexicon = Lexicon(terms, stems, loud)
+    lexicon = Lexicon(terms, stems, spared=spared, stem_edits=True)
 
     class Known(dict):
         def __missing__(self, word: str) -> tuple[str, int] | None:
@@ -180,7 +205,7 @@ class Model:
     terms: list[str]
     weights: list[float]  # of the features, then the intercept
     stems: list[str] = ()
-    loud: list[str] = ()  # terms that are not looked for misspelled
+    spared: list[str] = ()  # words (=) and beginnings (^) that are no misspelling
 
 
 def fold(key: Column, n: int) -> Column:
@@ -229,12 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 5, per_class: int = PER_
     likely = counts.where((F.col("t") >= ROWS) & (F.col("c") * max(pos, 1) <= 0.02 * F.col("t") * max(neg, 1)))
     best = likely.orderBy(F.desc("t"), "f").limit(40 * terms).collect()
     model_terms, model_stems = chosen([(r.f, int(r.t), int(r.c)) for r in best], pos, neg, terms, floor)
-    loud = loud_terms(sample.where("toxic = 0"), model_terms, neg)
-    found = features_of(sample, Model(model_terms, [], model_stems, loud), extra=["toxic"]).collect()
+    spared = spared_words(sample, model_terms, model_stems, pos, neg)
+    found = features_of(sample, Model(model_terms, [], model_stems, spared), extra=["toxic"]).collect()
     x = np.array([[*r.features, 1.0] for r in found] or np.zeros((0, len(FEATURES) + 1)))
     y = np.array([r.toxic for r in found], float)
     weight = np.where(y == 1, shares[1] / max(pos, 1), shares[0] / max(neg, 1))
-    return Model(model_terms, [float(v) for v in logistic(x, y, weight)], model_stems, loud)
+    return Model(model_terms, [float(v) for v in logistic(x, y, weight)], model_stems, spared)
 
 
 def chosen(counts: list[tuple[str, int, int]], pos: int, neg: int, most: int = TERMS, floor: float = TELLING) -> tuple[list[str], list[str]]:
@@ -267,25 +292,30 @@ def chosen(counts: list[tuple[str, int, int]], pos: int, neg: int, most: int = T
     return [f[1:] for f, _ in telling if f[0] == "="][:most], sorted(stems, key=lambda x: (-stems[x], x))[:most]
 
 
-def loud_terms(clean_rows: DataFrame, terms: list[str], rows: int) -> list[str]:
-    """Terms that over one in a thousand clean rows has a word one edit away from, such as ``closer`` by ``loser``."""
+def spared_words(sample: DataFrame, terms: list[str], stems: list[str], pos: int, neg: int) -> list[str]:
+    """Words (=) and beginnings (^) one edit from the lexicon that clean rows hold, such as ``closer`` by ``loser``.
+
+    One that toxic rows hold over ten times as often as clean ones is a misspelling all the same.
+    """
 
     def near(batches):
-        lexicon = Lexicon(terms)
+        lexicon = Lexicon(terms, stems, stem_edits=True)
         for batch in batches:
-            seen: dict[str, int] = {}
-            for text in batch.column(0).to_pylist():
-                for term in {f[0] for w in set(WORD.findall((text or "").lower())) if (f := lexicon.find(w)) and f[1]}:
-                    seen[term] = seen.get(term, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["term", "n"])
+            seen: dict[tuple[str, int], int] = {}
+            for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for name in {n for w in set(WORD.findall((text or "").lower())) for _, n in lexicon.look(w)[1]}:
+                    seen[name, toxic] = seen.get((name, toxic), 0) + 1
+            rows = [(name, n * toxic, n * (1 - toxic)) for (name, toxic), n in seen.items()]
+            name, t, c = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(t, pa.int64()), pa.array(c, pa.int64())], names=["name", "t", "c"])
 
-    counts = clean_rows.select("text").mapInArrow(near, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return sorted(r.term for r in counts.where(F.col("n") * 1000 > rows).collect())
+    counts = sample.select("text", "toxic").mapInArrow(near, "name string, t long, c long").groupBy("name").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    return sorted(r.name for r in counts.where((F.col("c") > 0) & (10 * F.col("c") * pos >= F.col("t") * neg)).collect())
 
 
 def features_of(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        scan = scanner(model.terms, model.stems, model.loud)
+        scan = scanner(model.terms, model.stems, model.spared)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             got = pa.array([scan(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
@@ -312,7 +342,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, as they are, that the model does not call toxic."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        scan, w = scanner(model.terms, model.stems, model.loud), np.array(model.weights)
+        scan, w = scanner(model.terms, model.stems, model.spared), np.array(model.weights)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

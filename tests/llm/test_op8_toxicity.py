@@ -73,3 +73,20 @@ def test_odd_rows(spark):
     model = t.Model(["moron"], [9.0, 0.0, 0.0, 0.0, -3.0])
     assert {r.doc_id: r.predicted for r in t.score(docs, model).collect()} == {1: 1, None: 0, 3: 0, 4: 0}
     assert sorted(map(str, t.clean(docs, model).collect())) == sorted(map(str, docs.where("doc_id is null or doc_id > 1").collect()))
+
+
+def test_spared_words_leave_their_terms_fuzzy():
+    lexicon = t.Lexicon(["moron", "scum"], ["lowei"], spared=["=oron", "^lowe"], stem_edits=True)
+    assert lexicon.find("oron") is None and lexicon.find("lowerei") is None
+    for word, hit in {"m0ron": "moron", "morron": "moron", "scumm": "scum", "l0weixx": "lowei", "xloweixx": "lowei"}.items():
+        assert lexicon.find(word) == (hit, 1), word
+
+
+def test_misspelled_terms_of_the_table_are_hits(spark, d="/root/testdata/sf0.1"):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = t.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    scan = t.scanner(model.terms, model.stems, model.spared)
+    assert {"moron", "scum"} <= set(model.terms) and "=oron" in model.spared
+    assert scan("the oron there") == [0.0] * 4
+    for word in ("m0ron", "morron", "scumm"):
+        assert scan(f"the {word} there")[0] > 0, word
