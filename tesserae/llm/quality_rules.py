@@ -12,8 +12,8 @@ The transformed statistics are the log of the word count, the mean word length (
 ``PRIOR_LENGTH`` by ``PRIOR_WORDS`` words, as short texts vary by chance), and the log of the symbol
 rate. Each variance gets a floor, as most clean texts have no symbol at all.
 
-Sources with fewer than ``least`` passing rows in a language share one estimate per language;
-where even those are fewer, there is no estimate and the base rules alone decide. A null language
+Sources with fewer than ``least`` passing rows in a language are judged by an estimate from all passing
+rows of the language, and languages with fewer by one from all passing rows. A null language
 or source is a group of its own. Null texts have no words and fail the base rules. Repeated rows
 count as often as they occur. Extra columns are ignored.
 """
@@ -161,24 +161,34 @@ def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, groups:
     return now.select("g", *[f"m{i}" for i in range(1, 4)], *[(F.col(f"c{i}{j}") * scale).alias(f"c{i}{j}") for i, j in CELLS])
 
 
+def _keys() -> tuple[Column, Column, Column]:
+    """Names of a row's own group, of the pool of its language and of that of all rows."""
+    lang, source = (F.coalesce(F.col(c), F.lit("\x1e")) for c in ("lang", "source"))
+    return F.concat_ws("\x1f", lang, source), F.concat_ws("\x1f", lang, F.lit("\x1d"), F.lit("pool")), F.lit("\x1d")
+
+
 def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """Per row: doc_id, the base counts, base_failed, the squared distance and kept."""
     slim = shared.stored(counted(docs), "quality")
     passed = slim.where(~base_failed())
-    own = F.concat_ws("\x1f", F.coalesce(F.col("lang"), F.lit("\x1e")), F.coalesce(F.col("source"), F.lit("\x1e")))
-    pool = F.concat_ws("\x1f", F.coalesce(F.col("lang"), F.lit("\x1e")), F.lit("\x1d"), F.lit("pool"))
-    sizes = passed.groupBy(own.alias("own")).agg(F.count("*").alias("n"))
-    sizes = shared.stored(sizes, "groups")
-    groups = 2 * sizes.count() + 1  # each own group, and at most as many pools
-    sized = slim.withColumn("own", own).join(shared.small(sizes, groups), "own", "left")
+    own, pool, every = _keys()
+    sizes = passed.groupBy(pool.alias("pool"), own.alias("own")).agg(F.count("*").alias("n"))
+    within = sizes.withColumn("lang_n", F.sum("n").over(Window.partitionBy("pool")))
+    g = F.when(F.col("n") >= least, F.col("own")).when(F.col("lang_n") >= least, F.col("pool")).otherwise(every)
+    homes = shared.stored(within.withColumn("g", g), "groups")
+    groups = 2 * homes.count() + 1  # each own group, at most as many pools, and that of all rows
+    # A row counts toward its own group, and toward the pools that any group is judged by.
+    pooled = F.max(F.col("g") == F.col("pool")).over(Window.partitionBy("pool"))
+    alone = not homes.where(F.col("g") == every).isEmpty()
+    feeds = F.array(F.when(F.col("n") >= least, F.col("own")), F.when(pooled, F.col("pool")), every if alone else F.lit(None))
+    homes = shared.stored(homes.select("own", "g", F.array_compact(feeds).alias("feeds")), "homes")
+    sized = slim.withColumn("own", own).join(shared.small(homes, groups), "own", "left")
     grouped = sized.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.when(F.coalesce(F.col("n"), F.lit(0)) >= least, F.col("own")).otherwise(pool).alias("g"),
-        base_failed().alias("base_failed"),
+        "g", "feeds", base_failed().alias("base_failed"),
     )
-    rows = grouped.where(~F.col("base_failed")).select("g", *statistics())
-    fits = rows.groupBy("g").count().where(F.col("count") >= least).select("g")
-    found = estimates(rows.join(shared.small(fits, groups), "g"), share, groups=groups)
+    rows = grouped.where(~F.col("base_failed")).select(F.explode("feeds").alias("g"), *statistics())
+    found = estimates(rows, share, groups=groups)
     placed = grouped.join(shared.small(found, groups), "g", "left").withColumns({n: c for n, c in zip(NAMES, statistics(), strict=True)})
     scored = placed.withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return scored.select(

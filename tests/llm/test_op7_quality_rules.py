@@ -75,3 +75,19 @@ def test_estimator_withstands_a_third_of_outliers(spark):
 def test_consistency_factor():
     assert abs(q.chi2_cdf(7.815, 3) - 0.95) < 1e-3 and abs(q.chi2_cdf(11.07, 5) - 0.95) < 1e-3
     assert abs(q.consistency(0.75) - 1.61) < 0.02
+
+
+def test_small_groups_are_judged_too(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(60))
+    odd = lambda: " ".join("#$%&*" * 12 + str(rng.integers(10**6)) for _ in range(60))
+    groups = [("en", "large")] * 300 + [("en", "small")] * 10 + [("xx", "rare")] * 5
+    rows = [(i, prose(), lang, source) for i, (lang, source) in enumerate(groups)] + [(900, odd(), "en", "small"), (901, odd(), "xx", "rare")]
+    got = {r.doc_id: r for r in q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None and not r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {900, 901}
+
+
+def test_every_passing_row_has_a_distance(spark, data_dir):
+    got = op7_quality_rules(spark, data_dir).collect()
+    assert got and all((r.distance is None) == r.base_failed for r in got)
