@@ -9,7 +9,8 @@ tokens of the item (all of it, if it is shorter) agrees in at least ``agree`` of
 The default window of 16 tokens of which 13 agree also takes in every run of 13 equal tokens.
 
 The seeds in ``MASKS`` meet every window of 20 tokens with up to 4 substitutions, of 15 with 3 and of
-10 with 2, wherever they are (a test tries all), so with the defaults nothing is missed. Items of
+10 with 2, wherever they are, and those in ``SHORT`` every item of 5, 6 or 7 tokens with one (tests
+try all), so with the defaults nothing is missed. Items of
 fewer than ``LEAST`` tokens say too little to be looked for; they never match.
 
 The benchmark is taken in blocks of at most ``BLOCK`` characters, each of which is broadcast and met
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 MASKS = ("11111", "1100111", "101010011")
+#: Masks of short items, by their number of tokens.
+SHORT = {5: "11", 6: "111", 7: "111"}
 WINDOW, AGREE, LEAST, BLOCK = 16, 0.8, 5, 16_000_000
 TOKEN = re.compile(r"\w+")
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -49,7 +52,7 @@ def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     wide = ids.astype(np.uint64)
-    for f, at in zip(_FACTOR, (i for i, c in enumerate(mask) if c == "1"), strict=True):
+    for f, at in zip(_FACTOR[: mask.count("1")], (i for i, c in enumerate(mask) if c == "1"), strict=True):
         out += wide[at : at + n] * f
     return out ^ (out >> np.uint64(29))
 
@@ -79,10 +82,11 @@ class Index:
         told = [(i, w) for i, w in told if len(w) >= LEAST]
         self.items = [i for i, _ in told]
         ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64) for _, ws in told]
-        self.ids, self.masks, self.window, self.agree = ids, masks, window, agree
+        self.ids, self.window, self.agree = ids, window, agree
+        self.masks = (*masks, *sorted(set(SHORT.values())))
         self.tables = []
-        for mask in masks:
-            hashes = [seeds(x, mask) for x in ids]
+        for mask in self.masks:
+            hashes = [seeds(x, mask) if mask in masks or SHORT.get(len(x)) == mask else np.zeros(0, np.uint64) for x in ids]
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
             place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -90,7 +94,7 @@ class Index:
             bits = np.zeros(1 << 20, bool)
             bits[(flat >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((flat[order], item[order], place[order], bits))
-        self.pad = max(map(len, masks))
+        self.pad = max(map(len, self.masks))
 
     def encode(self, text: str | None) -> np.ndarray:
         words = tokens(text)

@@ -64,3 +64,12 @@ def test_whole_table_holds_all_quoted_items(spark, data_dir="/root/testdata/sf0.
     want = {(k, i.item_id) for i in items for k, t in told if f" {' '.join(d.tokens(i.text))} " in t}
     got = {(r.doc_id, r.item_id) for r in op9_decontaminate(spark, data_dir).collect()}
     assert want <= got and len(got) == len(want) > 0
+
+
+@pytest.mark.parametrize(("size", "changed"), [(5, 1), (6, 1), (7, 1)])
+def test_short_items_with_a_substitution(size, changed):
+    words = [f"w{i}" for i in range(size)]
+    index = d.Index([(1, " ".join(words)), (2, " ".join(f"v{i}" for i in range(30)))])
+    for bad in itertools.combinations(range(size), changed):
+        text = " ".join("zz" if i in bad else w for i, w in enumerate(words))
+        assert index.find([f"a b {text} c"]) == [(0, 0, size - changed, size, 2)], bad
