@@ -8,8 +8,9 @@ Kinds in order: ``assign``, ``access``, ``hex`` (the base kinds, leftmost and no
 then ``github`` and ``npm`` (base-62 CRC-32 over the body), ``xprv`` (Base58Check) and ``jwt`` (its
 first two parts must decode to JSON objects). Spans are code points, end exclusive.
 
-Null and empty texts have no spans; repeated rows are scanned one by one; extra columns are ignored
-by :func:`scan` and kept by :func:`redact`.
+A text is read once from left to right, and no run of characters more than three times, so very long
+texts take time in proportion. Null and empty texts have no spans; repeated rows are scanned one by
+one; extra columns are ignored by :func:`scan` and kept by :func:`redact`.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ GITHUB = re.compile(r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 NPM = re.compile(r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])")
 XPRV = re.compile(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+JWT_PART = re.compile(r"[A-Za-z0-9_-]+")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
@@ -70,7 +72,7 @@ def checked58(text: str) -> bool:
 def is_json(part: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):  # too deeply nested to be the header of a token
         return False
 
 
@@ -110,10 +112,16 @@ def finder() -> Callable[[str], list[tuple[str, int, int]]]:
         over = dict.fromkeys(KINDS, 0)
         # A match takes its text whether it is accepted or not, as a search from the left would.
         for start, kind in sorted((end + 1 - n, kind) for end, (n, kind) in automaton.iter(lowered(text))):
-            if start >= over[kind] and (m := ANCHORED[kind].match(text, start)):
+            if start < over[kind]:
+                continue
+            if m := ANCHORED[kind].match(text, start):
                 over[kind] = m.end()
                 if _accept(kind, m):
                     spans.append((kind, *m.span()))
+                elif kind == "jwt":  # its second part may begin the true one
+                    over[kind] = m.end(1)
+            elif kind == "jwt":  # every other start in this run would fail at the same end
+                over[kind] = JWT_PART.match(text, start).end() if text.startswith("eyJ", start) else start + 1
         return sorted(spans, key=lambda s: (s[1], rank[s[0]]))
 
     return find

@@ -1,10 +1,15 @@
 """Spans against plain searches, and the checksums."""
 
+import base64
 import hashlib
+import itertools
+import json
 import random
 import re
+import time
+import zlib
 
-from tesserae.llm.secret_scan import BASE58, crc62, finder, joined, masked, redact, scan
+from tesserae.llm.secret_scan import BASE58, BASE62, crc62, finder, joined, masked, redact, scan
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -57,6 +62,60 @@ def test_rows_and_masking(spark):
     assert scan(df.limit(0)).count() == 0
 
 
+def brute_added(text):
+    """The added kinds by plain searches over the whole text, without keywords."""
+    out = []
+    for kind, pattern in (("github", r"gh[pousr]_([0-9A-Za-z]{36})(?![0-9A-Za-z])"), ("npm", r"npm_([0-9A-Za-z]{36})(?![0-9A-Za-z])")):
+        for m in re.finditer(pattern, text):
+            n, digits = zlib.crc32(m[1][:30].encode()), ""
+            while len(digits) < 6:
+                n, digits = n // 62, BASE62[n % 62] + digits
+            out += [(kind, *m.span())] if digits == m[1][30:] else []
+    for m in re.finditer(r"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])", text):
+        raw = sum(BASE58.index(c) * 58**i for i, c in enumerate(reversed(m[0]))).to_bytes(84, "big")[-82:]
+        out += [("xprv", *m.span())] if hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:] else []
+    at = 0
+    for run in re.finditer(r"[A-Za-z0-9_.-]+", text):
+        parts = [(run.start() + m.start(), m[0]) for m in re.finditer(r"[A-Za-z0-9_-]+", run[0])]
+        for (i, a), (j, b) in itertools.pairwise(parts):
+            start = next((i + k for k in range(len(a)) if a.startswith("eyJ", k) and len(a) - k > 3), None)
+            if start is None or start < at or not b.startswith("eyJ") or len(b) < 4 or j != i + len(a) + 1 or text[j + len(b) : j + len(b) + 1] != ".":
+                continue
+            if opened(text[start : i + len(a)]) and opened(b):
+                at = j + len(b) + 1 + len(re.match("[A-Za-z0-9_-]*", text[j + len(b) + 1 :])[0])
+                out.append(("jwt", start, at))
+    return out
+
+
+def opened(part):
+    try:
+        return isinstance(json.loads(base64.urlsafe_b64decode(part + "===")), dict)
+    except ValueError:
+        return False
+
+
+def test_added_kinds_equal_plain_searches():
+    rng, find = random.Random(8), finder()
+    body = "k3Jd9sLq0PzXcVbNm1QwErTyUiOp42"
+    key = base58check(bytes.fromhex("0488ADE4") + bytes(range(74)))
+    pieces = [f"ghp_{body}{crc62(body)}", f"npm_{body}{crc62(body)}", f"gho_{body}000000", "ghp_", key, key[:-1] + "1", "eyJhbGciOiJub25lIn0", ".", ".", "eyJhIjoxfQ", "eyJ", "x", " ", "EYJ", "-", "İ"]
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))
+        got = [s for s in find(text) if s[0] not in ("assign", "access", "hex")]
+        assert sorted(got) == sorted(brute_added(text)), text
+
+
+def test_very_long_texts_take_time_in_proportion():
+    find = finder()
+    deep = base64.urlsafe_b64encode(b'{"a":' + b"[" * 200_000).decode().rstrip("=")
+    started = time.process_time()
+    assert find(f"x {deep}.{deep}.z") == []
+    assert [s for s in find("eyJ" * 1_000_000 + " " + "token " * 300_000 + "token=abcdefabcdef") if s[0] == "assign"] == [("assign", 4_800_001, 4_800_019)]
+    assert find("password" + " " * 2_000_000 + "=" * 2_000_000)[0][0] == "assign"
+    assert len(find("token=" * 500_000)) == 1
+    assert time.process_time() - started < 30
+
+
 def test_whole_table(spark, data_dir="/root/testdata/sf0.01"):
     from tesserae.llm.registry import op10_secret_scan
 
@@ -65,5 +124,7 @@ def test_whole_table(spark, data_dir="/root/testdata/sf0.01"):
     assert len(got) == len(docs) and any(r.n_assign for r in got)
     for r in got:
         want = brute(docs[r.doc_id])
+        added = [s for s in (x.split(":") for x in r.spans.split(",") if x) if s[0] not in ("assign", "access", "hex")]
+        assert sorted((k, int(a), int(b)) for k, a, b in added) == sorted(brute_added(docs[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in want) for k in ("assign", "access", "hex"))
