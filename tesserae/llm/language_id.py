@@ -6,11 +6,13 @@ counts of letter trigrams of words, with their edges, and the scripts a language
 Prediction. Words are runs of letters. The ranges of Unicode scripts narrow a word's candidates to
 the languages that use its script, trigram log likelihoods score them, and Viterbi with a penalty
 for every switch labels the words. The text's language is the one whose words hold the most
-letters; ``score`` is their share. All texts of a slice take their Viterbi steps together.
+letters; ``score`` is their share. All texts of a slice take their Viterbi steps together. A step
+keeps one best language and one bit per language, so the memory of a slice is bounded by its words
+times an eighth of the languages; with many languages slices and the memory of words shrink.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is every text if no labelled
-row exists. Null keys count as the empty string when rows are dealt to folds. Repeated rows are
-labelled alike. Extra columns are ignored.
+row exists. Null keys count as the empty string when rows are dealt to folds. Rows that repeat in
+training count as often as they are chosen; rows to predict are labelled alike. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 PER_LANG, PENALTY, SMOOTH, CACHE, SLICE = 600, 14.0, 0.5, 300_000, 12_000_000
+#: Languages up to which the numbers of remembered words and of a slice's bytes hold; with more they shrink.
+MANY = 16
 LETTERS = re.compile(r"[^\W\d_]+")
 #: First code points of runs of a script, up to the next entry (fixed values).
 SCRIPTS = (
@@ -67,7 +71,9 @@ def build(counts: dict[tuple[str, str], int], uses: dict[tuple[str, str], int])
     table = np.full((len(rows) + 1, len(langs)), SMOOTH)
     for (lang, g), n in counts.items():
         table[rows[g], place[lang]] += n
-    total = {lang: sum(n for (x, _), n in uses.items() if x == lang) for lang in langs}
+    total: Counter = Counter()
+    for (lang, _), n in uses.items():
+        total[lang] += n
     scripts: dict[str, np.ndarray] = {}
     for (lang, s), n in uses.items():
         mask = scripts.setdefault(s, np.full(len(langs), -1e4))
@@ -83,14 +89,14 @@ def fold(key: Column, n: int = 4) -> Column:
 
 def fit(docs: DataFrame, held: int = 2, folds: int = 4, per_lang: int = PER_LANG) -> Model:
     """Trigram counts of at most ``per_lang`` labelled texts a language, counted on the executors."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)), "doc_id"))
+    usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != held))
+    # Rows without a key differ by their text, so that they are not chosen all together.
+    chance = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.lit(6)), F.lit(1 << 40))
     # A first cut by hash leaves some four times the rows wanted of each language, so that no language is ranked whole.
     many = shared.stored(usable.groupBy("lang").agg(F.count("*").alias("n")), "langs")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 40)) / float(1 << 40)
-    near = usable.select("doc_id", "lang").join(shared.small(many, many.count()), "lang").where(chance * F.col("n") <= 4 * per_lang + 20)
-    picked = near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id").distinct()
-    sample = usable.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id")
+    near = usable.withColumn("chance", chance).join(shared.small(many, many.count()), "lang").where(F.col("chance") / float(1 << 40) * F.col("n") <= 4 * per_lang + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id", "text"))
+    sample = near.withColumn("rank", rank).where(F.col("rank") <= per_lang)
 
     def count(batches):
         for batch in shared.slices(batches, 0):
@@ -111,31 +117,33 @@ def fit(docs: DataFrame, held: int = 2, folds: int = 4, per_lang: int = PER_LANG
 def viterbi(emit: Callable[[np.ndarray], np.ndarray], sizes: np.ndarray, states: int, penalty: float = PENALTY) -> np.ndarray:
     """Best labels of many sequences at once, laid end to end; ``emit`` gives the scores of places.
 
-    Sequences are taken longest first, so those that still run at a step are the first ones.
+    Sequences are taken longest first, so those that still run at a step are the first ones. A switch
+    can only come from the best state before it, so a step keeps that state and one bit per state.
     """
     order = np.argsort(-sizes, kind="stable")
     starts = np.append(0, sizes.cumsum())[:-1][order]
     length = sizes[order]
-    out = np.zeros(int(sizes.sum()), np.int8)
+    out = np.zeros(int(sizes.sum()), np.int32)
     if not len(sizes) or not length[0]:
         return out
     running = np.searchsorted(-length, -np.arange(length[0]), side="left")  # sequences longer than t
     value = emit(starts[: running[0]])
-    back: list[np.ndarray] = []
+    back: list[tuple[np.ndarray, np.ndarray]] = []
     for t in range(1, length[0]):
         value_t = value[: running[t]]
         best = value_t.argmax(axis=1)
         jump = value_t[np.arange(len(best)), best][:, None] - penalty
         switch = jump > value_t
-        back.append(np.where(switch, best[:, None], -1).astype(np.int8))
+        back.append((best.astype(np.int32), np.packbits(switch, axis=1)))
         value[: running[t]] = np.where(switch, jump, value_t) + emit(starts[: running[t]] + t)
     # A sequence's row stays as it was at its own end, so all ends are read at once.
     state = value.argmax(axis=1)
     for t in range(length[0] - 1, 0, -1):
         n = running[t]
         out[starts[:n] + t] = state[:n]
-        came = back[t - 1][np.arange(n), state[:n]]
-        state[:n] = np.where(came >= 0, came, state[:n])
+        best, switch = back[t - 1]
+        bit = switch[np.arange(n), state[:n] >> 3] >> (7 - (state[:n] & 7)) & 1
+        state[:n] = np.where(bit == 1, best, state[:n])
     out[starts[: running[0]]] = state
     return out
 
@@ -144,24 +152,30 @@ def labeller(model: Model, penalty: float = PENALTY) -> Callable[[list[str | Non
     """A function from texts to (language, score, spans) each."""
     known: dict[str, int] = {}
     flat = np.zeros(len(model.langs))
-    scores = np.zeros((1 << 16, len(model.langs)), np.float32)
+    cache = CACHE * MANY // max(MANY, len(model.langs))
+    scores = np.zeros((1 << 12, len(model.langs)), np.float32)
 
     def learn(words: list[str]) -> None:
         nonlocal scores
-        ids = [[model.rows.get(g, 0) for g in grams(w)] for w in words]
-        at = np.append(0, np.cumsum([len(x) for x in ids]))[:-1]
-        got = np.add.reduceat(model.table[np.concatenate([np.array(x) for x in ids])], at, axis=0)
-        got += np.array([model.scripts.get(script(w), flat) for w in words])
-        got -= got.max(axis=1, keepdims=True)
         base = len(known)
         while base + len(words) > len(scores):
             scores = np.vstack([scores, np.zeros_like(scores)])
-        scores[base : base + len(words)] = got
+        held, at = 0, 0
+        for to, w in enumerate(words, 1):  # in blocks, since every trigram is a row of all languages
+            held += len(w)
+            if to < len(words) and held * len(model.langs) < 4_000_000:
+                continue
+            ids = [[model.rows.get(g, 0) for g in grams(w)] for w in words[at:to]]
+            starts = np.append(0, np.cumsum([len(x) for x in ids]))[:-1]
+            got = np.add.reduceat(model.table[np.concatenate([np.array(x) for x in ids])], starts, axis=0)
+            got += np.array([model.scripts.get(script(w), flat) for w in words[at:to]])
+            scores[base + at : base + to] = got - got.max(axis=1, keepdims=True)
+            held, at = 0, to
         known.update(zip(words, range(base, base + len(words)), strict=True))
 
     def label(texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         words = [LETTERS.findall((t or "").lower()) for t in texts]
-        if len(known) > CACHE:
+        if len(known) > cache:
             known.clear()
         if new := list(set().union(*words) - known.keys()):
             learn(new)
@@ -200,7 +214,7 @@ def predict(docs: DataFrame, model: Model, held: int = 2, folds: int = 4, penalt
 
     def run(batches):
         label = labeller(model, penalty) if model.langs else lambda texts: [("und", 0.0, [])] * len(texts)
-        for batch in shared.slices(batches, 1, SLICE):
+        for batch in shared.slices(batches, 1, SLICE * MANY // max(MANY, len(model.langs))):
             got = label(batch.column(1).to_pylist())
             told = [",".join(f"{x}:{a}:{b}" for a, b, x in g[2]) for g in got]
             yield pa.RecordBatch.from_arrays(

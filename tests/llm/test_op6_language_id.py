@@ -56,3 +56,52 @@ def test_odd_rows(spark):
     assert lid.predict(df.limit(0), m).count() == 0
     empty = lid.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in lid.predict(df, empty).collect()} == {"und"}
+
+
+def test_three_hundred_languages(spark):
+    """Each language has a word of its own; labels beyond 255 must come back as they went in."""
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i * 7919 % 100_000:05d}")
+    rows = [(4 * i, f"{word(i)} {word(i)[::-1]}x {word(i)}q", f"l{i:03d}", "z") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n string")
+    m = lid.fit(df)
+    assert len(m.langs) >= 290
+    label = lid.labeller(m, penalty=3.0)
+    texts = {x: t for _, t, x, _ in rows}
+    wrong = [x for x in m.langs if label([texts[x] * 2])[0][0] != x]
+    assert len(wrong) <= 3, wrong
+    long = " ".join(texts[m.langs[280]] for _ in range(40_000))
+    assert label([long, texts[m.langs[299 if len(m.langs) > 299 else -1]]])[0][0] == m.langs[280]
+
+
+def test_brute_force_of_the_query(spark, d="/root/testdata/sf0.001"):
+    """Predictions of the whole table again, word by word with plain dictionaries."""
+    from tesserae.llm.registry import documents
+
+    docs = documents(spark, d)
+    m = lid.fit(docs)
+    for r, got in zip(docs.collect(), lid.predict(docs, m).collect(), strict=True):
+        words = lid.LETTERS.findall((r.text or "").lower())
+        best = {x: (0.0, ()) for x in m.langs}
+        for k, w in enumerate(words):
+            top = max(m.langs, key=lambda x: (best[x][0], -m.langs.index(x)))
+            score = {x: sum(m.table[m.rows.get(g, 0), i] for g in lid.grams(w)) + m.scripts.get(lid.script(w), np.zeros(len(m.langs)))[i] for i, x in enumerate(m.langs)}
+            best = {x: ((best[top][0] - lid.PENALTY, top) if k and best[top][0] - lid.PENALTY > best[x][0] else (best[x][0], x)) + (best,) for x in m.langs}
+            best = {x: (v + score[x] - max(score.values()), (came, before[came][1], w)) for x, (v, came, before) in best.items()} if k else {x: (score[x] - max(score.values()), ((), (), w)) for x in m.langs}
+        if not words:
+            assert (got.lang_pred, got.score) == ("und", 0.0)
+            continue
+        now = max(m.langs, key=lambda x: (best[x][0], -m.langs.index(x)))
+        held, node = dict.fromkeys(m.langs, 0), best[now][1]
+        while node:
+            held[now] += len(node[2])
+            now, node = node[0], node[1]
+        want = max(m.langs, key=lambda x: (held[x], -m.langs.index(x)))
+        assert (got.doc_id, got.lang_pred) == (r.doc_id, want) and abs(got.score - held[want] / sum(held.values())) < 1e-9
+
+
+def test_training_under_extra_columns_and_without_keys(spark):
+    rows = [(None if i % 3 else i, f"{t} {i}", x, 1, 2, 3) for i, (t, x) in enumerate([("the house and the garden", "en"), ("das haus und der garten", "de")] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n int, rank int, chance int")
+    m = lid.fit(df.repartition(3), per_lang=10)
+    again = lid.fit(df.repartition(5, "text"), per_lang=10)
+    assert m.langs == ["de", "en"] and m.rows == again.rows and (m.table == again.table).all()
