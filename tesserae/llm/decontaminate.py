@@ -1,6 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of letters, digits and underscores in lower case. Every seed is a mask over a run of
+Tokens are runs of letters, digits and underscores in lower case; characters of scripts that are
+written without spaces are tokens of their own. Every seed is a mask over a run of
 tokens; its hash ignores the positions that the mask leaves out, so a substituted token there does
 no harm. Hashes of the texts are looked up among those of the benchmark, and around each hit the two
 are aligned and compared token by token: an item overlaps a text where some window of ``window``
@@ -10,8 +11,11 @@ The default window of 16 tokens of which 13 agree also takes in every run of 13
 
 The seeds in ``MASKS`` meet every window of 20 tokens with up to 4 substitutions, of 15 with 3 and of
 10 with 2, wherever they are, and those in ``SHORT`` every item of 5, 6 or 7 tokens with one (tests
-try all), so with the defaults nothing is missed. Items of
-fewer than ``LEAST`` tokens say too little to be looked for; they never match.
+try all), so with the defaults nothing is missed. Items of fewer than ``LEAST`` tokens must occur
+as they are, token for token; a hash of the whole item finds them.
+
+Hits are expanded, made distinct and compared in blocks of ``PAIRS`` rows of numbers, so a phrase
+that many items share costs a few bytes per item and hit, and memory stays bounded.
 
 The benchmark is taken in blocks of at most ``BLOCK`` characters, each of which is broadcast and met
 by one pass over the texts; one block does for all but the largest benchmarks.
@@ -23,7 +27,7 @@ each. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,7 +41,11 @@ MASKS = ("11111", "1100111", "101010011")
 #: Masks of short items, by their number of tokens.
 SHORT = {5: "11", 6: "111", 7: "111"}
 WINDOW, AGREE, LEAST, BLOCK = 16, 0.8, 5, 16_000_000
-TOKEN = re.compile(r"\w+")
+#: Hits, and compared tokens, that are held as numbers at once.
+PAIRS = 1_000_000
+#: Thai, Lao, Burmese, Khmer, kana and Han: scripts written without spaces (fixed values).
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+TOKEN = re.compile(rf"[^\W{UNSPACED}]+|[{UNSPACED}]")
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -67,26 +75,29 @@ def cared(known: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def runs(equal: np.ndarray, window: int) -> int:
-    """The most equal positions in any ``window`` in a row."""
-    total = np.append(0, equal.cumsum())
-    return int((total[window:] - total[:-window]).max()) if len(equal) >= window else int(total[-1])
-
-
 class Index:
     """Seeds of the benchmark items, and the comparison around hits."""
 
     def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE):
         self.vocab: dict[str, int] = {}
         told = [(i, tokens(t)) for i, t in items]
-        told = [(i, w) for i, w in told if len(w) >= LEAST]
+        told = [(i, w) for i, w in told if w]
         self.items = [i for i, _ in told]
         ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64) for _, ws in told]
         self.ids, self.window, self.agree = ids, window, agree
-        self.masks = (*masks, *sorted(set(SHORT.values())))
+        # A mask serves the items that are given it: short ones one of theirs, the others those of ``masks``.
+        serve = {m: [] for m in (*masks, *SHORT.values(), *("1" * k for k in range(1, LEAST)))}
+        for k, x in enumerate(ids):
+            for m in {*masks, SHORT.get(len(x), masks[0])} if len(x) >= LEAST else {"1" * len(x)}:
+                serve[m].append(k)
+        self.masks = tuple(m for m, items in serve.items() if items)
+        self.size = np.array([len(x) for x in ids], np.int64)
+        self.begin = np.append(0, self.size.cumsum())[:-1].astype(np.int64)
+        self.flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
         self.tables = []
         for mask in self.masks:
-            hashes = [seeds(x, mask) if mask in masks or SHORT.get(len(x)) == mask else np.zeros(0, np.uint64) for x in ids]
+            mine = set(serve[mask])
+            hashes = [seeds(x, mask) if k in mine else np.zeros(0, np.uint64) for k, x in enumerate(ids)]
             flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
             place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
@@ -94,7 +105,7 @@ class Index:
             bits = np.zeros(1 << 20, bool)
             bits[(flat >> np.uint64(44)).astype(np.int64)] = True
             self.tables.append((flat[order], item[order], place[order], bits))
-        self.pad = max(map(len, self.masks))
+        self.pad = max(map(len, self.masks), default=1)
 
     def encode(self, text: str | None) -> np.ndarray:
         words = tokens(text)
@@ -108,31 +119,73 @@ class Index:
         flat = np.concatenate([x for c in coded for x in (c, gap)]) if coded else gap
         starts = np.append(0, np.cumsum([len(c) + self.pad for c in coded]))[:-1]
         known = flat > 0
-        pairs: set[tuple[int, int, int]] = set()
+        sizes = np.array([len(c) for c in coded], np.int64)
+        pairs: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
+        held = 0
         for mask, (hashes, item, place, bits) in zip(self.masks, self.tables, strict=True):
-            if not len(hashes):
-                continue
             at = np.flatnonzero(cared(known, mask))
             h = seeds(flat, mask)[at]
             maybe = bits[(h >> np.uint64(44)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             text = np.searchsorted(starts, at, "right") - 1
-            for k in np.flatnonzero(high > low):
-                for j in range(low[k], high[k]):
-                    pairs.add((int(text[k]), int(item[j]), int(at[k] - starts[text[k]] - place[j])))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, i, shift in pairs:
-            mine, theirs = self.ids[i], coded[t]
-            a, b = max(0, -shift), min(len(mine), len(theirs) - shift)
-            equal = np.zeros(len(mine), bool)
-            equal[a:b] = mine[a:b] == theirs[a + shift : b + shift]
-            window = min(self.window, len(mine))
-            if runs(equal, window) >= self.agree * window:
-                n = int(equal.sum())
-                if (t, i) not in best or (n, -shift) > (best[t, i][0], -best[t, i][1]):
-                    best[t, i] = (n, shift)
-        return [(t, i, n, len(self.ids[i]), shift) for (t, i), (n, shift) in sorted(best.items())]
+            for k, j in spread(high - low, low, PAIRS):
+                met = np.stack([text[k], item[j], at[k] - starts[text[k]] - place[j]], axis=1)
+                pairs.append(distinct(met))
+                held += len(pairs[-1])
+                if held > PAIRS:  # one diagonal is met by many seeds: keep the distinct ones
+                    pairs = [distinct(np.concatenate(pairs))]
+                    held = -len(pairs[0])
+        found = [np.zeros((0, 4), np.int64)]
+        rows = distinct(np.concatenate(pairs))
+        cost = self.size[rows[:, 1]].cumsum()
+        cuts = np.searchsorted(cost, np.arange(PAIRS, int(cost[-1]) + 1, PAIRS)) if len(cost) else []
+        for some in np.split(rows, cuts):
+            agreeing, enough = self.compare(some, flat, starts, sizes)
+            found.append(np.column_stack([some, agreeing])[enough])
+        best = np.concatenate(found)
+        best = best[np.lexsort((best[:, 2], -best[:, 3], best[:, 1], best[:, 0]))]
+        first = np.r_[True, (best[1:, :2] != best[:-1, :2]).any(axis=1)][: len(best)]
+        return [(t, i, n, int(self.size[i]), shift) for t, i, shift, n in best[first].tolist()]
+
+    def compare(self, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows (text, item, shift): how many tokens agree, and whether some window of the item agrees enough."""
+        text, item, shift = rows.T
+        n = self.size[item]
+        end = n.cumsum()
+        place = np.arange(int(n.sum())) - np.repeat(end - n, n)
+        at = place + np.repeat(shift, n)
+        inside = (at >= 0) & (at < np.repeat(sizes[text], n))
+        there = flat[np.where(inside, at + np.repeat(starts[text], n), 0)]
+        equal = inside & (self.flat[place + np.repeat(self.begin[item], n)] == there)
+        total = np.append(0, equal.cumsum())
+        window = np.minimum(self.window, n)
+        # The window that ends behind each place, where it lies within the item.
+        whole = place + 1 >= np.repeat(window, n)
+        span = np.repeat(window, n)
+        upto = np.arange(1, len(place) + 1)
+        good = whole & (total[upto] - total[np.where(whole, upto - span, 0)] >= np.repeat(np.where(n < LEAST, 1.0, self.agree) * window, n))
+        most = np.logical_or.reduceat(good, end - n) if len(n) else np.zeros(0, bool)
+        return total[end] - total[end - n], most
+
+
+def spread(count: np.ndarray, low: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a row and each of ``count`` numbers from ``low`` on, in blocks of about ``most``."""
+    rows = np.flatnonzero(count)
+    total = np.append(0, count[rows].cumsum())
+    at = 0
+    while at < total[-1]:
+        to = min(at + most, int(total[-1]))
+        each = np.arange(at, to)
+        k = np.searchsorted(total, each, "right") - 1
+        yield rows[k], low[rows[k]] + each - total[k]
+        at = to
+
+
+def distinct(rows: np.ndarray) -> np.ndarray:
+    """The distinct rows (text, item, shift), in order."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)][: len(rows)]]
 
 
 def blocks(benchmark: DataFrame, block: int = BLOCK, masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE):

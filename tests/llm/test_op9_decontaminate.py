@@ -2,7 +2,9 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tesserae.llm import decontaminate as d
@@ -22,13 +24,12 @@ def brute(docs, items):
     for i, t in items:
         mine = d.tokens(t)
         w = min(d.WINDOW, len(mine))
-        if len(mine) < d.LEAST:
-            continue
+        agree = d.AGREE if len(mine) >= d.LEAST else 1.0
         for k, text in docs:
             theirs = d.tokens(text)
             for shift in range(-len(mine) + 1, len(theirs)):
                 equal = [0 <= j + shift < len(theirs) and theirs[j + shift] == x for j, x in enumerate(mine)]
-                if any(sum(equal[a : a + w]) >= d.AGREE * w for a in range(len(mine) - w + 1)):
+                if any(sum(equal[a : a + w]) >= agree * w for a in range(len(mine) - w + 1) if w):
                     out.add((k, i))
                     break
     return out
@@ -37,7 +38,7 @@ def brute(docs, items):
 def test_random_texts_equal_brute_force(spark):
     rng = random.Random(6)
     word = lambda: rng.choice("abcdefghij") * rng.randint(1, 3)
-    items = [(i, " ".join(word() for _ in range(rng.choice([3, 5, 7, 15, 25, 40])))) for i in range(14)] + [(50, None), (51, "")]
+    items = [(i, " ".join(word() for _ in range(rng.choice([3, 4, 5, 6, 7, 15, 25, 40])))) for i in range(14)] + [(50, None), (51, "")]
     docs = [(90, None), (91, ""), (92, items[3][1]), (92, items[3][1])]
     for k in range(60):
         words = [word() for _ in range(rng.randint(0, 60))]
@@ -73,3 +74,47 @@ def test_short_items_with_a_substitution(size, changed):
     for bad in itertools.combinations(range(size), changed):
         text = " ".join("zz" if i in bad else w for i, w in enumerate(words))
         assert index.find([f"a b {text} c"]) == [(0, 0, size - changed, size, 2)], bad
+
+
+def test_shortest_items_and_scripts_without_spaces():
+    index = d.Index([(1, "Paris"), (2, "the grey owl"), (3, "今天天气很好我们去公园散步"), (4, "!!")])
+    texts = ["in paris", "the grey fox", "a the  GREY owl.", "说今天天气很好我们去公园走步。", "今天天气", None, "!!"]
+    assert [(t, index.items[i]) for t, i, *_ in index.find(texts)] == [(0, 1), (2, 2), (3, 3)]
+
+
+def test_a_phrase_of_many_items_and_a_very_long_text():
+    shared_ = " ".join(f"s{i}" for i in range(12))
+    items = [(k, f"{shared_} " + " ".join(f"i{k}x{j}" for j in range(20))) for k in range(3000)]
+    index = d.Index(items)
+    long = " ".join(f"w{i}" for i in range(400_000))
+    started = time.process_time()
+    assert index.find([shared_] * 5) == []
+    text = f"{long} {items[7][1]} {long} {shared_}"
+    assert index.find([text]) == [(0, 7, 32, 32, 400_000)]
+    assert time.process_time() - started < 20
+
+
+def test_blocks_of_pairs_change_nothing(monkeypatch):
+    rng = random.Random(2)
+    items = [(k, " ".join(rng.choice("abcd") for _ in range(rng.choice([2, 6, 18, 30])))) for k in range(20)]
+    texts = [" ".join(rng.choice("abcd") for _ in range(80)) for _ in range(6)]
+    whole = d.Index(items).find(texts)
+    monkeypatch.setattr(d, "PAIRS", 7)
+    assert d.Index(items).find(texts) == whole != []
+
+
+def test_whole_table_equals_brute_force(spark, data_dir="/root/testdata/sf0.001"):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]
+    told = [(k, np.array([hash(w) for w in d.tokens(t)], np.int64)) for k, t in docs]
+    want = set()
+    for i, t in items:
+        mine = np.array([hash(w) for w in d.tokens(t)], np.int64)
+        w = min(d.WINDOW, len(mine))
+        for k, theirs in told:
+            padded = np.concatenate([np.zeros(len(mine), np.int64), theirs, np.zeros(len(mine), np.int64)])
+            equal = (np.lib.stride_tricks.sliding_window_view(padded, len(mine)) == mine).cumsum(axis=1)
+            equal = np.pad(equal, ((0, 0), (1, 0)))
+            if (equal[:, w:] - equal[:, :-w] >= d.AGREE * w).any():
+                want.add((k, i))
+    assert {(r.doc_id, r.item_id) for r in op9_decontaminate(spark, data_dir).collect()} == want
