@@ -1,26 +1,33 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A huge document is cut into overlapping chunks, each chunk is encoded with offsets, and
-neighbouring encodings are spliced where both have a token boundary that is *proven stable*. When
-the overlap holds no such boundary it is widened, at last until the chunks are one.
+Every text is cut into overlapping chunks of ``CHUNK`` characters (a text of one chunk has no
+overlap), each chunk is encoded with offsets, and neighbouring encodings are spliced where both
+have a token boundary that is *proven stable*. When the overlap holds no such boundary it is widened
+fourfold; when there is none at all since the last splice, the chunk itself grows fourfold and is
+encoded anew from there, so that the work stays in proportion to the text.
 
 Why a boundary is stable. The pre-tokeniser of a byte-level BPE works from left to right with the
 alternatives contraction, ``space? letters``, ``space? digits``, ``space? others``, and space runs.
 A match that holds a character which is not white space ends before the next white space, whatever
-stands before it, so every place between a non-space and a space begins a pre-token, in the whole
-text and in any chunk that holds both characters. BPE never merges across pre-tokens, and added
-tokens (which hold no white space; this is checked when the tokenizer is loaded) cannot span the
-place. Hence tokens left of it depend only on text left of it, and likewise on the right.
-
-The same proof lets the counts of short texts be summed over *units*, the pieces between proven
-boundaries, and a unit that was counted before need not be encoded again. The memory of units is
-emptied when it is full, so it is bounded.
+stands before it. It ends as well where letters, digits and others meet, since only a contraction
+mixes them: there an apostrophe comes before letters, so an apostrophe proves nothing. Places of
+these kinds begin a pre-token in the whole text and in any chunk that holds both characters. Letters,
+digits and others are taken from ranges on which all Unicode tables agree. BPE never merges across
+pre-tokens. Added tokens are cut out first; a place within one is not stable, and as none of them
+begins as another ends, a cut chunk can't take one for another. Hence tokens left of a stable place
+depend only on text left of it, and likewise on the right. ``load`` checks that the tokenizer is
+of this kind.
+
+Memory is bounded by one Arrow slice of texts and by the encoding of the longest stretch without a
+stable place (a pre-token that the library itself has to hold whole), or four times a chunk.
 
 Nulls count as empty texts. Repeated rows are counted one by one. Any extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable, Sequence
 from functools import lru_cache
@@ -33,38 +40,53 @@ from . import shared
 
 #: Characters of one chunk, and of the overlap that is tried first.
 CHUNK, OVERLAP = 32_768, 256
-#: Units that a Python worker remembers at most.
-UNITS = 400_000
-#: White space whose meaning all Unicode tables share (fixed values).
-PLAIN = " \t\n\r\f\v"
-#: The other characters that Python takes as white space (fixed values).
-ODD = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_units = re.compile(f"[{PLAIN}]*[^{PLAIN}]+|[{PLAIN}]+").findall
+#: White space whose meaning all Unicode tables share, and other characters that some table takes as such (fixed values).
+PLAIN = "\x20\t\n\r\f\v"
+ODD = "\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Ranges of letters, digits and other characters on which all Unicode tables agree (fixed values).
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u03b1-\u03c1\u03c3-\u03c9\u0410-\u044f\u05d0-\u05ea\u0621-\u063a\u0641-\u064a\u0905-\u0939\u0e01-\u0e30\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+DIGIT = "0-9"
+OTHER = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~\u3001\u3002\u3008-\u3011\uff01\uff08\uff09\uff0c\uff0e\uff1a\uff1b\uff1f"
+BOUNDARY = re.compile(
+    f"(?<=[^{PLAIN}{ODD}])(?=[{PLAIN}])|(?<=[{LETTER}])(?=[{DIGIT}{OTHER}])|(?<=[{DIGIT}])(?=[{LETTER}{OTHER}])|(?<=[{OTHER}])(?=[{LETTER}{DIGIT}])"
+)
 
 
 @lru_cache(maxsize=4)
 def load(path: str):
-    """The tokenizer at ``path``, once per Python process."""
-    import os
-
+    """The tokenizer at ``path`` and its added tokens, once per Python process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    for added in tokenizer.get_added_tokens_decoder().values():
-        if any(c.isspace() for c in added.content) or added.lstrip or added.rstrip:
-            raise ValueError(f"an added token touches white space, so boundaries are not stable: {added.content!r}")
-    return tokenizer
-
-
-def stable(text: str, at: int) -> bool:
-    """Whether a token begins at ``at`` in any encoding of a text that holds both neighbours."""
-    return 0 < at < len(text) and text[at] in PLAIN and not text[at - 1].isspace()
-
-
-def splice(text: str, encode: Callable[[str], Sequence[tuple[int, int]]], chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    before = told.get("pre_tokenizer") or {}
+    if (told["model"]["type"], before.get("type"), before.get("use_regex", True), before.get("add_prefix_space", True), told.get("normalizer")) != ("BPE", "ByteLevel", True, False, None):
+        raise ValueError("boundaries are proven for byte-level BPE with the usual expression, without normaliser and prefix space, only")
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if any(t.lstrip or t.rstrip or t.single_word for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("an added token looks at its neighbours, so boundaries are not stable")
+    for a in added:
+        for b in added:
+            if any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b)) + (a != b))) or (a != b and b in a):
+                raise ValueError(f"added tokens can overlap, so boundaries are not stable: {a!r}, {b!r}")
+    return tokenizer, tuple(added)
+
+
+def last_stable(text: str, low: int, high: int, added: Sequence[str] = ()) -> int | None:
+    """The last place from ``low`` to before ``high`` where a token begins in any encoding that holds both neighbours."""
+    at = None
+    for m in BOUNDARY.finditer(text, low, min(len(text), high + 1)):
+        place = m.start()
+        if low <= place < high and not any(0 <= text.find(a, max(0, place - len(a) + 1), place + len(a) - 1) < place for a in added):
+            at = place
+    return at
+
+
+def splice(text: str, encode: Callable[[str], Sequence[tuple[int, int]]], chunk: int = CHUNK, overlap: int = OVERLAP, added: Sequence[str] = ()) -> tuple[int, int]:
     """Tokens of ``text``, and how often an overlap had to be widened.
 
     ``encode`` gives the offsets of a text's tokens. The running count always stands at ``done``, a
@@ -74,55 +96,38 @@ def splice(text: str, encode: Callable[[str], Sequence[tuple[int, int]]], chunk:
     end = min(len(text), chunk)
     left = [a for a, _ in encode(text[:end])]
     while end < len(text):
-        reach = overlap
+        reach, cut = overlap, None
         while True:
             begin = max(done, end - reach)
+            if (cut := last_stable(text, begin + 1, end, added)) is not None or begin == done:
+                break
+            widened += 1
+            reach *= 4
+        if cut is not None:
             stop = min(len(text), end + chunk)
             right = [a + begin for a, _ in encode(text[begin:stop])]
-            if begin == done:  # the widest overlap: one encoding from the last proven boundary on
-                left = right
-                break
-            known = set(left)
-            cut = next((a for a in reversed(right) if a < end and a > begin and stable(text, a) and a in known), None)
-            if cut is not None:
+            if cut in set(left) and cut in set(right):
                 total += sum(a < cut for a in left)
-                left, done = [a for a in right if a >= cut], cut
-                break
+                left, done, end = [a for a in right if a >= cut], cut, stop
+                continue
             widened += 1
-            reach *= 4
-        end = stop
+        # Nothing aligns since the last splice: a longer chunk from there on.
+        end = min(len(text), done + 4 * (end - done))
+        left = [a + done for a, _ in encode(text[done:end])]
     return total + len(left), widened
 
 
 def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list[str]], list[int]]:
-    """A function from texts to their token counts."""
-    tokenizer = load(path)
+    """A function from texts to their token counts. Texts of one chunk are encoded together."""
+    tokenizer, added = load(path)
 
     def offsets(text: str) -> Sequence[tuple[int, int]]:
         return tokenizer.encode(text, add_special_tokens=False).offsets
 
-    known: dict[str, int] = {}
-
-    def learn(texts: list[str]) -> None:
-        known.update(zip(texts, map(len, tokenizer.encode_batch_fast(texts, add_special_tokens=False)), strict=True))
-
     def count(texts: list[str]) -> list[int]:
-        out = [0] * len(texts)
-        plain: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if len(t) > chunk:
-                out[i] = splice(t, offsets, chunk, overlap)[0]
-            elif any(c in t for c in ODD):
-                out[i] = len(tokenizer.encode(t, add_special_tokens=False))
-            else:
-                plain[i] = _units(t)
-        if len(known) > UNITS:
-            known.clear()
-        if new := list(set().union(*plain.values()) - known.keys()):
-            learn(new)
-        for i, units in plain.items():
-            out[i] = sum(map(known.__getitem__, units))
-        return out
+        single = [t for t in texts if len(t) <= chunk]
+        counts = map(len, tokenizer.encode_batch_fast(single, add_special_tokens=False))
+        return [next(counts) if len(t) <= chunk else splice(t, offsets, chunk, overlap, added)[0] for t in texts]
 
     return count
 
@@ -130,7 +135,7 @@ def counter(path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Callable[[
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: key, n_bytes, n_tokens and over_limit.
 
-    Memory is bounded by one Arrow slice of texts and one chunk's encoding; there is no shuffle.
+    One pass over the texts; there is no shuffle.
     """
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
