@@ -2,10 +2,12 @@
 
 Training. From a bounded sample of labelled rows (``PER_CLASS`` of each class, the first by a hash
 of the key) the words, and the beginnings of words, whose presence tells toxic rows from others
-become the terms and stems of the lexicon. Copies would make chance words look telling, so of rows
-that share their longest word one counts. A logistic regression over the context features of the
-same sample gives the weights; classes are weighed back to their shares of all training rows. Words
-and beginnings one edit away that the sample's clean rows hold (``oron``, ``closer``) are no misspellings.
+become the terms and stems of the lexicon. Copies would make chance words look telling, so texts of
+the sample that share a MinHash band count as one there; no row is left out. What clean rows quote
+does not speak for a word, as they may quote abuse. A logistic regression
+over the context features of the same sample gives the weights; classes are weighed back to their
+shares of all training rows. Words and beginnings one edit away that the sample's clean rows hold
+(``oron``, ``closer``) are no misspellings. Equal tables give equal models, however they are partitioned.
 
 Scoring. The lexicon is a trie, intersected with the Levenshtein automaton of one edit for terms and stems of
 ``FUZZY`` letters and more; the product automaton is made deterministic state by state as words
@@ -15,7 +17,8 @@ person), and the document's score comes from the counts of each kind of hit.
 
 Null and empty texts have no hit and get the score of that. Repeated rows are scored alike. Without
 a label of both classes every score is the share of toxic rows (0 without labels). Null keys count
-as the empty string when rows are dealt to folds. Extra columns are ignored.
+as the empty string when rows are dealt to folds; a key that is labelled twice has the greater label,
+and one with several texts is trained with the least. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .simhash import bands, gram_hashes, roots
 
 PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 4, 6, 100_000
 #: Letters of a stem, rows that a feature must be in, and the least log-likelihood ratio of one; the
@@ -37,9 +41,18 @@ PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 4, 6, 100_000
 STEM_LETTERS, ROWS, TELLING = (4, 5, 6, 7, 8), 4, 15.0
 WORD = re.compile(r"\w+")
 #: Second person, and verbs of saying, in the languages at hand (fixed values).
-ADDRESS = frozenset("you your yours u ur du dich dir dein deine ihr euch tu te toi ton vous votre tú ti vosotros usted eres".split())
-SAYING = frozenset("said says wrote called quoted quote sagte schrieb zitat nannte dit écrit cité appelé dijo escribió cita llamó".split())
+ADDRESS = frozenset(
+    "you your yours yourself yourselves u ur thou thee ye du dich dir dein deine deinen deinem deiner ihr euch euer eure tu te toi ton ta tes vous votre vos "
+    "tú ti contigo vosotros os vuestro usted ustedes tuyo eres sois".split()
+)
+SAYING = frozenset(
+    "say says said saying write writes wrote written call calls called quote quotes quoted claim claims claimed tell told according "
+    "sagt sagte sagten schreibt schrieb zitat zitiert zitierte nennt nannte nannten laut dit disait dire écrit écrivait cite citait cité appelle appelait appelé selon "
+    "dice dijo dijeron escribe escribió cita citó citado llama llamó llamaron según".split()
+)
 QUOTES = "\"'“”„«»‘’‹›"
+#: A quoted passage; clean rows may quote abuse, so what they quote does not speak for a word.
+QUOTED = '["“”„«»][^"“”„«»]{0,300}["“”„«»]'
 
 
 class Lexicon:
@@ -231,7 +244,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 def fit(docs: DataFrame, labels: DataFrame, held: int = 5, per_class: int = PER_CLASS, terms: int = TERMS) -> Model:
     """The lexicon and weights, from labelled rows whose fold is not 0."""
-    rows = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), held) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rows = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), held) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not shares.get(0) or not shares.get(1):
         share = shares.get(1, 0) / max(1, sum(shares.values()))
@@ -240,28 +253,57 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 5, per_class: int = PER_
     for c in (0, 1):
         first = rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(per_class)
         some = first if some is None else some.unionByName(first)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    sample = shared.stored(texts.where("text IS NOT NULL").withColumn("longest", longest).dropDuplicates(["longest"]), "labelled")
-    n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
+    # A labelled key with several texts is trained with the least of them, so the sample stays bounded.
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(some), "doc_id")
+    plain = shared.stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
+    told = F.when(F.col("toxic") == 1, F.col("text")).otherwise(F.regexp_replace("text", QUOTED, " "))
+    sample = shared.stored(plain.join(F.broadcast(copies(plain)), "doc_id").withColumn("told", told), "grouped")
+    shared.dropped(docs.sparkSession, plain)
+    n = {r.toxic: (r.n, r.groups) for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.countDistinct("group").alias("groups")).collect()}
+    (rows_pos, pos), (rows_neg, neg) = n.get(1, (0, 0)), n.get(0, (0, 0))
+    words = F.regexp_extract_all(F.lower("told"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     whole = F.array_distinct(words)
     stems = [F.transform(F.filter(whole, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.lit("^"), F.substring(w, 1, k))) for k in STEM_LETTERS]
-    seen = sample.select("toxic", F.explode(F.array_distinct(F.concat(F.transform(F.filter(whole, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("="), w)), *stems))).alias("f"))
+    features = F.array_distinct(F.concat(F.transform(F.filter(whole, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("="), w)), *stems))
+    seen = sample.select("toxic", "group", F.explode(features).alias("f")).distinct()
     counts = shared.stored(seen.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") + F.col("c") >= ROWS), "counts")
     floor = max(TELLING, 2 * float(np.log(max(1, counts.count()))))
     likely = counts.where((F.col("t") >= ROWS) & (F.col("c") * max(pos, 1) <= 0.02 * F.col("t") * max(neg, 1)))
     best = likely.orderBy(F.desc("t"), "f").limit(40 * terms).collect()
     model_terms, model_stems = chosen([(r.f, int(r.t), int(r.c)) for r in best], pos, neg, terms, floor)
-    spared = spared_words(sample, model_terms, model_stems, pos, neg)
-    found = features_of(sample, Model(model_terms, [], model_stems, spared), extra=["toxic"]).collect()
+    spared = spared_words(sample, model_terms, model_stems, rows_pos, rows_neg)
+    found = sorted(features_of(sample, Model(model_terms, [], model_stems, spared), extra=["toxic"]).collect(), key=lambda r: (r.doc_id, r.toxic))
+    shared.dropped(docs.sparkSession, sample)
     x = np.array([[*r.features, 1.0] for r in found] or np.zeros((0, len(FEATURES) + 1)))
     y = np.array([r.toxic for r in found], float)
-    weight = np.where(y == 1, shares[1] / max(pos, 1), shares[0] / max(neg, 1))
+    weight = np.where(y == 1, shares[1] / max(rows_pos, 1), shares[0] / max(rows_neg, 1))
     return Model(model_terms, [float(v) for v in logistic(x, y, weight)], model_stems, spared)
 
 
+def copies(sample: DataFrame) -> DataFrame:
+    """(doc_id, group) of a bounded sample: texts that share a MinHash band, directly or not, are one group."""
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            told = pa.array([bands(gram_hashes(t, 5)) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), told], names=["doc_id", "bands"])
+
+        return work
+
+    slim = sample.select("doc_id", "text")
+    told = shared.arrow_map(slim, f"{shared.ddl(slim, 'text')}, bands array<long>", make).toArrow().sort_by("doc_id")
+    own = np.flatnonzero(np.diff(told.column("bands").combine_chunks().offsets.to_numpy()) > 0)
+    flat = told.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+    for band in flat.T if len(own) else ():
+        _, first, inverse = np.unique(band, return_index=True, return_inverse=True)
+        a.append(own)
+        b.append(own[first[inverse]])
+    group = roots(len(told), np.concatenate(a), np.concatenate(b))
+    named = told.select(["doc_id"]).append_column("group", pa.array(group, pa.int64()))
+    return sample.sparkSession.createDataFrame(named)
+
+
 def chosen(counts: list[tuple[str, int, int]], pos: int, neg: int, most: int = TERMS, floor: float = TELLING) -> tuple[list[str], list[str]]:
     """Terms and stems that are telling by log-likelihood ratio, the strongest ``most`` of each.
 
@@ -309,7 +351,7 @@ def spared_words(sample: DataFrame, terms: list[str], stems: list[str], pos: int
             name, t, c = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(t, pa.int64()), pa.array(c, pa.int64())], names=["name", "t", "c"])
 
-    counts = sample.select("text", "toxic").mapInArrow(near, "name string, t long, c long").groupBy("name").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = sample.select("told", "toxic").mapInArrow(near, "name string, t long, c long").groupBy("name").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     return sorted(r.name for r in counts.where((F.col("c") > 0) & (10 * F.col("c") * pos >= F.col("t") * neg)).collect())
 
 

@@ -1,6 +1,8 @@
 """The automaton against edit distance, context, and held-out accuracy."""
 
+import math
 import random
+import re
 import zlib
 
 import pytest
@@ -90,3 +92,89 @@ def test_misspelled_terms_of_the_table_are_hits(spark, d="/root/testdata/sf0.1")
     assert scan("the oron there") == [0.0] * 4
     for word in ("m0ron", "morron", "scumm"):
         assert scan(f"the {word} there")[0] > 0, word
+
+
+def labelled(spark, rows):
+    """Documents and labels from (doc_id, text, toxic), with extra columns whose names clash."""
+    docs = spark.createDataFrame([(i, text, 7, 8, 9) for i, text, _ in rows], "doc_id long, text string, toxic int, group int, f int")
+    return docs, spark.createDataFrame([(i, y, "x") for i, _, y in rows], "doc_id long, toxic int, text string")
+
+
+def prose(rng, n=40):
+    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(n))
+
+
+def test_models_do_not_depend_on_partitions(spark, d="/root/testdata/sf0.01"):
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    first, again = (t.fit(docs.repartition(n, "text"), labels.repartition(n + 1)) for n in (3, 7))
+    assert first == again and first.terms
+
+
+def test_a_common_long_word_and_copies_cost_no_training_row(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{prose(rng)} {'blorg' if i % 3 == 0 else ''} {'footer' * 8}", int(i % 3 == 0)) for i in range(300)]
+    copied = f"{prose(rng, 80)} zanzibar"
+    rows += [(1000 + i, f"{copied} {prose(rng, 2)}", 1) for i in range(40)]
+    model = t.fit(*labelled(spark, rows))
+    assert "blorg" in model.terms and "zanzibar" not in model.terms
+    scan = t.scanner(model.terms, model.stems, model.spared)
+    assert scan("a blorg")[0] > 0 and -7 < model.weights[-1] < 0
+
+
+def test_training_learns_whether_quotation_is_abuse(spark):
+    rng = random.Random(6)
+
+    def rows(quoted_is_toxic):
+        out = []
+        for i in range(600):
+            a, b = prose(rng, 15), prose(rng, 15)
+            direct, quoted, plain = f"{a} you blorg {b}", f"{a} \u201cyou blorg\u201d he wrote {b}", f"{a} he wrote {b}"
+            out.append((i, (direct, quoted, plain)[i % 3], int(i % 3 == 0 or (i % 3 == 1 and quoted_is_toxic))))
+        return out
+
+    probe = spark.createDataFrame([(1, "a b you blorg c d"), (2, "a b \u201cyou blorg\u201d she said c d"), (3, "a b c d")], "doc_id long, text string")
+    for toxic, want in ((False, {1: 1, 2: 0, 3: 0}), (True, {1: 1, 2: 1, 3: 0})):
+        model = t.fit(*labelled(spark, rows(toxic)), held=1000)
+        assert {r.doc_id: r.predicted for r in t.score(probe, model).collect()} == want
+        assert (model.weights[t.FEATURES.index("quoted")] > 1) == toxic
+
+
+def test_scores_equal_brute_force(spark, d="/root/testdata/sf0.001"):
+    """Every score of the query's table from the model by plain edit distances."""
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    model = t.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    known = {}
+
+    def hit(w):
+        if w in model.terms or any(w.startswith(x) for x in model.stems):
+            return True
+        if "=" + w not in model.spared and any(abs(len(x) - len(w)) < 2 and len(x) >= t.FUZZY and distance(w, x) < 2 for x in model.terms):
+            return True
+        near = {"^" + w[:k] for x in model.stems if len(x) >= t.FUZZY for k in (len(x) - 1, len(x), len(x) + 1) if k <= len(w) and distance(w[:k], x) < 2}
+        return bool(near) and not near & set(model.spared)
+
+    def score(text):
+        low = text.lower()
+        places = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\w+", low)]
+        direct = quoted = addressed = 0
+        for i, (a, b, w) in enumerate(places):
+            if w not in known:
+                known[w] = hit(w)
+            if not known[w]:
+                continue
+            lo, hi = max(0, i - t.WINDOW), min(len(places) - 1, i + t.WINDOW)
+            near = {x for k, (_, _, x) in enumerate(places) if lo <= k <= hi and k != i}
+            if (set(low[places[lo][0] : a]) & set(t.QUOTES) and set(low[b : places[hi][1] + 1]) & set(t.QUOTES)) or near & t.SAYING:
+                quoted += 1
+            else:
+                direct += 1
+            addressed += bool(near & t.ADDRESS)
+        x = [math.log1p(v) for v in (direct, quoted, addressed, 100 * direct / max(1, len(places)))]
+        return 1 / (1 + math.exp(-sum(a * b for a, b in zip(model.weights, [*x, 1.0], strict=True))))
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = t.score(docs, model).collect()
+    assert len(got) == len(texts) and sum(r.predicted for r in got) > 0
+    for r in got:
+        want = score(texts[r.doc_id] or "")
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(want >= 0.5), r.doc_id
