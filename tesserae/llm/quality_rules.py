@@ -1,21 +1,30 @@
 """Quality rules: base counts, then robust multivariate outliers, with DataFrame operations only.
 
 The base counts are taken in one pass over the texts and written as a slim table. On its rows that
-pass the base rules, the minimum covariance determinant is sought per language and source: from
-coordinatewise medians and deviations, concentration steps keep the ``share`` of rows with the least
-Mahalanobis distance and estimate mean and covariance anew. The distance that keeps the share is
-read from a histogram of logarithmic bins, so no group is ever sorted or gathered, results do not
-depend on the order of rows, and a hot group costs a task no more than any other. The last estimate
-is made consistent for normal data; rows beyond ``cutoff`` are rejected.
+pass the base rules, the minimum covariance determinant is sought per language and source: the mean
+and covariance of the ``share`` of rows whose covariance has the least determinant. The search has
+``STARTS``: coordinatewise medians and quartiles, all rows, and small subsets chosen by hash. From each
+one, concentration steps keep the share of rows with the least Mahalanobis distance and estimate anew;
+after two steps the best ``BEST`` go on until the determinant stands still, and the least one wins.
 
-The transformed statistics are the log of the word count, the mean word length (shrunk toward
-``PRIOR_LENGTH`` by ``PRIOR_WORDS`` words, as short texts vary by chance), and the log of the symbol
-rate. Each variance gets a floor, as most clean texts have no symbol at all.
+A step is one aggregate per group and bin of the logarithm of the distance, with a map-side part. The
+bin in which the share is reached counts by the fraction that is wanted, so exactly the share is kept,
+no group is ever sorted or gathered, results do not depend on the order of rows, and a hot group costs
+a task no more than any other. The estimate is made consistent for normal data; rows beyond ``cutoff``
+are rejected, which is far out, since statistics of texts have longer tails than normal ones.
+
+The transformed statistics are the logs of the word count, of the mean word length and of the share of
+characters that are neither letters nor digits; the last two are shrunk toward ``PRIOR_LENGTH`` and
+``PRIOR_MARKS`` by ``PRIOR_WORDS`` words and ``PRIOR_CHARS`` characters, as short texts vary by chance.
+Where the covariance is degenerate (nearly all rows of a group share a value, or one statistic follows
+from others) a conditional standard deviation under ``FLOOR`` is raised to it, and the rows judged so are
+marked ``degenerate``.
 
 Sources with fewer than ``least`` passing rows in a language are judged by an estimate from all passing
-rows of the language, and languages with fewer by one from all passing rows. A null language
-or source is a group of its own. Null texts have no words and fail the base rules. Repeated rows
-count as often as they occur. Extra columns are ignored.
+rows of the language, and languages with fewer by one from all passing rows. If even those are fewer,
+standard deviations are at least those of ``FEW_ROWS``. A null language or source is a group of its
+own. Null texts have no words and fail the base rules. Repeated rows count as often as they occur.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +37,25 @@ from pyspark.sql import functions as F
 from . import shared
 
 SYMBOLS = "#*$%&|<>"
-PRIOR_LENGTH, PRIOR_WORDS = 5.0, 50.0
-SHARE, LEAST, STEPS = 0.75, 100, 3
-#: The chi-squared quantile of three degrees of freedom that one in a million clean rows passes.
-CUTOFF = 30.66
-#: Least standard deviations of the three statistics.
-FLOORS = (0.9, 0.35, 0.35)
+PRIOR_LENGTH, PRIOR_WORDS = 5.0, 20.0
+PRIOR_MARKS, PRIOR_CHARS = 0.03, 100.0
+SHARE, LEAST = 0.75, 100
+#: Rows of a start chosen by hash, seeds of such starts, starts that go on, and steps between two looks at the determinant.
+SUBSET, SEEDS, BEST, STEPS = 12, (1, 2), 2, 4
+STARTS = 2 + len(SEEDS)
+#: Relative change of the determinant in a step that counts as standing still, and looks at it before the search gives up.
+STILL, LOOKS = 1e-4, 15
+#: Squared distance beyond which a row is rejected: nearly eight standard deviations in some direction.
+CUTOFF = 60.0
+#: Least conditional standard deviation of each statistic, and least ones where fewer than ``LEAST`` rows are known.
+FLOOR, FEW_ROWS = (0.01, 0.01, 0.01), (1.0, 0.35, 1.0)
 #: Bins of the distance histogram in each unit of its logarithm.
-BINS = 64
+BINS = 32
 NAMES = ("x1", "x2", "x3")
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """Per row: doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and marks."""
     text = F.coalesce(docs["text"], F.lit(""))
     has = lambda c: docs[c].cast("string") if c in docs.columns else F.lit(None).cast("string")
     spaces = " \t\n\x0b\x0c\r"
@@ -50,6 +65,7 @@ def counted(docs: DataFrame) -> DataFrame:
         has("source").alias("source"),
         F.length(F.translate(text, spaces, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\x20\x09-\x0D]")).cast("long").alias("marks"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, spaces, "")) > 0).alias("lines"),
         shared.words_of(text).alias("words"),
     )
@@ -59,7 +75,7 @@ def counted(docs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("words") - 5), lambda i: F.xxhash64(*(F.get("words", i + k) for k in range(5)))),
     ).otherwise(F.array().cast("array<bigint>"))
     seen = base.select(
-        "doc_id", "lang", "source", "word_chars", "n_symbols",
+        "doc_id", "lang", "source", "word_chars", "n_symbols", "marks",
         F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         five.alias("five"),
@@ -73,7 +89,7 @@ def counted(docs: DataFrame) -> DataFrame:
     starts = ranked.withColumn("starts", F.when(F.col("by_hash").isNotNull(), F.sort_array(F.transform(often, lambda x: x["i"])))).drop("by_hash")
     zero = F.struct(F.lit(-5).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("starts", zero, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(5), i - a["last"])).alias("n")), lambda a: a["n"])
-    return starts.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return starts.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "marks", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -84,8 +100,8 @@ def statistics() -> list[Column]:
     words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
     return [
         F.log(words).alias("x1"),
-        ((chars + PRIOR_LENGTH * PRIOR_WORDS) / (words + PRIOR_WORDS)).alias("x2"),
-        F.log1p(F.lit(100.0) * F.col("n_symbols") / (chars + PRIOR_LENGTH * PRIOR_WORDS)).alias("x3"),
+        F.log((chars + PRIOR_LENGTH * PRIOR_WORDS) / (words + PRIOR_WORDS)).alias("x2"),
+        F.log((F.col("marks") + PRIOR_MARKS * PRIOR_CHARS) / (chars + PRIOR_CHARS)).alias("x3"),
     ]
 
 
@@ -107,58 +123,115 @@ def consistency(share: float, p: int = 3) -> float:
     return share / chi2_cdf(low, p + 2)
 
 
-def distance(floors: tuple[float, ...] = FLOORS) -> Column:
-    """Squared Mahalanobis distance of x1.. from m1.. with covariance c11.., by a Cholesky factor.
+CELLS = [(i, j) for i in range(1, 4) for j in range(i, 4)]
+ESTIMATE = [f"m{i}" for i in range(1, 4)] + [f"c{i}{j}" for i, j in CELLS]
+
 
-    The floors bound each variance from below and leave correlations as they are.
-    """
-    p = len(floors)
-    lifted = [F.greatest(F.lit(1.0), F.lit(f * f) / F.greatest(F.col(f"c{i}{i}"), F.lit(1e-12))) for i, f in enumerate(floors, 1)]
-    cell = lambda i, j: F.greatest(F.col(f"c{i}{i}"), F.lit(floors[i - 1] ** 2)) if i == j else F.col(f"c{j}{i}") * F.sqrt(lifted[i - 1] * lifted[j - 1]) * 0.999
+def factor(floor: tuple[float, ...] = FLOOR) -> tuple[dict[tuple[int, int], Column], list[Column]]:
+    """The Cholesky factor of c11.. with pivots of at least ``floor``, and the pivots as they were."""
     low: dict[tuple[int, int], Column] = {}
-    z: list[Column] = []
-    for i in range(1, p + 1):
+    pivots: list[Column] = []
+    for i in range(1, len(floor) + 1):
         for j in range(1, i + 1):
-            rest = cell(i, j)
+            rest = F.col(f"c{j}{i}")
             for k in range(1, j):
                 rest = rest - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / low[j, j]
+            if i == j:
+                pivots.append(rest)
+                rest = F.sqrt(F.greatest(rest, F.lit(floor[i - 1] ** 2)))
+            low[i, j] = rest if i == j else rest / low[j, j]
+    return low, pivots
+
+
+def factored(estimates: DataFrame, floor: Column | None = None) -> DataFrame:
+    """``estimates`` with the factor l11.., the determinant ``det`` and whether it is ``degenerate``."""
+    low, pivots = factor()
+    if floor is not None:  # estimates from few rows: the diagonal is raised, then factored again
+        raised = [F.when(floor, F.greatest(F.col(f"c{i}{i}"), F.lit(f * f))).otherwise(F.col(f"c{i}{i}")).alias(f"c{i}{i}") for i, f in enumerate(FEW_ROWS, 1)]
+        others = [F.when(floor, F.lit(0.0)).otherwise(F.col(f"c{i}{j}")).alias(f"c{i}{j}") for i, j in CELLS if i != j]
+        estimates = estimates.withColumn("few", floor).select(*[c for c in estimates.columns if not c.startswith("c")], "few", *raised, *others)
+    det = F.lit(1.0)
+    for i in range(1, 4):
+        det = det * low[i, i] * low[i, i]
+    flat = F.lit(False)
+    for p, f in zip(pivots, FLOOR, strict=True):
+        flat = flat | (p < f * f)
+    return estimates.withColumns({**{f"l{i}{j}": c for (i, j), c in low.items()}, "det": det, "degenerate": flat | F.col("few") if floor is not None else flat})
+
+
+def distance() -> Column:
+    """Squared Mahalanobis distance of x1.. from m1.. by the factor l11.."""
+    z: list[Column] = []
+    for i in range(1, 4):
         value = F.col(f"x{i}") - F.col(f"m{i}")
         for k in range(1, i):
-            value = value - low[i, k] * z[k - 1]
-        z.append(value / low[i, i])
-    out = z[0] * z[0]
-    for v in z[1:]:
-        out = out + v * v
-    return out
+            value = value - F.col(f"l{i}{k}") * z[k - 1]
+        z.append(value / F.col(f"l{i}{i}"))
+    return z[0] * z[0] + z[1] * z[1] + z[2] * z[2]
 
 
-CELLS = [(i, j) for i in range(1, 4) for j in range(i, 4)]
+def starts(rows: DataFrame) -> DataFrame:
+    """Estimates (g, s, m1.., c11..) that the search begins from."""
+    quarters = rows.groupBy("g").agg(*[F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(x) for x in NAMES])
+    middle = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(NAMES, 1)]
+    spread = [(F.pow((F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
+    made = quarters.select("g", F.lit(0).alias("s"), *middle, *spread)
+    moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES, 1)] + [F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in CELLS]
+    made = made.unionByName(rows.groupBy("g").agg(*moments).withColumn("s", F.lit(1)))
+    for s, seed in enumerate(SEEDS, 2):
+        order = Window.partitionBy("g").orderBy(F.xxhash64(*NAMES, F.lit(seed)), *NAMES)
+        some = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SUBSET)
+        made = made.unionByName(some.groupBy("g").agg(*moments).withColumn("s", F.lit(s)))
+    return made.select("g", "s", *ESTIMATE)
+
+
+def step(rows: DataFrame, now: DataFrame, share: float, count: int) -> DataFrame:
+    """One concentration step from the estimates ``now`` (g, s, m1.., c11..), of which there are ``count`` at most; ``old`` is their determinant."""
+    here = factored(now).select("g", "s", "m1", "m2", "m3", *[f"l{i}{j}" for i in range(1, 4) for j in range(1, i + 1)], F.col("det").alias("old"))
+    met = rows.join(shared.small(here, count), "g")
+    off = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(NAMES, 1)]
+    same = ["m1", "m2", "m3", "old"]  # of one estimate throughout
+    near = met.select("g", "s", F.floor(F.log(distance() + 1e-9) * BINS).alias("bin"), *same, *[o.alias(f"o{i}") for i, o in enumerate(off, 1)])
+    sums = [F.count("*").alias("n")] + [F.sum(f"o{i}").alias(f"a{i}") for i in range(1, 4)] + [F.sum(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"b{i}{j}") for i, j in CELLS]
+    bins = near.groupBy("g", "s", "bin").agg(*sums, *[F.first(c).alias(c) for c in same])
+    upto = Window.partitionBy("g", "s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(upto), F.lit(0))
+    wanted = F.lit(share) * F.sum("n").over(Window.partitionBy("g", "s"))
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wanted - below) / F.col("n")))
+    kept = bins.withColumn("part", part).where("part > 0")
+    total = F.sum(F.col("part") * F.col("n"))
+    means = [(F.sum(F.col("part") * F.col(f"a{i}")) / total).alias(f"a{i}") for i in range(1, 4)]
+    squares = [(F.sum(F.col("part") * F.col(f"b{i}{j}")) / total).alias(f"b{i}{j}") for i, j in CELLS]
+    moved = kept.groupBy("g", "s").agg(*means, *squares, *[F.first(c).alias(c) for c in same])
+    mean = [(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(1, 4)]
+    return moved.select("g", "s", *mean, *[(F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i, j in CELLS], "old")
+
+
+def estimates(rows: DataFrame, share: float = SHARE, groups: int = shared.FEW + 1) -> DataFrame:
+    """Per group ``g`` of rows (g, x1, x2, x3): m1.. and c11.. of the least determinant found, of ``groups`` at most."""
+    spark = rows.sparkSession
+
+    def go(now: DataFrame, steps: int, count: int) -> DataFrame:
+        for _ in range(steps):
+            now = step(rows, now, share, count)
+        return now
 
+    def best(now: DataFrame, most: int) -> DataFrame:
+        return now.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy("det", "s"))).where(F.col("nth") <= most).drop("nth")
 
-def moments() -> list[Column]:
-    out = [F.avg(x).alias(f"m{i}") for i, x in enumerate(NAMES, 1)]
-    return out + [F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
-
-
-def estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS, groups: int = shared.FEW + 1) -> DataFrame:
-    """Per group ``g`` of rows (g, x1, x2, x3): m1.. and c11.., one small row each of ``groups`` at most."""
-    mid = F.percentile_approx
-    start = rows.groupBy("g").agg(*[mid(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(1000)).alias(x) for x in NAMES])
-    first = [F.col(x)[1].alias(f"m{i}") for i, x in enumerate(NAMES, 1)]
-    first += [(F.pow((F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in CELLS]
-    now = shared.stored(start.select("g", *first), "mcd")
-    for k in range(steps):
-        near = rows.join(shared.small(now, groups), "g").select("g", *NAMES, F.floor(F.log(distance() + 1e-9) * BINS).alias("bin"))
-        counts = near.groupBy("g", "bin").count()
-        upto = Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        edge = counts.select("g", "bin", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("below"), F.sum("count").over(Window.partitionBy("g")).alias("n"))
-        most = edge.where(F.col("below") < F.lit(share) * F.col("n")).groupBy("g").agg(F.max("bin").alias("most"))
-        kept = near.join(shared.small(most, groups), "g").where(F.col("bin") <= F.col("most"))
-        old, now = now, shared.stored(kept.groupBy("g").agg(*moments()), "mcd")
-        shared.dropped(rows.sparkSession, old)
+    plain = ["g", "s", *ESTIMATE, "old", "det"]
+    first = shared.stored(starts(rows), "mcd")
+    now = shared.stored(best(factored(go(first, 2, groups * STARTS)).select(*plain), BEST), "mcd")
+    shared.dropped(spark, first)
+    for _ in range(LOOKS):
+        after = shared.stored(factored(go(now, STEPS, groups * BEST)).select(*plain), "mcd")
+        still = after.where(F.abs(F.col("det") - F.col("old")) > STILL * F.col("old")).isEmpty()
+        shared.dropped(spark, now)
+        now = after
+        if still:
+            break
     scale = consistency(share)
-    return now.select("g", *[f"m{i}" for i in range(1, 4)], *[(F.col(f"c{i}{j}") * scale).alias(f"c{i}{j}") for i, j in CELLS])
+    return best(now, 1).select("g", *[f"m{i}" for i in range(1, 4)], *[(F.col(f"c{i}{j}") * scale).alias(f"c{i}{j}") for i, j in CELLS])
 
 
 def _keys() -> tuple[Column, Column, Column]:
@@ -168,7 +241,7 @@ def _keys() -> tuple[Column, Column, Column]:
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """Per row: doc_id, the base counts, base_failed, the squared distance and kept."""
+    """Per row: doc_id, the base counts, base_failed, kept, the squared distance and degenerate."""
     slim = shared.stored(counted(docs), "quality")
     passed = slim.where(~base_failed())
     own, pool, every = _keys()
@@ -181,18 +254,20 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF, least: int = LEAST, share: fl
     pooled = F.max(F.col("g") == F.col("pool")).over(Window.partitionBy("pool"))
     alone = not homes.where(F.col("g") == every).isEmpty()
     feeds = F.array(F.when(F.col("n") >= least, F.col("own")), F.when(pooled, F.col("pool")), every if alone else F.lit(None))
-    homes = shared.stored(homes.select("own", "g", F.array_compact(feeds).alias("feeds")), "homes")
-    sized = slim.withColumn("own", own).join(shared.small(homes, groups), "own", "left")
+    homes = shared.stored(homes.select("own", "g", "n", F.array_compact(feeds).alias("feeds")), "homes")
+    sized = slim.withColumn("own", own).join(shared.small(homes.drop("n"), groups), "own", "left")
     grouped = sized.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "marks",
         "g", "feeds", base_failed().alias("base_failed"),
     )
-    rows = grouped.where(~F.col("base_failed")).select(F.explode("feeds").alias("g"), *statistics())
-    found = estimates(rows, share, groups=groups)
+    rows = shared.stored(grouped.where(~F.col("base_failed")).select(F.explode("feeds").alias("g"), *statistics()), "vectors")
+    passing = homes.agg(F.sum("n")).first()[0] or 0
+    found = shared.stored(factored(estimates(rows, share, groups=groups), F.lit(passing < least)), "estimates")
+    shared.dropped(docs.sparkSession, rows)
     placed = grouped.join(shared.small(found, groups), "g", "left").withColumns({n: c for n, c in zip(NAMES, statistics(), strict=True)})
     scored = placed.withColumn("distance", F.when(~F.col("base_failed"), distance()))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"),
-        "distance",
+        "distance", F.when(~F.col("base_failed"), F.col("degenerate")).alias("degenerate"),
     )
