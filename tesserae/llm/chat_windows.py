@@ -4,12 +4,20 @@ Template: ``### role<:> text</turn>`` and a line end per turn. In roles and text
 behind every ``<``, ``#`` and backslash, so none of the control strings can occur in them, and taking
 those backslashes out again restores them exactly.
 
+Tokens of a turn are counted by the pre-token rule of byte-level tokenizers, in SQL expressions:
+contractions, words, numbers, other characters and white space with the space before them, one token
+for every six letters, three digits or four other characters begun, and four for the template.
+
 Windows: prefix sums of turn tokens cut the turns after the system turn into spans of at most
 ``budget - system - history`` tokens, never inside a turn (a longer turn is a span of its own, and
 its window is marked ``over_budget``). A window holds the system turn, as much of the turns before
 its span as fits ``history`` tokens and ``history_turns`` turns, and its span. The loss mask covers
 the texts of assistant turns in the span alone, so repeated targets are masked once and only once.
 
+A conversation is one row of turns. Its prefix sums are folded in blocks of ``BLOCK`` turns, and each
+window takes its own turns out of the row before windows become rows, so time and memory are in
+proportion to the conversation's text; that is bounded by Spark's limit of 2 GB for a row.
+
 Turns are ordered by (turn, role, text), null turns first; null roles and texts are empty; repeated
 rows are turns of their own; a null conv_id is a conversation. Extra columns are ignored.
 """
@@ -21,6 +29,11 @@ from pyspark.sql import functions as F
 
 BUDGET, HISTORY, HISTORY_TURNS = 1024, 192, 2
 OPEN, MIDDLE, CLOSE = "### ", "<:> ", "</turn>\n"
+#: Turns that one step of the outer fold takes.
+BLOCK = 256
+#: What counts as a token: pre-tokens, cut where they are long.
+PIECES = r"'(?:s|t|re|ve|m|ll|d)|\x20?\p{L}{1,6}|\x20?\p{N}{1,3}|\x20?[^\x20\x09-\x0D\p{L}\p{N}]{1,4}|[\x20\x09-\x0D]+"
+FRAME = 4
 
 
 def escaped(text: Column) -> Column:
@@ -47,7 +60,7 @@ def windows(convs: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
             t["role"].alias("role"),
             F.concat(F.lit(OPEN), role, F.lit(MIDDLE), text, F.lit(CLOSE)).alias("said"),
             (F.length(role) + len(OPEN + MIDDLE)).alias("from"),
-            (F.ceil(F.length(t["text"]) / 4) + 4).cast("long").alias("tokens"),
+            (F.regexp_count(t["text"], F.lit(PIECES)) + FRAME).cast("long").alias("tokens"),
         )
 
     shown = told.select("conv_id", F.transform("turns", piece).alias("p"))
@@ -56,34 +69,46 @@ def windows(convs: DataFrame, budget: int = BUDGET, history: int = HISTORY, hist
     cap = F.greatest(F.lit(1), F.lit(budget - history) - F.when(system == 1, F.col("p")[0]["tokens"]).otherwise(0))
     cut = shown.select("conv_id", "p", system.alias("s"), n.alias("n"), cap.alias("cap"))
 
-    # The running prefix sum opens a span wherever the sum since the last opening passes the cap.
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("base"), F.col("s").alias("i"), F.array().cast("array<int>").alias("starts"))
+    # The running prefix sum opens a span wherever the sum since the last opening passes the cap. Blocks
+    # of turns are folded one by one, so that the list of openings is copied per block and not per turn.
+    long, none = F.lit(0).cast("long"), F.array().cast("array<int>")
+    cut = cut.withColumn("tokens", F.transform("p", lambda t: t["tokens"]))
 
-    def step(a: Column, t: Column) -> Column:
-        total = a["sum"] + t["tokens"]
-        opens = (F.size(a["starts"]) == 0) | (total - a["base"] > F.col("cap"))
+    def step(a: Column, i: Column) -> Column:
+        total = a["sum"] + F.get("tokens", i)
+        opens = (i == F.col("s")) | (total - a["base"] > F.col("cap"))
         return F.struct(
             total.alias("sum"),
             F.when(opens, a["sum"]).otherwise(a["base"]).alias("base"),
-            (a["i"] + 1).alias("i"),
-            F.when(opens, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"),
+            F.when(opens, F.concat(a["starts"], F.array(i))).otherwise(a["starts"]).alias("starts"),
         )
 
-    found = F.aggregate(F.slice("p", F.col("s") + 1, F.greatest(F.lit(0), F.col("n") - F.col("s"))), start, step, lambda a: a["starts"])
-    spans = cut.select("conv_id", "p", "s", "n", F.when(F.size(found) == 0, F.array("s")).otherwise(found).alias("starts"))
-    each = spans.select("conv_id", "p", "s", "n", "starts", F.posexplode("starts").alias("window", "a"))
-    end = F.coalesce(F.get("starts", F.col("window") + 1), F.col("n"))
-    back = F.filter(
-        F.sequence(F.lit(1), F.lit(history_turns)),
-        lambda k: (F.col("a") - k >= F.col("s")) & (F.aggregate(F.slice("p", F.greatest(F.lit(1), F.col("a") - k + 1), k), F.lit(0).cast("long"), lambda x, t: x + t["tokens"]) <= history),
-    )
-    sized = each.select("conv_id", "p", "s", "window", "a", end.alias("b"), F.when(F.col("window") == 0, 0).otherwise(F.size(back)).alias("h"))
-    chosen = sized.select(
-        "conv_id",
-        "window",
-        F.when(F.col("window") == 0, 0).otherwise(F.col("s") + F.col("h")).alias("repeated"),
-        F.concat(F.slice("p", F.lit(1), F.col("s")), F.slice("p", F.col("a") - F.col("h") + 1, F.col("b") - F.col("a") + F.col("h"))).alias("held"),
-    )
+    def block(a: Column, first: Column) -> Column:
+        turns = F.sequence(first, F.least(F.col("n") - 1, first + (BLOCK - 1)))
+        begin = F.struct(a["sum"].alias("sum"), a["base"].alias("base"), none.alias("starts"))
+        return F.aggregate(turns, begin, step, lambda x: F.struct(x["sum"].alias("sum"), x["base"].alias("base"), F.concat(a["starts"], x["starts"]).alias("starts")))
+
+    firsts = F.when(F.col("n") > F.col("s"), F.sequence(F.col("s"), F.col("n") - 1, F.lit(BLOCK))).otherwise(none)
+    found = F.aggregate(firsts, F.struct(long.alias("sum"), long.alias("base"), none.alias("starts")), block, lambda a: a["starts"])
+    spans = cut.select("conv_id", "p", "s", "n", "tokens", F.when(F.size(found) == 0, F.array("s")).otherwise(found).alias("starts"))
+
+    def window(a: Column, k: Column) -> Column:
+        """The turns of the span that begins at ``a``, with the system turn and history before them."""
+        sizes = [F.coalesce(F.get("tokens", a - j), long) for j in range(1, history_turns + 1)]
+        back = F.lit(0)
+        for j in range(history_turns, 0, -1):  # the most turns of the history that fit
+            fits = (a - j >= F.col("s")) & (sum(sizes[1:j], sizes[0]) <= history)
+            back = F.when(fits, F.greatest(back, F.lit(j))).otherwise(back)
+        h = F.when(k == 0, 0).otherwise(back)
+        end = F.coalesce(F.get("starts", k + 1), F.col("n"))
+        return F.struct(
+            k.alias("window"),
+            F.when(k == 0, 0).otherwise(F.col("s") + h).alias("repeated"),
+            F.concat(F.slice("p", F.lit(1), F.col("s")), F.slice("p", a - h + 1, end - a + h)).alias("held"),
+        )
+
+    made = spans.select("conv_id", F.explode(F.transform("starts", window)).alias("w"))
+    chosen = made.select("conv_id", "w.window", "w.repeated", "w.held")
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def mark(a: Column, t: Column) -> Column:
@@ -142,7 +167,7 @@ WITH RECURSIVE c AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM c
 ), u AS (
-  SELECT conv_id, role, text, i, CAST(ceil(length(text) / CAST(4 AS DOUBLE)) AS BIGINT) + 4 AS tok,
+  SELECT conv_id, role, text, i, CAST(len(regexp_extract_all(text, '{pieces}')) AS BIGINT) + 4 AS tok,
     16 + length(role) + length(text) + length(regexp_replace(role || text, '[^<#\\]', '', 'g')) AS size FROM t
 ), v AS (
   SELECT u.*, CASE WHEN h.role = 'system' THEN 1 ELSE 0 END AS s, greatest(1, 832 - CASE WHEN h.role = 'system' THEN h.tok ELSE 0 END) AS cap,
@@ -166,4 +191,4 @@ WITH RECURSIVE c AS (
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   CAST(told.size + coalesce(repeats.size, 0) AS BIGINT) AS formatted_chars, 1 + coalesce(repeats.n, 0) AS n_windows
 FROM told LEFT JOIN repeats USING (conv_id)
-"""
+""".replace("{pieces}", PIECES.replace("'", "''"))

@@ -1,6 +1,7 @@
 """The round trip against the source rows, and the windows' own promises."""
 
 import hashlib
+import time
 from collections import defaultdict
 
 import duckdb
@@ -70,3 +71,19 @@ def test_query_equals_sql(spark, sf):
     got = op5_chat_windows(spark, d).select(*want.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
     assert {t for _, t in got.dtypes} == {"bigint", "string"} and {str(t) for t in want.types} == {"BIGINT", "VARCHAR"}
+
+
+def test_a_conversation_of_fifty_thousand_turns(spark):
+    """15 MB of text in one conversation, in the test session's 3 GB; windows hold all turns and little else."""
+    from pyspark.sql import functions as F
+
+    turns = spark.range(50_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat_ws(" ", F.lit("turn"), F.col("id").cast("string"), F.repeat(F.lit("word <#> "), 33)).alias("text"),
+    )
+    started = time.time()
+    r = read_back(windows(turns)).collect()[0]
+    assert got(read_back(windows(turns))) == brute([tuple(x) for x in turns.collect()])
+    assert r.n_turns == 50_000 and r.formatted_chars < 25_000_000 and r.n_windows > 4_000
+    assert time.time() - started < 120
