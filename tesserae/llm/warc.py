@@ -6,18 +6,22 @@ of the length that its last field declares, and a line end. Lengths alone delimi
 
 WARC. From each record an identifier, a timestamp, a type and digests are synthesised: HTTP answers
 become ``response``, DNS and other answers ``resource``, version blocks ``warcinfo``. Identifiers are
-name-based, so reruns agree. Of records with equal payloads of at least ``LEAST`` bytes all but the
-one with the largest key become ``revisit``, which hold the HTTP header without the payload.
+named by archive, place in it and content, so they are unique, and reruns over the same splits agree.
+Of records with equal payloads of at least ``LEAST`` bytes all but the one with the largest key become
+``revisit``, which hold the HTTP header without the payload and refer to that record.
+
+Pages are written as ARC records, one for each row whatever its URL: white space in it, and the first
+letter of one that would begin like a version block, are percent-encoded. The converted records are
+written as a table once, so what is a revisit is decided on its slim columns.
 
 Files are written by Spark's text sink, gzipped, with the blank lines that end a WARC record as the
-line separator; its commit protocol makes a lost executor harmless. Reading goes by declared
-lengths, never by separators, and holds one file and one record at a time. How large files get follows from the
-split size of the input.
+line separator; its commit protocol makes a lost executor harmless. A file holds what a split of the
+records holds, or ``FILE_BYTES`` of payload on average where records are dealt out. Reading goes by declared
+lengths, never by separators, from the compressed bytes of one file, one record at a time.
 
 A null payload is empty, a null URL is ``http://unknown.invalid/``, and a null key is written as no
-key: such a record is a response if its payload has no other key. Rows that repeat a key are records
-of their own, and are all responses if the key is the largest of its payload. Extra columns are
-ignored.
+key: such a record is always a response. Rows that repeat a key are records of their own, and are all
+responses if the key is the largest of its payload. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 
-LEAST, BROADCAST_ROWS, ARC_BYTES = 1000, 50_000, 4_000_000
+LEAST, BROADCAST_ROWS, ARC_BYTES, FILE_BYTES, ROWS = 1000, 50_000, 4_000_000, 256_000_000, 5_000
 #: Header fields of the two ARC versions (fixed values of the format).
 FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -59,11 +64,12 @@ class ArcRecord:
     date: str
     content_type: str
     body: bytes
+    place: str = ""  # name of the archive and offset in it
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records of one ARC file, the version block first. Raises ValueError where it is broken."""
-    at, fields = 0, FIELDS[1].split()
+    at, fields, name = 0, FIELDS[1].split(), ""
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -80,10 +86,11 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if len(body) != size:
             raise ValueError(f"the record at byte {at} declares {size} bytes, {len(body)} are left")
         if first:
+            name = row["URL"]
             lines = body.decode("utf-8", "replace").splitlines()
             version = int(lines[0].split()[0])
             fields = lines[1].split() if len(lines) > 1 and lines[1].startswith("URL ") else FIELDS[version].split()
-        yield ArcRecord(row["URL"], row["IP-address"], row["Archive-date"], row["Content-type"], body)
+        yield ArcRecord(row["URL"], row["IP-address"], row["Archive-date"], row["Content-type"], body, f"{name}#{at}")
         at = end + 1 + size
 
 
@@ -132,6 +139,10 @@ def iso_date(date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
+def record_id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>"
+
+
 def to_warc(arc: ArcRecord) -> WarcRecord:
     """The WARC equivalent of an ARC record."""
     date = iso_date(arc.date)
@@ -139,23 +150,23 @@ def to_warc(arc: ArcRecord) -> WarcRecord:
     if arc.url.startswith("filedesc://"):
         kind, content = "warcinfo", "application/warc-fields"
         payload = f"software: tesserae\r\nformat: WARC/1.1\r\ndescription: converted from {arc.url[11:]}\r\n".encode()
-    elif arc.body.startswith(b"HTTP/") and not arc.url.startswith("dns:"):
+    elif arc.body.startswith(b"HTTP/"):
         kind, content = "response", "application/http; msgtype=response"
         m = re.search(rb"\r?\n\r?\n", arc.body)
         cut = m.end() if m else len(arc.body)
         head, payload = arc.body[:cut], arc.body[cut:]
     elif arc.url.startswith("dns:"):
         content = "text/dns"
-    name = f"{arc.url} {date} {hashlib.sha1(arc.body).hexdigest()}"
-    return WarcRecord(f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>", kind, arc.url, date, content, head, payload)
+    return WarcRecord(record_id(f"{arc.place} {arc.url} {date} {hashlib.sha1(arc.body).hexdigest()}"), kind, arc.url, date, content, head, payload)
 
 
 def base32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record_bytes(r: WarcRecord, refers: int | None = None, revisit: bool = False) -> bytes:
-    """A record without the blank lines that end it; as a revisit it leaves out its payload."""
+def record_bytes(r: WarcRecord, refers: int | None = None, refers_id: str | None = None) -> bytes:
+    """A record without the blank lines that end it; as a revisit of ``refers_id`` it leaves out its payload."""
+    revisit = refers_id is not None
     block = r.head if revisit else r.head + r.payload
     lines = [
         "WARC/1.1",
@@ -170,7 +181,8 @@ def record_bytes(r: WarcRecord, refers: int | None = None, revisit: bool = False
     ]
     if revisit:
         lines.insert(5, "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.insert(6, f"X-Refers-To-Key: {refers}")
+        lines.insert(6, f"WARC-Refers-To: {refers_id}")
+        lines.insert(7, f"X-Refers-To-Key: {refers}")
     return "\r\n".join(lines).encode() + END.encode() + block
 
 
@@ -199,69 +211,94 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
 
 # --- DataFrames ---------------------------------------------------------------------------------
 
-_RECORDS = "key long, record_id string, kind string, url string, date string, content_type string, digest binary, size long"
+_RECORDS = "key long, record_id string, kind string, url string, date string, content_type string, digest binary, size long, head binary, payload binary"
 
 
-def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 1) -> DataFrame:
-    """ARC files (column ``arc``) of about ``ARC_BYTES``, that hold the pages as HTTP answers."""
+def arc_url(url: str | None) -> str:
+    """The URL of a page as it can stand in an ARC header line."""
+    plain = re.sub(r"\s", "%20", url) if url else "http://unknown.invalid/"
+    return f"%{ord(plain[0]):02x}{plain[1:]}" if plain.startswith("filedesc://") else plain
 
-    def run(batches):
-        for batch in shared.slices(batches, 2, ARC_BYTES):
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            plain = ((re.sub(r"\s", "%20", u) if u else "http://unknown.invalid/", http_answer((h or "").encode(), k)) for k, u, h in rows)
-            yield pa.RecordBatch.from_arrays([pa.array([make_arc(plain, version)], pa.binary())], names=["arc"])
 
-    slim = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
-    return slim.mapInArrow(run, "arc binary")
+def _arcs(batches: Iterator[pa.RecordBatch], version: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, url, payload) to ARC files; the task's number and the file's make its name."""
+    task = TaskContext.get().partitionId()
+    for n, batch in enumerate(shared.slices(batches, 2, ARC_BYTES)):
+        rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        plain = ((arc_url(u), http_answer((h or "").encode(), k)) for k, u, h in rows)
+        yield pa.RecordBatch.from_arrays([pa.array([make_arc(plain, version, name=f"pages-{task:06d}-{n:06d}.arc")], pa.binary())], names=["arc"])
 
 
-def records(arcs: DataFrame, blocks: bool = True) -> DataFrame:
-    """The WARC equivalents of the records in ARC files; without ``blocks`` only their descriptions."""
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ARC files to the WARC equivalents of their records."""
+    for batch in batches:
+        for data in batch.column(0):
+            found = [to_warc(a) for a in parse_arc(data.as_py() or b"") if not a.url.startswith("filedesc://")]
+            cols = [
+                pa.array([r.key for r in found], pa.int64()),
+                *(pa.array([getattr(r, n) for r in found], pa.string()) for n in ("record_id", "kind", "url", "date", "content_type")),
+                pa.array([r.digest for r in found], pa.binary()),
+                pa.array([len(r.payload) for r in found], pa.int64()),
+                pa.array([r.head for r in found], pa.binary()),
+                pa.array([r.payload for r in found], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "record_id", "kind", "url", "date", "content_type", "digest", "size", "head", "payload"])
 
-    def run(batches):
-        for batch in batches:
-            for data in batch.column(0):
-                found = [to_warc(a) for a in parse_arc(data.as_py() or b"") if not a.url.startswith("filedesc://")]
-                cols = [
-                    pa.array([r.key for r in found], pa.int64()),
-                    *(pa.array([getattr(r, n) for r in found], pa.string()) for n in ("record_id", "kind", "url", "date", "content_type")),
-                    pa.array([r.digest for r in found], pa.binary()),
-                    pa.array([len(r.payload) for r in found], pa.int64()),
-                ]
-                if blocks:
-                    cols += [pa.array([r.head for r in found], pa.binary()), pa.array([r.payload for r in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "record_id", "kind", "url", "date", "content_type", "digest", "size", "head", "payload"][: len(cols)])
 
-    return arcs.select("arc").mapInArrow(run, _RECORDS + (", head binary, payload binary" if blocks else ""))
+def _slim(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
+    shared.small_batches(pages.sparkSession)
+    return pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.col(payload).alias("payload"))
+
+
+def pages_to_arc(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", version: int = 1) -> DataFrame:
+    """ARC files (column ``arc``) of about ``ARC_BYTES``, that hold the pages as HTTP answers."""
+    return _slim(pages, key, url, payload).mapInArrow(lambda batches: _arcs(batches, version), "arc binary")
+
+
+def records(arcs: DataFrame) -> DataFrame:
+    """The WARC equivalents of the records in ARC files."""
+    return arcs.select("arc").mapInArrow(_records, _RECORDS)
+
+
+def pages_to_records(pages: DataFrame, version: int = 1, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """``records(pages_to_arc(pages))`` in one step, so that an archive never leaves the task."""
+    return _slim(pages, key, url, payload).mapInArrow(lambda batches: _records(_arcs(batches, version)), _RECORDS)
 
 
 def revisits(described: DataFrame, least: int = LEAST) -> DataFrame:
-    """(key, refers) of each response whose payload of ``least`` bytes or more has a larger key."""
-    large = described.where((F.col("size") >= least) & (F.col("kind") == "response"))
-    groups = large.groupBy("digest", "size").agg(F.max("key").alias("refers"), F.count("*").alias("n")).where("n > 1")
-    return large.join(groups, ["digest", "size"]).where("key < refers").select("key", "digest", "refers").distinct()
+    """(record_id, refers, refers_id) of each response whose payload of ``least`` bytes or more has a larger key."""
+    large = described.where((F.col("size") >= least) & (F.col("kind") == "response") & F.col("key").isNotNull())
+    last = F.max(F.struct("key", "record_id")).alias("last")
+    groups = large.groupBy("digest", "size").agg(last, F.count("*").alias("n")).where("n > 1")
+    named = shared.stored(groups.select("digest", "size", F.col("last.key").alias("refers"), F.col("last.record_id").alias("refers_id")), "payloads")
+    met = large.select("key", "record_id", "digest", "size").join(shared.small(named, named.count()), ["digest", "size"])
+    return met.where("key < refers").select("record_id", "refers", "refers_id")
 
 
 def write_warc(whole: DataFrame, decisions: DataFrame, path: str) -> None:
     """Write gzipped WARC files; each begins with a warcinfo record.
 
     The decisions are broadcast only if there are few of them, which is counted; otherwise the
-    records are dealt out by key and joined.
+    records are dealt out by their identifiers, in as many parts as their sizes need, and joined.
     """
     if decisions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        decisions = F.broadcast(decisions)
-    joined = whole.join(decisions, ["key", "digest"], "left")
-    cols = ["key", "record_id", "kind", "url", "date", "content_type", "head", "payload", "refers"]
+        joined = whole.join(F.broadcast(decisions), "record_id", "left")
+    else:
+        total = whole.agg(F.sum("size")).first()[0] or 0
+        parts = 1 + total // FILE_BYTES
+        joined = whole.repartition(parts, "record_id").join(decisions.repartition(parts, "record_id"), "record_id", "left")
+    cols = ["key", "record_id", "kind", "url", "date", "content_type", "head", "payload", "refers", "refers_id"]
 
     def run(batches):
-        info = to_warc(ArcRecord("filedesc://converted", "0.0.0.0", DATE, "text/plain", b""))
         first = True
         for batch in shared.slices(batches, 7):
-            out = [record_bytes(info)] if first and batch.num_rows else []
-            first = first and not batch.num_rows
+            out = []
             for r in batch.to_pylist():
                 w = WarcRecord(r["record_id"], r["kind"], r["url"], r["date"], r["content_type"], r["head"], r["payload"])
-                out.append(record_bytes(w, r["refers"], revisit=r["refers"] is not None))
+                if first:
+                    out.append(record_bytes(to_warc(ArcRecord("filedesc://converted", "0.0.0.0", DATE, "text/plain", b"", w.record_id))))
+                    first = False
+                out.append(record_bytes(w, r["refers"], r["refers_id"]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = joined.select(*cols).mapInArrow(run, "value binary")
@@ -272,11 +309,17 @@ def write_warc(whole: DataFrame, decisions: DataFrame, path: str) -> None:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Per response or revisit: key, payload_bytes, payload_digest (hex), record_type, refers_to."""
 
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def give(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 rows = []
-                for fields, block in parse_warc(gzip.GzipFile(fileobj=io.BytesIO(data.as_py()))):
+                for fields, block in parse_warc(gzip.GzipFile(fileobj=pa.BufferReader(data.as_buffer()))):
                     kind = fields["warc-type"]
                     if kind not in ("response", "revisit"):
                         continue
@@ -289,9 +332,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     key = re.search(rb"(?mi)^" + KEY + rb": (-?\d+)\r?$", head)
                     refers = fields.get("x-refers-to-key")
                     rows.append((int(key[1]) if key else None, size, told.hex(), kind, int(refers) if refers else None))
-                cols = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    if len(rows) == ROWS:
+                        yield give(rows)
+                        rows = []
+                yield give(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(run, "key long, payload_bytes long, payload_digest string, record_type string, refers_to long")
@@ -299,12 +343,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def convert(pages: DataFrame, path: str, version: int = 1, least: int = LEAST) -> DataFrame:
     """Pages to ARC to deduplicated WARC files under ``path``, and what reading those gives."""
-    arcs = pages_to_arc(pages, version=version)
-    described = shared.stored(records(arcs, blocks=False).select("key", "kind", "digest", "size"), "described")
-    decisions = shared.stored(revisits(described, least), "revisits")
-    shared.dropped(pages.sparkSession, described)
-    write_warc(records(arcs), decisions, path)
-    return read_warc(pages.sparkSession, path)
+    spark = pages.sparkSession
+    made = shared.stored(pages_to_records(pages, version), "records", even=False)
+    decisions = shared.stored(revisits(made.select("key", "record_id", "kind", "digest", "size"), least), "revisits")
+    write_warc(made, decisions, path)
+    for table in (made, decisions):
+        shared.dropped(spark, table)
+    return read_warc(spark, path)
 
 
 ORACLE_SQL = """

@@ -49,21 +49,30 @@ def brute(rows):
 def test_odd_rows_and_files(spark, tmp_path, monkeypatch, version, most):
     monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
     big = "é\r\n\r\nWARC/1.1\r\n" * 400
-    rows = [(1, "http://a b\nc", big), (5, None, big), (3, "http://x", big), (5, "http://y", big), (7, "http://x", "short"), (9, "http://x", "short"), (11, "", None), (None, "http://n", big), (12, "u", ""), (-4, "http://m", "q" * 2_000_000)]
+    rows = [(1, "http://a b\nc", big), (5, None, big), (3, "http://x", big), (5, "http://y", big), (7, "http://x", "short"), (9, "http://x", "short"), (11, "", None), (None, "http://n", big), (12, "u", ""), (13, "dns:a", "d"), (14, "filedesc://b c", big), (14, "filedesc://b c", big), (15, "HTTP/1.0\x00", "e"), (-4, "http://m", "q" * 2_000_000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, digest int")
     path = f"file://{tmp_path}/w"
     got = warc.convert(df, path, version)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
     files = [f for f in (tmp_path / "w").glob("part-*") if f.stat().st_size > 60]
+    told = []
     for f in files:
-        kinds = [h["warc-type"] for h, _ in warc.parse_warc(gzip.GzipFile(fileobj=io.BytesIO(f.read_bytes())))]
+        heads = [h for h, _ in warc.parse_warc(gzip.GzipFile(fileobj=io.BytesIO(f.read_bytes())))]
+        kinds = [h["warc-type"] for h in heads]
         assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        told += heads
+    by = {h["warc-record-id"]: h for h in told}
+    assert len(by) == len(told) == len(rows) + len(files)
+    again = [h for h in told if h["warc-type"] == "revisit"]
+    assert again and all(by[h["warc-refers-to"]]["warc-payload-digest"] == h["warc-payload-digest"] for h in again)
+    assert all(by[h["warc-refers-to"]]["warc-type"] == "response" for h in again)
+    assert {h["warc-target-uri"] for h in told if "warc-target-uri" in h} >= {"dns:a", "%66iledesc://b%20c", "http://a%20b%20c"}
     assert warc.convert(df.limit(0), f"file://{tmp_path}/e", version).count() == 0
 
 
 def test_bytes_survive_the_text_sink(spark, tmp_path):
     raw = bytes(range(256)) * 50
     arcs = spark.createDataFrame([(warc.make_arc(iter([("http://b", warc.http_answer(raw, 4))])),)], "arc binary")
-    none = spark.createDataFrame([], "key long, digest binary, refers long")
+    none = spark.createDataFrame([], "record_id string, refers long, refers_id string")
     warc.write_warc(warc.records(arcs), none, f"file://{tmp_path}/b")
     assert [tuple(r) for r in warc.read_warc(spark, f"file://{tmp_path}/b").collect()] == [(4, len(raw), hashlib.sha1(raw).hexdigest(), "response", None)]
