@@ -23,11 +23,14 @@ SPACE = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a local session)
-    a temporary folder is made and recorded in the session, and removed when Python ends.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset in a local session
+    a temporary folder is made and recorded in the session, and removed when Python ends. On a
+    cluster it must be set, as executors could not read a folder of the driver's own disk.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tesserae.shared", None)
     if where is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tesserae-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         where = f"file://{folder}"
@@ -35,8 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths that this process has handed out and not deleted.
+_made: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all tables and files made so far but those that ``keep`` reads.
+
+    For use once results were consumed: a result that still reads a deleted table fails.
+    """
+    stays = {folder.rsplit("/", 1)[-1] for df in keep for folder in _folders(df)}
+    for path in [p for p in _made if p.rsplit("/", 1)[-1] not in stays]:
+        _delete(spark, path)
+        _made.discard(path)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
 def stored(df: DataFrame, name: str, even: bool = True) -> DataFrame:
@@ -54,9 +83,9 @@ def stored(df: DataFrame, name: str, even: bool = True) -> DataFrame:
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing needs any more."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _folders(df):
+        _delete(spark, folder)
+        _made.difference_update([p for p in _made if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]])
 
 
 def document_columns(df: DataFrame) -> DataFrame:

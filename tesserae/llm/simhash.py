@@ -281,9 +281,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cap: int =
     prints = shared.stored(fingerprints(docs, width), "fingerprints")
     distinct = shared.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     joined = components(links(distinct, radius, cap))
-    rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    linked = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    reps = shared.stored(linked.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "rep"), "linked")
+    # One row per component: a component of most texts is dealt to no single task while these are few.
+    least = shared.stored(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
+    placed = reps.join(shared.small(least, least.count()), "root").select("node", "component_id")
+    named = distinct.join(placed, F.col("node") == F.col("fp"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     out = prints.join(named, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -292,6 +295,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cap: int =
 
 #: Bits that SimHash candidates may differ in, words of a shingle and similarity of what counts as a copy.
 RADIUS, WIDTH, SIMILAR, MEMBERS = 8, 5, 0.8, 4096
+#: Shingle hashes that the texts of one candidate group, or of two blocks of it, hold at most on average: 32 MB.
+HASHES = 4_000_000
 #: MinHash bands of a text, and the hashes in each: two texts of Jaccard similarity J meet in none of the
 #: bands with a chance of (1 - J**6)**24, which is 0.0007 at 0.8 and less above.
 BANDS, ROWS = 24, 6
@@ -420,7 +425,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
     Equal texts are one group at once. Distinct texts are candidates where their SimHash fingerprints
     differ in ``radius`` or fewer bits or their sets of ``width``-word shingles share a MinHash band,
     directly or by way of others, and copies where those sets have a Jaccard similarity of ``least``. Of the documents that copies connect, the one with the
-    least doc_id stays. Candidate groups of over ``members`` texts are compared block by block.
+    least doc_id stays. Candidate groups of over ``members`` texts, or ``HASHES`` shingles, are compared block by block.
 
     Rows without a doc_id stay, as nothing names them. Of rows with equal doc_id and text one stays;
     texts under one doc_id are one document when groups are formed.
@@ -433,21 +438,24 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
             fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            minima = pa.array([bands(gram_hashes(t, width)) for t in texts], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64()), minima], names=["doc_id", "hash", "fp", "bands"])
+            sets = (gram_hashes(t, width) for t in texts)
+            minima, size = zip(*((bands(g), len(g)) for g in sets), strict=True) if texts else ((), ())
+            told = [batch.column(0), batch.column(2), pa.array(fps, pa.int64()), pa.array(minima, pa.list_(pa.int64())), pa.array(size, pa.int64())]
+            return pa.RecordBatch.from_arrays(told, names=["doc_id", "hash", "fp", "bands", "size"])
 
         return work
 
-    prints = shared.stored(shared.arrow_map(marked, "doc_id long, hash string, fp long, bands array<long>", make), "prints")
-    texts = shared.stored(prints.groupBy("hash", "fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
+    prints = shared.stored(shared.arrow_map(marked, "doc_id long, hash string, fp long, bands array<long>, size long", make), "prints")
+    texts = shared.stored(prints.groupBy("hash", "fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "texts")
     close = links(texts.select("fp").distinct(), radius).unionByName(band_links(texts))
     near = components(close).toDF("fp", "root")
-    rooted = texts.join(near, "fp", "left").select("node", "hash", F.coalesce("root", "fp").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    rooted = texts.join(near, "fp", "left").select("node", "hash", "size", F.coalesce("root", "fp").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).where("n > 1")
     some = shared.stored(rooted.join(sizes, "root"), "candidates")
-    blocks = F.ceil(F.col("n") / (members // 2)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / (members // 2), 2 * F.col("hashes") / HASHES)).cast("int")
+    large = (F.col("n") > members) | (F.col("hashes") > HASHES)
     sets = gram_sets(marked, width, shared.sieve(some, "node")).withColumnRenamed("doc_id", "node")
-    placed = some.select("node", "hash", "root", F.when(F.col("n") > members, blocks).otherwise(1).alias("blocks"))
+    placed = some.select("node", "hash", "root", F.when(large, blocks).otherwise(1).alias("blocks"))
     whole = sets.join(placed, ["node", "hash"]).dropDuplicates(["node", "hash"])
     b = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     cut = whole.withColumn("block", b)

@@ -37,11 +37,11 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def sized(docs: DataFrame, weight: str | None = None) -> DataFrame:
-    """Per row: doc_id, source, size in words and its own weight."""
+def sized(docs: DataFrame, weight: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, source, size in words, its own weight and the columns to carry."""
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(f"[^{shared.SPACE}]+")).cast("long")
     own = docs[weight].cast("double") if weight else F.lit(1.0)
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), own.alias("own"))
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["source"].cast("string").alias("source"), size.alias("size"), own.alias("own"), *carry)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -84,9 +84,9 @@ def _take(rows: DataFrame, room: DataFrame, sources: int) -> DataFrame:
     return clear.unionByName(split).drop("bin", "edge", "left")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, weight: str | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, copies and taken."""
-    slim = shared.stored(sized(docs, weight), "sizes")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED, weight: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, and the slim columns to carry."""
+    slim = shared.stored(sized(docs, weight, carry), "sizes")
     sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("own")).alias("own_size"))
     wanted = shared.stored(targets(sums.select("source", "source_size"), weights, share, most).join(sums.select(F.col("source").alias("s"), "own_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
     sources = wanted.count()
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     ranked = shared_out.withColumn("p", p).withColumn("u", uniform(F.col("doc_id"), seed))
     odds = (u / (1.0 - u)) * ((1.0 - F.col("p")) / F.col("p"))
     rows = ranked.select(
-        "doc_id", "source", "size", "source_rank", "source_size", "target", "whole",
+        "doc_id", "source", "size", "source_rank", "source_size", "target", "whole", *carry,
         F.when(F.col("p") > 0, odds).otherwise(float("inf")).alias("v"),
         ((F.col("p") > 0) & (F.col("size") > 0) & (F.col("whole") < most)).alias("able"),
     ).withColumn("open", F.col("able"))
@@ -112,7 +112,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         old, now = now, shared.stored(filled, "mix")
         shared.dropped(docs.sparkSession, old)
     closed = _close(now, sources)
-    return closed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return closed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
+
+
+def chosen(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the mix takes, with all their columns, ``copies`` and the words ``taken``.
+
+    Rows with one key, source and text are one document here: it is returned once, with the copies
+    taken of all of them. Documents that the mix leaves out are not returned. Columns of ``docs`` that
+    are called ``copies`` or ``taken`` give way.
+    """
+    own = docs.drop("copies", "taken")
+    marked = own.withColumn("mix_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    plan = mix(marked.select("doc_id", "text", "source", "mix_text", *([options["weight"]] if options.get("weight") else [])), carry=("mix_text",), **options)
+    key = ["doc_id", "source", "mix_text"]
+    each = plan.groupBy(*key).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("mix_rows")).where("copies > 0")
+    each = each.toDF("mix_id", "mix_source", "mix_hash", "copies", "taken", "mix_rows")
+    same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_text") == F.col("mix_hash"))
+    met = marked.join(each, same)
+    once = met.where("mix_rows = 1").unionByName(met.where("mix_rows > 1").dropDuplicates(["mix_id", "mix_source", "mix_hash"]))
+    return once.select(*own.columns, "copies", "taken")
 
 
 def _gaps(now: DataFrame) -> DataFrame:

@@ -66,3 +66,17 @@ def test_own_weights_move_the_choice(spark):
     got = source_mix.mix(df, weights=(1, 1, 1), share=0.5, weight="own_weight").withColumn("heavy", F.col("doc_id") % 2).groupBy("heavy").agg(F.sum("taken").alias("n")).collect()
     n = {r.heavy: r.n for r in got}
     assert abs(n[0] + n[1] - 6000) < 10 and 3.5 < n[1] / n[0] < 4.5
+
+
+def test_chosen_documents_come_with_their_texts(spark):
+    rows = [(i, "w " * (i % 40), f"s{i % 4}" if i % 5 else None, i) for i in range(400)] + [(7, None, None, 0)] + [(7, "a b", "s1", 0)] * 3 + [(None, "x " * 30, "s2", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    plan = source_mix.mix(df, carry=("text",)).collect()
+    want = {}
+    for r in plan:
+        copies, taken = want.get((r.doc_id, r.source, r.text), (0, 0))
+        want[r.doc_id, r.source, r.text] = (copies + r.copies, taken + r.taken)
+    got = source_mix.chosen(df).collect()
+    assert {(r.doc_id, r.source, r.text): (r.copies, r.taken) for r in got} == {k: v for k, v in want.items() if v[0]}
+    assert len(got) == sum(v[0] > 0 for v in want.values()) < len(rows) and got[0].asDict().keys() == {"doc_id", "text", "source", "copies", "taken"}
+    assert source_mix.chosen(df.limit(0)).count() == 0
