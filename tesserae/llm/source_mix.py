@@ -119,14 +119,14 @@ def chosen(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with all their columns, ``copies`` and the words ``taken``.
 
     Rows with one key, source and text are one document here: it is returned once, with the copies
-    taken of all of them. Documents that the mix leaves out are not returned. Columns of ``docs`` that
+    taken of all of them. Documents that the mix leaves out, and those without words, are not returned. Columns of ``docs`` that
     are called ``copies`` or ``taken`` give way.
     """
     own = docs.drop("copies", "taken")
     marked = own.withColumn("mix_text", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     plan = mix(marked.select("doc_id", "text", "source", "mix_text", *([options["weight"]] if options.get("weight") else [])), carry=("mix_text",), **options)
     key = ["doc_id", "source", "mix_text"]
-    each = plan.groupBy(*key).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("mix_rows")).where("copies > 0")
+    each = plan.groupBy(*key).agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"), F.count("*").alias("mix_rows")).where("taken > 0")
     each = each.toDF("mix_id", "mix_source", "mix_hash", "copies", "taken", "mix_rows")
     same = F.col("doc_id").eqNullSafe(F.col("mix_id")) & F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_text") == F.col("mix_hash"))
     met = marked.join(each, same)

@@ -77,6 +77,6 @@ def test_chosen_documents_come_with_their_texts(spark):
         copies, taken = want.get((r.doc_id, r.source, r.text), (0, 0))
         want[r.doc_id, r.source, r.text] = (copies + r.copies, taken + r.taken)
     got = source_mix.chosen(df).collect()
-    assert {(r.doc_id, r.source, r.text): (r.copies, r.taken) for r in got} == {k: v for k, v in want.items() if v[0]}
-    assert len(got) == sum(v[0] > 0 for v in want.values()) < len(rows) and got[0].asDict().keys() == {"doc_id", "text", "source", "copies", "taken"}
+    assert {(r.doc_id, r.source, r.text): (r.copies, r.taken) for r in got} == {k: v for k, v in want.items() if v[1]}
+    assert len(got) == sum(v[1] > 0 for v in want.values()) < len(rows) and got[0].asDict().keys() == {"doc_id", "text", "source", "copies", "taken"}
     assert source_mix.chosen(df.limit(0)).count() == 0
