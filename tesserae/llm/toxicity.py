@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .simhash import bands, gram_hashes, roots
+from .simhash import BANDS, bands, gram_hashes, roots
 
 PER_CLASS, TERMS, FUZZY, WINDOW, CACHE = 4_000, 200, 4, 6, 100_000
 #: Letters of a stem, rows that a feature must be in, and the least log-likelihood ratio of one; the
@@ -293,12 +293,12 @@ def copies(sample: DataFrame) -> DataFrame:
     slim = sample.select("doc_id", "text")
     told = shared.arrow_map(slim, f"{shared.ddl(slim, 'text')}, bands array<long>", make).toArrow().sort_by("doc_id")
     own = np.flatnonzero(np.diff(told.column("bands").combine_chunks().offsets.to_numpy()) > 0)
-    flat = told.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    flat = told.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), BANDS)
     a, b = [np.zeros(0, int)], [np.zeros(0, int)]
     for band in flat.T if len(own) else ():
         _, first, inverse = np.unique(band, return_index=True, return_inverse=True)
         a.append(own)
-        b.append(own[first[inverse]])
+        b.append(own[first[inverse.ravel()]])
     group = roots(len(told), np.concatenate(a), np.concatenate(b))
     named = told.select(["doc_id"]).append_column("group", pa.array(group, pa.int64()))
     return sample.sparkSession.createDataFrame(named)
