@@ -16,7 +16,7 @@ a window of words separates quotation (quotation marks or a verb of saying) from
 person), and the document's score comes from the counts of each kind of hit.
 
 Null and empty texts have no hit and get the score of that. Repeated rows are scored alike. Without
-a label of both classes every score is the share of toxic rows (0 without labels). Null keys count
+labelled texts of both classes every score is the share of toxic rows (0 without labels). Null keys count
 as the empty string when rows are dealt to folds; a key that is labelled twice has the greater label,
 and one with several texts is trained with the least. Extra columns are ignored.
 """
@@ -246,9 +246,10 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 5, per_class: int = PER_
     """The lexicon and weights, from labelled rows whose fold is not 0."""
     rows = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), held) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = shares.get(1, 0) / max(1, sum(shares.values()))
+    unknown = Model([], [0.0] * len(FEATURES) + [float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))])
     if not shares.get(0) or not shares.get(1):
-        share = shares.get(1, 0) / max(1, sum(shares.values()))
-        return Model([], [0.0] * len(FEATURES) + [float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))])
+        return unknown
     some = None
     for c in (0, 1):
         first = rows.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(per_class)
@@ -260,7 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, held: int = 5, per_class: int = PER_
     sample = shared.stored(plain.join(F.broadcast(copies(plain)), "doc_id").withColumn("told", told), "grouped")
     shared.dropped(docs.sparkSession, plain)
     n = {r.toxic: (r.n, r.groups) for r in sample.groupBy("toxic").agg(F.count("*").alias("n"), F.countDistinct("group").alias("groups")).collect()}
-    (rows_pos, pos), (rows_neg, neg) = n.get(1, (0, 0)), n.get(0, (0, 0))
+    if not n.get(0) or not n.get(1):
+        return unknown
+    (rows_pos, pos), (rows_neg, neg) = n[1], n[0]
     words = F.regexp_extract_all(F.lower("told"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     whole = F.array_distinct(words)
     stems = [F.transform(F.filter(whole, lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.lit("^"), F.substring(w, 1, k))) for k in STEM_LETTERS]
