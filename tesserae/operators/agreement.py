@@ -13,13 +13,6 @@ def touched(tags: DataFrame) -> DataFrame:
     return tags.select("_row_idx", "coder").distinct()
 
 
-def votes(tags: DataFrame, categories: DataFrame) -> DataFrame:
-    """(row, coder, cat_id, yes) for every touched row and every category; categories are a codebook's few."""
-    said = tags.select("_row_idx", "coder", "cat_id").distinct().withColumn("yes", F.lit(1))
-    every = touched(tags).crossJoin(F.broadcast(categories.select("cat_id").distinct().limit(10_000)))
-    return every.join(said, ["_row_idx", "coder", "cat_id"], "left").withColumn("yes", F.coalesce("yes", F.lit(0)))
-
-
 def kappa_of(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
     """Cohen's kappa of two by two counts: null without rows, 1 where chance explains all."""
     n = (n11 + n10 + n01 + n00).cast("double")
@@ -30,14 +23,16 @@ def kappa_of(n11: Column, n10: Column, n01: Column, n00: Column) -> Column:
 
 def kappa(tags: DataFrame, categories: DataFrame, a: str, b: str) -> DataFrame:
     """(cat_id, n, kappa, weight) over rows that both coders touched; weight is rows with a yes, 1 at least."""
-    mine = votes(tags.where(F.col("coder").isin(a, b)), categories)
-    rows = mine.groupBy("_row_idx", "cat_id").agg(
-        F.count("*").alias("coders"), F.max(F.when(F.col("coder") == a, F.col("yes"))).alias("x"), F.max(F.when(F.col("coder") == b, F.col("yes"))).alias("y")
-    ).where("coders = 2")
-    count = lambda x, y: F.sum(((F.col("x") == x) & (F.col("y") == y)).cast("long"))
-    cells = rows.groupBy("cat_id").agg(*[count(x, y).alias(f"n{x}{y}") for x in (1, 0) for y in (1, 0)])
-    n = [F.col(c) for c in ("n11", "n10", "n01", "n00")]
-    return cells.select("cat_id", sum(n[1:], n[0]).alias("n"), kappa_of(*n).alias("kappa"), F.greatest(F.lit(1), n[0] + n[1] + n[2]).alias("weight"))
+    said = lambda coder: F.collect_set(F.when(F.col("coder") == coder, F.col("cat_id")))
+    there = lambda coder: F.max(F.col("coder") == coder)
+    both = tags.where(F.col("coder").isin(a, b)).groupBy("_row_idx").agg(said(a).alias("x"), said(b).alias("y"), there(a).alias("ta"), there(b).alias("tb")).where("ta AND tb")
+    # Only a yes is a row; a category's rows without one follow from the count of rows.
+    cells = both.select("x", "y", F.explode(F.array_union("x", "y")).alias("cat_id"))
+    yes = lambda side: F.array_contains(side, F.col("cat_id"))
+    counts = cells.groupBy("cat_id").agg(*[F.sum(c.cast("long")).alias(n) for n, c in (("n11", yes("x") & yes("y")), ("n10", yes("x") & ~yes("y")), ("n01", ~yes("x") & yes("y")))])
+    every = categories.select("cat_id").distinct().join(counts, "cat_id", "left").na.fill(0).crossJoin(F.broadcast(both.agg(F.count("*").alias("n"))))  # one row
+    n = [F.col("n11"), F.col("n10"), F.col("n01"), F.col("n") - F.col("n11") - F.col("n10") - F.col("n01")]
+    return every.where("n > 0").select("cat_id", "n", kappa_of(*n).alias("kappa"), F.greatest(F.lit(1), n[0] + n[1] + n[2]).alias("weight"))
 
 
 def mean_kappa(by_category: DataFrame) -> DataFrame:
@@ -47,15 +42,25 @@ def mean_kappa(by_category: DataFrame) -> DataFrame:
 
 def alpha(tags: DataFrame, categories: DataFrame) -> DataFrame:
     """(cat_id, values, alpha): Krippendorff's nominal alpha over rows of two coders or more."""
-    units = votes(tags, categories).groupBy("_row_idx", "cat_id").agg(F.count("*").alias("m"), F.sum("yes").alias("y")).where("m >= 2")
+    pairs = F.collect_set(F.struct("cat_id", "coder"))
+    units = tags.groupBy("_row_idx").agg(F.countDistinct("coder").alias("m"), pairs.alias("p")).where("m >= 2")
+    told = units.select("_row_idx", "m", F.explode("p.cat_id").alias("cat_id")).groupBy("_row_idx", "m", "cat_id").agg(F.count("*").alias("y"))
     yes, no = F.col("y").cast("double"), (F.col("m") - F.col("y")).cast("double")
-    sums = units.groupBy("cat_id").agg(F.sum("m").alias("n"), F.sum(yes).alias("yes"), F.sum(no).alias("no"), F.sum(2 * yes * no / (F.col("m") - 1)).alias("apart"))
+    counts = told.groupBy("cat_id").agg(F.sum(yes).alias("yes"), F.sum(2 * yes * no / (F.col("m") - 1)).alias("apart"))
+    values = F.broadcast(units.agg(F.sum("m").alias("n")))  # one row; a no needs none of its own
+    every = categories.select("cat_id").distinct().join(counts, "cat_id", "left").na.fill(0.0).crossJoin(values)
+    sums = every.where("n IS NOT NULL").withColumn("no", F.col("n") - F.col("yes"))
     seen = F.col("apart") / F.col("n")
     due = F.try_divide(2 * F.col("yes") * F.col("no"), F.col("n") * (F.col("n") - 1).cast("double"))
     out = F.when(F.col("n") < 2, F.lit(None)).when(due == 0, F.lit(1.0)).otherwise(1 - F.try_divide(seen, due))
     return sums.select("cat_id", F.col("n").alias("values"), out.alias("alpha"))
 
 
+def mean_alpha(by_category: DataFrame) -> DataFrame:
+    """The plain mean of the categories whose alpha is known."""
+    return by_category.agg(F.avg("alpha").alias("alpha"), F.count("alpha").alias("categories"))
+
+
 def agreement(tags: DataFrame, categories: DataFrame) -> tuple[str, DataFrame | None]:
     """The statistic that fits the number of coders: kappa for two, alpha for more."""
     coders = [r.coder for r in tags.select("coder").distinct().orderBy("coder").limit(3).collect()]
@@ -114,12 +119,21 @@ def missing_months(corpus: DataFrame, sample: DataFrame, date: str = "created_at
 def top_decile_share(df: DataFrame, column: str) -> DataFrame:
     """The share of the total that the largest tenth of the values holds.
 
-    The cut is a count of rows, so only the tenth is taken in order; the rest is summed unsorted.
+    Two approximate quantiles bracket the cut: values above are summed, and only those between are
+    counted by value and put in order.
     """
     x = df.select(F.col(column).try_cast("double").alias("x")).where("x IS NOT NULL")
-    n, total = x.agg(F.count("*"), F.sum("x")).first()
-    top = x.orderBy(F.desc("x")).limit(max(1, n // 10))
-    return top.agg(F.try_divide(F.sum("x"), F.lit(float(total or 0.0))).alias("share"))
+    n, total, around = x.agg(F.count("*"), F.sum("x"), F.percentile_approx("x", F.array(F.lit(0.899), F.lit(0.901)), F.lit(10_000))).first()
+    if not n:
+        return x.agg(F.lit(None).cast("double").alias("share"))
+    k = max(1, n // 10)
+    low, high = around if n > 1_000 else (float("-inf"), float("inf"))  # of few rows all are put in order
+    above, over = x.where(F.col("x") > high).agg(F.count("*"), F.coalesce(F.sum("x"), F.lit(0.0))).first()
+    by_value = x.where((F.col("x") >= low) & (F.col("x") <= high)).groupBy("x").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.greatest(F.lit(0), F.least(F.col("c"), F.lit(k - above) - before))
+    edge = by_value.select((F.col("x") * taken).alias("part"))
+    return edge.agg(F.try_divide(F.coalesce(F.sum("part"), F.lit(0.0)) + over, F.lit(float(total or 0.0))).alias("share"))
 
 
 def diagnose(corpus: DataFrame, sample: DataFrame) -> list[str]:
@@ -132,6 +146,15 @@ def diagnose(corpus: DataFrame, sample: DataFrame) -> list[str]:
         m = missing_months(corpus, sample).first()
         if m.months and m.missing / m.months > 0.25:
             out.append(f"{m.missing} of {m.months} months are missing")
+    lengths = [length_quantiles(df).first() for df in (corpus, sample)]
+    if all(r.p50 is not None for r in lengths) and (lengths[1].p50 < 0.5 * lengths[0].p50 or lengths[1].p50 > 2 * lengths[0].p50):
+        out.append(f"the median length is {lengths[1].p50:.0f}, that of the corpus {lengths[0].p50:.0f}")
+    for c in ("like_count", "share_count", "comment_count", "view_count"):
+        if c in corpus.columns:
+            a, b = (top_decile_share(df, c).first()[0] for df in (corpus, sample))
+            if a is not None and b is not None and abs(a - b) > 0.15:
+                out.append(f"the top tenth holds {b:.2f} of {c}, in the corpus {a:.2f}")
+            break
     return out
 
 
@@ -144,6 +167,13 @@ def guardrails(output: DataFrame, known: list[str]) -> DataFrame:
     )
 
 
+def guardrail_warnings(counts: DataFrame, share: float = 0.2) -> list[str]:
+    """Warnings from :func:`guardrails`: any unknown category or impossible confidence, and a fifth of low ones."""
+    r = counts.first()
+    out = [f"{n} rows have {what}" for n, what in ((r.unknown, "an unknown category"), (r.out_of_range, "a confidence out of range")) if n]
+    return out + ([f"{r.low} of {r.rows} rows have low confidence"] if r.rows and (r.low or 0) >= share * r.rows else [])
+
+
 def conflict_summary(tags: DataFrame) -> DataFrame:
     """How many rows are in conflict, and how many categories and coders take part."""
     rows = conflicts(tags).select("_row_idx")

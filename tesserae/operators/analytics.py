@@ -35,12 +35,30 @@ def facets(df: DataFrame, k: int = 15, columns: tuple[str, ...] = FACETS) -> Dat
     return counts.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
+def exact_quantile(x: DataFrame, q: float, slack: float = 0.001) -> float | None:
+    """The interpolated quantile ``q`` of the numbers ``x`` (one column of that name, no nulls).
+
+    An approximate quantile on both sides brackets the place; only values within are counted and put in
+    order, about ``slack`` of the rows and each value once, so no task holds all distinct values.
+    """
+    n, around = x.agg(F.count("*"), F.percentile_approx("x", F.array(F.lit(max(0.0, q - slack / 2)), F.lit(min(1.0, q + slack / 2))), F.lit(10_000))).first()
+    if not n:
+        return None
+    below = F.sum((F.col("x") < around[0]).cast("long"))
+    skipped = x.agg(below).first()[0]
+    upto = F.sum("n").over(Window.orderBy("x"))
+    near = x.where(F.col("x").between(*around)).groupBy("x").agg(F.count("*").alias("n")).select("x", (upto + skipped).alias("upto"))
+    place = q * (n - 1)
+    low, high = int(place), min(n - 1, int(place) + 1)
+    a, b = near.agg(F.min(F.when(F.col("upto") > low, F.col("x"))), F.min(F.when(F.col("upto") > high, F.col("x")))).first()
+    return a if b is None or place == low else a + (b - a) * (place - low)
+
+
 def numeric_summary(df: DataFrame, column: str) -> DataFrame:
     """count, mean, median, sum, min and max of what can be read as a number."""
-    x = F.col(column).try_cast("double")
-    return df.select(x.alias("x")).where("x IS NOT NULL").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.sum("x").alias("total"), F.min("x").alias("low"), F.max("x").alias("high")
-    )
+    x = df.select(F.col(column).try_cast("double").alias("x")).where("x IS NOT NULL")
+    median = F.lit(exact_quantile(x, 0.5)).cast("double")
+    return x.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), median.alias("median"), F.sum("x").alias("total"), F.min("x").alias("low"), F.max("x").alias("high"))
 
 
 def author_of(df: DataFrame) -> Column:
@@ -104,15 +122,31 @@ def descriptives(df: DataFrame, k: int = 10) -> dict[str, DataFrame]:
 
 def crosstab(df: DataFrame, row: str, col: str, normalize: str | None = None, top_rows: int = 25, top_cols: int = 25) -> DataFrame:
     """(row, col, value) for the top values of each axis; shares are of what is left after the cut."""
+    cells = _cells(df, row, col, top_rows, top_cols)
+    over = {"row": ["row"], "col": ["col"], "all": []}
+    if normalize is None:
+        return cells.select("row", "col", F.col("n").alias("value"))
+    return cells.select("row", "col", (F.col("n") / F.sum("n").over(Window.partitionBy(*over[normalize]))).alias("value"))
+
+
+def _cells(df: DataFrame, row: str, col: str, top_rows: int, top_cols: int) -> DataFrame:
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
     cells = df.groupBy(name(row).alias("row"), name(col).alias("col")).agg(F.count("*").alias("n"))
     for axis, k in (("row", top_rows), ("col", top_cols)):
         best = cells.groupBy(axis).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), axis).limit(k).select(axis)
         cells = cells.join(F.broadcast(best), axis, "left_semi")  # k values at most
-    over = {"row": ["row"], "col": ["col"], "all": []}
-    if normalize is None:
-        return cells.select("row", "col", F.col("n").alias("value"))
-    return cells.select("row", "col", (F.col("n") / F.sum("n").over(Window.partitionBy(*over[normalize]))).alias("value"))
+    return cells
+
+
+def crosstab_margins(df: DataFrame, row: str, col: str, top_rows: int = 25, top_cols: int = 25) -> DataFrame:
+    """(axis, value, n, truncated): totals of rows, columns and all after the cut, and whether the axis was cut."""
+    cells = _cells(df, row, col, top_rows, top_cols)
+    made = [cells.groupBy(F.lit(a).alias("axis"), F.col(a).alias("value")).agg(F.sum("n").alias("n")) for a in ("row", "col")]
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
+    kinds = df.agg(F.count_distinct(name(row)).alias("rows"), F.count_distinct(name(col)).alias("cols"))
+    total = cells.agg(F.lit("all").alias("axis"), F.lit("all").alias("value"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    cut = F.when(F.col("axis") == "row", F.col("rows") > top_rows).when(F.col("axis") == "col", F.col("cols") > top_cols).otherwise((F.col("rows") > top_rows) | (F.col("cols") > top_cols))
+    return made[0].unionByName(made[1]).unionByName(total).crossJoin(F.broadcast(kinds)).select("axis", "value", "n", cut.alias("truncated"))  # one row
 
 
 def pivoted(cells: DataFrame, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
@@ -148,17 +182,17 @@ def timeseries(df: DataFrame, step: str = "day", group: str | None = None, k: in
 def ngrams(df: DataFrame, n: int = 1, k: int = 50, min_count: int = 1, stop: list[str] | None = None, column: str = "text") -> DataFrame:
     """(gram, n, docs, doc_share): stopwords go before grams are made.
 
-    Grams are counted within each text first, so the shuffle carries a row per text and gram at most
-    and needs no distinct aggregate.
+    A text gives its grams twice, all of them and each distinct one, so occurrences and texts are
+    counted by one aggregate with a map-side part, and nothing is shuffled by text.
     """
     words = tokens(F.col(column))
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
     texts = df.where(F.col(column).isNotNull())
-    numbered = texts.select(words.alias("_w"), F.monotonically_increasing_id().alias("_d"))  # before the explode: one a text
-    each = numbered.select("_d", F.explode(grams(F.col("_w"), min(3, max(1, n)))).alias("gram"))
-    within = each.groupBy("_d", "gram").agg(F.count("*").alias("c"))
-    counts = within.groupBy("gram").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).where(F.col("n") >= min_count)
+    made = texts.select(grams(words, min(3, max(1, n))).alias("_g"))
+    twice = made.select(F.posexplode(F.array(F.col("_g"), F.array_distinct("_g"))).alias("_once", "_g"))
+    each = twice.select("_once", F.explode("_g").alias("gram"))
+    counts = each.groupBy("gram").agg(F.sum(1 - F.col("_once")).alias("n"), F.sum("_once").cast("long").alias("docs")).where(F.col("n") >= min_count)
     total = texts.agg(F.count("*").alias("_t"))
     listed = counts.orderBy(F.desc("n"), "gram").limit(min(200, max(1, k)))
     return listed.crossJoin(F.broadcast(total)).select("gram", "n", "docs", (F.col("docs") / F.col("_t")).alias("doc_share"))  # one row
@@ -189,13 +223,17 @@ def column_profile(df: DataFrame, floor: int = 200, share: float = 0.2) -> DataF
 
 
 def corpus_features(df: DataFrame, column: str = "text", k: int = 20) -> dict[str, DataFrame]:
-    """Lengths, and the most frequent emojis, hashtags and domains."""
+    """Lengths, rows with media, and the most frequent emojis, hashtags and domains."""
     from tesserae.functions.text import domains, emojis, hashtags
 
     c = F.col(column)
     n = F.length(F.coalesce(c, F.lit(""))).cast("double")
     lists = {"emojis": emojis(c), "hashtags": F.slice(hashtags(c), 1, 20), "domains": F.slice(domains(c), 1, 10)}
-    out = {"lengths": df.agg(F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.9)).alias("p90"))}
+    media = [F.col(m).isNotNull() & (F.size(m) > 0 if t.startswith("array") else F.trim(m) != "") for m, t in df.dtypes if m in ("media_url", "media_urls")]
+    shown = F.lit(False)
+    for m in media:
+        shown = shown | F.coalesce(m, F.lit(False))
+    out = {"lengths": df.agg(F.sum(shown.cast("long")).alias("with_media"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.9)).alias("p90"))}
     return out | {name: top_counts(df.select(F.explode(items).alias("item")), "item", k) for name, items in lists.items()}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import text_hash
 from tesserae.operators.sampling import numbered
 from tesserae.schema import apply_mapping
+from tesserae.session import kept
 
 # Date shapes that are tried in turn.
 FORMATS = (
@@ -21,9 +22,17 @@ MONTH_FIRST = ("M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy", "M-d-yyyy", "M
 SHAPE = r"^\s*(\d{1,2})[./-](\d{1,2})[./-]\d{2,4}"
 
 
-def is_day_first(df: DataFrame, column: str, rows: int = 200) -> bool:
-    """Whether at least 15 % of up to 200 numeric dates can only have the day in front."""
-    some = df.select(F.col(column).cast("string").alias("d")).where("d IS NOT NULL").limit(rows)
+#: Where a row stands: its dataset, file, part of the file, and place in the part.
+ORDER = ("_set", "_file", "_part", "_line")
+
+
+def is_day_first(df: DataFrame, column: str, rows: int = 200, order: tuple[str, ...] = ()) -> bool:
+    """Whether at least 15 % of up to 200 numeric dates, the first by ``order``, can only have the day in front.
+
+    Without an order those of the least hash count, so that the answer never depends on how rows are dealt out.
+    """
+    told = df.select(F.col(column).cast("string").alias("d"), *order).where("d IS NOT NULL")
+    some = told.orderBy(*(order or [F.xxhash64("d")]), "d").limit(rows)
     parts = some.where(F.col("d").rlike(SHAPE)).select(F.regexp_extract("d", SHAPE, 1).cast("int").alias("a"), F.regexp_extract("d", SHAPE, 2).cast("int").alias("b"))
     share = parts.agg(F.avg(((F.col("a") > 12) & (F.col("b") <= 12)).cast("int"))).first()[0]
     return share is not None and share >= 0.15
@@ -49,12 +58,17 @@ class Dataset:
 
 
 def united(datasets: list[Dataset]) -> DataFrame:
-    """Canonical rows of all datasets with their origin and file order (``_set``, ``_line``)."""
+    """Canonical rows of all datasets with their origin and place (``ORDER``).
+
+    A part of a file is read by one task from its start, so file, part and place in it give the order of
+    the file however its parts are dealt out. Rows that come from no file stand in their task's order.
+    """
     out = None
     for k, d in enumerate(datasets):
-        one = apply_mapping(d.rows, d.mapping, d.defaults)
-        dated = one.withColumn("created_at", parsed_date(F.col("created_at"), is_day_first(one, "created_at")))
-        part = dated.select("*", F.lit(d.name).alias("source_dataset"), F.lit(d.source_id).alias("source_id"), F.lit(k).alias("_set"), F.monotonically_increasing_id().alias("_line"))
+        placed = d.rows.select("*", F.input_file_name().alias("_file"), F.expr("input_file_block_start()").alias("_part"), F.monotonically_increasing_id().alias("_line"))
+        one = apply_mapping(placed, d.mapping, d.defaults, keep=("_file", "_part", "_line"))
+        dated = one.withColumn("created_at", parsed_date(F.col("created_at"), is_day_first(one, "created_at", order=ORDER[1:])))
+        part = dated.select("*", F.lit(d.name).alias("source_dataset"), F.lit(d.source_id).alias("source_id"), F.lit(k).alias("_set"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -62,14 +76,15 @@ def united(datasets: list[Dataset]) -> DataFrame:
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key; rows without a key all stay.
 
-    The keyed rows are reduced by an aggregate with a map-side part, so a key that most rows share
-    never has its rows gathered in one task.
+    The key is computed once, into a slim table of keys and places. Its first rows come from an aggregate
+    with a map-side part, so a key that most rows share never has its rows gathered in one task; the
+    others are taken out of ``df`` by their places alone.
     """
-    marked = df.withColumn("_key", key)
-    first = marked.where("_key IS NOT NULL").groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    winners = first.select(*[F.col("_first")[o].alias(o) for o in order], F.lit(True).alias("_won"))
-    met = marked.join(winners, list(order), "left")
-    return met.where("_key IS NULL OR _won").select(*df.columns)
+    slim = kept(df.select(key.alias("_key"), *order).where("_key IS NOT NULL"), "keys")
+    first = slim.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
+    winners = first.select(*[F.col("_first")[o].alias(o) for o in order])
+    gone = slim.select(*order).join(winners, list(order), "left_anti")
+    return df.join(gone, list(order), "left_anti")
 
 
 def id_key(c: Column) -> Column:
@@ -87,12 +102,11 @@ def dedupe_near(df: DataFrame, *order: str, key: str = "text", compose: bool = T
 
 def build_corpus(datasets: list[Dataset], exact: bool = True, near: bool = True) -> DataFrame:
     """The corpus with ``_row_idx``, 0-based in file order."""
-    rows = united(datasets)
-    order = ("_set", "_line")
-    rows = dedupe_exact(rows, *order) if exact else rows
-    rows = dedupe_near(rows, *order) if near else rows
-    bucket = F.col("_set") * (1 << 32) + F.shiftright("_line", 33)  # a part of a file
-    return numbered(rows, bucket, *order).withColumn("_row_idx", F.col("_n").cast("long")).drop("_n", *order)
+    rows = kept(united(datasets), "united")  # places are numbered once
+    rows = dedupe_exact(rows, *ORDER) if exact else rows
+    rows = dedupe_near(rows, *ORDER) if near else rows
+    bucket = F.struct("_set", "_file", "_part", F.shiftright("_line", 33))  # a part of a file
+    return numbered(rows, bucket, *ORDER).withColumn("_row_idx", F.col("_n").cast("long")).drop("_n", *ORDER)
 
 
 def merge_stats(rows: DataFrame, *order: str, compose: bool = True) -> DataFrame:

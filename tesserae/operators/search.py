@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections import Counter
 from math import log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import kept
+
 WORD = r"(?U)\b\w\w+\b"
 
 
@@ -33,18 +35,27 @@ def weights(df: DataFrame, key: str = "_row_idx", text: str = "text", min_df: in
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def counted_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, term, tf), one row per distinct term of a row, made within the row and not by a shuffle.
+
+    Terms are put in order; the first of each run of equal ones stands for it, and the next one's place gives its length.
+    """
+    made = df.select(key, F.sort_array(terms(F.col(text))).alias("_t"))
+    at = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: ~F.get("_t", i).eqNullSafe(F.get("_t", i - 1)))
+    firsts = made.where(F.size("_t") > 0).select(key, "_t", at.alias("_at"), F.size("_t").alias("_n"))
+    runs = F.transform("_at", lambda i, j: F.struct(F.get("_t", i).alias("term"), (F.coalesce(F.get("_at", j + 1), F.col("_n")) - i).cast("long").alias("tf")))
+    return firsts.select(key, F.explode(runs).alias("_r")).select(key, "_r.term", "_r.tf")
+
+
 def search(df: DataFrame, query: str, k: int = 20, key: str = "_row_idx", text: str = "text", min_df: int = 2, max_df: float = 0.9) -> DataFrame:
-    """(row, score) of the ``k`` best rows by cosine, scores above 0.
+    """(row, score) of the ``k`` best rows by cosine, scores above 0, without a stored index.
 
-    Only the query's own terms need weights, but a row's length needs all of its terms; so lengths
-    are summed in the aggregate that counts the terms, and one pass does.
+    Only rows with a term of the query can score, so only those need a length, and only the terms of
+    those rows need weights. Texts are read twice; of the rest of the corpus nothing but counts is shuffled.
     """
     spark = df.sparkSession
     wanted = Counter(r for r in spark.range(1).select(F.explode(terms(F.lit(query))).alias("t")).toPandas()["t"])
-    tf = df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = df.count()
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n)).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    # The query's own terms are counted by themselves, as no other term need be shuffled for them.
     own = df.select(F.explode(F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, wanted)))).alias("term")) if wanted else df.select(F.lit("").alias("term")).limit(0)
     seen = {r.term: r.n for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}
     rows = {t: log((1 + n) / (1 + c)) + 1 for t, c in seen.items() if min_df <= c <= max_df * n}
@@ -52,12 +63,52 @@ def search(df: DataFrame, query: str, k: int = 20, key: str = "_row_idx", text:
     length = sqrt(sum(w * w for w in mine.values())) or 1.0
     if not mine:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
+    idf = _idf(df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")), n, min_df, max_df)
+    hits = df.where(F.arrays_overlap(terms(F.col(text)), F.array(*map(F.lit, mine))))
+    tf = counted_terms(hits, key, text)
     q = F.create_map(*[x for t, w in mine.items() for x in (F.lit(t), F.lit(w / length))])
     w = (1 + F.log("tf")) * F.col("idf")
     scored = tf.join(idf, "term").groupBy(key).agg((F.sum(F.coalesce(F.try_element_at(q, F.col("term")), F.lit(0.0)) * w) / F.sqrt(F.sum(w * w))).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(max(1, k))
 
 
+def _idf(each: DataFrame, n: int, min_df: int, max_df: float) -> DataFrame:
+    """(term, idf) of the terms whose count of rows lies within the bounds; ``each`` has a row per row and term."""
+    counts = each.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    return counts.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+#: Parts that a stored index is cut into by term.
+PARTS = 64
+
+
+def build_index(df: DataFrame, path: str, key: str = "_row_idx", text: str = "text", min_df: int = 2, max_df: float = 0.9) -> None:
+    """Write a search index: (term, idf, row, weight) by parts of the terms, in order, rows of unit length.
+
+    A search then reads the parts of its few terms only, and within them, by the order, few row groups.
+    """
+    tf = kept(counted_terms(df, key, text), "terms")
+    idf = _idf(tf.select("term"), df.count(), min_df, max_df)
+    raw = tf.join(idf, "term").select(key, "term", "idf", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    lengths = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    whole = raw.join(lengths, key).select("term", "idf", key, (F.col("w") / F.col("norm")).alias("weight"))
+    placed = whole.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int"))
+    placed.repartitionByRange("part", "term").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(path)
+
+
+def search_index(spark: SparkSession, path: str, query: str, k: int = 20, key: str = "_row_idx") -> DataFrame:
+    """(row, score) of the ``k`` best rows by cosine from a stored index, scores above 0."""
+    wanted = spark.range(1).select(F.explode(terms(F.lit(query))).alias("term")).groupBy("term").agg(F.count("*").alias("c"))
+    told = {r.term: (r.c, r.part) for r in wanted.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS)).cast("int")).collect()}
+    index = spark.read.parquet(path)
+    near = index.where(F.col("part").isin(sorted({p for _, p in told.values()})) & F.col("term").isin(sorted(told))) if told else index.limit(0)
+    count = F.create_map(*[x for t, (c, _) in told.items() for x in (F.lit(t), F.lit(float(c)))]) if told else F.create_map(F.lit(""), F.lit(1.0))
+    mine = near.withColumn("q", (1 + F.log(F.try_element_at(count, F.col("term")))) * F.col("idf"))
+    length = F.broadcast(mine.select("term", "q").distinct().agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("length")))  # one row
+    scored = mine.groupBy(key).agg(F.sum(F.col("q") * F.col("weight")).alias("s")).crossJoin(length)
+    return scored.select(key, (F.col("s") / F.col("length")).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(max(1, k))
+
+
 def quotes_by_confidence(tags: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` surest rows of each category."""
     rank = F.row_number().over(Window.partitionBy("cat_id").orderBy(F.desc_nulls_last("confidence"), "_row_idx"))
