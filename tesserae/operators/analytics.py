@@ -189,7 +189,7 @@ def ngrams(df: DataFrame, n: int = 1, k: int = 50, min_count: int = 1, stop: lis
     if stop:
         words = F.filter(words, lambda w: ~w.isin(stop))
     texts = df.where(F.col(column).isNotNull())
-    made = texts.select(grams(words, min(3, max(1, n))).alias("_g"))
+    made = texts.select(words.alias("_w")).select(grams(F.col("_w"), min(3, max(1, n))).alias("_g"))  # words once, not per gram
     twice = made.select(F.posexplode(F.array(F.col("_g"), F.array_distinct("_g"))).alias("_once", "_g"))
     each = twice.select("_once", F.explode("_g").alias("gram"))
     counts = each.groupBy("gram").agg(F.sum(1 - F.col("_once")).alias("n"), F.sum("_once").cast("long").alias("docs")).where(F.col("n") >= min_count)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.coding import exclusive
@@ -23,6 +23,9 @@ from tesserae.storage import answer_key, cached
 Classifier = Callable[[list[str]], list[list[dict]]]
 BATCH, TOPIC_BATCH, CHARS_PER_TOKEN, OUT_TOKENS, SECONDS_PER_BATCH = 20, 30, 3.5, 40, 5.0
 
+#: Categories of a codebook at most.
+MOST_CATEGORIES = 10_000
+
 
 def keyword_classifier(keywords: dict[str, list[str]]) -> Classifier:
     """Each category whose keywords a text holds, with their share as confidence, the surest first."""
@@ -79,7 +82,9 @@ def code_with(rows: DataFrame, make: Callable[[], Classifier], groups: DataFrame
 
     ``groups`` is the codebook (cat_id, exclusion_group), which is small and read to the driver.
     """
-    known = sorted(r.cat_id for r in groups.select("cat_id").limit(10_000).collect())
+    known = sorted(r.cat_id for r in groups.select("cat_id").limit(MOST_CATEGORIES + 1).collect())
+    if len(known) > MOST_CATEGORIES:
+        raise ValueError(f"a codebook of over {MOST_CATEGORIES} categories can't be asked for")
     keyed = rows.withColumn("key", answer_key(F.col("text"), codebook, version, prompt, known))
     if cache is None:
         told = classified(keyed, make, known)
@@ -98,6 +103,14 @@ def preflight(rows: DataFrame, prompt_chars: int, prices: dict[str, float], batc
     return rows.agg(n.alias("rows"), batches.alias("batches"), row_tokens.alias("row_tokens"), (n * OUT_TOKENS).alias("out_tokens"), cost.alias("cost"), (batches * SECONDS_PER_BATCH).alias("seconds"))
 
 
+def usage_cost(prices: dict[str, float], **tokens: Column) -> Column:
+    """What a call costs: each kind of tokens (input, output, cache_write, cache_read) times its price per million."""
+    cost = F.lit(0.0)
+    for kind, n in tokens.items():
+        cost = cost + F.coalesce(n, F.lit(0)) * F.lit(prices[kind]) / 1e6
+    return cost
+
+
 @dataclass
 class Budget:
     """Spending with reservations: a warning from 80 %, a block from 100 %."""

@@ -27,6 +27,23 @@ def undone(events: DataFrame, steps: int = 1) -> DataFrame:
     return events.join(F.broadcast(cut), "batch", "left_anti")  # 50 rows at most
 
 
+def redone(events: DataFrame, undo_steps: int, redo_steps: int = 1) -> DataFrame:
+    """The log after ``undo_steps`` undone batches of which the first ``redo_steps`` were done again.
+
+    As the log is never rewritten, redo is leaving out fewer batches; a batch that is appended later
+    ends the chance to redo, since the steps then count from it.
+    """
+    return undone(events, max(0, min(50, undo_steps) - max(0, redo_steps)))
+
+
+def scope(df: DataFrame, indices: DataFrame | None = None, slice_rows: DataFrame | None = None, query: str | None = None) -> DataFrame:
+    """The rows a bulk edit is about: by indices, else by a slice, else by a query; a dry run counts them."""
+    from tesserae.plans.boolean import matching
+
+    chosen = indices if indices is not None else slice_rows
+    return df.join(chosen.select("_row_idx").distinct(), "_row_idx", "left_semi") if chosen is not None else matching(df, query)
+
+
 def bulk(rows: DataFrame, cat_id: str, coder: str, codebook_id: str, seq: int, group: str | None = None, action: str = "tag") -> DataFrame:
     """Events for all rows of a slice; they share a batch, so one undo takes them back."""
     return rows.select(
@@ -99,6 +116,10 @@ def memo_counts(standing: DataFrame) -> DataFrame:
     return standing.agg(F.count("*").alias("memos"), F.countDistinct("_row_idx").alias("rows"), F.countDistinct("coder").alias("coders"))
 
 
+def memos_by_coder(standing: DataFrame) -> DataFrame:
+    return standing.groupBy("coder").agg(F.count("*").alias("memos"))
+
+
 def span_texts(spans: DataFrame, rows: DataFrame) -> DataFrame:
     """Annotated spans (start inclusive, end exclusive) with their text."""
     met = spans.where("end > start").join(rows.select("_row_idx", "text"), "_row_idx")
@@ -132,3 +153,9 @@ def topic_counts(assigned: DataFrame, topics: DataFrame) -> DataFrame:
 
 def merge_topics(assigned: DataFrame, sources: list[str], target: str) -> DataFrame:
     return assigned.withColumn("topic_id", F.when(F.col("topic_id").isin(sources), target).otherwise(F.col("topic_id")))
+
+
+def topic_rows(assigned: DataFrame, rows: DataFrame, topic_id: str, k: int = 20) -> DataFrame:
+    """The first ``k`` rows of a topic by row index, with their texts."""
+    mine = assigned.where(F.col("topic_id") == topic_id).select("_row_idx").orderBy("_row_idx").limit(k)
+    return rows.select("_row_idx", "text").join(F.broadcast(mine), "_row_idx")  # k rows

@@ -26,12 +26,15 @@ def flat(df: DataFrame, sep: str = "|") -> DataFrame:
     return df.select(*out)
 
 
-def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
-    """CSV files with a header, distributed; a byte order mark leads the first column's name if wanted."""
+def write_csv(df: DataFrame, path: str, bom: bool = True, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """CSV files with a header, distributed; a byte order mark leads the first column's name if wanted.
+
+    Space around values is kept, and quotes are doubled, so reading gives the same values back.
+    """
     made = flat(df)
     if bom and made.columns:
         made = made.withColumnRenamed(made.columns[0], "﻿" + made.columns[0])
-    made.write.csv(path, header=True, escape='"', quote='"')
+    made.write.csv(path, header=True, sep=sep, encoding=encoding, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -49,11 +52,15 @@ def export_rows(corpus: DataFrame, tags: DataFrame, categories: DataFrame, topic
     return out.join(topics.select("_row_idx", F.col("name").alias("topic")), "_row_idx", "left") if topics is not None else out
 
 
-def export_counts(corpus: DataFrame, tags: DataFrame, memos: DataFrame | None = None) -> dict[str, int]:
-    """What an export would hold."""
+def export_counts(corpus: DataFrame, tags: DataFrame, memos: DataFrame | None = None, topics: DataFrame | None = None, spans: DataFrame | None = None) -> dict[str, int]:
+    """What an export would hold: rows, tags by hand and by classifier, memos, topics and spans."""
     n = corpus.count()
+    ai = F.col("coder") == "ai"
+    by = tags.agg(F.count_distinct(F.when(ai, F.col("_row_idx"))), F.count_distinct(F.when(~ai, F.col("_row_idx")))).first()
+    size = lambda df: df.count() if df is not None else 0
+    more = {"ai_rows": by[0], "hand_rows": by[1], "topic_rows": size(topics), "spans": size(spans)}
     told = tags.agg(F.countDistinct("_row_idx"), F.count("*"), F.countDistinct("coder"), F.countDistinct("cat_id")).first()
-    return {"rows": n, "tagged": told[0], "untagged": n - told[0], "tags": told[1], "coders": told[2], "categories": told[3], "memos": memos.count() if memos is not None else 0}
+    return {"rows": n, "tagged": told[0], "untagged": n - told[0], "tags": told[1], "coders": told[2], "categories": told[3], "memos": size(memos)} | more
 
 
 def bundle(parts: dict[str, str | bytes], readme: str) -> bytes:

@@ -13,11 +13,18 @@ from tesserae.session import kept
 WORD = r"(?U)\b\w\w+\b"
 
 
-def terms(c: Column, most: int = 2) -> Column:
-    """Lower-case words of two characters or more, and their pairs."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
-    if most < 2:
-        return words
+def words_of(c: Column) -> Column:
+    """Lower-case words of two characters or more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def terms(c: Column) -> Column:
+    """The words of a text and their pairs."""
+    return with_pairs(words_of(c))
+
+
+def with_pairs(words: Column) -> Column:
+    """Words and their pairs; where ``words`` is a column of its own, the text is searched once."""
     pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, F.when(b.isNotNull(), b)))
     whole = F.when(F.size(words) >= 2, F.slice(pairs, 1, F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(F.array().cast("array<string>"))
     return F.concat(words, whole)
@@ -25,7 +32,7 @@ def terms(c: Column, most: int = 2) -> Column:
 
 def weights(df: DataFrame, key: str = "_row_idx", text: str = "text", min_df: int = 2, max_df: float = 0.9, features: int = 100_000) -> DataFrame:
     """(row, term, weight): 1 + ln tf, times smoothed idf, each row of unit length."""
-    tf = df.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = counted_terms(df, key, text)
     n = df.agg(F.count("*").alias("n"))
     seen = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).crossJoin(F.broadcast(n))  # one row
     kept = seen.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n"))).orderBy(F.desc("all"), "term").limit(features)
@@ -40,7 +47,8 @@ def counted_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 
     Terms are put in order; the first of each run of equal ones stands for it, and the next one's place gives its length.
     """
-    made = df.select(key, F.sort_array(terms(F.col(text))).alias("_t"))
+    worded = df.select(key, words_of(F.col(text)).alias("_w"))
+    made = worded.select(key, F.sort_array(with_pairs(F.col("_w"))).alias("_t"))
     at = F.filter(F.sequence(F.lit(0), F.size("_t") - 1), lambda i: ~F.get("_t", i).eqNullSafe(F.get("_t", i - 1)))
     firsts = made.where(F.size("_t") > 0).select(key, "_t", at.alias("_at"), F.size("_t").alias("_n"))
     runs = F.transform("_at", lambda i, j: F.struct(F.get("_t", i).alias("term"), (F.coalesce(F.get("_at", j + 1), F.col("_n")) - i).cast("long").alias("tf")))
@@ -56,15 +64,16 @@ def search(df: DataFrame, query: str, k: int = 20, key: str = "_row_idx", text:
     spark = df.sparkSession
     wanted = Counter(r for r in spark.range(1).select(F.explode(terms(F.lit(query))).alias("t")).toPandas()["t"])
     n = df.count()
-    own = df.select(F.explode(F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, wanted)))).alias("term")) if wanted else df.select(F.lit("").alias("term")).limit(0)
+    worded = df.select(key, text, words_of(F.col(text)).alias("_w"))
+    own = worded.select(F.explode(F.array_intersect(with_pairs(F.col("_w")), F.array(*map(F.lit, wanted)))).alias("term")) if wanted else df.select(F.lit("").alias("term")).limit(0)
     seen = {r.term: r.n for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}
     rows = {t: log((1 + n) / (1 + c)) + 1 for t, c in seen.items() if min_df <= c <= max_df * n}
     mine = {t: (1 + log(c)) * rows[t] for t, c in wanted.items() if t in rows}
     length = sqrt(sum(w * w for w in mine.values())) or 1.0
     if not mine:
         return df.select(key, F.lit(0.0).alias("score")).limit(0)
-    idf = _idf(df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")), n, min_df, max_df)
-    hits = df.where(F.arrays_overlap(terms(F.col(text)), F.array(*map(F.lit, mine))))
+    idf = _idf(worded.select(F.explode(F.array_distinct(with_pairs(F.col("_w")))).alias("term")), n, min_df, max_df)
+    hits = worded.where(F.arrays_overlap(with_pairs(F.col("_w")), F.array(*map(F.lit, mine))))
     tf = counted_terms(hits, key, text)
     q = F.create_map(*[x for t, w in mine.items() for x in (F.lit(t), F.lit(w / length))])
     w = (1 + F.log("tf")) * F.col("idf")

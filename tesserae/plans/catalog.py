@@ -299,7 +299,7 @@ def quality_flags(spark, d):
 @query("""WITH x AS (SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS s FROM orders) SELECT o_orderkey AS _row_idx, strftime(strptime(s, '%d.%m.%Y'), '%Y-%m-%d') AS day FROM x""")
 def date_parse_day_first(spark, d):
     x = table(spark, d, "orders").select(F.col("o_orderkey").alias("_row_idx"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("s"))
-    return x.select("_row_idx", F.date_format(mg.parsed_date(F.col("s"), mg.is_day_first(x, "s")), "yyyy-MM-dd").alias("day"))
+    return x.select("_row_idx", F.date_format(mg.parsed_date(F.col("s"), mg.is_day_first(x, "s", order=("_row_idx",))), "yyyy-MM-dd").alias("day"))
 
 
 # --- samples and slices -----------------------------------------------------------------------------
@@ -559,14 +559,14 @@ def degree(spark, d):
     return nw.degree(_replies(spark, d))
 
 
-_TAGGED = "'#' || lang || ' @' || source || ' http://www.Ex.com/' || doc_id || ' #Ü' || lang || ' 😀 ' || substr(text, 1, 40)"
+_TAGGED = "'#' || lang || ' @' || source || ' http://www.Ex.com/' || doc_id || ' #Ü' || lang || ' 😀 ' || text"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_TAGGED} AS t FROM documents) SELECT doc_id AS _row_idx, length(t) AS char_count, CAST(len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS BIGINT) AS word_count,
  CAST(len(regexp_extract_all(t, '[\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]')) AS BIGINT) AS emoji_count, CAST(len(regexp_extract_all(t, '#([\\p{{L}}\\p{{N}}_]+)')) AS BIGINT) AS hashtag_count,
  CAST(len(regexp_extract_all(t, 'https?://[^\\s/$.?#].[^\\s]*')) AS BIGINT) AS url_count, array_to_string([lower(x) FOR x IN regexp_extract_all(t, '#([\\p{{L}}\\p{{N}}_]+)', 1)], '|') AS hashtags FROM p""")
 def post_features(spark, d):
-    p = posts(spark, d).select("_row_idx", F.concat(F.lit("#"), "language", F.lit(" @"), "source_dataset", F.lit(" http://www.Ex.com/"), "post_id", F.lit(" #Ü"), "language", F.lit(" 😀 "), F.substring("text", 1, 40)).alias("t"))
+    p = posts(spark, d).select("_row_idx", F.concat(F.lit("#"), "language", F.lit(" @"), "source_dataset", F.lit(" http://www.Ex.com/"), "post_id", F.lit(" #Ü"), "language", F.lit(" 😀 "), "text").alias("t"))
     f = tx.post_features(F.col("t"))
     return p.select("_row_idx", *[f[c].alias(c) for c in ("char_count", "word_count", "emoji_count", "hashtag_count", "url_count")], F.array_join(f["hashtags"], "|").alias("hashtags"))
 
@@ -583,7 +583,9 @@ def page_domains(spark, d):
 
 @query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), '|') AS kinds FROM events GROUP BY user_id")
 def array_join_export(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "|").alias("kinds"))
+    from tesserae.operators.export import flat
+
+    return flat(table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds")))
 
 
 @query()
@@ -625,10 +627,12 @@ def memo_counts(spark, d):
     return cd.memo_counts(cd.memos(log))
 
 
-@query("SELECT doc_id AS _row_idx, substr(text, CAST(doc_id % 5 AS BIGINT) + 1, 10) AS quote FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id AS _row_idx, substr(text, length(text) // 3 + 1, length(text) // 2 + 1) AS quote FROM documents WHERE text IS NOT NULL")
 def span_quotes(spark, d):
-    p = posts(spark, d)
-    spans = p.where("_row_idx % 3 = 0").select("_row_idx", (F.col("_row_idx") % 5).cast("int").alias("start"), (F.col("_row_idx") % 5 + 10).cast("int").alias("end"))
+    """A span of every document, from its third, half its length long."""
+    p = posts(spark, d).where("text IS NOT NULL")
+    n = F.length("text")
+    spans = p.select("_row_idx", F.floor(n / 3).cast("int").alias("start"), (F.floor(n / 3) + F.floor(n / 2) + 1).cast("int").alias("end"))
     return cd.span_texts(spans, p).select("_row_idx", "quote")
 
 

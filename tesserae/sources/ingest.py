@@ -23,9 +23,29 @@ def ending(path: str) -> str:
     return kind
 
 
-def head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
-    """The first bytes of a file, read through Hadoop so that any store will do."""
+def data_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of the data files of a folder by name."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    found = [(f.getPath().toString(), f.getLen()) for f in there if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return sorted(found)
+
+
+def checked_upload(spark: SparkSession, path: str, most: int = MOST_BYTES) -> str:
+    """The format of an upload; refuses unknown endings and what is larger than ``most``."""
+    kind = ending(path)
+    size = sum(n for _, n in data_files(spark, path))
+    if size > most:
+        raise ValueError(f"{path} has {size} bytes, over the limit of {most}")
+    return kind
+
+
+def head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
+    """The first bytes of a file, or of a folder's first file, read through Hadoop so that any store will do."""
+    files = data_files(spark, path)
+    if not files:
+        return b""
+    p = spark._jvm.org.apache.hadoop.fs.Path(files[0][0])
     stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
     try:
         return bytes(stream.readNBytes(size))

@@ -72,6 +72,64 @@ class Store:
     def drop_snapshot(self, sid: str) -> bool:
         return self.delete(f"snapshots/{sid}")
 
+    def purge_snapshots(self, keep: list[str]) -> list[str]:
+        """Delete all snapshots but those of ``keep`` and the active one; returns what went."""
+        stays = {*keep, self.active()}
+        gone = sorted(r.snapshot_id for r in self.snapshots().select("snapshot_id").collect() if r.snapshot_id not in stays)
+        for sid in gone:
+            self.drop_snapshot(sid)
+        return gone
+
+    def active(self) -> str | None:
+        return self.read("active").first()[0] if self.exists("active/_SUCCESS") else None
+
+    def activate(self, sid: str) -> bool:
+        """Make a snapshot the active one; False if it was. Slices frozen on another one are no longer valid."""
+        if not self.exists(f"snapshots/{sid}/data/_SUCCESS"):
+            raise ValueError(f"there is no snapshot {sid}")
+        if self.active() == sid:
+            return False
+        self.write(self.spark.createDataFrame([(sid,)], "snapshot_id string").coalesce(1), "active", "overwrite")
+        return True
+
+    # --- frozen slices and checkpoints ----------------------------------------------------------------
+
+    def freeze(self, name: str, rows: DataFrame, key: str = "_row_idx") -> None:
+        """Save the row indices of a slice of the active snapshot."""
+        self.write(rows.select(key, F.lit(self.active()).alias("snapshot_id")), f"slices/{name}", "overwrite")
+
+    def frozen(self, name: str) -> DataFrame:
+        """The rows of a frozen slice; an error if another snapshot is active now."""
+        rows = self.read(f"slices/{name}")
+        told = rows.select("snapshot_id").limit(1).collect()
+        if told and told[0][0] != self.active():
+            raise ValueError(f"the slice {name} was frozen on another snapshot")
+        return rows.drop("snapshot_id")
+
+    def split(self, prefix: str, chunks: DataFrame, k: int) -> list[str]:
+        """Freeze the ``k`` chunks of rows (``_row_idx``, ``chunk``) as slices of their own."""
+        names = [f"{prefix}_{i + 1}" for i in range(k)]
+        for i, name in enumerate(names):
+            self.freeze(name, chunks.where(F.col("chunk") == i))
+        return names
+
+    def checkpoint(self, codebook: str, tags: DataFrame, note: str = "", keep: int = 10) -> str:
+        """Save a codebook's tags; the last ``keep`` checkpoints of each codebook stay."""
+        cid = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
+        self.write(tags.withColumn("_note", F.lit(note)), f"checkpoints/{codebook}/{cid}", "overwrite")
+        for old in self.checkpoints(codebook)[:-keep]:
+            self.delete(f"checkpoints/{codebook}/{old}")
+        return cid
+
+    def checkpoints(self, codebook: str) -> list[str]:
+        """Ids, the oldest first."""
+        fs, p = self._fs(f"{self.root}/checkpoints/{codebook}")
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def reverted(self, codebook: str, cid: str) -> DataFrame:
+        """The tags of a checkpoint; batches after it are gone, so nothing can be undone or redone."""
+        return self.read(f"checkpoints/{codebook}/{cid}").drop("_note")
+
     def sql(self, sid: str, query: str, **params: object) -> DataFrame:
         """SQL over a snapshot as the view ``corpus``; values go in as named parameters."""
         self.open_snapshot(sid).createOrReplaceTempView("corpus")
