@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import random
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.session import with_checkpoints
@@ -37,44 +37,80 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("weight").alias("degree"))
 
 
-def betweenness(edges: Iterable[tuple[str, str]], pivots: int = 200, seed: int = 42, most: int = 5_000) -> dict[str, float]:
-    """Betweenness of a small graph by breadth-first search from every node, or from seeded pivots.
+def betweenness(edges: Iterable[tuple[str, str] | tuple[str, str, float]], directed: bool = False, pivots: int = 200, seed: int = 42, most: int = 5_000) -> dict[str, float]:
+    """Betweenness of a small graph by shortest paths from every node, or from seeded pivots.
 
-    Runs on the driver; over ``most`` nodes are refused, as the graph of a report is small.
+    Edges are (a, b) or (a, b, weight); a path is as long as its weights together. The score of a node
+    sums, over ordered pairs of other nodes, the share of their shortest paths that it lies on, divided
+    by the number of such pairs. Runs on the driver; over ``most`` nodes are refused, as the graph of a
+    report is small.
     """
-    near: dict[str, set[str]] = {}
-    for a, b in edges:
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
+    near: dict[str, dict[str, float]] = {}
+    for a, b, *weight in edges:
+        length = float(weight[0]) if weight else 1.0
+        near.setdefault(a, {})[b] = length
+        near.setdefault(b, {})
+        if not directed:
+            near[b][a] = length
     nodes = sorted(near)
     if len(nodes) > most:
         raise ValueError(f"{len(nodes)} nodes are over the limit of {most}")
     chosen = nodes if len(nodes) <= pivots else random.Random(seed).sample(nodes, pivots)
     score = dict.fromkeys(nodes, 0.0)
-    for s in chosen:
-        order, paths, depth, before = [], {s: 1.0}, {s: 0}, {s: []}
-        todo = deque([s])
-        while todo:
-            v = todo.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in depth:
-                    depth[w], paths[w], before[w] = depth[v] + 1, 0.0, []
-                    todo.append(w)
-                if depth[w] == depth[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != s:
-                score[w] += share[w]
+    for source in chosen:
+        settled, paths, before = shortest_paths(near, source)
+        share = dict.fromkeys(settled, 0.0)
+        for node in reversed(settled):
+            for prior in before[node]:
+                share[prior] += paths[prior] / paths[node] * (1 + share[node])
+            if node != source:
+                score[node] += share[node]
     n = len(nodes)
     scale = n / len(chosen) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     return {k: v * scale for k, v in score.items()}
 
 
+def shortest_paths(near: dict[str, dict[str, float]], source: str) -> tuple[list[str], dict[str, float], dict[str, list[str]]]:
+    """Nodes in the order of their distance, how many shortest paths lead to each, and the nodes before it on them."""
+    paths, before, distance = {source: 1.0}, {source: []}, {source: 0.0}
+    settled: list[str] = []
+    done: set[str] = set()
+    todo = [(0.0, source)]
+    while todo:
+        d, node = heapq.heappop(todo)
+        if node in done:
+            continue
+        done.add(node)
+        settled.append(node)
+        for other, length in near[node].items():
+            total = d + length
+            if other not in distance or total < distance[other]:
+                distance[other], paths[other], before[other] = total, paths[node], [node]
+                heapq.heappush(todo, (total, other))
+            elif total == distance[other] and other not in done:
+                paths[other] += paths[node]
+                before[other].append(node)
+    return settled, paths, before
+
+
+def top_betweenness(edges: DataFrame, directed: bool = True, k: int = 20, most: int = 5_000) -> list[tuple[str, float]]:
+    """The ``k`` nodes of highest betweenness; none if the graph has over ``most`` nodes, which is counted first."""
+    if edges.select(F.explode(F.array("src", "tgt")).alias("n")).distinct().limit(most + 1).count() > most:
+        return []
+    scores = betweenness([(r.src, r.tgt, r.weight) for r in edges.select("src", "tgt", "weight").collect()], directed, most=most)
+    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+
+
+def cluster_list(named: DataFrame, df: DataFrame, most: int = 50, samples: int = 5, chars: int = 300, key: str = "_row_idx", text: str = "text") -> DataFrame:
+    """(cluster, size, rows, texts): the ``most`` largest clusters with their first ``samples`` rows and the start of their texts."""
+    sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster").limit(most)
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy("row"))
+    shown = named.join(F.broadcast(sizes), "cluster").withColumn("rank", rank).where(F.col("rank") <= samples)  # 50 clusters
+    met = df.select(F.col(key).alias("row"), F.substring(text, 1, chars).alias("start")).join(F.broadcast(shown), "row")  # 250 rows
+    listed = met.groupBy("cluster", "size").agg(F.array_sort(F.collect_list(F.struct("row", "start"))).alias("s"))
+    return listed.select("cluster", "size", F.array_join(F.transform("s", lambda x: x["row"].cast("string")), ",").alias("rows"), F.col("s.start").alias("texts"))
+
+
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit vector at a time."""
     place: dict[str, int] = {}

@@ -599,6 +599,21 @@ def dup_clusters(spark, d):
     return nw.clusters(items.unionByName(copies), 85.0)
 
 
+@query()
+def dup_cluster_list(spark, d):
+    """The largest clusters of ``dup_clusters`` with samples; no SQL, as alignment has none."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("_row_idx"), "text")
+    copies = items.select((F.col("_row_idx") + 1_000_000).alias("_row_idx"), F.regexp_replace("text", r"\s+\S+\s*$", "").alias("text"))
+    rows = items.unionByName(copies)
+    return nw.cluster_list(nw.clusters(rows, 85.0), rows).select("cluster", "size", "rows")
+
+
+@query()
+def betweenness_top(spark, d):
+    """Betweenness of the reply graph by weighted, directed paths; SQL has no shortest paths of this kind, a test counts them all."""
+    return spark.createDataFrame([(n, float(v)) for n, v in nw.top_betweenness(_replies(spark, d))], "node string, betweenness double")
+
+
 @query("SELECT 'language' AS name, count(DISTINCT lang) AS \"distinct\" FROM documents UNION ALL SELECT 'source_dataset', count(DISTINCT source) FROM documents")
 def stratification_candidates(spark, d):
     return an.stratification_candidates(posts(spark, d))

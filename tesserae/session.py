@@ -47,9 +47,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths that this process has handed out.
+_made: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what was written under scratch paths; for use once results were consumed."""
+    while _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

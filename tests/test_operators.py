@@ -231,3 +231,56 @@ def test_adjudication_topics_and_enrichment_cache(spark):
     cache = spark.createDataFrame([("sentiment", __import__("hashlib").sha1(b"sentiment||good").hexdigest(), '{"label": "cached"}')], "kind string, key string, answer string")
     made = cl.enrich(df, cl.word_sentiment(["good"], ["bad"]), "label string, score double", "sentiment", cache=cache)
     assert {r._row_idx: r.sentiment.label for r in made.collect()} == {0: "cached", 1: "cached", 2: "neutral"}
+
+
+def test_weighted_betweenness_equals_counting_all_paths():
+    import itertools
+    import random
+
+    from tesserae.operators import network as nw
+
+    rng = random.Random(5)
+    for directed in (False, True):
+        for _ in range(8):
+            names = "abcdef"
+            edges = [(a, b, rng.randint(1, 3)) for a, b in itertools.permutations(names, 2) if (directed or a < b) and rng.random() < 0.5]
+            length = {(a, b): w for a, b, w in edges} | ({} if directed else {(b, a): w for a, b, w in edges})
+            nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+            want = dict.fromkeys(nodes, 0.0)
+            for s, t in itertools.permutations(nodes, 2):
+                walks = [(s, *mid, t) for k in range(len(nodes) - 1) for mid in itertools.permutations([n for n in nodes if n not in (s, t)], k)]
+                costs = [(sum(length[p] for p in itertools.pairwise(w)), w) for w in walks if all(p in length for p in itertools.pairwise(w))]
+                best = [w for c, w in costs if c == min(costs)[0]]
+                for w in best:
+                    for n in w[1:-1]:
+                        want[n] += 1 / len(best)
+            n = len(nodes)
+            got = nw.betweenness(edges, directed)
+            assert all(abs(got[k] - (v / ((n - 1) * (n - 2)) if n > 2 else 0)) < 1e-9 for k, v in want.items())
+
+
+def test_cluster_list(spark):
+    from tesserae.operators import network as nw
+
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "_row_idx long, text string")
+    named = spark.createDataFrame([(i, 0 if i < 9 else 9) for i in range(13)], "row long, cluster long")
+    got = nw.cluster_list(named, rows, samples=2, chars=4).collect()
+    assert sorted((r.cluster, r["size"], r.rows, r.texts) for r in got) == [(0, 9, "0,1", ["text", "text"]), (9, 4, "9,10", ["text", "text"])]
+
+
+def test_uploads_diagnostics_and_warnings(spark, tmp_path):
+    import pytest
+
+    from tesserae.operators import agreement as ag
+    from tesserae.sources import ingest as ig
+
+    (tmp_path / "a.csv").write_text("id,text\n1,x\n")
+    assert ig.checked_upload(spark, f"file://{tmp_path}/a.csv") == "csv"
+    with pytest.raises(ValueError, match="over the limit"):
+        ig.checked_upload(spark, f"file://{tmp_path}/a.csv", 5)
+    corpus = spark.createDataFrame([("en", "x" * 100, i) for i in range(100)], "language string, text string, like_count long")
+    sample = corpus.limit(20).selectExpr("language", "substr(text, 1, 10) AS text", "1 AS like_count")
+    assert len(ag.diagnose(corpus, sample)) == 1 and ag.diagnose(corpus, corpus) == []
+    out = spark.createDataFrame([("good", 0.1), ("good", 0.9), ("odd", 2.0)], "cat_id string, confidence double")
+    assert len(ag.guardrail_warnings(ag.guardrails(out, ["good"]))) == 3
+    assert ag.guardrail_warnings(ag.guardrails(out.where("confidence = 0.9"), ["good"])) == []
