@@ -449,9 +449,10 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, least
     texts = shared.stored(prints.groupBy("hash", "fp").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("size").alias("size")), "texts")
     close = links(texts.select("fp").distinct(), radius).unionByName(band_links(texts))
     near = components(close).toDF("fp", "root")
-    rooted = texts.join(near, "fp", "left").select("node", "hash", "size", F.coalesce("root", "fp").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).where("n > 1")
-    some = shared.stored(rooted.join(sizes, "root"), "candidates")
+    rooted = shared.stored(texts.join(near, "fp", "left").select("node", "hash", "size", F.coalesce("root", "fp").alias("root")), "rooted")
+    sizes = shared.stored(rooted.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).where("n > 1"), "sizes")
+    # While groups are few, their one row each goes to all tasks, and a group of most texts is dealt to no single one.
+    some = shared.stored(rooted.join(shared.small(sizes, sizes.count()), "root"), "candidates")
     blocks = F.ceil(F.greatest(F.col("n") / (members // 2), 2 * F.col("hashes") / HASHES)).cast("int")
     large = (F.col("n") > members) | (F.col("hashes") > HASHES)
     sets = gram_sets(marked, width, shared.sieve(some, "node")).withColumnRenamed("doc_id", "node")
