@@ -41,10 +41,10 @@ PRIOR_LENGTH, PRIOR_WORDS = 5.0, 20.0
 PRIOR_MARKS, PRIOR_CHARS = 0.03, 100.0
 SHARE, LEAST = 0.75, 100
 #: Rows of a start chosen by hash, seeds of such starts, starts that go on, and steps between two looks at the determinant.
-SUBSET, SEEDS, BEST, STEPS = 12, (1, 2), 2, 4
+SUBSET, SEEDS, BEST, STEPS = 12, (1, 2), 2, 3
 STARTS = 2 + len(SEEDS)
 #: Relative change of the determinant in a step that counts as standing still, and looks at it before the search gives up.
-STILL, LOOKS = 1e-4, 15
+STILL, LOOKS = 1e-3, 20
 #: Squared distance beyond which a row is rejected: nearly eight standard deviations in some direction.
 CUTOFF = 60.0
 #: Least conditional standard deviation of each statistic, and least ones where fewer than ``LEAST`` rows are known.
@@ -185,35 +185,46 @@ def starts(rows: DataFrame) -> DataFrame:
     return made.select("g", "s", *ESTIMATE)
 
 
-def step(rows: DataFrame, now: DataFrame, share: float, count: int) -> DataFrame:
-    """One concentration step from the estimates ``now`` (g, s, m1.., c11..), of which there are ``count`` at most; ``old`` is their determinant."""
-    here = factored(now).select("g", "s", "m1", "m2", "m3", *[f"l{i}{j}" for i in range(1, 4) for j in range(1, i + 1)], F.col("det").alias("old"))
-    met = rows.join(shared.small(here, count), "g")
-    off = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(NAMES, 1)]
-    same = ["m1", "m2", "m3", "old"]  # of one estimate throughout
-    near = met.select("g", "s", F.floor(F.log(distance() + 1e-9) * BINS).alias("bin"), *same, *[o.alias(f"o{i}") for i, o in enumerate(off, 1)])
-    sums = [F.count("*").alias("n")] + [F.sum(f"o{i}").alias(f"a{i}") for i in range(1, 4)] + [F.sum(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"b{i}{j}") for i, j in CELLS]
-    bins = near.groupBy("g", "s", "bin").agg(*sums, *[F.first(c).alias(c) for c in same])
-    upto = Window.partitionBy("g", "s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(upto), F.lit(0))
-    wanted = F.lit(share) * F.sum("n").over(Window.partitionBy("g", "s"))
-    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wanted - below) / F.col("n")))
-    kept = bins.withColumn("part", part).where("part > 0")
-    total = F.sum(F.col("part") * F.col("n"))
-    means = [(F.sum(F.col("part") * F.col(f"a{i}")) / total).alias(f"a{i}") for i in range(1, 4)]
-    squares = [(F.sum(F.col("part") * F.col(f"b{i}{j}")) / total).alias(f"b{i}{j}") for i, j in CELLS]
-    moved = kept.groupBy("g", "s").agg(*means, *squares, *[F.first(c).alias(c) for c in same])
-    mean = [(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(1, 4)]
-    return moved.select("g", "s", *mean, *[(F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i, j in CELLS], "old")
+class Step:
+    """One concentration step; its expressions are the same in every step and are built once."""
+
+    def __init__(self, share: float):
+        low, _ = factor()
+        same = [F.col(c) for c in ("m1", "m2", "m3", "old")]  # of one estimate throughout
+        det = F.lit(1.0)
+        for i in range(1, 4):
+            det = det * low[i, i] * low[i, i]
+        self.here = [F.col("g"), F.col("s"), *same[:3], *[c.alias(f"l{i}{j}") for (i, j), c in low.items()], det.alias("old")]
+        off = [(F.col(x) - F.col(f"m{i}")).alias(f"o{i}") for i, x in enumerate(NAMES, 1)]
+        self.near = [F.col("g"), F.col("s"), F.floor(F.log(distance() + 1e-9) * BINS).alias("bin"), *same, *off]
+        sums = [F.count("*").alias("n")] + [F.sum(f"o{i}").alias(f"a{i}") for i in range(1, 4)]
+        sums += [F.sum(F.col(f"o{i}") * F.col(f"o{j}")).alias(f"b{i}{j}") for i, j in CELLS]
+        first = [F.first(c).alias(n) for c, n in zip(same, ("m1", "m2", "m3", "old"), strict=True)]
+        self.sums = sums + first
+        upto = Window.partitionBy("g", "s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        below = F.coalesce(F.sum("n").over(upto), F.lit(0))
+        wanted = F.lit(share) * F.sum("n").over(Window.partitionBy("g", "s"))
+        self.part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (wanted - below) / F.col("n")))
+        total = F.sum(F.col("part") * F.col("n"))
+        cells = [f"{i}{j}" for i, j in CELLS]
+        self.kept = [(F.sum(F.col("part") * F.col(c)) / total).alias(c) for c in ["a1", "a2", "a3", *(f"b{c}" for c in cells)]] + first
+        mean = [(F.col(f"m{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(1, 4)]
+        self.after = [F.col("g"), F.col("s"), *mean, *[(F.col(f"b{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i, j in CELLS], F.col("old")]
+
+    def __call__(self, rows: DataFrame, now: DataFrame, count: int) -> DataFrame:
+        """From the estimates ``now`` (g, s, m1.., c11..), of which there are ``count`` at most; ``old`` is their determinant."""
+        near = rows.join(shared.small(now.select(*self.here), count), "g").select(*self.near)
+        bins = near.groupBy("g", "s", "bin").agg(*self.sums)
+        return bins.withColumn("part", self.part).where("part > 0").groupBy("g", "s").agg(*self.kept).select(*self.after)
 
 
 def estimates(rows: DataFrame, share: float = SHARE, groups: int = shared.FEW + 1) -> DataFrame:
     """Per group ``g`` of rows (g, x1, x2, x3): m1.. and c11.. of the least determinant found, of ``groups`` at most."""
-    spark = rows.sparkSession
+    spark, step = rows.sparkSession, Step(share)
 
     def go(now: DataFrame, steps: int, count: int) -> DataFrame:
         for _ in range(steps):
-            now = step(rows, now, share, count)
+            now = step(rows, now, count)
         return now
 
     def best(now: DataFrame, most: int) -> DataFrame:
