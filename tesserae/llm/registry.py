@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, source_mix, warc
+from . import chat_windows, repeats, source_mix, warc
 from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_warc"] = op1_warc
 ORACLE["op1_warc"] = warc.ORACLE_SQL.format(pages="pages")
+
+
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its words, those that repeated passages cover, and the digest of the rest."""
+    return repeats.cut_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES["op11_substring_dedup"] = op11_substring_dedup
+ORACLE["op11_substring_dedup"] = repeats.ORACLE_SQL
