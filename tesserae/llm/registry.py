@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_windows, repeats, source_mix, warc
+from . import chat_windows, collocations, repeats, source_mix, warc
 from .shared import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,22 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op11_substring_dedup"] = op11_substring_dedup
 ORACLE["op11_substring_dedup"] = repeats.ORACLE_SQL
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_tokens
+
+    return align_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+QUERIES["op12_cross_tokenizer_alignment"] = op12_cross_tokenizer_alignment
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+QUERIES["op13_phrase_collocations"] = op13_phrase_collocations
+ORACLE["op13_phrase_collocations"] = collocations.ORACLE_SQL
