@@ -1,17 +1,13 @@
-"""Interaction and co-mention graphs, centrality, and clusters of similar texts."""
+"""Interaction and co-mention graphs and their degrees, and lists of clusters.
 
-from __future__ import annotations
+Betweenness is in ``paths``, similar texts and their clusters in ``similar``.
+"""
 
-import heapq
-import random
-from collections.abc import Iterable, Iterator
+from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.session import with_checkpoints
-
 
 def interactions(df: DataFrame, source: str = "author_handle", target: str = "in_reply_to") -> DataFrame:
     """(src, tgt, weight) of replies; blanks and replies to oneself are left out."""
@@ -37,70 +33,6 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("weight").alias("degree"))
 
 
-def betweenness(edges: Iterable[tuple[str, str] | tuple[str, str, float]], directed: bool = False, pivots: int = 200, seed: int = 42, most: int = 5_000) -> dict[str, float]:
-    """Betweenness of a small graph by shortest paths from every node, or from seeded pivots.
-
-    Edges are (a, b) or (a, b, weight); a path is as long as its weights together. The score of a node
-    sums, over ordered pairs of other nodes, the share of their shortest paths that it lies on, divided
-    by the number of such pairs. Runs on the driver; over ``most`` nodes are refused, as the graph of a
-    report is small.
-    """
-    near: dict[str, dict[str, float]] = {}
-    for a, b, *weight in edges:
-        length = float(weight[0]) if weight else 1.0
-        near.setdefault(a, {})[b] = length
-        near.setdefault(b, {})
-        if not directed:
-            near[b][a] = length
-    nodes = sorted(near)
-    if len(nodes) > most:
-        raise ValueError(f"{len(nodes)} nodes are over the limit of {most}")
-    chosen = nodes if len(nodes) <= pivots else random.Random(seed).sample(nodes, pivots)
-    score = dict.fromkeys(nodes, 0.0)
-    for source in chosen:
-        settled, paths, before = shortest_paths(near, source)
-        share = dict.fromkeys(settled, 0.0)
-        for node in reversed(settled):
-            for prior in before[node]:
-                share[prior] += paths[prior] / paths[node] * (1 + share[node])
-            if node != source:
-                score[node] += share[node]
-    n = len(nodes)
-    scale = n / len(chosen) / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return {k: v * scale for k, v in score.items()}
-
-
-def shortest_paths(near: dict[str, dict[str, float]], source: str) -> tuple[list[str], dict[str, float], dict[str, list[str]]]:
-    """Nodes in the order of their distance, how many shortest paths lead to each, and the nodes before it on them."""
-    paths, before, distance = {source: 1.0}, {source: []}, {source: 0.0}
-    settled: list[str] = []
-    done: set[str] = set()
-    todo = [(0.0, source)]
-    while todo:
-        d, node = heapq.heappop(todo)
-        if node in done:
-            continue
-        done.add(node)
-        settled.append(node)
-        for other, length in near[node].items():
-            total = d + length
-            if other not in distance or total < distance[other]:
-                distance[other], paths[other], before[other] = total, paths[node], [node]
-                heapq.heappush(todo, (total, other))
-            elif total == distance[other] and other not in done:
-                paths[other] += paths[node]
-                before[other].append(node)
-    return settled, paths, before
-
-
-def top_betweenness(edges: DataFrame, directed: bool = True, k: int = 20, most: int = 5_000) -> list[tuple[str, float]]:
-    """The ``k`` nodes of highest betweenness; none if the graph has over ``most`` nodes, which is counted first."""
-    if edges.select(F.explode(F.array("src", "tgt")).alias("n")).distinct().limit(most + 1).count() > most:
-        return []
-    scores = betweenness([(r.src, r.tgt, r.weight) for r in edges.select("src", "tgt", "weight").collect()], directed, most=most)
-    return sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
-
-
 def cluster_list(named: DataFrame, df: DataFrame, most: int = 50, samples: int = 5, chars: int = 300, key: str = "_row_idx", text: str = "text") -> DataFrame:
     """(cluster, size, rows, texts): the ``most`` largest clusters with their first ``samples`` rows and the start of their texts."""
     sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "cluster").limit(most)
@@ -109,95 +41,3 @@ def cluster_list(named: DataFrame, df: DataFrame, most: int = 50, samples: int =
     met = df.select(F.col(key).alias("row"), F.substring(text, 1, chars).alias("start")).join(F.broadcast(shown), "row")  # 250 rows
     listed = met.groupBy("cluster", "size").agg(F.array_sort(F.collect_list(F.struct("row", "start"))).alias("s"))
     return listed.select("cluster", "size", F.array_join(F.transform("s", lambda x: x["row"].cast("string")), ",").alias("rows"), F.col("s.start").alias("texts"))
-
-
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit vector at a time."""
-    place: dict[str, int] = {}
-    for i, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        u = row & place.get(c, 0)
-        row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
-
-
-def ratio(a: str, b: str) -> float:
-    """Similarity in percent: twice the common subsequence over both lengths."""
-    return 100.0 if not a and not b else 200.0 * common_length(a, b) / (len(a) + len(b))
-
-
-def similar_pairs(df: DataFrame, least: float = 90.0, key: str = "_row_idx", text: str = "text", block: int = 400) -> DataFrame:
-    """(u, v) of texts with a ratio of ``least`` percent, none lost, each text once.
-
-    Equal texts are one. A ratio of t needs lengths within t / (200 - t) of one another and, by the
-    same argument, as many common words' letters; so texts are dealt to length bands and compared
-    with their own and the next band, in blocks, and character counts rule out most pairs before the
-    exact comparison.
-    """
-    from math import log
-
-    bound = least / (200 - least)
-    step = -log(bound) if bound < 1 else 1e-6
-    texts = df.where(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.min(key).alias("k"))
-    band = F.floor(F.log(F.greatest(F.length("t"), F.lit(1)).cast("double")) / step).cast("long")
-    marked = texts.withColumn("band", band)
-    sizes = marked.groupBy("band").agg(F.count("*").alias("n")).select("band", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("blocks"))
-    above = sizes.select((F.col("band") - 1).alias("band"), F.col("blocks").alias("up"))
-    below = sizes.select((F.col("band") + 1).alias("band"), F.col("blocks").alias("down"))
-    met = marked.join(sizes, "band").join(above, "band", "left").join(below, "band", "left")
-    mine = F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")
-    # A meeting is named by (band of the shorter side, its block, other band, its block).
-    within = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("band").alias("a"), F.least(o, F.col("m")).alias("i"), F.col("band").alias("b"), F.greatest(o, F.col("m")).alias("j")))
-    upward = F.when(F.col("up").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda o: F.struct(F.col("band").alias("a"), F.col("m").alias("i"), (F.col("band") + 1).alias("b"), o.alias("j"))))
-    downward = F.when(F.col("down").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda o: F.struct((F.col("band") - 1).alias("a"), o.alias("i"), F.col("band").alias("b"), F.col("m").alias("j"))))
-    nothing = F.array().cast("array<struct<a:bigint,i:int,b:bigint,j:int>>")
-    meets = met.withColumn("m", mine).select("k", "t", "band", "m", F.explode(F.concat(within, F.coalesce(upward, nothing), F.coalesce(downward, nothing))).alias("meet"))
-    dealt = meets.select("meet", "k", "t", F.when((F.col("band") == F.col("meet.a")) & (F.col("m") == F.col("meet.i")), 0).otherwise(1).alias("side"))
-    return dealt.groupBy("meet").applyInArrow(lambda t: _compare(t, least), "u long, v long").distinct()
-
-
-def _compare(table: pa.Table, least: float) -> pa.Table:
-    from collections import Counter
-
-    meet = table.column("meet")[0].as_py()
-    same = meet["a"] == meet["b"] and meet["i"] == meet["j"]
-    rows = [(k, t, s, Counter(t)) for k, t, s in zip(*(table.column(c).to_pylist() for c in ("k", "t", "side")), strict=True)]
-    out: list[tuple[int, int]] = []
-
-    def pairs() -> Iterator[tuple]:
-        for i, x in enumerate(rows):
-            for y in rows[i + 1 :]:
-                if same or x[2] != y[2]:
-                    yield x, y
-
-    for x, y in pairs():
-        total = len(x[1]) + len(y[1])
-        need = least * total / 200.0
-        if min(len(x[1]), len(y[1])) >= need and sum((x[3] & y[3]).values()) >= need and ratio(x[1], y[1]) >= least:
-            out.append((min(x[0], y[0]), max(x[0], y[0])))
-    return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
-
-
-def clusters(df: DataFrame, least: float = 90.0, key: str = "_row_idx", text: str = "text", rounds: int = 50) -> DataFrame:
-    """(row, cluster): rows whose texts are linked by similarity; the cluster's least row names it.
-
-    Labels travel along the links until nothing changes; each round is checkpointed.
-    """
-    with_checkpoints(df.sparkSession)
-    links = similar_pairs(df, least, key, text)
-    both = links.select("u", "v").union(links.select("v", "u")).toDF("u", "v").checkpoint()
-    label = both.select("u").distinct().select("u", F.col("u").alias("c"))
-    for _ in range(rounds):
-        near = both.join(label.toDF("v", "c2"), "v").groupBy("u").agg(F.min("c2").alias("m"))
-        new = label.join(near, "u").select("u", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")).checkpoint()
-        label = new.select("u", "c")
-        if new.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("clusters did not settle")
-    texts = df.where(F.col(text).isNotNull())
-    least_row = texts.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("u"), F.count("*").alias("n"))
-    named = least_row.join(label, "u", "left").where("n > 1 OR c IS NOT NULL").select("t", F.coalesce("c", "u").alias("cluster"))
-    return texts.join(named, F.col(text) == F.col("t")).select(F.col(key).alias("row"), "cluster")

@@ -19,8 +19,10 @@ from tesserae.operators import coding as cd
 from tesserae.operators import filters as fl
 from tesserae.operators import merge as mg
 from tesserae.operators import network as nw
+from tesserae.operators import paths as pt
 from tesserae.operators import sampling as sm
 from tesserae.operators import search as se
+from tesserae.operators import similar as si
 from tesserae.plans import boolean as bq
 from tesserae.session import table
 
@@ -588,30 +590,39 @@ def array_join_export(spark, d):
     return flat(table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds")))
 
 
+#: Percent from which the registered queries link texts letter by letter.
+ALIKE = 95.0
+
+
 @query()
 def dup_clusters(spark, d):
-    """Clusters of benchmark passages and copies of them without their last word.
-
-    Alignment of texts has no SQL; a test holds the clusters against brute force.
-    """
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("_row_idx"), "text")
-    copies = items.select((F.col("_row_idx") + 1_000_000).alias("_row_idx"), F.regexp_replace("text", r"\s+\S+\s*$", "").alias("text"))
-    return nw.clusters(items.unionByName(copies), 85.0)
+    """Clusters of similar posts over all documents; alignment has no SQL, a test holds them against all pairs."""
+    return si.clusters(posts(spark, d), ALIKE)
 
 
 @query()
 def dup_cluster_list(spark, d):
-    """The largest clusters of ``dup_clusters`` with samples; no SQL, as alignment has none."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("_row_idx"), "text")
-    copies = items.select((F.col("_row_idx") + 1_000_000).alias("_row_idx"), F.regexp_replace("text", r"\s+\S+\s*$", "").alias("text"))
-    rows = items.unionByName(copies)
-    return nw.cluster_list(nw.clusters(rows, 85.0), rows).select("cluster", "size", "rows")
+    """The largest clusters of ``dup_clusters`` with sample rows."""
+    p = posts(spark, d)
+    return nw.cluster_list(si.clusters(p, ALIKE), p).select("cluster", "size", "rows")
 
 
 @query()
 def betweenness_top(spark, d):
-    """Betweenness of the reply graph by weighted, directed paths; SQL has no shortest paths of this kind, a test counts them all."""
-    return spark.createDataFrame([(n, float(v)) for n, v in nw.top_betweenness(_replies(spark, d))], "node string, betweenness double")
+    """Betweenness of the reply graph by weighted, directed paths; a test counts them all."""
+    return pt.top_betweenness(_replies(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_REPLIES}, n AS (SELECT src AS v FROM g UNION SELECT tgt FROM g),
+b AS (SELECT v AS s, v, 0 AS d FROM n UNION SELECT s, tgt, d + 1 FROM b JOIN g ON src = v WHERE d < 40),
+f AS (SELECT s, v, min(d) AS d FROM b GROUP BY s, v),
+w AS (SELECT v AS s, v, 0 AS d FROM n UNION ALL SELECT w.s, tgt, w.d + 1 FROM w JOIN g ON src = w.v JOIN f ON f.s = w.s AND f.v = tgt AND f.d = w.d + 1),
+p AS (SELECT s, v, d, count(*) AS paths FROM w GROUP BY ALL),
+t AS (SELECT x.v AS node, sum(x.paths * y.paths / CAST(z.paths AS DOUBLE)) AS share FROM p x JOIN p y ON y.s = x.v JOIN p z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.s <> x.v AND y.v <> x.v AND x.s <> y.v GROUP BY x.v)
+SELECT n.v AS node, round(coalesce(share, 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 6) AS betweenness FROM n LEFT JOIN t ON t.node = n.v""")
+def betweenness_hops(spark, d):
+    """Betweenness of all nodes of the reply graph by directed paths of fewest hops."""
+    return pt.betweenness(_replies(spark, d), weighted=False).select("node", r6("betweenness").alias("betweenness"))
 
 
 @query("SELECT 'language' AS name, count(DISTINCT lang) AS \"distinct\" FROM documents UNION ALL SELECT 'source_dataset', count(DISTINCT source) FROM documents")

@@ -1,6 +1,5 @@
 """Samples, agreement, coding, graphs, search, storage, export, classifiers and streams on small inputs."""
 
-import itertools
 import zipfile
 
 import pytest
@@ -14,7 +13,6 @@ from tesserae.operators import codebook as cb
 from tesserae.operators import coding as cd
 from tesserae.operators import export as ex
 from tesserae.operators import filters as fl
-from tesserae.operators import network as nw
 from tesserae.operators import sampling as sm
 from tesserae.storage import Store, cached
 
@@ -93,25 +91,6 @@ def test_codebooks(spark):
     assert diff == {"hate_speech_2": ("added", ""), "unsure": ("changed", "title")}
 
 
-def test_graphs():
-    path = nw.betweenness([("a", "b"), ("b", "c"), ("c", "d")])
-    assert path == {"a": 0.0, "b": pytest.approx(2 / 3), "c": pytest.approx(2 / 3), "d": 0.0}
-    assert nw.common_length("abcbdab", "bdcaba") == 4 and nw.ratio("abcd", "abed") == 75.0 and nw.ratio("", "") == 100.0
-
-
-def test_clusters_equal_brute_force(spark):
-    base = ["the quick brown fox jumps", "the quick brown fox jumped", "a quick brown fox jumps", "nothing like it", "nothing like it", "nothing alike it", "zz", None, "the quick brown fox"]
-    df = spark.createDataFrame(list(enumerate(base)), "_row_idx long, text string")
-    for block in (400, 2):
-        pairs = {(r.u, r.v) for r in nw.similar_pairs(df, 80.0, block=block).collect()}
-        distinct = {t: min(i for i, x in enumerate(base) if x == t) for t in base if t is not None}
-        assert pairs == {tuple(sorted((distinct[a], distinct[b]))) for a, b in itertools.combinations(distinct, 2) if nw.ratio(a, b) >= 80}
-    got = {}
-    for r in nw.clusters(df, 80.0).collect():
-        got.setdefault(r.cluster, set()).add(r.row)
-    assert {frozenset(v) for v in got.values()} == {frozenset({0, 1, 2, 8}), frozenset({3, 4, 5})}
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([("Größe #Tag @Bob 😀😀 https://www.Site.org/a ﬁne",), (None,)], "t string")
     r = df.select(tx.tokens(F.col("t")).alias("w"), tx.mentions(F.col("t")).alias("m"), *[c.alias(n) for n, c in tx.post_features(F.col("t")).items()], tx.nfkc(F.col("t")).alias("n")).collect()
@@ -233,32 +212,6 @@ def test_adjudication_topics_and_enrichment_cache(spark):
     assert {r._row_idx: r.sentiment.label for r in made.collect()} == {0: "cached", 1: "cached", 2: "neutral"}
 
 
-def test_weighted_betweenness_equals_counting_all_paths():
-    import itertools
-    import random
-
-    from tesserae.operators import network as nw
-
-    rng = random.Random(5)
-    for directed in (False, True):
-        for _ in range(8):
-            names = "abcdef"
-            edges = [(a, b, rng.randint(1, 3)) for a, b in itertools.permutations(names, 2) if (directed or a < b) and rng.random() < 0.5]
-            length = {(a, b): w for a, b, w in edges} | ({} if directed else {(b, a): w for a, b, w in edges})
-            nodes = sorted({x for a, b, _ in edges for x in (a, b)})
-            want = dict.fromkeys(nodes, 0.0)
-            for s, t in itertools.permutations(nodes, 2):
-                walks = [(s, *mid, t) for k in range(len(nodes) - 1) for mid in itertools.permutations([n for n in nodes if n not in (s, t)], k)]
-                costs = [(sum(length[p] for p in itertools.pairwise(w)), w) for w in walks if all(p in length for p in itertools.pairwise(w))]
-                best = [w for c, w in costs if c == min(costs)[0]]
-                for w in best:
-                    for n in w[1:-1]:
-                        want[n] += 1 / len(best)
-            n = len(nodes)
-            got = nw.betweenness(edges, directed)
-            assert all(abs(got[k] - (v / ((n - 1) * (n - 2)) if n > 2 else 0)) < 1e-9 for k, v in want.items())
-
-
 def test_cluster_list(spark):
     from tesserae.operators import network as nw
 
