@@ -23,7 +23,8 @@ How it runs.
 
 Overlapping windows of one document merge to maximal spans.
 
-Words are compared by 64-bit hashes, windows by all their words' hashes, and texts by MD5.
+A suffix is shipped as a byte of each word's hash and a 64-bit hash of its first ``depth`` words. Nodes of
+full depth need all of them equal, shallower ones only say where groups part. Texts are told by MD5.
 
 Odd rows: a null or empty text, or one of fewer than ``depth`` words, has no window and loses
 nothing. A null doc_id counts as larger than any other. Rows that agree in doc_id and text are one
@@ -39,7 +40,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared, words
@@ -47,9 +48,9 @@ from . import shared, words
 #: Words of a window, and of the run by which a window is known.
 DEPTH, GRAM = 20, 8
 #: Prefix lengths, in words, that are tried in turn; the full depth follows.
-LENGTHS = (1, 3, 8)
-#: Suffixes of a group at most, where a longer prefix or dealing by document can divide it.
-GROUP = 100_000
+LENGTHS = (2, 4, 8)
+#: Suffixes of a group at most, where a longer prefix or dealing by document can divide it; a group of ``LOW`` is never divided.
+GROUP, LOW = 100_000, 1_000
 
 
 def _anchors(w: words.Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,13 +83,11 @@ def _places(value: np.ndarray, bits: int) -> Iterator[np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the text's digest; nothing else is looked at."""
+    """doc_id, text, the text's digest, and one of both; nothing else is looked at."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return shared.document_columns(docs).select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("dig"))
-
-
-def _same(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["dig"] == right["dig"])
+    told = shared.document_columns(docs).select("doc_id", text.alias("text"), F.md5(text).alias("dig"))
+    both = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(" "), F.col("dig"))
+    return told.select("doc_id", "text", F.unhex("dig").alias("dig"), F.unhex(F.md5(both)).alias("key"))
 
 
 def _counted(keyed: DataFrame, depth: int) -> DataFrame:
@@ -113,7 +112,7 @@ def _counted(keyed: DataFrame, depth: int) -> DataFrame:
 
 def _looked_up(keyed: DataFrame, sieve: shared.Sieve, depth: int) -> DataFrame:
     """Per row: number of words, digest of all of them, and its anchors that may repeat, with their places."""
-    schema = "doc_id long, dig binary, n_words long, whole string, h array<long>, place array<int>"
+    schema = "doc_id long, dig binary, key binary, n_words long, whole string, h array<long>, place array<int>"
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -126,115 +125,110 @@ def _looked_up(keyed: DataFrame, sieve: shared.Sieve, depth: int) -> DataFrame:
             text = np.searchsorted(w.first, at, side="right") - 1
             told = [hashlib.sha256(x).hexdigest() for x in w.joined()]
             lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(value[at].view(np.int64)), pa.array(at - w.first[text], pa.int32()))]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(w.first), pa.int64()), pa.array(told), *lists], names=["doc_id", "dig", "n_words", "whole", "h", "place"])
+            arrays = [batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(w.first), pa.int64()), pa.array(told), *lists]
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "dig", "key", "n_words", "whole", "h", "place"])
 
         return work
 
-    return shared.arrow_map(keyed.select("doc_id", "text", "dig"), schema, make)
+    return shared.arrow_map(keyed.select("doc_id", "text", "dig", "key"), schema, make)
 
 
 def _suffixes(texts: DataFrame, depth: int) -> DataFrame:
-    """The suffixes at windows whose anchor is among ``place``, each with its first ``depth`` words' hashes."""
+    """The suffixes at windows whose anchor is among ``place``: a byte for each of ``depth`` words, then the hash of them all."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             w = words.split(batch.column(1))
             start, at, _ = _anchors(w, depth)
             wanted = np.zeros(len(w.start) + 1, bool)
-            places = batch.column(3)
+            places = batch.column(2)
             owner = np.repeat(np.arange(len(places)), places.value_lengths().to_numpy(zero_copy_only=False))
             wanted[places.flatten().to_numpy() + w.first[owner]] = True
             start = start[wanted[at]]
+            hashes = w.hashes()
+            run = np.empty((len(start), depth + 8), np.uint8)
+            run[:, :depth] = (hashes >> np.uint64(56)).astype(np.uint8)[start[:, None] + np.arange(depth)]
+            run[:, depth:] = words.runs(hashes, depth)[start][:, None].view(np.uint8)
+            ends = pa.py_buffer(np.arange(len(start) + 1, dtype=np.int32) * (depth + 8))
+            held = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(run.tobytes())])
             text = np.searchsorted(w.first, start, side="right") - 1
-            hashes = w.hashes().astype(">u8")
-            held = hashes[start[:, None] + np.arange(depth)].tobytes()
-            ends = pa.py_buffer(np.arange(len(start) + 1, dtype=np.int32) * (8 * depth))
-            run = pa.Array.from_buffers(pa.binary(), len(start), [None, ends, pa.py_buffer(held)])
-            owner = pa.array(text)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(2).take(owner), pa.array(start - w.first[text], pa.int32()), run], names=["doc_id", "dig", "start", "run"])
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(start - w.first[text], pa.int32()), held], names=["no", "start", "run"])
 
         return work
 
-    return shared.arrow_map(texts.select("doc_id", "text", "dig", "place"), "doc_id long, dig binary, start int, run binary", make)
-
-
-def _prefix(words_: int) -> Column:
-    return F.substring("run", 1, 8 * words_)
+    return shared.arrow_map(texts.select("no", "text", "place"), "no long, start int, run binary", make)
 
 
 def _grouped(suffixes: DataFrame, depth: int, group: int) -> DataFrame:
-    """``suffixes`` with the prefix that names its group, and ``salt`` where one node is dealt out.
+    """``suffixes`` with the length of the prefix that names their group, and ``salt`` where one node is dealt out.
 
-    A length's frequent prefixes are at most all suffixes over ``group`` many, and ``group`` is at
-    least a share of the suffixes, so each table that is broadcast has a bounded number of rows.
+    Of each length only what is too frequent is counted on. A group holds at least a share of all
+    suffixes, so the frequent prefixes of a length, which are broadcast, are ``FEW`` at most.
     """
-    spark = suffixes.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = min(group, max(1000, suffixes.count() // (4 * partitions)))
-    most = max(most, suffixes.count() // shared.FEW)
-    out, open_, tries = None, suffixes.withColumn("salt", F.lit(0)), [n for n in LENGTHS if n < depth] + [depth]
-    tables = []
-    for n in tries:
-        frequent = open_.groupBy(_prefix(n).alias("p")).count().where(F.col("count") > most)
-        frequent = shared.stored(frequent.select("p", F.ceil(F.col("count") / most).cast("int").alias("parts")), "frequent")
+    partitions = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tables, most, open_ = [], 0, suffixes
+    for n in [*[n for n in LENGTHS if n < depth], depth + 8]:
+        counts = open_.groupBy(F.substring("run", 1, n).alias("p")).count()
+        if not tables:
+            counts = shared.stored(counts, "prefixes")
+            whole = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+            most = max(min(group, max(LOW, whole // (4 * partitions))), whole // shared.FEW)
+        frequent = shared.stored(counts.where(F.col("count") > most).select("p", F.ceil(F.col("count") / most).cast("int").alias("parts")), "frequent")
         tables.append((n, frequent))
         if frequent.isEmpty():
             break
-        open_ = open_.join(F.broadcast(frequent), _prefix(n) == F.col("p"), "leftsemi")
-    out = suffixes.withColumn("prefix", F.lit(None).cast("binary")).withColumn("salt", F.lit(0))
+        open_ = open_.join(F.broadcast(frequent), F.substring("run", 1, n) == F.col("p"), "leftsemi")
+    out = suffixes.withColumns({"size": F.lit(None).cast("int"), "salt": F.lit(0)})
     for n, frequent in tables:
-        joined = out.join(F.broadcast(frequent), F.col("prefix").isNull() & (_prefix(n) == F.col("p")), "left")
-        still = F.col("parts").isNotNull()
-        if n == depth:
-            dealt = F.pmod(F.xxhash64("doc_id", "dig"), F.col("parts")).cast("int")
-            out = joined.withColumn("salt", F.when(still, dealt + 1).otherwise(F.col("salt")))
-            out = out.withColumn("prefix", F.coalesce("prefix", _prefix(n))).drop("p", "parts")
+        met = out.join(F.broadcast(frequent), F.col("size").isNull() & (F.substring("run", 1, n) == F.col("p")), "left")
+        if n < depth:
+            out = met.withColumn("size", F.coalesce("size", F.when(F.col("parts").isNull(), F.lit(n)))).drop("p", "parts")
         else:
-            out = joined.withColumn("prefix", F.coalesce("prefix", F.when(~still, _prefix(n)))).drop("p", "parts")
+            dealt = F.pmod(F.xxhash64("no"), F.col("parts")).cast("int") + 1
+            out = met.withColumns({"size": F.coalesce("size", F.lit(n)), "salt": F.coalesce(dealt, F.lit(0))}).drop("p", "parts")
     return out
 
 
 def _leaves(rows: DataFrame, depth: int) -> DataFrame:
     """Leaves of the subtrees of sorted groups: ``first`` marks the earliest leaf of its node.
 
-    The other leaves lie below a node of ``depth`` words together with an earlier one.
+    The other leaves lie below a node of ``depth`` words together with an earlier one. The first leaf
+    of a node that was dealt out keeps its ``run``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = np.zeros((0, depth + 8), np.uint8)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            here = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").reshape(-1, depth)
-            before = np.concatenate([here[:1] if last is None else last, here[:-1]])
-            differ = here != before
-            common = np.where(differ.any(axis=1), differ.argmax(axis=1), depth)  # words that a suffix shares with the one before
-            first = common < depth
-            if last is None:
-                first[0] = True
+            here = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, depth + 8)
+            both = np.concatenate([last, here])
+            differ = both[1:] != both[:-1]
+            common = np.where(differ.any(axis=1), np.minimum(differ.argmax(axis=1), depth - 1), depth)  # words shared with the suffix before
+            first = np.concatenate([np.ones(1 - len(last), bool), common < depth])
             last = here[-1:].copy()
-            kept = pc.if_else(pa.array(first & (batch.column(4).to_numpy() > 0)), batch.column(3), pa.scalar(None, pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], kept, pa.array(first)], names=["doc_id", "dig", "start", "run", "first"])
+            kept = pc.if_else(pa.array(first & (batch.column(3).to_numpy() > 0)), batch.column(2), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], kept, pa.array(first)], names=["no", "start", "run", "first"])
 
-    order = [F.col("run"), F.col("doc_id").asc_nulls_last(), F.col("dig"), F.col("start")]
-    dealt = rows.repartition("prefix", "salt").sortWithinPartitions(*order)
-    return dealt.select("doc_id", "dig", "start", "run", "salt").mapInArrow(run, "doc_id long, dig binary, start int, run binary, first boolean")
+    prefix = F.expr("substring(run, 1, size)")
+    dealt = rows.repartition(prefix, "salt").sortWithinPartitions("run", "no", "start")
+    return dealt.select("no", "start", "run", "salt").mapInArrow(run, "no long, start int, run binary, first boolean")
 
 
 def _representatives(keyed: DataFrame) -> DataFrame:
     """Of each text the row that stands first."""
-    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
-    return keyed.groupBy("dig").agg(who.alias("who")).select("dig", F.col("who.doc_id").alias("doc_id"))
+    who = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    return keyed.groupBy("dig").agg(who.alias("who")).select(F.col("who.key").alias("key"))
 
 
 def _cut(texts: DataFrame, depth: int) -> DataFrame:
     """``texts`` with the starts of windows that go: what is left, its digest, and the spans taken out."""
-    schema = "doc_id long, dig binary, n_removed long, kept string, kept_sha256 string, spans array<struct<start: int, n_words: int>>"
+    schema = "key binary, n_removed long, kept string, kept_sha256 string, spans array<struct<start: int, n_words: int>>"
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             w = words.split(batch.column(1))
-            starts = batch.column(3)
+            starts = batch.column(2)
             owner = np.repeat(np.arange(len(starts)), starts.value_lengths().to_numpy(zero_copy_only=False))
             begin = starts.flatten().to_numpy() + w.first[owner]
             edges = np.zeros(len(w.start) + 1, np.int64)
@@ -249,12 +243,12 @@ def _cut(texts: DataFrame, depth: int) -> DataFrame:
                 spans.append([{"start": int(s), "n_words": int(e - s)} for s, e in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32())]))
             told = [hashlib.sha256(x).hexdigest() for x in held]
-            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([x.decode() for x in held]), pa.array(told), pa.array(spans, kind)]
-            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "dig", "n_removed", "kept", "kept_sha256", "spans"])
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array([x.decode() for x in held]), pa.array(told), pa.array(spans, kind)]
+            return pa.RecordBatch.from_arrays(arrays, names=["key", "n_removed", "kept", "kept_sha256", "spans"])
 
         return work
 
-    return shared.arrow_map(texts.select("doc_id", "text", "dig", "starts"), schema, make)
+    return shared.arrow_map(texts.select("key", "text", "starts"), schema, make)
 
 
 def _windows(keyed: DataFrame, depth: int, group: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -262,23 +256,29 @@ def _windows(keyed: DataFrame, depth: int, group: int) -> tuple[DataFrame, DataF
     repeated = shared.stored(_counted(keyed, depth), "anchors")
     told = shared.stored(_looked_up(keyed, shared.sieve(repeated, "h"), depth), "looked-up")
     first = shared.stored(_representatives(told), "firsts")
-    own = told.dropDuplicates(["doc_id", "dig"]).where(F.size("h") > 0)
-    one = own.join(first, _same(own, first), "leftsemi").select("doc_id", "dig", F.explode(F.arrays_zip("h", "place")).alias("x"))
-    real = one.select("doc_id", "dig", F.col("x.h").alias("h"), F.col("x.place").alias("place")).join(repeated, "h", "leftsemi")
-    wanted = shared.stored(real.groupBy("doc_id", "dig").agg(F.collect_list("place").alias("place")), "wanted")
-    suffixes = shared.stored(_suffixes(_with_texts(keyed, wanted), depth), "suffixes")
-    leaves = shared.stored(_leaves(_grouped(suffixes, depth, group), depth), "leaves")
-    shared.dropped(keyed.sparkSession, suffixes)
+    own = told.where(F.size("h") > 0).dropDuplicates(["key"]).join(first, "key", "leftsemi")
+    one = own.select("key", F.explode(F.arrays_zip("h", "place")).alias("x"))
+    real = one.select("key", F.col("x.h").alias("h"), F.col("x.place").alias("place")).join(repeated, "h", "leftsemi")
+    # Numbers that follow the order of doc_id (null last) and digest, so that they stand for both from here on.
+    named = real.groupBy("key").agg(F.collect_list("place").alias("place")).join(told.select("key", "doc_id", "dig").dropDuplicates(["key"]), "key")
+    inorder = named.orderBy(F.col("doc_id").asc_nulls_last(), "dig").select("key", "place")
+    wanted = shared.stored(inorder.withColumn("no", F.monotonically_increasing_id()), "wanted", even=False)
+    texts = shared.stored(_with_texts(keyed, wanted).select("no", "text", "place"), "texts", even=False)
+    leaves = shared.stored(_leaves(_grouped(_suffixes(texts, depth), depth, group), depth), "leaves", even=False)
     # A node whose leaves were dealt out: the firsts of its parts meet, and all but the earliest go.
-    firsts = leaves.where("first and run is not null").select("doc_id", "dig", "start", "run", F.col("run").alias("prefix"), F.lit(0).alias("salt"))
-    gone = leaves.where("not first").select("doc_id", "dig", "start").unionByName(_leaves(firsts, depth).where("not first").select("doc_id", "dig", "start"))
-    return told, first, shared.stored(gone.groupBy("doc_id", "dig").agg(F.collect_list("start").alias("starts")), "gone")
+    firsts = leaves.where("first and run is not null").select("no", "start", "run", F.lit(depth + 8).alias("size"), F.lit(0).alias("salt"))
+    gone = leaves.where("not first").select("no", "start").unionByName(_leaves(firsts, depth).where("not first").select("no", "start"))
+    starts = gone.groupBy("no").agg(F.collect_list("start").alias("starts"))
+    cut = shared.stored(wanted.select("no", "key").join(starts, "no").drop("no"), "gone")
+    for done in (texts, leaves, wanted):
+        shared.dropped(keyed.sparkSession, done)
+    return told, first, cut
 
 
 def _with_texts(keyed: DataFrame, rows: DataFrame) -> DataFrame:
     """``rows`` with their texts; only texts that a bounded sieve lets through are shuffled."""
-    texts = keyed.where(shared.sieve(rows, "dig")(F.col("dig"))).dropDuplicates(["doc_id", "dig"])
-    return rows.join(texts, _same(rows, texts)).select(rows["*"], texts["text"])
+    texts = keyed.where(shared.sieve(rows, "key")(F.col("key"))).select("key", "text").dropDuplicates(["key"])
+    return rows.join(texts, "key")
 
 
 def cut_repeats(docs: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
@@ -291,9 +291,8 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH, group: int = GROUP) -> Data
     keyed = _keyed(docs)
     told, first, gone = _windows(keyed, depth, group)
     cut = _cut(_with_texts(keyed, gone), depth)
-    slim = told.select("doc_id", "dig", "n_words", "whole")
-    own = first.join(cut, _same(first, cut), "left").select(first["doc_id"], first["dig"], "n_removed", "kept", "kept_sha256", "spans", F.lit(True).alias("own"))
-    rows = slim.join(own, _same(slim, own), "left").select(slim["*"], "n_removed", "kept", "kept_sha256", "spans", "own")
+    own = first.join(cut, "key", "left").withColumn("own", F.lit(True))
+    rows = told.select("key", "doc_id", "n_words", "whole").join(own, "key", "left")
     copy = F.col("own").isNull() & (F.col("n_words") >= depth)
     none = F.array().cast("array<struct<start: int, n_words: int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("n_words")))

@@ -70,7 +70,7 @@ def test_frequent_prefixes_are_made_longer_and_dealt_out(spark, monkeypatch):
     """With groups of one suffix every prefix is too frequent, and every node is dealt out by document."""
     rows = [(i, "a b c d e f g h i j " * 2 + str(i % 7)) for i in range(40)]
     deals = []
-    monkeypatch.setattr(repeats, "max", lambda *x: 1 if x[0] == 1000 else max(*x), raising=False)
+    monkeypatch.setattr(repeats, "LOW", 1)
     grouped = repeats._grouped
 
     def spied(*args):
