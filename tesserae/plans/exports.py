@@ -438,6 +438,17 @@ def tfidf_index(spark, d):
     return se.search_index(spark, path, "with that onouea", 20).select("_row_idx", ca.r6("score").alias("score"))
 
 
+@query(ca.ORACLE["tfidf_search"])
+def tfidf_segments(spark, d):
+    """The search of ``tfidf_search`` from an index of two segments: half of the table, and the rest added."""
+    from tesserae.operators import segments as sg
+
+    path, rows = scratch(spark, "segments"), ca.posts(spark, d)
+    sg.add(rows.where("_row_idx % 2 = 0"), path)
+    sg.add(rows.where("_row_idx % 2 = 1"), path)
+    return sg.Searcher(spark, path).search("with that onouea", 20).select(F.col("row").alias("_row_idx"), ca.r6("score").alias("score"))
+
+
 @query("SELECT doc_id AS _row_idx, lang AS language FROM documents WHERE n_chars > 800 AND lang = 'de'")
 def snapshot_scan(spark, d):
     store = Store(spark, scratch(spark, "store"))
