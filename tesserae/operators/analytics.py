@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import grams, tokens
+from tesserae.session import kept
 
 NULL, OTHER = "—", "Other"
 FACETS = ("platform", "language", "country", "source_type", "source_dataset")
@@ -89,34 +90,115 @@ def first_metric(df: DataFrame, candidates: tuple[str, ...] = ("like_count", "sh
 
 def text_length(df: DataFrame, column: str = "text") -> DataFrame:
     """Mean, median and 95th percentile of characters over rows that are not blank (the largest under 20 rows)."""
-    n = df.where(F.trim(F.coalesce(F.col(column), F.lit(""))) != "").select(F.length(column).cast("double").alias("n"))
-    return n.agg(
-        F.count("*").alias("texts"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"),
-        F.when(F.count("*") < 20, F.max("n")).otherwise(F.percentile("n", F.lit(0.95))).alias("p95"),
-    )
+    x = df.where(F.trim(F.coalesce(F.col(column), F.lit(""))) != "").select(F.length(column).cast("double").alias("x"))
+    median, p95 = (F.lit(exact_quantile(x, q)).cast("double") for q in (0.5, 0.95))
+    return x.agg(F.count("*").alias("texts"), F.avg("x").alias("mean"), F.max(median).alias("median"), F.when(F.count("*") < 20, F.max("x")).otherwise(F.max(p95)).alias("p95"))
+
+
+def _items(df: DataFrame, column: str) -> Column:
+    return F.col(column) if dict(df.dtypes)[column].startswith("array") else F.split(F.col(column), r"[,\s]+")
 
 
 def exploded(df: DataFrame, column: str) -> DataFrame:
     """Items of a list column, or of a string split at commas and spaces."""
-    kind = dict(df.dtypes)[column]
-    items = F.col(column) if kind.startswith("array") else F.split(F.col(column), r"[,\s]+")
-    return df.select(F.explode(items).alias("item")).where("trim(item) <> ''")
-
-
-def descriptives(df: DataFrame, k: int = 10) -> dict[str, DataFrame]:
-    """The parts of a corpus description, each its own plan."""
-    out = {"rows": df.agg(F.count("*").alias("rows")), "authors": unique_authors(df), "facets": facets(df, k), "text_length": text_length(df)}
-    if "created_at" in df.columns:
-        out["dates"] = date_coverage(df)
-    out["top_authors"] = top_counts(df, author_of(df), k)
-    for c in ("like_count", "share_count", "comment_count", "view_count"):
-        if c in df.columns:
-            out[c] = numeric_summary(df, c)
-    if metric := first_metric(df):
-        out["authors_by_engagement"] = top_authors_by(df, metric, k)
-    for c in ("hashtags", "mentions", "media_urls"):
-        if c in df.columns:
-            out[c] = top_counts(exploded(df, c), "item", k)
+    return df.select(F.explode(_items(df, column)).alias("item")).where("trim(item) <> ''")
+
+
+def _quantile_cells(df: DataFrame, quantiles: list[tuple[str, Column, float]], slack: float) -> tuple[list[Column], dict[str, tuple]]:
+    """Cells that place quantiles exactly, and (count, mean, sum, least, most, first, last) of each name from one scan.
+
+    Sketches bracket every quantile; in the second scan a value within its bracket is a cell of its own, and
+    one below is counted, so what is gathered is about ``slack`` of the rows, each value once.
+    """
+    names = list(dict.fromkeys(n for n, _, _ in quantiles))
+    x = {n: c for n, c, _ in quantiles}
+    ends = {n: sorted({max(0.0, q - slack / 2) for m, _, q in quantiles if m == n} | {min(1.0, q + slack / 2) for m, _, q in quantiles if m == n}) for n in names}
+    asked = [F.struct(F.count(x[n]), F.avg(x[n]), F.sum(x[n]), F.min(x[n]), F.max(x[n]), F.percentile_approx(x[n], F.array(*map(F.lit, ends[n])), F.lit(10_000))).alias(f"q{i}") for i, n in enumerate(names)]
+    told = dict(zip(names, df.agg(*asked).first() if asked else [], strict=True))
+    cells = []
+    for n, c, q in quantiles:
+        if told[n][0]:
+            low, high = (told[n][5][ends[n].index(e)] for e in (max(0.0, q - slack / 2), min(1.0, q + slack / 2)))
+            inside = F.when(c.between(low, high), c)
+            cells.append(F.when(c <= high, F.struct(F.lit(f"quantile:{n}:{q}").alias("section"), F.coalesce(inside.cast("string"), F.lit("")).alias("item"), inside.alias("x"))))
+    return cells, told
+
+
+def _placed(cells: DataFrame, name: str, q: float, n: int) -> Column | None:
+    """The interpolated quantile from the cells of its bracket."""
+    near = cells.where(F.col("section") == f"quantile:{name}:{q}").select("item", "n", (F.col("total") / F.col("n")).alias("x"))
+    below = near.where("x IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    upto = near.where("x IS NOT NULL").select(F.col("item").try_cast("double").alias("x"), "n").withColumn("upto", F.sum("n").over(Window.orderBy("x")) + below)
+    place = q * (n - 1)
+    low, high = int(place), min(n - 1, int(place) + 1)
+    a, b = upto.agg(F.min(F.when(F.col("upto") > low, F.col("x"))), F.min(F.when(F.col("upto") > high, F.col("x")))).first()
+    return a if b is None or place == low else a + (b - a) * (place - low)
+
+
+METRICS = ("like_count", "share_count", "comment_count", "view_count")
+LISTS = ("hashtags", "mentions", "media_urls")
+
+
+def descriptives(df: DataFrame, k: int = 10, slack: float = 0.001) -> dict[str, DataFrame]:
+    """The parts of a corpus description from two scans of the rows.
+
+    The first scan counts, sums and sketches all numbers; the second makes a cell of every value of every
+    section, which one aggregate with a map-side part counts. All parts are read off the cells.
+    """
+    spark = df.sparkSession
+    author, number = author_of(df), lambda c: F.col(c).try_cast("double")
+    metrics, lists = [c for c in METRICS if c in df.columns], [c for c in LISTS if c in df.columns]
+    chars = F.when(F.trim(F.coalesce(F.col("text"), F.lit(""))) != "", F.length("text").cast("double")) if "text" in df.columns else None
+    wanted = [(c, number(c), 0.5) for c in metrics] + ([("chars", chars, 0.5), ("chars", chars, 0.95)] if chars is not None else [])
+    dates = [("dates", F.unix_micros("created_at").cast("double"), 0.5)] if "created_at" in df.columns else []
+    near, told = _quantile_cells(df, wanted + dates, slack)
+    near = near[: len(near) - len(dates)] if dates and told["dates"][0] else near  # of dates only the ends are asked for
+    cell = lambda section, item, x=None: F.struct(F.lit(section).alias("section"), item.cast("string").alias("item"), (F.lit(None) if x is None else x).cast("double").alias("x"))
+    one = [cell("rows", F.lit("rows")), F.when(author.isNotNull(), cell("authors", author, number(metrics[0]) if metrics else None))]
+    one += [F.when(F.col(c).isNotNull(), cell(f"facet:{c}", F.col(c))) for c in FACETS if c in df.columns]
+    listed = lambda c: F.transform(_items(df, c), lambda i: F.when(F.trim(i) != "", cell(f"list:{c}", i)))
+    many = [listed(c) for c in lists]
+    each = df.select(F.explode(F.concat(F.array(*one, *near), *[F.coalesce(m, F.array().cast("array<struct<section:string,item:string,x:double>>")) for m in many])).alias("c")).where("c IS NOT NULL")
+    counted = kept(each.groupBy("c.section", "c.item").agg(F.count("*").alias("n"), F.sum("c.x").alias("total")), "cells")
+
+    def top(section: str) -> DataFrame:
+        return counted.where(F.col("section") == section).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "item").limit(k).select(F.col("item").alias("value"), "n", "share")
+
+    rows = counted.where("section = 'rows'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    out = {"rows": rows, "authors": counted.where("section = 'authors'").agg(F.count("*").alias("authors")), "top_authors": top("authors")}
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("n"), "item"))
+    facet = counted.where("section LIKE 'facet:%'").withColumn("rank", rank).where(F.col("rank") <= k)
+    out["facets"] = facet.select(F.expr("substring(section, 7)").alias("facet"), F.col("item").alias("value"), "n", "rank")
+    for c in metrics:
+        n, mean, total, low, high, _ = told[c]
+        row = [(n, mean, _placed(counted, c, 0.5, n) if n else None, total, low, high)]
+        out[c] = spark.createDataFrame(row, "n long, mean double, median double, total double, low double, high double")
+    if chars is not None:
+        n, mean, _, _, high, _ = told["chars"]
+        p95 = (high if n < 20 else _placed(counted, "chars", 0.95, n)) if n else None
+        out["text_length"] = spark.createDataFrame([(n, mean, _placed(counted, "chars", 0.5, n) if n else None, p95)], "texts long, mean double, median double, p95 double")
+    if dates:
+        ends = spark.createDataFrame([(int(told["dates"][3]), int(told["dates"][4])) if told["dates"][0] else (None, None)], "a long, b long")
+        out["dates"] = ends.select(F.timestamp_micros("a").alias("first"), F.timestamp_micros("b").alias("last"), ((F.col("b") - F.col("a")) / 86_400_000_000).alias("span_days"))
+    if metrics:
+        engaged = counted.where("section = 'authors' AND total > 0").orderBy(F.desc("total"), "item").limit(k)
+        out["authors_by_engagement"] = engaged.select(F.col("item").alias("author"), "total", (F.col("total") / F.sum("total").over(Window.partitionBy())).alias("share"))
+    return out | {c: top(f"list:{c}") for c in lists}
+
+
+def described(df: DataFrame, k: int = 10) -> DataFrame:
+    """(section, item, n, value): all parts of :func:`descriptives` as rows."""
+    parts, out = descriptives(df, k), None
+    for name, part in parts.items():
+        number = {c for c, t in part.dtypes if t in ("bigint", "double")}
+        if name in ("rows", "authors", "dates", "text_length") or name in METRICS:
+            cells = [F.struct(F.lit(c).alias("item"), F.lit(None).cast("long").alias("n"), F.col(c).cast("double").alias("value")) for c in part.columns if c in number]
+            rows = part.select(F.explode(F.array(*cells)).alias("c")).select(F.lit(name).alias("section"), "c.*")
+        else:
+            value = "total" if name == "authors_by_engagement" else "share" if "share" in part.columns else None
+            section = F.concat(F.lit("facet:"), "facet") if name == "facets" else F.lit(name)
+            rows = part.select(section.alias("section"), F.col("author" if name == "authors_by_engagement" else "value").alias("item"), (F.col("n") if "n" in part.columns else F.lit(None)).cast("long").alias("n"), (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -233,7 +315,8 @@ def corpus_features(df: DataFrame, column: str = "text", k: int = 20) -> dict[st
     shown = F.lit(False)
     for m in media:
         shown = shown | F.coalesce(m, F.lit(False))
-    out = {"lengths": df.agg(F.sum(shown.cast("long")).alias("with_media"), F.avg(n).alias("mean"), F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.9)).alias("p90"))}
+    median, p90 = (F.lit(exact_quantile(df.select(n.alias("x")), q)).cast("double") for q in (0.5, 0.9))
+    out = {"lengths": df.agg(F.sum(shown.cast("long")).alias("with_media"), F.avg(n).alias("mean"), F.max(median).alias("median"), F.max(p90).alias("p90"))}
     return out | {name: top_counts(df.select(F.explode(items).alias("item")), "item", k) for name, items in lists.items()}
 
 

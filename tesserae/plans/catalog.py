@@ -184,6 +184,24 @@ def crosstab_counts(spark, d):
     return an.crosstab(posts(spark, d), "language", "source_dataset", None, 3, 5)
 
 
+_AUTHORS = "SELECT CAST(user_id AS VARCHAR) AS author, count(*) AS n, sum(value) AS total FROM events GROUP BY 1"
+
+
+@query(f"""WITH a AS ({_AUTHORS}), p AS (SELECT event_type AS item, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, item LIMIT 5),
+ h AS (SELECT item, count(*) AS n FROM (SELECT unnest([event_type, 'u' || user_id % 10]) AS item FROM events) GROUP BY 1), hs AS (SELECT item, n, n / (SELECT sum(n) FROM h) AS share FROM h ORDER BY n DESC, item LIMIT 5),
+ t AS (SELECT author, n, n / (SELECT sum(n) FROM a) AS share FROM a ORDER BY n DESC, author LIMIT 5), e AS (SELECT author, total FROM a WHERE total > 0 ORDER BY total DESC, author LIMIT 5), l AS (SELECT CAST(length(props) AS DOUBLE) AS x FROM events)
+SELECT section, item, n, round(value, 6) AS value FROM (
+ SELECT 'rows' AS section, 'rows' AS item, NULL AS n, CAST(count(*) AS DOUBLE) AS value FROM events UNION ALL SELECT 'authors', 'authors', NULL, count(*) FROM a
+ UNION ALL SELECT 'top_authors', author, n, share FROM t UNION ALL SELECT 'facet:platform', item, n, NULL FROM p UNION ALL SELECT 'hashtags', item, n, share FROM hs UNION ALL SELECT 'authors_by_engagement', author, NULL, total FROM e
+ UNION ALL SELECT 'like_count', unnest(['n', 'mean', 'median', 'total', 'low', 'high']), NULL, unnest([count(value), avg(value), quantile_cont(value, 0.5), sum(value), min(value), max(value)]) FROM events
+ UNION ALL SELECT 'text_length', unnest(['texts', 'mean', 'median', 'p95']), NULL, unnest([count(x), avg(x), quantile_cont(x, 0.5), quantile_cont(x, 0.95)]) FROM l
+ UNION ALL SELECT 'dates', 'span_days', NULL, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000 FROM events)""")
+def descriptives(spark, d):
+    """All parts of a corpus description, from two scans."""
+    made = table(spark, d, "events").select(F.col("event_id").alias("_row_idx"), F.col("props").alias("text"), F.concat_ws(",", "event_type", F.concat(F.lit("u"), F.col("user_id") % 10)).alias("hashtags"))
+    return an.described(dated(spark, d).join(made, "_row_idx"), 5).withColumn("value", r6("value"))
+
+
 def _crosstab_norm(how: str):
     def run(spark, d):
         return an.crosstab(posts(spark, d), "language", "source_dataset", how, 3, 5).withColumn("value", r6("value"))

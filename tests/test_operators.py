@@ -117,6 +117,30 @@ def test_crosstab_pivot_and_descriptives(spark):
     assert d["rows"].first().rows == 3 and d["like_count"].first().total == 3.0 and d["facets"].count() == 3
 
 
+def test_descriptives_scan_twice_and_take_odd_rows(spark, tmp_path):
+    """Two scans of the input, whatever the sections; exact medians over ties, blanks and nulls."""
+    cells = [(i, None if i % 5 == 0 else f"u{i % 3}", [None, "", "x" * (i % 9)][i % 3], None if i % 4 == 0 else i % 7, "a, b" if i % 2 else None) for i in range(200)]
+    df = spark.createDataFrame(cells, "_row_idx long, author_handle string, text string, like_count int, hashtags string")
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    d = an.descriptives(df.mapInArrow(seen, df.schema))
+    out = {name: [tuple(r) for r in part.collect()] for name, part in d.items()}
+    assert read.value == 2 * 200
+    likes = sorted(c[3] for c in cells if c[3] is not None)
+    texts = sorted(len(c[2]) for c in cells if c[2])
+    middle = lambda x, q: x[int(q * (len(x) - 1))] + (x[min(len(x) - 1, int(q * (len(x) - 1)) + 1)] - x[int(q * (len(x) - 1))]) * (q * (len(x) - 1) % 1)
+    assert out["rows"] == [(200,)] and out["authors"] == [(3,)] and out["like_count"][0][2] == middle(likes, 0.5)
+    assert out["text_length"][0][0] == len(texts) and out["text_length"][0][2:] == pytest.approx((middle(texts, 0.5), middle(texts, 0.95)))
+    assert out["hashtags"] == [("a", 100, 0.5), ("b", 100, 0.5)]
+    empty = an.descriptives(df.limit(0))
+    assert empty["rows"].first().rows == 0 and empty["like_count"].first().median is None and empty["top_authors"].count() == 0
+
+
 def test_store(spark, tmp_path):
     s = Store(spark, f"file://{tmp_path}/store")
     corpus = rows(spark, 5).withColumn("text", F.lit("t"))
