@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.eventlog import EventLog, last_of
 from tesserae.functions import text as tx
 from tesserae.operators import agreement as ag
 from tesserae.operators import analytics as an
@@ -25,7 +26,7 @@ from tesserae.operators import sampling as sm
 from tesserae.operators import search as se
 from tesserae.plans import boolean as bq
 from tesserae.plans import catalog as ca
-from tesserae.schema import one_to_one, suggest_mapping, validate_mapping
+from tesserae.schema import apply_mapping, one_to_one, suggest_mapping, validate_mapping
 from tesserae.session import scratch, table
 from tesserae.sources import adapters as ad
 from tesserae.sources import ingest as ig
@@ -130,24 +131,52 @@ for _name, (_author, _lang, _likes, _shares, _platform, _type) in WANTED.items()
     )(_source(_name))
 
 
-@query("SELECT unnest(['brandwatch', 'twitter', 'meta', 'tiktok', 'youtube', 'reddit', 'mastodon', 'news', 'generic']) AS source, unnest(['brandwatch', 'twitter', 'meta', 'tiktok', 'youtube', 'reddit', 'mastodon', 'news', 'generic']) AS detected")
+@query("SELECT s AS source, s AS detected, (SELECT count(*) FROM documents) AS rows FROM (SELECT unnest(['brandwatch', 'twitter', 'meta', 'tiktok', 'youtube', 'reddit', 'mastodon', 'news', 'generic']) AS s)")
 def detect_sources(spark, d):
-    return spark.createDataFrame([(s, ad.detect(list(columns))[0][0]) for s, (_, _, columns) in EXPORTS.items()], "source string, detected string")
+    """Each export of the documents is read back and recognised by its columns; all its rows are counted."""
+    out = None
+    for source in EXPORTS:
+        raw = ig.read_any(spark, exported(base(spark, d), source))
+        one = raw.agg(F.lit(source).alias("source"), F.lit(ad.detect(raw.columns)[0][0]).alias("detected"), F.count("*").alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _headed(spark: SparkSession, d: str, columns: dict[str, str]) -> DataFrame:
+    """The documents as a CSV file with these headers, read back; blank cells are null then."""
+    path = f"{scratch(spark, 'headed')}/table.csv"
+    ex.write_csv(base(spark, d).select(*[F.col(what).alias(name) for name, what in columns.items()]), path, sep=",")
+    return ig.read_csv(spark, path)
+
 
+def _filled(raw: DataFrame) -> DataFrame:
+    """(column, filled): how many rows have something in a column."""
+    counts = raw.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(raw.columns)])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("filled")) for i, c in enumerate(raw.columns)])).alias("x")).select("x.*")
 
-@query("""SELECT * FROM (VALUES ('Message ID', 'post_id', 'alias'), ('Body', 'text', 'alias'), ('Posted At', 'created_at', 'alias'), ('HANDLE', 'author_handle', 'alias'), ('user.Lang', 'language', 'alias'),
- ('upvotes', 'like_count', 'alias'), ('Retweet Counts', 'share_count', 'similar'), ('zzz', NULL, 'none'), ('own', 'url', 'adapter')) AS t("column", field, how)""")
+
+@query(f"""WITH {_BASE}, f AS (SELECT count(id) AS id, count(nullif(text, '')) AS text, count(nullif(src, '')) AS src, count(nullif(lang, '')) AS lang, count(day) AS day, count(n1) AS n1, count(n2) AS n2 FROM b)
+SELECT t."column", field, how, filled FROM f, (VALUES ('Message ID', 'post_id', 'alias', id), ('Body', 'text', 'alias', text), ('Posted At', 'created_at', 'alias', day), ('HANDLE', 'author_handle', 'alias', src), ('user.Lang', 'language', 'alias', lang),
+ ('upvotes', 'like_count', 'alias', n2), ('Retweet Counts', 'share_count', 'similar', n1), ('zzz', NULL, 'none', n1), ('own', 'url', 'adapter', id)) AS t("column", field, how, filled)""")
 def suggest_mapping_rows(spark, d):
-    columns = ["Message ID", "Body", "Posted At", "HANDLE", "user.Lang", "upvotes", "Retweet Counts", "zzz", "own"]
-    told = suggest_mapping(columns, {"OWN": "url"})
-    return spark.createDataFrame([(c, m.canonical, m.how) for c, m in told.items()], "column string, field string, how string")
+    """What each column of a file of all documents is taken for, and how many rows fill it."""
+    raw = _headed(spark, d, {"Message ID": "id", "Body": "text", "Posted At": "day", "HANDLE": "src", "user.Lang": "lang", "upvotes": "n2", "Retweet Counts": "n1", "zzz": "n1", "own": "id"})
+    told = suggest_mapping(raw.columns, {"OWN": "url"})
+    field = F.create_map(*[x for c, m in told.items() for x in (F.lit(c), F.struct(F.lit(m.canonical).cast("string").alias("field"), F.lit(m.how).alias("how")))])
+    return _filled(raw).select("column", field[F.col("column")]["field"].alias("field"), field[F.col("column")]["how"].alias("how"), "filled")
 
 
-@query("SELECT * FROM (VALUES ('kept', 'ID', 'post_id'), ('kept', 'Body', 'text'), ('problem', 'missing_required:text', NULL), ('problem', 'duplicate_target:url', NULL)) AS t(kind, name, field)")
+@query("""SELECT kind, name, field, n FROM (SELECT count(*) AS a, count(nullif(text, '')) AS t FROM documents), (VALUES ('kept', 'ID', 'post_id', a), ('kept', 'Body', 'text', t), ('problem', 'missing_required:text', NULL, NULL), ('problem', 'duplicate_target:url', NULL, NULL)) AS v(kind, name, field, n)""")
 def mapping_checks(spark, d):
-    kept = one_to_one(suggest_mapping(["ID", "Tweet Id", "Body", "Textt"]))
-    problems = validate_mapping({"a": "post_id", "b": "url", "c": "url"})
-    return spark.createDataFrame([("kept", c, f) for c, f in kept.items()] + [("problem", p, None) for p in problems], "kind string, name string, field string")
+    """The columns of a file of all documents that a mapping keeps, with the rows that they fill after it, and the problems of a bad one."""
+    raw = _headed(spark, d, {"ID": "id", "Tweet Id": "id", "Body": "text", "Textt": "src"})
+    kept = one_to_one(suggest_mapping(raw.columns))
+    rows = apply_mapping(raw, kept)
+    counts = rows.agg(*[F.count(f).alias(c) for c, f in kept.items()])
+    found = F.array(*[F.struct(F.lit("kept").alias("kind"), F.lit(c).alias("name"), F.lit(f).cast("string").alias("field"), F.col(c).alias("n")) for c, f in kept.items()])
+    wrong = [(p,) for p in validate_mapping(dict(zip(raw.columns, ["post_id", "url", "url"], strict=False)))]
+    problems = F.array(*[F.struct(F.lit("problem").alias("kind"), F.lit(p).alias("name"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("long").alias("n")) for (p,) in wrong])
+    return counts.select(F.explode(F.concat(found, problems)).alias("x")).select("x.*")
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation")
@@ -320,10 +349,15 @@ def row_keys(spark, d):
     return rows.select("_row_idx", tx.row_key(rows.columns).alias("key"))
 
 
-@query("""SELECT doc_id AS _row_idx, '{"a": ' || doc_id || '}' AS json FROM documents""")
+@query("""WITH t AS (SELECT doc_id, translate(substr(coalesce(text, ''), 1, 200), '{}[]`"', '      ') AS p FROM documents)
+SELECT doc_id AS _row_idx, CASE doc_id % 3 WHEN 0 THEN '{"a": "' || p || '"}' WHEN 1 THEN '[' || doc_id || ', {"p": 1}]' END AS json FROM t""")
 def json_from_prose(spark, d):
-    said = F.concat(F.lit('Here it is:\n```json\n{"a": '), "post_id", F.lit("}\n``` as asked"))
-    return ca.posts(spark, d).select("_row_idx", tx.json_block(said).alias("json"))
+    """JSON among the words of each document: in a fence, bare, or not at all."""
+    said = F.translate(F.substring(F.coalesce("text", F.lit("")), 1, 200), '{}[]`"', "      ")
+    fenced = F.concat(said, F.lit(':\n```json\n{"a": "'), said, F.lit('"}\n``` '), said)
+    bare = F.concat(said, F.lit(" ["), "post_id", F.lit(', {"p": 1}] '), said)
+    kind = F.col("_row_idx") % 3
+    return ca.posts(spark, d).select("_row_idx", tx.json_block(F.when(kind == 0, fenced).when(kind == 1, bare).otherwise(said)).alias("json"))
 
 
 @query("SELECT round(least(1, sum(value) FILTER (event_type = 'view') / 1000), 6) AS share, count(*) AS n FROM events GROUP BY user_id % 10")
@@ -511,3 +545,24 @@ def checkpoint_revert(spark, d):
     if len(ids) != 10 or ids[0] != kept:
         raise RuntimeError("the last ten checkpoints should be left")
     return store.reverted("cb", kept).select("_row_idx", "coder", "cat_id")
+
+
+@query(ca.ORACLE["tag_state"])
+def tag_log_replay(spark, d):
+    """Tags that stand by a log of four batches, of which three were compacted into a snapshot."""
+    log = EventLog(spark, scratch(spark, "log"), last_of(*cd.KEY))
+    events = ca._tag_events(spark, d)
+    for i in range(4):
+        log.append(events.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i))
+        if i == 2:
+            log.compact()
+    return cd.current(log.replay()).select("_row_idx", "cat_id", "coder", "seq")
+
+
+@query()
+def topics_factors(spark, d):
+    """Topics of all documents by non-negative factorisation; a test holds it against numpy."""
+    from tesserae.operators import factors as fa
+
+    weights = se.weights(ca.posts(spark, d), min_df=5).select(F.col("_row_idx").alias("row"), "term", "weight")
+    return fa.assigned(fa.factorise(weights, topics=4, rounds=4)).select("row", "topic", ca.r6("share").alias("share"))
