@@ -1,4 +1,4 @@
-"""TF-IDF search, quotes, vector search and a two-dimensional projection."""
+"""TF-IDF search, quotes and exact vector search; an index is in ``segments``, a projection in ``layout``."""
 
 from __future__ import annotations
 
@@ -155,15 +155,3 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
         part = met.withColumn("rank", rank).where(F.col("rank") <= k)
         out = part if out is None else out.unionByName(part)
     return out
-
-
-def projection(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", rows: int = 5_000) -> DataFrame:
-    """Two principal components of at most ``rows`` vectors, the first by key hash."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    some = vectors.orderBy(F.xxhash64(key), key).limit(rows).select(key, array_to_vector(F.col(column)).alias("v"))
-    from pyspark.ml.functions import vector_to_array
-
-    made = PCA(k=2, inputCol="v", outputCol="p").fit(some).transform(some).withColumn("a", vector_to_array("p"))
-    return made.select(key, F.col("a")[0].alias("x"), F.col("a")[1].alias("y"))

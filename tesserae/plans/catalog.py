@@ -17,6 +17,7 @@ from tesserae.operators import agreement as ag
 from tesserae.operators import analytics as an
 from tesserae.operators import coding as cd
 from tesserae.operators import filters as fl
+from tesserae.operators import layout as lo
 from tesserae.operators import merge as mg
 from tesserae.operators import network as nw
 from tesserae.operators import paths as pt
@@ -608,6 +609,21 @@ def array_join_export(spark, d):
     return flat(table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds")))
 
 
+@query()
+def embedding_layout(spark, d):
+    """A place in the plane for every vector; a test holds the neighbour graph below it against all similarities."""
+    return lo.layout(table(spark, d, "embeddings"))
+
+
+@query()
+def embedding_graph_recall(spark, d):
+    """Share of the ten nearest vectors that the neighbour graph has, over every twentieth vector against all."""
+    vectors = table(spark, d, "embeddings")
+    exact = se.nearest(vectors, vectors.where("vec_id % 20 = 0"), 10).select(F.col("query").alias("row"), F.col("row").alias("other"))
+    found = lo.neighbours(vectors, 10).select("row", "other", F.lit(1.0).alias("hit"))
+    return exact.join(found, ["row", "other"], "left").agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0.0))), F.lit(1.0)).alias("recall"))
+
+
 #: Percent from which the registered queries link texts letter by letter.
 ALIKE = 95.0
 
