@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources import xlsx
+
 
 def flat(df: DataFrame, sep: str = "|") -> DataFrame:
     """Lists joined, timestamps as UTC text, maps and structs as JSON: what CSV can hold."""
@@ -37,6 +39,11 @@ def write_csv(df: DataFrame, path: str, bom: bool = True, sep: str = ",", encodi
     made.write.csv(path, header=True, sep=sep, encoding=encoding, escape='"', quote='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def write_xlsx(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Spreadsheets with a header, one or more per task; lists are joined as in CSV."""
+    xlsx.write(flat(df), path, mode)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path, ignoreNullFields=False)
 

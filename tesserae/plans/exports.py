@@ -190,6 +190,40 @@ def json_scan(spark, d):
     return rows.select(F.col("key").cast("long").alias("key"), F.col("`meta.name`").alias("name"), F.col("`meta.region.key`").cast("long").alias("region"))
 
 
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, s_acctbal AS balance, s_suppkey % 2 = 0 AS even, CASE WHEN s_suppkey % 3 > 0 THEN ' <' || s_name || '>' || chr(10) || '_x0041_ &' END AS note FROM supplier")
+def xlsx_round_trip(spark, d):
+    """The suppliers as spreadsheets and back."""
+    rows = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), (F.col("s_suppkey") % 2 == 0).alias("even"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit(" <"), "s_name", F.lit(">\n_x0041_ &"))).alias("note"),
+    )
+    path = f"{scratch(spark, 'sheets')}/suppliers.xlsx"
+    ex.write_xlsx(rows, path)
+    return ig.read_any(spark, path).select("key", "name", F.col("balance").cast("double").alias("balance"), F.col("even").cast("boolean").alias("even"), "note")
+
+
+#: Of each encoding, words that its files hold beside the suppliers' names.
+SAID = {"windows-1252": "“Crème brûlée” – 5 €, così", "iso-8859-2": "Zażółć gęślą jaźń, příliš žluťoučký", "utf-16-le": "naïve Ωμέγα", "shift_jis": "これはテストの文章です", "utf-8": "plain Ünïcode ✓"}
+
+
+@query("SELECT unnest(['" + "', '".join(SAID) + "']) AS encoding, unnest(['" + "', '".join(SAID.values()) + "']) AS said, count(*) AS rows, count(DISTINCT s_name) AS names FROM supplier")
+def charset_scan(spark, d):
+    """The suppliers as CSV files in five encodings, none of them marked, each recognised and read back."""
+    out = None
+    for encoding, said in SAID.items():
+        rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit(said).alias("said"))
+        path = f"{scratch(spark, 'encoded')}/suppliers.csv"
+        if encoding.startswith("utf-16"):
+            ex.write_csv(rows, path, bom=False, encoding="UTF-16LE")
+        else:  # the bytes of the encoding as Latin-1 letters, which are written as just these bytes
+            as_bytes = F.pandas_udf(lambda cells, e=encoding: cells.map(lambda t: t.encode(e).decode("latin-1")), "string")
+            ex.write_csv(rows.withColumn("said", as_bytes("said")), path, bom=False, encoding="ISO-8859-1")
+        raw = ig.read_csv(spark, path)
+        part = raw.agg(F.lit(encoding).alias("encoding"), F.max("said").alias("said"), F.count("*").alias("rows"), F.count_distinct("name").alias("names"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("SELECT s_suppkey AS key, 'é; ' || s_name AS name FROM supplier")
 def latin_csv_scan(spark, d):
     """A CSV in Latin-1 with semicolons, encoding and separator found from its first bytes."""

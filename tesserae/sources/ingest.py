@@ -5,11 +5,15 @@ from __future__ import annotations
 import csv
 import os
 from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tesserae.sources import xlsx
+
 # File endings that can be read, the largest upload, and delimiters.
 ENDINGS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".xlsx": "xlsx", ".xls": "xlsx"}
 MOST_BYTES = 200 * 1024 * 1024
@@ -53,17 +57,79 @@ def head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
         stream.close()
 
 
+# Letters beyond ASCII that texts in Western and in Central European languages use.
+WESTERN = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
+CENTRAL = "áâăäąćčçďđéęěëíîĺľłńňóôőöŕřśšşťţůúűüýźžż"
+#: Encodings that Spark's own reader knows; others are read as bytes and decoded per cell.
+READABLE = ("UTF-8", "UTF-16", "UTF-16LE", "UTF-16BE", "ISO-8859-1")
+
+
+def _without_mark(data: bytes) -> str | None:
+    """UTF-16 without a byte order mark: nearly all bytes of one half are zero."""
+    if len(data) < 4:
+        return None
+    even, odd = data[0::2].count(0) / len(data[0::2]), data[1::2].count(0) / len(data[1::2])
+    return "UTF-16LE" if odd > 0.4 > 5 * even else "UTF-16BE" if even > 0.4 > 5 * odd else None
+
+
+def _fit(text: str, usual: str) -> float:
+    """How well high letters fit: usual ones for, and signs or odd letters next to letters against, in pairs of neighbours."""
+    total = 0.0
+    for before, c, after in zip(" " + text, text, text[1:] + " ", strict=False):
+        if ord(c) > 127:
+            inside = before.isalpha() + after.isalpha()
+            upper = c.isupper() and before.islower()
+            rare = c in "õÕ" and after not in "eE"  # õ stands before e in Western texts; elsewhere the byte is ő, as a rule
+            total += 1 + inside if c.lower() in usual and not upper and not rare else -1 - inside if c.isalpha() or inside else 0.2 if c.isprintable() else -2
+    return total
+
+
+def _japanese(data: bytes) -> float:
+    """How well bytes read as Shift-JIS: kana and common ideographs for, half-width pairs and failures against."""
+    for cut in range(2):
+        try:
+            text = data[: len(data) - cut].decode("shift_jis")
+        except UnicodeDecodeError:
+            continue
+        kana = sum("\u3040" <= c <= "\u30ff" for c in text)
+        wide = sum("\u4e00" <= c <= "\u9fff" for c in text)
+        half = sum("\uff61" <= c <= "\uff9f" for c in text)
+        return 2.0 * kana + 0.5 * wide - 2.0 * half if kana + wide else -1.0
+    return float("-inf")
+
+
 def encoding_of(data: bytes) -> str:
-    """By byte order mark, then UTF-8 if it decodes (a cut last letter aside), else Latin-1, which Spark can read."""
+    """By byte order mark, zero bytes, and UTF-8 if it decodes (a cut last letter aside); else what fits best.
+
+    Shift-JIS, Central European (ISO-8859-2) and Western (Windows-1252, or ISO-8859-1 where no byte tells the two
+    apart) are told by how the high letters sit among their neighbours.
+    """
     if data.startswith((b"\xff\xfe", b"\xfe\xff")):
         return "UTF-16"
+    if found := _without_mark(data):
+        return found
     for cut in range(4):
         try:
             data[: len(data) - cut].decode("utf-8")
             return "UTF-8"
         except UnicodeDecodeError:
             continue
-    return "ISO-8859-1"
+    western, central = _fit(data.decode("cp1252", "replace"), WESTERN), _fit(data.decode("iso-8859-2"), CENTRAL)
+    if _japanese(data) > max(western, central, 0):
+        return "Shift_JIS"
+    if central > western:
+        return "ISO-8859-2"
+    return "windows-1252" if any(0x80 <= b < 0xA0 for b in data) else "ISO-8859-1"
+
+
+def _decoded(encoding: str) -> Callable[[Column], Column]:
+    """Cells that were read byte by byte, in ``encoding``."""
+
+    @F.pandas_udf(StringType())
+    def decode(cells: pd.Series) -> pd.Series:
+        return cells.map(lambda t: t.encode("latin-1").decode(encoding, "replace"), na_action="ignore")
+
+    return decode
 
 
 def delimiter_of(text: str) -> str:
@@ -85,9 +151,11 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     sep = sep or ("\t" if path.lower().endswith(".tsv") else delimiter_of(text))
     names = next(csv.reader(text.splitlines() or [""], delimiter=sep), [])
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names) + 1)])
-    raw = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
+    direct = encoding in READABLE
+    raw = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding if direct else "ISO-8859-1", header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
     kept = raw.where(F.col(f"c{len(names)}").isNull())
-    return kept.select(*[F.col(f"c{i}").alias(n.strip()) for i, n in enumerate(names) if n.strip()])
+    cell = (lambda c: c) if direct else _decoded(encoding)
+    return kept.select(*[cell(F.col(f"c{i}")).alias(n.strip()) for i, n in enumerate(names) if n.strip()])
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -129,9 +197,7 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
         return read_jsonl(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
-    import pandas as pd  # spreadsheets need openpyxl, which is optional
-
-    return spark.createDataFrame(pd.read_excel(path, dtype=str))
+    return xlsx.read(spark, path)
 
 
 def file_digest(spark: SparkSession, path: str) -> str:
