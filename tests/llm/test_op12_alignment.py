@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -80,6 +81,17 @@ def test_odd_texts_equal_whole_encodings(spark, seed, monkeypatch):
     assert {(r.a, r.b): r["count"] for r in counts.collect()} == count
 
 
+def test_merge_gives_every_overlap_once():
+    rng = random.Random(2)
+    for _ in range(200):
+        size = rng.randint(1, 30)
+        a, b = (sorted({*rng.sample(range(1, size + 1), rng.randint(0, size)), size}) for _ in "ab")
+        i, k, both = alignment.merged(np.array(a), np.array(b))
+        spans = [list(zip([0, *x], x, strict=False)) for x in (a, b)]
+        overlap = [(m, n) for m, x in enumerate(spans[0]) for n, y in enumerate(spans[1]) if max(x[0], y[0]) < min(x[1], y[1])]
+        assert list(zip(i.tolist(), k.tolist(), strict=True)) == overlap and both.tolist() == sorted({*a} & {*b})
+
+
 def test_units_are_independent():
     """Encodings of units, joined, are the encoding of the whole."""
     rng = random.Random(7)
@@ -97,11 +109,11 @@ def test_blocks_and_forgotten_units_change_nothing(spark, data_dir, monkeypatch)
     docs = spark.read.parquet(f"{data_dir}/documents.parquet").limit(60)
     one = got(alignment.align_tokens(docs, *PATHS)[0])
     held = alignment.Aligner(*PATHS)
-    monkeypatch.setattr(alignment, "MEMO", 50)
     units = [u for r in docs.limit(3).collect() for u in alignment.units_of(r.text or "")][:120]
+    want = alignment.Aligner(*PATHS).known(units)
+    monkeypatch.setattr(alignment, "MEMO", 50)
     for at in range(0, len(units), 25):
-        held.learn(units[at : at + 25])
-        assert all(u in held.memo for u in units[at : at + 25]) and len(held.memo) <= 75
+        assert held.known(units[at : at + 25]) == want[at : at + 25] and len(held.fresh) <= 50 and len(held.stale) <= 75
     monkeypatch.setattr(alignment, "BLOCK", 5_000)
     assert got(alignment.align_tokens(docs, *PATHS)[0]) == one
 
