@@ -87,3 +87,10 @@ def test_a_conversation_of_fifty_thousand_turns(spark):
     assert got(read_back(windows(turns))) == brute([tuple(x) for x in turns.collect()])
     assert r.n_turns == 50_000 and r.formatted_chars < 25_000_000 and r.n_windows > 4_000
     assert time.time() - started < 120
+
+
+def test_the_query_starts_no_python_worker(spark, data_dir):
+    from tesserae.llm.registry import QUERIES
+
+    plan = QUERIES["op5_chat_windows"](spark, data_dir)._jdf.queryExecution()
+    assert "Python" not in plan.toRdd().toDebugString() and "Python" not in plan.toString()
