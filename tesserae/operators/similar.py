@@ -190,7 +190,11 @@ def _candidates(texts: DataFrame, least: float, groups: DataFrame | None = None)
         i, p = index.select("*", own), probes.select("*", own)
     else:
         named = groups.withColumnRenamed("c", "c0")
-        i, p = (x.join(named, "k", "left").withColumn("c", F.coalesce("c0", "k")).drop("c0") for x in (index, probes))
+        i, p = (kept(x.join(named, "k", "left").withColumn("c", F.coalesce("c0", "k")).drop("c0"), "named") for x in (index, probes))
+        # Letters that one group alone holds lead nowhere: many near copies of one text cost no pairs here.
+        across = i.select("g", "c").union(p.select("g", "c")).groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g")
+        across = kept(across, "across")
+        i, p = i.join(across, "g", "left_semi"), p.join(across, "g", "left_semi")
     i, p = i.alias("i"), p.alias("p")
     edits = F.floor(F.lit(1 - least / 100) * (F.col("i.m") + F.col("p.n")) + 1e-9)
     shift = F.abs(F.col("i.pos") - F.col("p.pos")) + F.abs((F.col("i.m") - F.col("i.pos")) - (F.col("p.n") - F.col("p.pos")))
