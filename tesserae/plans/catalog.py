@@ -611,13 +611,13 @@ def array_join_export(spark, d):
 
 @query()
 def embedding_layout(spark, d):
-    """A place in the plane for every vector; a test holds the neighbour graph below it against all similarities."""
+    """A place in the plane for every vector; SQL has no layout, a test holds the neighbour graph below it against all similarities."""
     return lo.layout(table(spark, d, "embeddings"))
 
 
 @query()
 def embedding_graph_recall(spark, d):
-    """Share of the ten nearest vectors that the neighbour graph has, over every twentieth vector against all."""
+    """Share of the ten nearest vectors that the neighbour graph has, over every twentieth vector against all; no SQL makes that graph."""
     vectors = table(spark, d, "embeddings")
     exact = se.nearest(vectors, vectors.where("vec_id % 20 = 0"), 10).select(F.col("query").alias("row"), F.col("row").alias("other"))
     found = lo.neighbours(vectors, 10).select("row", "other", F.lit(1.0).alias("hit"))
@@ -636,14 +636,14 @@ def dup_clusters(spark, d):
 
 @query()
 def dup_cluster_list(spark, d):
-    """The largest clusters of ``dup_clusters`` with sample rows."""
+    """The largest clusters of ``dup_clusters`` with sample rows; no SQL, as alignment has none."""
     p = posts(spark, d)
     return nw.cluster_list(si.clusters(p, ALIKE), p).select("cluster", "size", "rows")
 
 
 @query()
 def betweenness_top(spark, d):
-    """Betweenness of the reply graph by weighted, directed paths; a test counts them all."""
+    """Betweenness of the reply graph by weighted, directed paths; SQL has none of these, a test counts them all."""
     return pt.top_betweenness(_replies(spark, d))
 
 

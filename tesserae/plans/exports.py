@@ -595,7 +595,7 @@ def tag_log_replay(spark, d):
 
 @query()
 def topics_factors(spark, d):
-    """Topics of all documents by non-negative factorisation; a test holds it against numpy."""
+    """Topics of all documents by non-negative factorisation; SQL has no such rounds, a test holds it against numpy."""
     from tesserae.operators import factors as fa
 
     weights = se.weights(ca.posts(spark, d), min_df=5).select(F.col("_row_idx").alias("row"), "term", "weight")

@@ -1,9 +1,8 @@
-"""Betweenness against counting all paths, and SQL by hops."""
+"""Betweenness against counting all paths; the query by hops is held against SQL with the catalogue."""
 
 import itertools
 import random
 
-import duckdb
 import pytest
 
 from tesserae.operators import paths as pt
@@ -54,12 +53,3 @@ def test_a_path_pivots_and_small_graphs(spark):
     assert pt.betweenness(line.limit(0)).collect() == []
     with pytest.raises(ValueError, match="over zero"):
         pt.betweenness(line.withColumn("weight", line.weight - 1))
-
-
-def test_reply_graph_equals_sql(spark, data_dir):
-    from tesserae.plans.catalog import ORACLE, QUERIES
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{data_dir}/conversations.parquet'")
-    got = sorted((r.node, r.betweenness) for r in QUERIES["betweenness_hops"](spark, data_dir).collect())
-    assert got == sorted(con.execute(f"SELECT node, betweenness FROM ({ORACLE['betweenness_hops']})").fetchall()) and any(v for _, v in got)

@@ -2,8 +2,6 @@
 
 import random
 
-import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from tesserae.manifest import Manifest
@@ -88,13 +86,3 @@ def test_states_are_never_overwritten(spark, tmp_path):
     assert manifest.last() == (0, {})
     assert manifest.commit(0, {"a": 1}) and not manifest.commit(0, {"a": 2}) and manifest.last() == (1, {"a": 1})
     assert manifest.change(lambda s: s | {"b": "é"}) == {"a": 1, "b": "é"} and manifest.last()[0] == 2
-
-
-def test_registered_search_equals_sql(spark, data_dir):
-    from tesserae.plans.exports import ORACLE, QUERIES
-
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data_dir}/documents.parquet'")
-    got = QUERIES["tfidf_segments"](spark, data_dir).collect()
-    want = con.execute(f"SELECT _row_idx, score FROM ({ORACLE['tfidf_segments']})").fetchall()
-    assert sorted(tuple(r) for r in got) == sorted((a, pytest.approx(b, abs=1e-6)) for a, b in want)
