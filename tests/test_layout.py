@@ -51,3 +51,21 @@ def test_registered_layout(spark, data_dir):
 
     assert QUERIES["embedding_layout"](spark, data_dir).count() == spark.read.parquet(f"{data_dir}/embeddings.parquet").count()
     assert QUERIES["embedding_graph_recall"](spark, data_dir).first().recall == pytest.approx(1, abs=0.1)
+
+
+def test_nearest_equals_all_similarities_with_ties_nulls_and_zeros(spark):
+    """Copies tie exactly and go by key, rows without a similarity come last, and no expression over all pairs is left in the plan."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(6).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(100 + i, rows[3][1]) for i in range(30)] + [(200, None), (201, [0.0] * 6), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    queries = df.where("vec_id % 20 IN (0, 1, 3)")
+    for most in (4, 8_000):
+        found = se.nearest(df, queries, 70, most=most)
+        assert "Join" not in found._jdf.queryExecution().toString()
+        mine = queries.selectExpr("vec_id AS query", "embedding AS q")
+        all_pairs = df.crossJoin(mine).where("vec_id <> query").select("query", F.col("vec_id").alias("row"), se.cosine(F.col("embedding"), F.col("q")).alias("s"))
+        want = {}
+        for r in sorted(all_pairs.collect(), key=lambda r: (r.query, r.s is None, -(r.s or 0.0), r.row)):
+            want.setdefault(r.query, []).append((r.row, r.s))
+        assert [(r.query, r.row, r.similarity) for r in found.orderBy("query", "rank").collect()] == [(q, *x) for q in sorted(want) for x in want[q][:70]]
