@@ -69,3 +69,26 @@ def test_nearest_equals_all_similarities_with_ties_nulls_and_zeros(spark):
         for r in sorted(all_pairs.collect(), key=lambda r: (r.query, r.s is None, -(r.s or 0.0), r.row)):
             want.setdefault(r.query, []).append((r.row, r.s))
         assert [(r.query, r.row, r.similarity) for r in found.orderBy("query", "rank").collect()] == [(q, *x) for q in sorted(want) for x in want[q][:70]]
+
+
+def test_blocks_that_all_meet_are_exact_and_descent_still_works(spark, data_dir, monkeypatch):
+    """Copies and ties go by key; descent, which larger tables take, is held against the exact graph."""
+    rng = np.random.default_rng(2)
+    rows = [(i * 3, rng.standard_normal(8).tolist()) for i in range(150)] + [(1000 + i, [1.0] * 8) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(lo, "SIDE", 40)
+    found = {(r.row, r.other) for r in lo.neighbours(df, 7).collect()}
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    keys = np.array([i for i, _ in rows])
+    near = np.round(m @ m.T, 12)
+    np.fill_diagonal(near, -np.inf)
+    far = {(int(keys[i]), int(keys[j])): near[i, j] for i in range(len(keys)) for j in range(len(keys))}
+    least = {int(keys[i]): np.sort(near[i])[-7] for i in range(len(keys))}
+    assert len(found) == 7 * len(rows) and all(far[p] >= least[p[0]] for p in found)
+    vectors = spark.read.parquet(f"{data_dir}/embeddings.parquet")
+    exact = lo.neighbours(vectors, 10).select("row", "other")
+    monkeypatch.setattr(lo, "EXACT", 0)
+    monkeypatch.setattr(lo, "BLOCK", 60)
+    descent = lo.neighbours(vectors, 10)
+    assert 0.9 <= lo.recall(descent, exact) <= 1
