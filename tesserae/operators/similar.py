@@ -4,19 +4,24 @@ The similarity of two texts is twice their longest common subsequence over both
 (``ratio``). A pair at ``least`` percent is at most D = (1 - least/100) * (both lengths) single-letter
 insertions and deletions apart.
 
-``similar_pairs`` is lossless. The shorter text is cut evenly into k > D segments; D edits spoil D of
-any r segments at most, so the longer text holds r - D of them unspoilt, each at a place whose shifts
-to the left and the right come to D at most. The r = (D + 1) * 5/4 rarest segments are indexed; how
-rare is read from a bounded table of counters, which decides the cost alone. The longer text is looked
-up at every place, where a Bloom filter of bounded size knows its letters at all. What matches often
-enough is compared exactly.
+``similar_pairs`` is lossless. Texts are dealt to blocks by length, and two blocks meet in one task if a text of one
+can be a partner of a text of the other: the longer is at most (2 - t) / t times as long, t = least/100. A task holds two blocks
+of ``BYTES`` of letters at most (or two longer texts), whose pairs pass four tests, each of which a pair with D edits passes always:
+
+1. The letter pairs that two texts share, counted by bucket, are at most the sum of the roots of the products of the counts.
+2. Of the q-letter grams of a text, each deletion spoils q at most and each insertion q - 1; the numbered grams are bits of a map.
+3. Of the even segments of the longer text an edit spoils one; the others stand in the shorter text, at places whose shifts
+   to the left and the right come to D at most.
+4. The common subsequence of a start of both texts leaves no more letters out than may be left out in all (``_similar``).
+
+What is left is compared exactly, in the task that has the texts, so neither places nor pairs of texts are shuffled: what is
+shuffled is each text, once for each block that its own one meets. The comparisons of maps are quadratic within the bounds of length.
 
 ``clusters`` first links texts that share a least-hash key to the least text with that key, which
 joins most copies in one group by few comparisons, and then looks for pairs across groups only. No
-link between groups is lost; links inside a group are not needed for it.
+link between groups is lost; links inside a group are not needed for it, nor a link that others of the same task imply.
 
-Selectivity falls with ``least``: the segments have about 0.6 * t / (2 - 2t) letters at t = least/100:
-six at 95 %, three at 90 %. For 200/3 percent and less nothing is left to index, and the call is refused.
+Long texts of one small vocabulary share nearly all grams and come to the third test, and the longest of them to the fourth.
 
 Null texts are left out; equal texts are one in pairs and stand together in clusters; an empty text
 is like itself alone. Repeated keys count as one row with several texts. Extra columns are ignored.
@@ -29,13 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.session import kept
 
-#: Counters of segment hashes, and bits of the filter at most (8 MB).
-COUNTERS, BITS = 1 << 20, 1 << 26
+#: Letters of a block on average (a longer text is a block of its own), and classes of length within one reach of partners.
+BYTES, CLASSES = 32 << 20, 2
+#: Buckets of letter pairs, and rows of a block that are compared at a time.
+BUCKETS, ROWS = 256, 1_024
 #: Least-hash keys per text and letters of what they hash.
 KEYS, SHINGLE = 6, 12
 
@@ -82,126 +90,180 @@ class Plan:
         most = self.most(m)
         return np.where(m // self.base > most, self.base, np.maximum(1, m // (most + 1)))
 
-    def segments(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Places and hashes of a text's segments, and how many of the rarest are indexed."""
-        m = np.array([len(letters)], np.int64)
-        q, most = int(self.size(m)[0]), int(self.most(m)[0])
-        at = np.arange(len(letters) // q) * q
-        return at, _grams(letters, q)[at], min(len(at), most + 1 + (most + 1) // 4)
-
-    def looked_up(self, n: int) -> np.ndarray:
-        """Segment sizes of the shorter partners that a text of length ``n`` can have."""
-        low = int(np.ceil(n * self.t / (2 - self.t) - 1e-9))
-        return np.unique(self.size(np.arange(max(1, low), n + 1, dtype=np.int64)))
-
-
-def _bits_at(g: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(_mix(g + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in (1, 2, 3)]
-
-
-def _counters(texts: DataFrame, least: float) -> np.ndarray:
-    """How often segments occur, by hash; what is gathered is one number per counter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = Plan(least), np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                if text:
-                    seen += np.bincount((plan.segments(_letters(text))[1] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["slot", "n"])
-
-    told = texts.select("k", "t").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[told.column("slot").to_numpy()] = told.column("n").to_numpy()
-    return out
-
-
-def _filter(spark: SparkSession, index: DataFrame) -> tuple[object, int]:
-    """A broadcast Bloom filter of the index's hashes, and its bits."""
-    bits = min(BITS, max(1 << 12, 1 << (16 * max(1, index.count()) - 1).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits, bool)
-        for batch in batches:
-            for at in _bits_at(batch.column(0).to_numpy().view(np.uint64), bits):
-                table[at] = True
-        packed = np.packbits(table).reshape(-1, 512)
-        at = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([packed[i].tobytes() for i in at], pa.binary())], names=["part", "held"])
-
-    def both(table: pa.Table) -> pa.Table:
-        held = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("held").to_pylist()])
-        return pa.table({"part": table.column("part")[:1], "held": pa.array([held.tobytes()], pa.binary())})
-
-    parts = index.select("g").mapInArrow(run, "part long, held binary").groupBy("part").applyInArrow(both, "part long, held binary").toArrow()
-    out = np.zeros((bits // 4096, 512), np.uint8)
-    for at, held in zip(parts.column("part").to_pylist(), parts.column("held").to_pylist(), strict=True):
-        out[at] = np.frombuffer(held, np.uint8)
-    return spark.sparkContext.broadcast(out.reshape(-1)), bits
-
-
-def _index(texts: DataFrame, least: float) -> DataFrame:
-    """(g, k, pos, m, r): the ``r`` rarest segments of each text."""
-    sent = texts.sparkSession.sparkContext.broadcast(_counters(texts, least))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, seen = Plan(least), sent.value
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not text:
-                    continue
-                at, g, r = plan.segments(_letters(text))
-                rare = np.argsort(seen[(g % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")[:r]
-                for column, value in zip(out, (g[rare].view(np.int64), np.full(r, k), at[rare], np.full(r, len(text)), np.full(r, r)), strict=True):
-                    column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["g", "k", "pos", "m", "r"])
-
-    return texts.select("k", "t").mapInArrow(run, "g long, k long, pos long, m long, r long")
-
-
-def _probes(texts: DataFrame, least: float, sent: object, bits: int) -> DataFrame:
-    """(g, k, pos, n): every place of a text whose letters may be a segment of a shorter one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, table = Plan(least), sent.value
-        for batch in batches:
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                letters = _letters(text or "")
-                for q in plan.looked_up(len(letters)).tolist():
-                    g = _grams(letters, q)
-                    at = np.flatnonzero(np.bitwise_and.reduce([table[p >> 3] >> (7 - (p & 7)).astype(np.uint8) for p in _bits_at(g, bits)]) & 1)
-                    if len(at):
-                        columns = [g[at].view(np.int64), np.full(len(at), k), at, np.full(len(at), len(letters))]
-                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["g", "k", "pos", "n"])
-
-    return texts.select("k", "t").mapInArrow(run, "g long, k long, pos long, n long")
-
-
-def _candidates(texts: DataFrame, least: float, groups: DataFrame | None = None) -> DataFrame:
-    """(u, v) that share enough segments at near places; with ``groups`` (k, c) only across them."""
-    index = kept(_index(texts, least), "segments")
-    sent, bits = _filter(texts.sparkSession, index)
-    probes = _probes(texts, least, sent, bits)
-    own = F.col("k").alias("c")
+    def gram(self, m: int) -> int:
+        """Letters of the grams that tell texts of about this length apart; any number loses no pair."""
+        return max(1, min(4 if m < 4_000 else 5 if m < 6_000 else 6, 6 if self.t > 0.93 else 3 if self.t > 0.88 else 2))
+
+    def step(self) -> float:
+        """Logarithm of the width of a class of length."""
+        return max(1e-3, float(np.log((2 - self.t) / self.t))) * (1 + 1e-6) / CLASSES
+
+
+def _classes(texts: DataFrame, least: float) -> DataFrame:
+    """(k, t, c, part, of): class of length and part of it, where ``of`` is the number of the class's parts."""
+    placed = texts.where("t <> ''").withColumn("cls", F.floor(F.log(F.length("t").cast("double")) / Plan(least).step()).cast("int"))
+    sizes = placed.groupBy("cls").agg(F.ceil(F.sum(F.length("t") + 200) / F.lit(float(BYTES))).cast("int").alias("of"))
+    return placed.join(F.broadcast(sizes), "cls").withColumn("part", F.pmod(F.xxhash64("k"), F.col("of")).cast("int"))  # one row per class
+
+
+def _meetings(texts: DataFrame, least: float) -> DataFrame:
+    """Rows of the blocks that meet: (i, j) is the shorter class and its part, (x, y) the longer one; ``b`` tells whose the row is."""
+    placed = _classes(texts, least)
+    blocks = kept(placed.select("cls", "part").distinct(), "blocks")
+    low, high = blocks.select(F.col("cls").alias("i"), F.col("part").alias("j")), blocks.select(F.col("cls").alias("x"), F.col("part").alias("y"))
+    met = low.join(F.broadcast(high), (F.col("x") >= F.col("i")) & (F.col("x") <= F.col("i") + CLASSES) & ((F.col("x") > F.col("i")) | (F.col("y") >= F.col("j"))))
+    pairs = kept(met, "meetings")  # numbers of blocks, a few per BYTES of input
+    one = placed.join(F.broadcast(pairs), (F.col("cls") == F.col("i")) & (F.col("part") == F.col("j"))).select("i", "j", "x", "y", F.lit(0).alias("b"), "k", "c", "t")
+    two = placed.join(F.broadcast(pairs.where("i <> x OR j <> y")), (F.col("cls") == F.col("x")) & (F.col("part") == F.col("y")))
+    return one.union(two.select("i", "j", "x", "y", F.lit(1).alias("b"), "k", "c", "t"))
+
+
+def _roots(letters: np.ndarray) -> np.ndarray:
+    """Roots of the counts of letter pairs by bucket."""
+    return np.sqrt(np.bincount((_grams(letters, 2) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)).astype(np.float32)
+
+
+def _map(letters: np.ndarray, q: int, bits: int) -> np.ndarray:
+    """The bits of a text's grams, the equal ones numbered."""
+    g = np.sort(_grams(letters, q))
+    at = np.arange(len(g))
+    start = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], at, 0)) if len(g) else at
+    table = np.zeros(bits, bool)
+    table[(_mix(g + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(table).view(np.uint64)
+
+
+class _Groups:
+    """Union of groups by their numbers; the least one names a union."""
+
+    def __init__(self):
+        self.over: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.over.get(x, x)) != x:
+            self.over[x] = self.over.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.over[max(x, y)] = min(x, y)
+
+
+class _Block:
+    def __init__(self, keys: list[int], groups: list[int], texts: list[str]):
+        order = sorted(range(len(keys)), key=lambda i: (len(texts[i]), keys[i]))
+        self.k, self.c, self.t = ([column[i] for i in order] for column in (keys, groups, texts))
+        self.key, self.n, self.group = np.array(self.k, np.int64), np.array([len(t) for t in self.t], np.int64), np.array(self.c, np.int64)
+        self.roots = np.stack([_roots(_letters(t)) for t in self.t]) if self.t else np.zeros((0, BUCKETS), np.float32)
+        self.maps: np.ndarray | None = None
+
+    def mapped(self, q: int, bits: int) -> None:
+        self.maps = np.stack([_map(_letters(t), q, bits) for t in self.t]) if self.t else np.zeros((0, bits // 64), np.uint64)
+        self.set = np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+
+
+def _passed(one: _Block, two: _Block, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the texts of one block and of those of the other, no shorter ones, that pass the first two tests."""
+    plan, q = Plan(least), 0
+    same = one is two
+    for cut in range(0, len(one.t), ROWS):
+        rows = slice(cut, cut + ROWS)
+        low, high = int(np.searchsorted(two.n, one.n[rows].min())), int(np.searchsorted(two.n, int(one.n[rows].max() * (2 - plan.t) / plan.t + 1), side="right"))
+        for at in range(low, high, 4 * ROWS):
+            cols = slice(at, min(high, at + 4 * ROWS))
+            m, n = one.n[rows, None], two.n[None, cols]
+            d = plan.edits(m + n)
+            most = np.maximum(0, d - (n - m)) // 2  # letters of the shorter text that may be left out
+            ok = (n >= m) & (n - m <= d) & (one.group[rows, None] != two.group[None, cols])
+            ok &= (m < n) | (one.key[rows, None] < two.key[None, cols]) if same else True
+            ok &= (m - 1 - one.roots[rows] @ two.roots[cols].T) * (1 - 1e-4) <= d + most + 0.5
+            if not ok.any():
+                continue
+            if not q:
+                q, bits = plan.gram(int(one.n[0])), max(64, 1 << int(4 * one.n[-1] - 1).bit_length())
+                one.mapped(q, bits)
+                if not same:
+                    two.mapped(q, bits)
+            for i in np.flatnonzero(ok.any(axis=1)):
+                j = np.flatnonzero(ok[i])
+                for few in np.array_split(j, max(1, len(j) * one.maps.shape[1] >> 17)):
+                    both = np.bitwise_count(two.maps[few + at] & one.maps[cut + i]).sum(axis=1, dtype=np.int64)
+                    left, edits = most[i, few], d[i, few]
+                    good = (one.set[cut + i] - both <= (q - 1) * edits + left) & (two.set[few + at] - both <= (q - 1) * edits + edits - left)
+                    if good.any():
+                        yield cut + int(i), few[good] + at
+
+
+#: Bits of a hash that stay beside a place, and texts too long for such places.
+HIGH, FAR = np.uint64(0xFFFFFFFFFF000000), 1 << 24
+
+
+def _standing(text: str, size: int) -> np.ndarray:
+    """Hashes and places of all grams, in order."""
+    g = _grams(_letters(text), size)
+    return np.sort((g & HIGH) | np.arange(len(g), dtype=np.uint64))
+
+
+def _in_place(standing: np.ndarray, text: str, size: int, edits: int, lost: int, new: int) -> bool:
+    """Whether all but ``edits`` even segments of the longer text stand in the shorter one near their places."""
+    n = len(text) // size
+    g = _grams(_letters(text[: n * size]), size)[::size]
+    at = np.arange(n) * size
+    found = np.searchsorted(standing, (g & HIGH) | np.maximum(0, at - new).astype(np.uint64))
+    held = np.append(standing, np.uint64(0))[found]
+    hit = (held & HIGH == g & HIGH) & (found < len(standing)) & ((held & ~HIGH).astype(np.int64) <= at + lost)
+    return n - int(hit.sum()) <= edits
+
+
+def _near(a: str, b: str, least: float, known: dict[int, np.ndarray]) -> bool:
+    """The third test for a text and one that is no shorter; ``known`` keeps what the first needs for all its partners."""
+    plan = Plan(least)
+    edits = plan.edits(len(a) + len(b))
+    lost = (edits - (len(b) - len(a))) // 2
+    if len(b) >= FAR:
+        return True
+    for size in (plan.base, plan.base + 2):
+        if len(b) // size > edits:
+            if size not in known:
+                known[size] = _standing(a, size)
+            if not _in_place(known[size], b, size, edits, lost, lost + len(b) - len(a)):
+                return False
+    return True
+
+
+def _linked(texts: DataFrame, least: float, groups: DataFrame | None = None) -> DataFrame:
+    """(u, v): pairs at ``least`` percent or more; with ``groups`` (k, c) pairs across them that join all that similarity joins."""
     if groups is None:
-        i, p = index.select("*", own), probes.select("*", own)
+        named = texts.withColumn("c", F.col("k"))
     else:
-        named = groups.withColumnRenamed("c", "c0")
-        i, p = (kept(x.join(named, "k", "left").withColumn("c", F.coalesce("c0", "k")).drop("c0"), "named") for x in (index, probes))
-        # Letters that one group alone holds lead nowhere: many near copies of one text cost no pairs here.
-        across = i.select("g", "c").union(p.select("g", "c")).groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("g")
-        across = kept(across, "across")
-        i, p = i.join(across, "g", "left_semi"), p.join(across, "g", "left_semi")
-    i, p = i.alias("i"), p.alias("p")
-    edits = F.floor(F.lit(1 - least / 100) * (F.col("i.m") + F.col("p.n")) + 1e-9)
-    shift = F.abs(F.col("i.pos") - F.col("p.pos")) + F.abs((F.col("i.m") - F.col("i.pos")) - (F.col("p.n") - F.col("p.pos")))
-    near = (F.col("i.g") == F.col("p.g")) & (F.col("p.n") >= F.col("i.m")) & (shift <= edits) & (F.col("i.c") != F.col("p.c"))
-    met = i.join(p, near & ((F.col("i.m") < F.col("p.n")) | (F.col("i.k") < F.col("p.k"))))
-    pairs = met.groupBy(F.col("i.k").alias("u"), F.col("p.k").alias("v")).agg(F.count_distinct("i.pos").alias("same"), F.max("i.r").alias("r"), F.max(edits).alias("d"))
-    return pairs.where("same >= r - d").select("u", "v")
+        named = texts.join(groups, "k", "left").withColumn("c", F.coalesce("c", "k"))
+    all_pairs = groups is None
+
+    def meet(t: pa.Table) -> pa.Table:
+        u, v, joined = [], [], _Groups()
+        blocks = []
+        for b in (0, 1):
+            mine = t.filter(pc.equal(t.column("b"), b))
+            blocks.append(_Block(*(mine.column(c).to_pylist() for c in ("k", "c", "t"))))
+        one, two = blocks[0], blocks[1] if blocks[1].t else blocks[0]
+        same_class = t.column("i")[0] == t.column("x")[0] and one is not two
+        for a, b in ((one, two), (two, one)) if same_class else ((one, two),):
+            last, known = -1, {}
+            for i, places in _passed(a, b, least):
+                last, known = i, known if i == last else {}
+                for j in places.tolist():
+                    if same_class and a is two and a.n[i] == b.n[j]:
+                        continue  # equal lengths were met the first time
+                    if not all_pairs and joined.find(a.c[i]) == joined.find(b.c[j]):
+                        continue
+                    if _near(a.t[i], b.t[j], least, known) and _similar(a.t[i], b.t[j], least):
+                        u.append(a.k[i])
+                        v.append(b.k[j])
+                        joined.join(a.c[i], b.c[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return _meetings(named, least).groupBy("i", "j", "x", "y").applyInArrow(meet, "u long, v long")
 
 
 def _stars(texts: DataFrame) -> DataFrame:
@@ -251,6 +313,15 @@ def _similar(a: str, b: str, least: float) -> bool:
     need = least * (len(a) + len(b)) / 200.0
     if min(len(a), len(b)) < need or sum((Counter(a) & Counter(b)).values()) < need:
         return False
+    # A start of the longer text is met by a start of the shorter one, longer by what that may lose: what it lacks is an insertion.
+    if len(a) > len(b):
+        a, b = b, a
+    edits = int((1 - least / 100) * (len(a) + len(b)) + 1e-9) + 1
+    lost = max(0, edits - (len(b) - len(a))) // 2 + 1
+    for part in (8, 4):
+        at = len(b) // part
+        if at > 200 and common_length(a[: at + lost], b[:at]) < at - (lost + len(b) - len(a)):
+            return False
     return ratio(a, b) >= least
 
 
@@ -274,7 +345,7 @@ def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
 def similar_pairs(df: DataFrame, least: float = 90.0, key: str = "_row_idx", text: str = "text") -> DataFrame:
     """(u, v), u < v: different texts, by their least keys, with a ratio of ``least`` percent or more; none is lost."""
     texts = _texts(df, key, text)
-    found = _verified(kept(_candidates(texts, least), "candidates"), texts, least)
+    found = _linked(texts, least)
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
@@ -302,7 +373,7 @@ def clusters(df: DataFrame, least: float = 90.0, key: str = "_row_idx", text: st
     texts = _texts(df, key, text)
     stars = kept(_verified(_stars(texts), texts, least), "stars")
     groups = components(stars)
-    across = kept(_verified(kept(_candidates(texts, least, groups), "candidates"), texts, least), "across")
+    across = kept(_linked(texts, least, groups), "across")
     label = components(stars.union(across))
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("row"), F.col(text).alias("t"))
     named = rows.groupBy("t").agg(F.min("row").alias("k"), F.count("*").alias("n")).join(label, "k", "left")

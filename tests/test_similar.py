@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.operators import similar as si
 
@@ -111,3 +112,18 @@ def test_all_documents_equal_all_pairs(spark, data_dir):
     pairs = {(first[a], first[b]) for a, b in itertools.combinations(first, 2) if si._similar(a, b, ALIKE)}
     want = [(ids[i], ids[c]) for i, c in grouped(pairs, first, texts)]
     assert want and sorted((r.row, r.cluster) for r in QUERIES["dup_clusters"](spark, data_dir).collect()) == want
+
+
+def test_blocks_meet_and_nothing_is_shipped_by_place(spark, monkeypatch):
+    """Many small blocks, of lengths across classes, lose no pair; the plan ships texts, not places of segments."""
+    monkeypatch.setattr(si, "BYTES", 3_000)
+    rng, texts = random.Random(5), texts_of(21)
+    for n in (700, 3_000, 9_000):
+        text = "".join(rng.choice(["ab ", "cde ", "f ", "gha ", "é "]) for _ in range(n // 3))
+        texts += [text, edited(rng, text, n // 30), edited(rng, text, n // 30), text[: int(n * 0.93)], "".join(rng.choice(["ab ", "cde ", "f ", "gha ", "é "]) for _ in range(n // 3))]
+    df = spark.createDataFrame(list(enumerate(texts)), "_row_idx long, text string").repartition(3)
+    pairs, first = alike(texts, 92.0)
+    assert {(r.u, r.v) for r in si.similar_pairs(df, 92.0).collect()} == pairs
+    assert sorted((r.row, r.cluster) for r in si.clusters(df, 92.0).collect()) == grouped(pairs, first, texts)
+    shipped = si._meetings(si._texts(df, "_row_idx", "text").withColumn("c", F.col("k")), 92.0)
+    assert shipped.count() < 200 * len(texts) and "pos" not in shipped.columns
