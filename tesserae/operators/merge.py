@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.text import text_hash
 from tesserae.operators.sampling import numbered
 from tesserae.schema import apply_mapping
-from tesserae.session import kept
+from tesserae.session import kept, slim_batches
 
 # Date shapes that are tried in turn.
 FORMATS = (
@@ -97,6 +97,7 @@ def dedupe_exact(df: DataFrame, *order: str, key: str = "post_id") -> DataFrame:
 
 
 def dedupe_near(df: DataFrame, *order: str, key: str = "text", compose: bool = True) -> DataFrame:
+    slim_batches(df.sparkSession)  # long texts may go to Python
     return keep_first(df, text_hash(F.col(key), compose), *order)
 
 

@@ -86,3 +86,26 @@ def test_dates(spark):
     shapes = ["2026-01-02", "2026-01-02T03:04:05Z", "20260102T030405Z", "1767323045", "1767323045000", "2026-01-02 03:04", "Fri Jan 02 03:04:05 +0000 2026", "nope", None]
     got = [r[0] and str(r[0])[:10] for r in spark.createDataFrame([(s,) for s in shapes], "d string").select(merge.parsed_date(__import__("pyspark.sql.functions").sql.functions.col("d"))).collect()]
     assert got == ["2026-01-02"] * 7 + [None, None]
+
+
+def test_only_texts_that_composition_may_change_go_to_python(spark, monkeypatch):
+    """Of every character that stays in the JVM, composition changes nothing, whatever stands before it."""
+    import re
+    import sys
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from tesserae.functions import text as tx
+
+    may = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: "\\U" + m[1].rjust(8, "0"), tx.MAY_COMPOSE))
+    stays = [chr(c) for c in range(sys.maxunicode + 1) if not may.match(chr(c))]
+    assert set("äß€“é’—") <= set(stays) and not set("ﬁ½e\u0301"[:2] + "\u0301\u1100") & set(stays)
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in stays for b in stays)
+    rows = [(0, "Crème “brûlée” – 5 €"), (1, None), (2, "ﬁne e\u0301"), (3, "plain")]
+    df = spark.createDataFrame(rows, "i int, t string").orderBy("i")
+    assert [r.t for r in df.select(tx.composed(F.col("t")).alias("t")).collect()] == ["Crème “brûlée” – 5 €", None, "fine é", "plain"]
+    sent = []
+    monkeypatch.setattr(tx, "nfkc", lambda c: sent.append(str(c)) or c)
+    tx.dedup_key(F.col("t"))
+    assert len(sent) == 1 and "RLIKE" in sent[0].upper()
