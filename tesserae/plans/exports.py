@@ -86,8 +86,8 @@ WANTED: dict[str, tuple[str, str, str, str, str, str]] = {
 }
 
 
-def exported(rows: DataFrame, source: str) -> str:
-    """Write ``rows`` as an export of ``source``; returns its path."""
+def exported(rows: DataFrame, source: str, compression: str = "none") -> str:
+    """Write ``rows`` as an export of ``source``; returns its path. Text files are packed with a ``compression``."""
     name, sep, columns = EXPORTS[source]
     of = lambda what: F.lit(what[1:]) if what.startswith("=") else F.col(what)
     nested: dict[str, list] = {}
@@ -101,9 +101,9 @@ def exported(rows: DataFrame, source: str) -> str:
     path = f"{scratch(rows.sparkSession, source)}/{name}"
     kind = ig.ending(name)
     if kind == "csv":
-        ex.write_csv(made, path, sep=sep)
+        ex.write_csv(made, path, sep=sep, compression=compression)
     elif kind == "jsonl":
-        ex.write_json(made, path)
+        ex.write_json(made, path, compression)
     else:
         made.write.parquet(path)
     return path
@@ -133,10 +133,10 @@ for _name, (_author, _lang, _likes, _shares, _platform, _type) in WANTED.items()
 
 @query("SELECT s AS source, s AS detected, (SELECT count(*) FROM documents) AS rows FROM (SELECT unnest(['brandwatch', 'twitter', 'meta', 'tiktok', 'youtube', 'reddit', 'mastodon', 'news', 'generic']) AS s)")
 def detect_sources(spark, d):
-    """Each export of the documents is read back and recognised by its columns; all its rows are counted."""
+    """Each export of the documents, packed, is read back and recognised by its columns; all its rows are counted."""
     out = None
     for source in EXPORTS:
-        raw = ig.read_any(spark, exported(base(spark, d), source))
+        raw = ig.read_any(spark, exported(base(spark, d), source, "gzip"))
         one = raw.agg(F.lit(source).alias("source"), F.lit(ad.detect(raw.columns)[0][0]).alias("detected"), F.count("*").alias("rows"))
         out = one if out is None else out.unionByName(one)
     return out

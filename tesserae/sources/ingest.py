@@ -45,12 +45,17 @@ def checked_upload(spark: SparkSession, path: str, most: int = MOST_BYTES) -> st
 
 
 def head(spark: SparkSession, path: str, size: int = 65_536) -> bytes:
-    """The first bytes of a file, or of a folder's first file, read through Hadoop so that any store will do."""
+    """The first bytes of a file, or of a folder's first file, read through Hadoop so that any store will do.
+
+    A file with the ending of a codec is unpacked, as Spark's readers do.
+    """
     files = data_files(spark, path)
     if not files:
         return b""
     p = spark._jvm.org.apache.hadoop.fs.Path(files[0][0])
-    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).open(p)
+    conf = spark._jsc.hadoopConfiguration()
+    stream, codec = p.getFileSystem(conf).open(p), spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    stream = codec.createInputStream(stream) if codec is not None else stream
     try:
         return bytes(stream.readNBytes(size))
     finally:

@@ -86,3 +86,16 @@ def test_columns_are_lettered():
 )
 def test_encodings_are_told(text, encoding, told):
     assert ingest.encoding_of(text.encode(encoding)) == told
+
+
+def test_packed_exports_are_recognised_and_read_back(spark, tmp_path):
+    from tesserae.operators import export as ex
+    from tesserae.sources import ingest as ig
+
+    rows = [(1, 'é;"x"\nnext'), (2, "plain")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for name, write in (("a.csv", lambda p: ex.write_csv(df, p, sep="|", compression="gzip")), ("a.jsonl", lambda p: ex.write_json(df, p, "gzip"))):
+        path = f"file://{tmp_path}/{name}"
+        write(path)
+        assert all(f.endswith(".gz") for f, _ in ig.data_files(spark, path)) and ig.head(spark, path)[:2] != b"\x1f\x8b"
+        assert sorted((int(r.id), r.text) for r in ig.read_any(spark, path).collect()) == rows
