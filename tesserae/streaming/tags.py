@@ -13,18 +13,20 @@ a null category. ``latest`` reads the state off these rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 KEY = ("codebook_id", "_row_idx", "coder")
 CHANGES = "codebook_id string, _row_idx long, coder string, cat_id string, seq long, version long"
-#: Order of an event's fields in state.
-EVENT = "seq long, batch long, action string, cat_id string, grp string, at long"
+CHANGE = Row(*(c.split()[0] for c in CHANGES.split(", ")))
+#: Of a key the number of its last change, the time of its timer (null: none), and its base and recent events as JSON.
+STATE = "version long, due long, base string, recent string"
 
 Event = tuple[int, int, str, str, str | None, int]
 Base = dict[str, tuple[int, str, str | None]]
@@ -56,46 +58,49 @@ def standing(last: Base) -> list[tuple[str, int]]:
 
 
 class TagFold(StatefulProcessor):
+    """The state of a key is one value, read once and written once a call, and it has one timer at a time."""
+
     def __init__(self, horizon: int):
         self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.base = handle.getMapState("base", "cat_id string", "seq long, action string, grp string")
-        self.recent = handle.getListState("recent", EVENT)
-        self.version = handle.getValueState("version", "n long")
-
-    def _base(self) -> Base:
-        return {k[0]: tuple(v) for k, v in self.base.iterator()}
-
-    def _recent(self) -> list[Event]:
-        return [tuple(e) for e in self.recent.get()]
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        new = [e for frame in rows for e in zip(*(frame[c] for c in ("seq", "batch", "action", "cat_id", "grp", "at")), strict=True)]
-        plain = {(int(s), int(b), a, c, None if g is None or g != g else g, int(t)) for s, b, a, c, g, t in new}
-        events = sorted(plain.union(self._recent()), key=lambda e: e[:4])
-        self.recent.put(events)
-        self.handle.registerTimer(max(e[5] for e in plain) + self.horizon)
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        held = standing(settled(self._base(), events)) or [(None, None)]
-        yield pd.DataFrame([(*key, cat, seq, version) for cat, seq in held], columns=[*KEY, "cat_id", "seq", "version"]).astype({"cat_id": object, "seq": "Int64"})
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state = handle.getValueState("state", STATE)
+
+    def _read(self) -> tuple[int, int | None, Base, list[Event]]:
+        held = self.state.get()
+        if held is None:
+            return 0, None, {}, []
+        version, due, base, recent = held
+        return version, due, {c: tuple(v) for c, v in json.loads(base).items()}, [tuple(e) for e in json.loads(recent)]
+
+    def _write(self, version: int, due: int | None, base: Base, recent: list[Event]) -> None:
+        self.state.update((version, due, json.dumps(base), json.dumps(recent)))
+
+    def _due(self, events: list[Event]) -> int:
+        """Sets the timer at which the last of the events can be undone no more."""
+        due = max(e[5] for e in events) + self.horizon
+        self.handle.registerTimer(due)
+        return due
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = {(r.seq, r.batch, r.action, r.cat_id, r.grp, r.at) for r in rows}
+        version, due, base, recent = self._read()
+        events = sorted(new.union(recent), key=lambda e: e[:4])
+        due = self._due(list(new)) if due is None else due
+        self._write(version + 1, due, base, events)
+        for cat, seq in standing(settled(base, events)) or [(None, None)]:
+            yield CHANGE(*key, cat, seq, version + 1)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         """What is too old to be undone becomes the base; the tags that stand are the same after it."""
         edge = expiredTimerInfo.getExpiryTimeInMs() - self.horizon
-        events = self._recent()
+        version, _, base, events = self._read()
         late = {e[1] for e in events if e[5] > edge}  # a batch goes as a whole
-        old = [e for e in events if e[1] not in late]
-        for cat, last in settled(self._base(), old).items():
-            self.base.updateValue((cat,), last)
         rest = [e for e in events if e[1] in late]
-        if rest:
-            self.recent.put(rest)
-        else:
-            self.recent.clear()
-        yield pd.DataFrame({c: pd.Series(dtype=t) for c, t in zip([*KEY, "cat_id", "seq", "version"], ["object", "int64", "object", "object", "int64", "int64"], strict=True)})
+        base = settled(base, [e for e in events if e[1] not in late])
+        self._write(version, self._due(rest) if rest else None, base, rest)
+        yield from ()
 
     def close(self) -> None:
         pass
@@ -106,7 +111,7 @@ def tag_changes(stream: DataFrame, horizon: str = "7 days", time: str = "ts", gr
     length = int(pd.Timedelta(horizon).total_seconds() * 1000)
     at = F.unix_millis(F.col(time).cast("timestamp")).alias("at")
     slim = stream.withWatermark(time, horizon).select(*KEY, "seq", "batch", "action", "cat_id", F.col(group).alias("grp"), at, time)
-    return slim.groupBy(*KEY).transformWithStateInPandas(TagFold(length), CHANGES, "Append", "EventTime")
+    return slim.groupBy(*KEY).transformWithState(TagFold(length), CHANGES, "Append", "EventTime")
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -93,3 +93,36 @@ def test_registered_streams_equal_sql(spark, data_dir, name):
     got = QUERIES[name](spark, data_dir)
     columns = ", ".join(got.columns)
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(f"SELECT {columns} FROM ({ORACLE[name]})").fetchall())
+
+
+def test_a_call_reads_and_writes_state_once_and_a_key_has_one_timer():
+    class Handle:
+        def __init__(self):
+            self.held, self.calls, self.timers = None, [], []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    from types import SimpleNamespace as Event
+
+    handle, fold = Handle(), tg.TagFold(100)
+    fold.init(handle)
+    key = ("cb", 1, "x")
+    at = lambda seq, action, when: Event(seq=seq, batch=seq, action=action, cat_id="a", grp=None, at=when)
+    assert [tuple(r) for r in fold.handleInputRows(key, iter([at(1, "tag", 10)]), None)] == [(*key, "a", 1, 1)]
+    assert [tuple(r) for r in fold.handleInputRows(key, iter([at(2, "untag", 50)]), None)] == [(*key, None, None, 2)]
+    assert handle.calls == ["get", "update"] * 2 and handle.timers == [110]
+    assert list(fold.handleExpiredTimer(key, None, Event(getExpiryTimeInMs=lambda: 110))) == [] and handle.timers == [110, 150]
+    undo = Event(seq=3, batch=2, action="undo", cat_id="a", grp=None, at=60)
+    assert [tuple(r) for r in fold.handleInputRows(key, iter([undo]), None)] == [(*key, "a", 1, 3)]
