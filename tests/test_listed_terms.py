@@ -39,3 +39,9 @@ def test_an_index_has_a_term_once_a_block_and_not_once_a_row(spark, tmp_path):
     for query in ("w1 w2", "w3 w3 w4", "nothing"):
         one, other = ([(r[0], round(r[1], 9)) for r in x.collect()] for x in (se.search_index(spark, path, query, 7), se.search(df, query, 7)))
         assert one == other, query
+
+
+def test_a_search_without_an_index_counts_terms_by_blocks(spark, monkeypatch):
+    rows, df = texts_of(spark, 60)
+    monkeypatch.setattr(se, "counted_terms", None)
+    assert se.search(df, "w1 w2", 3).count() == 3
