@@ -1,6 +1,7 @@
 """A segmented index against the search without an index, whatever was added when."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,24 @@ def test_states_are_never_overwritten(spark, tmp_path):
     assert manifest.last() == (0, {})
     assert manifest.commit(0, {"a": 1}) and not manifest.commit(0, {"a": 2}) and manifest.last() == (1, {"a": 1})
     assert manifest.change(lambda s: s | {"b": "é"}) == {"a": 1, "b": "é"} and manifest.last()[0] == 2
+
+
+def test_a_term_is_stored_once_a_block_with_the_totals_of_all(spark, tmp_path):
+    """Lists and totals are what plain counts make; several buckets in a task, and a segment that lacks terms of the one before."""
+    df, path = texts_of(spark, 200, 4), f"file://{tmp_path}/index"
+    sg.add(df.where("_row_idx % 2 = 0"), path)
+    sg.add(df.where("_row_idx % 2 = 1"), path)
+    state = Manifest(spark, path).last()[1]
+    counted = {(r._row_idx, r.term): r.tf for r in se.counted_terms(df, "_row_idx", "text").collect()}
+    df_of = Counter(t for _, t in counted)
+    assert {r.term: r.df for r in sg._totals(spark, state["totals"]).collect()} == df_of
+    got = {}
+    for i, s in enumerate(state["segments"]):
+        lists = sg._postings(spark, s["path"]).collect()
+        mine = [r for r in lists if r.block is not None]
+        assert len(mine) == len({(r.term, r.block) for r in mine}) and all(r.top == max(r.tfs) and len(r.rows) == len(r.tfs) for r in mine)
+        assert sum(r["head"] for r in lists) == len({r.term for r in lists}) and all(not r.rows and r.df for r in lists if r.block is None)
+        assert i or all(r.block is not None for r in lists)
+        got |= {(row, r.term): tf for r in mine for row, tf in zip(r.rows, r.tfs, strict=True)}
+        assert spark.read.parquet(f"{s['path']}/lengths").count() == len({row for r in mine for row in r.rows})
+    assert got == counted
