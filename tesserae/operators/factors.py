@@ -5,16 +5,23 @@ negative numbers, by multiplicative updates: each round makes the terms' factors
 table with the rows' factors and a sum per term, and then the rows' factors likewise. Only the topics x topics
 products pass the driver. The loss, the squared error over all cells, never rises.
 
+Where a bounded vocabulary is told (``factorise_rows``), the terms' factors are sent to every task instead, and rows stay where they are:
+a round is one pass over rows that hold their terms, and only sums per task and term are shuffled. The factors of a row are made
+anew from its first ones in each pass, so nothing but the last ones is written.
+
 Factors start from hashes, so reruns agree up to the order of sums. Rows and terms without weights have no
 factors. Weights must not be negative.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +83,73 @@ def factorise(weights: DataFrame, topics: int = 8, rounds: int = 10, seed: int =
     return Factors(w, h, losses)
 
 
+def factorise_rows(cells: DataFrame, known: DataFrame, topics: int = 8, rounds: int = 10, seed: int = 42) -> Factors:
+    """Factors of rows (row, terms, tfs) of unit length, whose terms are the places of the terms of ``known`` (term, idf) in its order.
+
+    ``known`` passes the driver and must be bounded; weights are 1 + ln tf, times idf.
+    """
+    spark, k = cells.sparkSession, topics
+    told = known.select("term", "idf", start(F.col("term"), k, seed + 1).alias("h")).toArrow().combine_chunks()  # a bounded vocabulary
+    names, idf = told.column("term"), told.column("idf").to_numpy()
+    h = np.array(told.column("h").to_pylist(), float).reshape(-1, k)
+    first = cells.select("row", "terms", "tfs", start(F.col("row"), k, seed).alias("w"))
+    kind, done, losses = cells.schema["row"].dataType.simpleString(), [], []
+    for r in range(rounds):
+        sums = first.mapInArrow(_pass(spark.sparkContext.broadcast((idf, done)), k, False), "term int, " + ", ".join(f"s{i} double" for i in range(k)))
+        got = sums.groupBy("term").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # a row for each term of ``known``
+        at, values = got.column("term").to_numpy(), np.stack([got.column(f"s{i}").to_numpy() for i in range(k)], 1)
+        whole = np.zeros((len(h) + k + 2, k))
+        whole[at] = values
+        gram, (cross, square) = whole[len(h) : len(h) + k], whole[len(h) + k :, 0]
+        if r:
+            losses.append(float(square - 2 * cross + (gram * done[-1][1]).sum()))
+        h = h * whole[: len(h)] / (h @ gram + TINY)
+        done = [*done, (h, h.T @ h)]
+    last = kept(first.mapInArrow(_pass(spark.sparkContext.broadcast((idf, done)), k, True), f"row {kind}, w array<double>, x double, q double"), "rows")
+    cross, square = last.agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("q"), F.lit(0.0))).first()
+    if rounds:
+        losses.append(float(square - 2 * cross + (_gram(last, "w", k) * done[-1][1]).sum()))
+    terms = spark.createDataFrame(pa.table({"term": names, "h": pa.array(h.tolist(), pa.list_(pa.float64()))}))
+    return Factors(last.select("row", "w"), terms, losses)
+
+
+def _pass(sent: Broadcast, k: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows' factors after the rounds ``sent``: themselves, or the sums of a task that the next terms' factors need.
+
+    Sums come per term, then the products of the rows' factors, then what they make of the cells, and the cells' squares.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, done = sent.value
+        out = np.zeros((len(idf) + k + 2, k))
+        for batch in batches:
+            if not len(batch):
+                continue
+            n = pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False)
+            at, tf = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "tfs"))
+            begin, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+            raw = (1 + np.log(tf)) * idf[at]
+            weight = raw / np.sqrt(np.add.reduceat(raw * raw, begin))[row]
+            w, s = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, k), np.zeros((len(n), k))
+            for h, gram in done:
+                s = np.add.reduceat(h[at] * weight[:, None], begin, axis=0)
+                w = w * s / (w @ gram + TINY)
+            x, q = (w * s).sum(1), np.add.reduceat(weight * weight, begin)
+            if last:
+                offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(w.ravel())), pa.array(x), pa.array(q)], names=["row", "w", "x", "q"])
+                continue
+            for i in range(k):
+                out[: len(idf), i] += np.bincount(at, weight * w[row, i], len(idf))
+            out[len(idf) : len(idf) + k] += w.T @ w
+            out[len(idf) + k :, 0] += x.sum(), q.sum()
+        if not last:
+            there = np.flatnonzero(out.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *[pa.array(out[there, i]) for i in range(k)]], names=["term", *[f"s{i}" for i in range(k)]])
+
+    return run
+
+
 def topic_terms(found: Factors, k: int = 10) -> DataFrame:
     """(topic, rank, term, weight): the strongest terms of each topic, as a share of it."""
     each = found.terms.select("term", F.posexplode("h").alias("topic", "weight"))

@@ -27,7 +27,7 @@ from tesserae.operators import search as se
 from tesserae.plans import boolean as bq
 from tesserae.plans import catalog as ca
 from tesserae.schema import apply_mapping, one_to_one, suggest_mapping, validate_mapping
-from tesserae.session import scratch, table
+from tesserae.session import kept, scratch, table
 from tesserae.sources import adapters as ad
 from tesserae.sources import ingest as ig
 from tesserae.storage import Store, cached
@@ -598,5 +598,8 @@ def topics_factors(spark, d):
     """Topics of all documents by non-negative factorisation; SQL has no such rounds, a test holds it against numpy."""
     from tesserae.operators import factors as fa
 
-    weights = se.weights(ca.posts(spark, d), min_df=5).select(F.col("_row_idx").alias("row"), "term", "weight")
-    return fa.assigned(fa.factorise(weights, topics=4, rounds=4)).select("row", "topic", ca.r6("share").alias("share"))
+    posts = ca.posts(spark, d)
+    known = kept(se.vocabulary(posts, min_df=5), "vocabulary").orderBy("term")
+    sent = spark.sparkContext.broadcast(known.select("term").toArrow().column("term").combine_chunks())  # 100,000 terms at most
+    cells = kept(se.numbered_rows(posts, sent), "cells")
+    return fa.assigned(fa.factorise_rows(cells, known, topics=4, rounds=4)).select("row", "topic", ca.r6("share").alias("share"))

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tesserae.operators import factors as fa
+from tesserae.operators import search as se
 
 
 def updates(v, w, h, rounds):
@@ -48,3 +49,28 @@ def test_updates_equal_numpy(spark):
 def test_empty_table(spark):
     found = fa.factorise(spark.createDataFrame([(1, "a", 0.0)], "row long, term string, weight double"), 2, 1)
     assert fa.assigned(found).collect() == [] and fa.topic_terms(found).collect() == [] and found.losses == [0.0]
+
+
+def test_rows_with_their_terms_give_the_factors_of_the_table(spark):
+    """The bounded vocabulary, the rows' places in it and the updates, against ``search.weights`` and ``factorise``."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 9 == 0 else " ".join(f"w{int(rng.paretovariate(0.8)) % 40}" for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "_row_idx long, text string").repartition(3)
+    weights = se.weights(df, min_df=2, features=50).selectExpr("_row_idx AS row", "term", "weight")
+    want = fa.factorise(weights, topics=3, rounds=3)
+    known = spark.createDataFrame(se.vocabulary(df, min_df=2, features=50).collect(), "term string, idf double").orderBy("term")
+    assert [r.term for r in known.collect()] == sorted(r.term for r in want.terms.collect()) and known.count() == 50
+    sent = spark.sparkContext.broadcast(known.select("term").toArrow().column("term").combine_chunks())
+    got = fa.factorise_rows(se.numbered_rows(df, sent), known, topics=3, rounds=3)
+    assert got.losses == pytest.approx(want.losses, rel=1e-9)
+    for one, other, key, value in ((got.rows, want.rows, "row", "w"), (got.terms, want.terms, "term", "h")):
+        a, b = ({r[key]: r[value] for r in x.collect()} for x in (one, other))
+        assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], rel=1e-9) for x in a)
+
+
+def test_rows_without_terms(spark):
+    df = spark.createDataFrame([(1, None), (2, "a")], "_row_idx long, text string")
+    known = se.vocabulary(df)
+    sent = spark.sparkContext.broadcast(known.select("term").toArrow().column("term").combine_chunks())
+    found = fa.factorise_rows(se.numbered_rows(df, sent), known, 2, 1)
+    assert fa.assigned(found).collect() == [] and fa.topic_terms(found).collect() == [] and found.losses == [0.0]
