@@ -146,7 +146,8 @@ def _headed(spark: SparkSession, d: str, columns: dict[str, str]) -> DataFrame:
     """The documents as a CSV file with these headers, read back; blank cells are null then."""
     path = f"{scratch(spark, 'headed')}/table.csv"
     ex.write_csv(base(spark, d).select(*[F.col(what).alias(name) for name, what in columns.items()]), path, sep=",")
-    return ig.read_csv(spark, path)
+    raw = ig.read_csv(spark, path)
+    return raw.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
 
 def _filled(raw: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import os
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -138,17 +139,22 @@ def _decoded(encoding: str) -> Callable[[Column], Column]:
 
 
 def delimiter_of(text: str) -> str:
+    """The delimiter in the header; where it has several, or none, what the first rows look like."""
+    counts = Counter(c for c in text.split("\n", 1)[0] if c in DELIMITERS)
+    if len(counts) == 1:
+        return next(iter(counts))
     try:
-        return csv.Sniffer().sniff(text[:8192], DELIMITERS).delimiter
+        return csv.Sniffer().sniff(text[:8192], "".join(counts) or DELIMITERS).delimiter
     except csv.Error:
-        counts = Counter(c for c in text.split("\n", 1)[0] if c in DELIMITERS)
         return counts.most_common(1)[0][0] if counts else ","
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """A CSV file with a header; rows with too many cells are skipped, short rows get nulls.
 
-    One more column than the header has catches the surplus cells of long rows.
+    One more column than the header has catches the surplus cells of long rows. Cells with nothing in them are null and
+    quoted empty ones are empty: what stands for null while Spark parses is drawn anew, so no cell can hold it. Quotes
+    escape themselves; Spark's own default there is the letter NUL, which it then drops from quoted cells.
     """
     data = head(spark, path)
     encoding = encoding_of(data)
@@ -157,8 +163,11 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFram
     names = next(csv.reader(text.splitlines() or [""], delimiter=sep), [])
     schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names) + 1)])
     direct = encoding in READABLE
-    raw = spark.read.csv(path, schema=schema, sep=sep, encoding=encoding if direct else "ISO-8859-1", header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-    kept = raw.where(F.col(f"c{len(names)}").isNull())
+    raw = spark.read.csv(
+        path, schema=schema, sep=sep, encoding=encoding if direct else "ISO-8859-1", header=True, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"',
+        nullValue=uuid.uuid4().hex, mode="PERMISSIVE", enforceSchema=True,
+    )
+    kept = raw.where(F.coalesce(F.col(f"c{len(names)}"), F.lit("")) == "")
     cell = (lambda c: c) if direct else _decoded(encoding)
     return kept.select(*[cell(F.col(f"c{i}")).alias(n.strip()) for i, n in enumerate(names) if n.strip()])
 

@@ -1,6 +1,7 @@
 """Spreadsheets written and read back, and encodings told from bytes."""
 
 import datetime
+import hashlib
 import io
 import zipfile
 
@@ -99,3 +100,34 @@ def test_packed_exports_are_recognised_and_read_back(spark, tmp_path):
         write(path)
         assert all(f.endswith(".gz") for f, _ in ig.data_files(spark, path)) and ig.head(spark, path)[:2] != b"\x1f\x8b"
         assert sorted((int(r.id), r.text) for r in ig.read_any(spark, path).collect()) == rows
+
+
+def test_csv_cells_come_back_letter_by_letter(spark, tmp_path):
+    """Empty is not null, and no letter is lost from a quoted cell; short rows and cells with nothing in them are null."""
+    texts = [None, "", " ", '"', '""', "\x00", 'a\x00"b', "\n\x00", "a\rb\r\nc", ";'a';'b';'c';" * 50, "\\", '\\"', "|\t,"]
+    rows = [(str(i), t, "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, text string, lang string")
+    for sep in ",;|\t":
+        path = f"file://{tmp_path}/{ord(sep)}.csv"
+        ex.write_csv(df.coalesce(1), path, sep=sep)
+        assert sorted(map(tuple, ingest.read_csv(spark, path).collect()), key=lambda r: int(r[0])) == rows
+    (tmp_path / "short.csv").write_text('a,b\n1,\n2,""\n3\n4,x,y\n5,z,""\n')
+    assert sorted(map(tuple, ingest.read_csv(spark, f"file://{tmp_path}/short.csv").collect())) == [("1", None), ("2", ""), ("3", None), ("5", "z")]
+
+
+def test_delimiter_is_one_of_the_header():
+    assert ingest.delimiter_of("id,text\n" + "".join(f"""{i},";'a';'b';"\n""" for i in range(9))) == ","
+    assert ingest.delimiter_of("a;b,c\n1;2,5\n3;4,5\n") in ";,"
+
+
+def test_empty_texts_of_csv_exports_are_those_of_the_sql(spark, tmp_path):
+    from tesserae.plans import exports
+
+    rows = [(0, "", "en", "a", 0), (1, None, "de", "b", 0), (2, 'x\x00"', None, "c", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want = [(str(i), t if t is None else hashlib.md5(t.encode()).hexdigest(), lang) for i, t, lang, _, _ in rows]
+    for name in ("csv_sink", "source_brandwatch", "source_meta", "source_news", "source_twitter"):
+        got = exports.QUERIES[name](spark, f"file://{tmp_path}").select("post_id", "text_md5", "language")
+        assert sorted(map(tuple, got.collect())) == want, name
+    told = {r.column: r.filled for r in exports.QUERIES["suggest_mapping_rows"](spark, f"file://{tmp_path}").collect()}
+    assert told["Body"] == 1 and told["user.Lang"] == 2
