@@ -8,20 +8,23 @@ insertions and deletions apart.
 can be a partner of a text of the other: the longer is at most (2 - t) / t times as long, t = least/100. A task holds two blocks
 of ``BYTES`` of letters at most (or two longer texts), whose pairs pass four tests, each of which a pair with D edits passes always:
 
-1. The letter pairs that two texts share, counted by bucket, are at most the sum of the roots of the products of the counts.
-2. Of the q-letter grams of a text, each deletion spoils q at most and each insertion q - 1; the numbered grams are bits of a map.
+1. The letter pairs that two texts share, counted by bucket, are at most the sum of the roots of the products of the counts:
+   a product of matrices for many texts at once.
+2. Of the q-letter grams of a text, each deletion spoils q at most and each insertion q - 1. Up to ``SKETCHED`` letters they are counted
+   by bucket in the same way, with more buckets than letters, for the texts that the first test leaves to each other.
 3. Of the even segments of the longer text an edit spoils one; the others stand in the shorter text, at places whose shifts
-   to the left and the right come to D at most.
-4. The common subsequence of a start of both texts leaves no more letters out than may be left out in all (``_similar``).
+   to the left and the right come to D at most. They are looked up in a map of the shorter text's grams by zone, then exactly.
+4. The letters that two texts share, in any order, are no fewer than their common subsequence.
 
-What is left is compared exactly, in the task that has the texts, so neither places nor pairs of texts are shuffled: what is
-shuffled is each text, once for each block that its own one meets. The comparisons of maps are quadratic within the bounds of length.
+What is left is compared exactly (``_reaches``), within the places that D edits can shift and until too many letters are left out, in the
+task that has the texts, so neither places nor pairs of texts are shuffled: what is shuffled is each text, once for each block that its
+own one meets. The products of matrices are quadratic within the bounds of length.
 
 ``clusters`` first links texts that share a least-hash key to the least text with that key, which
 joins most copies in one group by few comparisons, and then looks for pairs across groups only. No
 link between groups is lost; links inside a group are not needed for it, nor a link that others of the same task imply.
 
-Long texts of one small vocabulary share nearly all grams and come to the third test, and the longest of them to the fourth.
+Long texts of one small vocabulary share nearly all grams and come to the third test.
 
 Null texts are left out; equal texts are one in pairs and stand together in clusters; an empty text
 is like itself alone. Repeated keys count as one row with several texts. Extra columns are ignored.
@@ -42,8 +45,8 @@ from tesserae.session import kept
 
 #: Letters of a block on average (a longer text is a block of its own), and classes of length within one reach of partners.
 BYTES, CLASSES = 32 << 20, 2
-#: Buckets of letter pairs, and rows of a block that are compared at a time.
-BUCKETS, ROWS = 256, 1_024
+#: Buckets of letter pairs, rows of a block that are compared at a time, and letters of texts whose longer grams are counted.
+BUCKETS, ROWS, SKETCHED = 256, 1_024, 6_400
 #: Least-hash keys per text and letters of what they hash.
 KEYS, SHINGLE = 6, 12
 
@@ -92,7 +95,7 @@ class Plan:
 
     def gram(self, m: int) -> int:
         """Letters of the grams that tell texts of about this length apart; any number loses no pair."""
-        return max(1, min(4 if m < 4_000 else 5 if m < 6_000 else 6, 6 if self.t > 0.93 else 3 if self.t > 0.88 else 2))
+        return max(1, min(4 if m < 1_400 else 5 if m < 3_000 else 6, 6 if self.t > 0.93 else 3 if self.t > 0.88 else 2))
 
     def step(self) -> float:
         """Logarithm of the width of a class of length."""
@@ -115,22 +118,14 @@ def _meetings(texts: DataFrame, least: float) -> DataFrame:
     pairs = kept(met, "meetings")  # numbers of blocks, a few per BYTES of input
     one = placed.join(F.broadcast(pairs), (F.col("cls") == F.col("i")) & (F.col("part") == F.col("j"))).select("i", "j", "x", "y", F.lit(0).alias("b"), "k", "c", "t")
     two = placed.join(F.broadcast(pairs.where("i <> x OR j <> y")), (F.col("cls") == F.col("x")) & (F.col("part") == F.col("y")))
-    return one.union(two.select("i", "j", "x", "y", F.lit(1).alias("b"), "k", "c", "t"))
+    both = one.union(two.select("i", "j", "x", "y", F.lit(1).alias("b"), "k", "c", "t"))
+    # Spark does not lower a number that it is given: tasks of few bytes and much work stay apart.
+    return both.repartition(max(1, min(1_000, pairs.count())), "i", "j", "x", "y")
 
 
-def _roots(letters: np.ndarray) -> np.ndarray:
-    """Roots of the counts of letter pairs by bucket."""
-    return np.sqrt(np.bincount((_grams(letters, 2) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)).astype(np.float32)
-
-
-def _map(letters: np.ndarray, q: int, bits: int) -> np.ndarray:
-    """The bits of a text's grams, the equal ones numbered."""
-    g = np.sort(_grams(letters, q))
-    at = np.arange(len(g))
-    start = np.maximum.accumulate(np.where(np.r_[True, g[1:] != g[:-1]], at, 0)) if len(g) else at
-    table = np.zeros(bits, bool)
-    table[(_mix(g + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(table).view(np.uint64)
+def _counts(letters: np.ndarray, q: int, buckets: int) -> np.ndarray:
+    """Grams by bucket."""
+    return np.bincount((_grams(letters, q) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
 
 
 class _Groups:
@@ -155,50 +150,113 @@ class _Block:
         order = sorted(range(len(keys)), key=lambda i: (len(texts[i]), keys[i]))
         self.k, self.c, self.t = ([column[i] for i in order] for column in (keys, groups, texts))
         self.key, self.n, self.group = np.array(self.k, np.int64), np.array([len(t) for t in self.t], np.int64), np.array(self.c, np.int64)
-        self.roots = np.stack([_roots(_letters(t)) for t in self.t]) if self.t else np.zeros((0, BUCKETS), np.float32)
-        self.maps: np.ndarray | None = None
-
-    def mapped(self, q: int, bits: int) -> None:
-        self.maps = np.stack([_map(_letters(t), q, bits) for t in self.t]) if self.t else np.zeros((0, bits // 64), np.uint64)
-        self.set = np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+        self.roots = np.zeros((len(self.t), BUCKETS), np.float32)
+        for i, t in enumerate(self.t):
+            self.roots[i] = np.sqrt(_counts(_letters(t), 2, BUCKETS))
+        self.made: dict[tuple, object] = {}
+
+    def sketch(self, q: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of grams by bucket, and the texts with a count that has no room."""
+        if (q, buckets) not in self.made:
+            counts, over = np.zeros((len(self.t), buckets), np.uint8), np.zeros(len(self.t), bool)
+            for i, t in enumerate(self.t):
+                found = _counts(_letters(t), q, buckets)
+                counts[i], over[i] = np.minimum(found, 255), found.max() > 255
+            self.made[q, buckets] = counts, over
+        return self.made[q, buckets]
+
+    def zoned(self, i: int, size: int, width: int, bits: int) -> np.ndarray:
+        """Where the segments of a text stand in the map of a text that has them in their zones."""
+        if (i, size, width, bits) not in self.made:
+            n = len(self.t[i]) // size
+            g = _segments(_letters(self.t[i])[: n * size], size)
+            self.made[i, size, width, bits] = _zone(g, np.arange(n) * size // width, bits)
+        return self.made[i, size, width, bits]
+
+
+#: Roots of counts.
+ROOTS = np.sqrt(np.arange(256)).astype(np.float32)
+
+
+def _rectangles(ok: np.ndarray, most: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows, in groups that have most columns in common, and all columns of each group; every row with a column is in one group."""
+    left = np.flatnonzero(ok.any(axis=1))
+    for last in range(most):
+        if not len(left):
+            return
+        seed = ok[left[0]]
+        near = (ok[left] & seed).sum(axis=1) * 2 > min(seed.sum(), len(seed) // 2) if last < most - 1 else np.ones(len(left), bool)
+        near[0] = True
+        yield left[near], np.flatnonzero(ok[left[near]].any(axis=0))
+        left = left[~near]
 
 
 def _passed(one: _Block, two: _Block, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the texts of one block and of those of the other, no shorter ones, that pass the first two tests."""
-    plan, q = Plan(least), 0
-    same = one is two
+    plan, same = Plan(least), one is two
+    if not one.t or not two.t:
+        return
+    short = two.n[-1] <= SKETCHED
+    q, buckets = plan.gram(int(one.n[0])), max(64, 1 << int(1.85 * two.n[-1]).bit_length())
+    # Grams that the shorter text may lose, over its length and the longer one's: (q - 1) * D, and half of D less the difference.
+    slope = lambda q: ((q - 0.5) * (1 - plan.t) + 0.5, (q - 0.5) * (1 - plan.t) - 0.5)
+    least_of = lambda q, m: ((1 - slope(q)[0]) * m - q - 1 - 1e-3 * m).astype(np.float32)
+    more_of = lambda q, n: (slope(q)[1] * n).astype(np.float32)
     for cut in range(0, len(one.t), ROWS):
         rows = slice(cut, cut + ROWS)
         low, high = int(np.searchsorted(two.n, one.n[rows].min())), int(np.searchsorted(two.n, int(one.n[rows].max() * (2 - plan.t) / plan.t + 1), side="right"))
         for at in range(low, high, 4 * ROWS):
             cols = slice(at, min(high, at + 4 * ROWS))
-            m, n = one.n[rows, None], two.n[None, cols]
-            d = plan.edits(m + n)
-            most = np.maximum(0, d - (n - m)) // 2  # letters of the shorter text that may be left out
-            ok = (n >= m) & (n - m <= d) & (one.group[rows, None] != two.group[None, cols])
-            ok &= (m < n) | (one.key[rows, None] < two.key[None, cols]) if same else True
-            ok &= (m - 1 - one.roots[rows] @ two.roots[cols].T) * (1 - 1e-4) <= d + most + 0.5
-            if not ok.any():
-                continue
-            if not q:
-                q, bits = plan.gram(int(one.n[0])), max(64, 1 << int(4 * one.n[-1] - 1).bit_length())
-                one.mapped(q, bits)
-                if not same:
-                    two.mapped(q, bits)
+            ok = one.roots[rows] @ two.roots[cols].T >= least_of(2, one.n[rows])[:, None] - more_of(2, two.n[cols])
+            if short:
+                (mine, over), (others, wide) = one.sketch(q, buckets), two.sketch(q, buckets)
+                for r, c in _rectangles(ok):
+                    left = ROOTS[mine[r + cut]]
+                    for few in np.array_split(c, -(-len(c) // ROWS)):
+                        good = left @ ROOTS[others[few + at]].T >= least_of(q, one.n[r + cut])[:, None] - more_of(q, two.n[few + at])
+                        ok[np.ix_(r, few)] &= good | over[r + cut, None] | wide[None, few + at]
             for i in np.flatnonzero(ok.any(axis=1)):
-                j = np.flatnonzero(ok[i])
-                for few in np.array_split(j, max(1, len(j) * one.maps.shape[1] >> 17)):
-                    both = np.bitwise_count(two.maps[few + at] & one.maps[cut + i]).sum(axis=1, dtype=np.int64)
-                    left, edits = most[i, few], d[i, few]
-                    good = (one.set[cut + i] - both <= (q - 1) * edits + left) & (two.set[few + at] - both <= (q - 1) * edits + edits - left)
-                    if good.any():
-                        yield cut + int(i), few[good] + at
+                j = np.flatnonzero(ok[i]) + at
+                m, n = one.n[cut + i], two.n[j]
+                good = (n >= m) & (n - m <= plan.edits(m + n)) & (one.group[cut + i] != two.group[j])
+                good &= (m < n) | (one.key[cut + i] < two.key[j]) if same else True
+                if good.any():
+                    yield cut + int(i), j[good]
 
 
 #: Bits of a hash that stay beside a place, and texts too long for such places.
 HIGH, FAR = np.uint64(0xFFFFFFFFFF000000), 1 << 24
 
 
+def _segments(letters: np.ndarray, size: int) -> np.ndarray:
+    """The grams that ``_grams`` has at each ``size``-th place, of letters that are so many segments."""
+    out = np.full(len(letters) // size, size, np.uint64)
+    for j in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + letters[j::size] + np.uint64(1)
+    return _mix(out)
+
+
+def _zone(g: np.ndarray, zone: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(g + zone.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _by_zone(a: _Block, i: int, b: _Block, places: list[int], least: float) -> list[int]:
+    """The third test, by a map, for a text and texts that are no shorter: segments may stand in any place of a zone and those about it."""
+    plan, m, top = Plan(least), int(a.n[i]), int(b.n[-1])
+    both = plan.edits(m + b.n[places])
+    size = plan.base + 2 if (b.n[places] // (plan.base + 2) > both * 1.1).all() else plan.base
+    width, bits = max(64, int((1 - plan.t) * top)), 1 << (32 * top).bit_length()
+    lost, new = int(both.max()) // 2 + 1, int((both + b.n[places] - m).max()) // 2 + 1
+    g = _grams(_letters(a.t[i]), size)
+    at = np.arange(len(g))
+    first, last = np.maximum(0, at - lost) // width, (at + new) // width
+    table = np.zeros(bits, bool)
+    for more in range(int((last - first).max(initial=-1)) + 1):
+        on = first + more <= last
+        table[_zone(g[on], first[on] + more, bits)] = True
+    return [j for j, d in zip(places, both.tolist(), strict=True) if b.n[j] // size - np.count_nonzero(table[b.zoned(j, size, width, bits)]) <= d]
+
+
 def _standing(text: str, size: int) -> np.ndarray:
     """Hashes and places of all grams, in order."""
     g = _grams(_letters(text), size)
@@ -208,7 +266,7 @@ def _standing(text: str, size: int) -> np.ndarray:
 def _in_place(standing: np.ndarray, text: str, size: int, edits: int, lost: int, new: int) -> bool:
     """Whether all but ``edits`` even segments of the longer text stand in the shorter one near their places."""
     n = len(text) // size
-    g = _grams(_letters(text[: n * size]), size)[::size]
+    g = _segments(_letters(text[: n * size]), size)
     at = np.arange(n) * size
     found = np.searchsorted(standing, (g & HIGH) | np.maximum(0, at - new).astype(np.uint64))
     held = np.append(standing, np.uint64(0))[found]
@@ -249,12 +307,12 @@ def _linked(texts: DataFrame, least: float, groups: DataFrame | None = None) ->
         one, two = blocks[0], blocks[1] if blocks[1].t else blocks[0]
         same_class = t.column("i")[0] == t.column("x")[0] and one is not two
         for a, b in ((one, two), (two, one)) if same_class else ((one, two),):
-            last, known = -1, {}
             for i, places in _passed(a, b, least):
-                last, known = i, known if i == last else {}
-                for j in places.tolist():
-                    if same_class and a is two and a.n[i] == b.n[j]:
-                        continue  # equal lengths were met the first time
+                known: dict[int, np.ndarray] = {}
+                if same_class and a is two:
+                    places = places[b.n[places] > a.n[i]]  # equal lengths were met the first time
+                near = [j for j in places.tolist() if all_pairs or joined.find(a.c[i]) != joined.find(b.c[j])]
+                for j in _by_zone(a, i, b, near, least) if len(near) > 2 else near:
                     if not all_pairs and joined.find(a.c[i]) == joined.find(b.c[j]):
                         continue
                     if _near(a.t[i], b.t[j], least, known) and _similar(a.t[i], b.t[j], least):
@@ -285,23 +343,61 @@ def _stars(texts: DataFrame) -> DataFrame:
     return hashed.join(first, "h").where("k <> u").select("u", F.col("k").alias("v")).distinct()
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence: equal ends aside, a bit vector at a time."""
+def _trimmed(a: str, b: str) -> tuple[str, str, int]:
+    """Both texts without the ends that they share, and the letters of these."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
     a, b, tail = a[head:], b[head:], 0
     while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
-    place: dict[str, int] = {}
-    for i, c in enumerate(a):
-        place[c] = place.get(c, 0) | 1 << i
+    return a[: len(a) - tail], b[: len(b) - tail], head + tail
+
+
+def _places(text: str) -> dict[str, int]:
+    """The places of each letter as bits."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return {chr(c): int.from_bytes(np.packbits(letters == c, bitorder="little").tobytes(), "little") for c in np.unique(letters).tolist()}
+
+
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence: equal ends aside, a bit vector at a time."""
+    a, b, same = _trimmed(a, b)
+    place = _places(a)
     row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
     for c in b:
         u = row & place.get(c, 0)
         row = ((row + u) | (row - u)) & full
-    return head + tail + len(a) - row.bit_count()
+    return same + len(a) - row.bit_count()
+
+
+def _reaches(a: str, b: str, need: int) -> bool:
+    """Whether ``b`` and a text that is no longer have ``need`` letters in common in their order.
+
+    A letter of ``b`` is met by letters that stand at most as far before it as ``b`` may lose letters, and as far behind as ``a`` may,
+    so a bit vector of these places is enough. It ends once a start of ``b`` has lost too many.
+    """
+    a, b, same = _trimmed(a, b)
+    need -= same
+    lost, new = len(a) - need, len(b) - need
+    if need <= 0 or lost < 0:
+        return need <= 0
+    place, step = _places(a), max(64, (lost + new) // 2)
+    row = low = high = found = before = 0
+    for at in range(0, len(b), step):
+        part = b[at : at + step]
+        start, end = max(0, at - new), min(len(a), at + len(part) + lost)
+        before += start - low - (row & ((1 << start - low) - 1)).bit_count()
+        row = row >> start - low | (1 << end - high) - 1 << high - start
+        low, high, full = start, end, (1 << end - start) - 1
+        here = {c: place.get(c, 0) >> start & full for c in set(part)}
+        for c in part:
+            u = row & here[c]
+            row = ((row + u) | (row - u)) & full
+        found = before + end - start - row.bit_count()
+        if at + len(part) - found > new:
+            return False
+    return found >= need
 
 
 def ratio(a: str, b: str) -> float:
@@ -310,19 +406,14 @@ def ratio(a: str, b: str) -> float:
 
 
 def _similar(a: str, b: str, least: float) -> bool:
-    need = least * (len(a) + len(b)) / 200.0
-    if min(len(a), len(b)) < need or sum((Counter(a) & Counter(b)).values()) < need:
-        return False
-    # A start of the longer text is met by a start of the shorter one, longer by what that may lose: what it lacks is an insertion.
+    if not a or not b:
+        return a == b
+    need = max(0, int(least * (len(a) + len(b)) / 200.0) - 1)
+    while 200.0 * need / (len(a) + len(b)) < least:
+        need += 1
     if len(a) > len(b):
         a, b = b, a
-    edits = int((1 - least / 100) * (len(a) + len(b)) + 1e-9) + 1
-    lost = max(0, edits - (len(b) - len(a))) // 2 + 1
-    for part in (8, 4):
-        at = len(b) // part
-        if at > 200 and common_length(a[: at + lost], b[:at]) < at - (lost + len(b) - len(a)):
-            return False
-    return ratio(a, b) >= least
+    return len(a) >= need and sum((Counter(a) & Counter(b)).values()) >= need and _reaches(a, b, need)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:

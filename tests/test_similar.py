@@ -127,3 +127,50 @@ def test_blocks_meet_and_nothing_is_shipped_by_place(spark, monkeypatch):
     assert sorted((r.row, r.cluster) for r in si.clusters(df, 92.0).collect()) == grouped(pairs, first, texts)
     shipped = si._meetings(si._texts(df, "_row_idx", "text").withColumn("c", F.col("k")), 92.0)
     assert shipped.count() < 200 * len(texts) and "pos" not in shipped.columns
+
+
+def prose(rng, words, n):
+    return " ".join(rng.choice(words) for _ in range(n // 6))[:n]
+
+
+def test_long_texts_of_one_vocabulary_are_told_apart_without_comparing_them(monkeypatch):
+    """Texts with the same grams in another order pass the counts; only copies are looked at segment by segment."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+    texts = [prose(rng, words, 14_000) for _ in range(30)]
+    texts += [edited(rng, t, 350) for t in texts[:5]]
+    seen = []
+    near = si._near
+    monkeypatch.setattr(si, "_near", lambda a, b, *more: seen.append(1) or near(a, b, *more))
+    block = si._Block(list(range(35)), list(range(35)), texts)
+    found, passed = set(), 0
+    for i, places in si._passed(block, block, 95.0):
+        passed += len(places)
+        for j in si._by_zone(block, i, block, places.tolist(), 95.0):
+            if si._near(block.t[i], block.t[j], 95.0, {}) and si._similar(block.t[i], block.t[j], 95.0):
+                found.add(tuple(sorted((block.k[i], block.k[j]))))
+    assert found == {(i, 30 + i) for i in range(5)} and passed > 300 and len(seen) < 10
+
+
+def test_counts_of_grams_leave_few_texts_to_the_others():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(2_000)]
+    for n in (300, 1_000, 2_500, 5_000):
+        texts = [prose(rng, words, n) for _ in range(60)] + ["a" * n, "a" * (n - 1)]
+        texts += [edited(rng, t, n // 25) for t in texts[:8]]
+        block = si._Block(list(range(70)), list(range(70)), texts)
+        passed = {tuple(sorted((block.k[i], block.k[j]))) for i, places in si._passed(block, block, 95.0) for j in places.tolist()}
+        alike = {p for p in itertools.combinations(range(70), 2) if si.ratio(texts[p[0]], texts[p[1]]) >= 95.0}
+        assert alike <= passed and len(passed) < len(alike) + 100
+
+
+def test_reaching_a_length_equals_counting_it():
+    """The bit vector of near places against the whole one, for edits that are spread, at one place, and moved blocks."""
+    rng = random.Random(10)
+    for n in (1, 40, 300, 2_000):
+        for _ in range(25):
+            a = "".join(rng.choice("abcdefgh é漢") for _ in range(n))
+            at, some = rng.randrange(n), rng.randint(0, n // 7)
+            for b in (edited(rng, a, some), a[some:] + a[:some], a[:at] + edited(rng, a[at : at + n // 9], some) + a[at + n // 9 :], a[:at] + "x" * some + a[at:], a[:at] + a[at + some :]):
+                for least in (80.0, 95.0, 100.0):
+                    assert si._similar(a, b, least) == (si.ratio(a, b) >= least)
